@@ -9,6 +9,7 @@ from flowlytics.functions import timefeat as tf
 from flowlytics.functions import values as v
 from flowlytics.operators.cleaning import dense_row_id
 from flowlytics.operators.quantile import apply_bins, fit_bins
+from flowlytics.operators.segments import plan_cuts
 from flowlytics.operators.series import running_balance, signed_amount, time_gap
 
 WIDE_COLUMNS = [
@@ -29,8 +30,10 @@ def _direction_bins(df: DataFrame, **cut) -> DataFrame:
 
 def _per_product(df: DataFrame, tie: list[str], **cut) -> DataFrame:
     """Gap to the previous row and clipped running balance within each product."""
-    gapped = time_gap(df, ["product_id"], "ts", tie, **cut)
-    return running_balance(gapped, ["product_id"], ["ts", *tie], signed_amount(), "clip", **cut)
+    order = ["ts", *tie]
+    cuts = plan_cuts(df, ["product_id"], order, **cut)
+    gapped = time_gap(df, ["product_id"], "ts", tie, cuts=cuts)
+    return running_balance(gapped, ["product_id"], order, signed_amount(), "clip", cuts=cuts)
 
 
 def from_orders(df: DataFrame, tie: list[str] = ("InvoiceNo", "CustomerID", "Quantity", "UnitPrice"),
@@ -71,7 +74,7 @@ def from_orders(df: DataFrame, tie: list[str] = ("InvoiceNo", "CustomerID", "Qua
         "cust_type": v.hash_bucket("cust_id", 3, "cust"),
         "yield_rate": v.placeholder_yield("product_id", "risk_level"),
     })
-    wide = _per_product(_direction_bins(rows, **cut), tie, **cut)
+    wide = _direction_bins(_per_product(rows, tie, **cut), **cut)
     wide = wide.withColumns({c: F.col(c).cast("double") for c in ("amount", "aum_after")})
     if not row_id:
         return wide.select(*WIDE_COLUMNS)
@@ -108,7 +111,7 @@ def from_quotes(prices: DataFrame, quotes: DataFrame, rules=v.FUND_NAME_RULES, r
         v.investor_kind("main_net").alias("cust_type"),
         v.intraday_yield(v.to_number("open"), v.to_number("close")).alias("yield_rate"),
     )
-    wide = _per_product(_direction_bins(rows, **cut), [], **cut)
+    wide = _direction_bins(_per_product(rows, [], **cut), **cut)
     wide = wide.withColumns({c: F.col(c).cast("double") for c in ("amount", "aum_after")})
     if not row_id:
         return wide.select(*WIDE_COLUMNS)

@@ -10,9 +10,7 @@ from pyspark.sql import Window as W
 
 from flowlytics.functions import values as v
 from flowlytics.operators.profile import bin_balance, series_lengths
-from flowlytics.operators.segments import (
-    carry_over, carry_window, ordered_segments, segment_window,
-)
+from flowlytics.operators.segments import segmented
 
 # Accepted range per gate.
 LIMITS = {"fail_rate": (0.01, 0.50), "redemption_share": (0.20, 0.80), "min_balance": (0.0, None)}
@@ -85,16 +83,17 @@ def ks_distance(df: DataFrame, sample: str, value: str, keys: Sequence[str] = ()
     keys = list(keys)
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
         F.count_if(F.col(sample) == 0).alias("_a"), F.count_if(F.col(sample) == 1).alias("_b"))
-    rows = ordered_segments(counted, keys, ["_v"], **cut)
-    upto = segment_window(keys, ["_v"]).rowsBetween(W.unboundedPreceding, 0)
-    whole = segment_window(keys)
-    rows = rows.select("*", F.sum("_a").over(upto).alias("_ca"), F.sum("_b").over(upto).alias("_cb"),
-                       F.sum("_a").over(whole).alias("_na"), F.sum("_b").over(whole).alias("_nb"))
-    before = carry_window(keys).rowsBetween(W.unboundedPreceding, -1)
-    every = carry_window(keys).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    rows = carry_over(rows, keys, {"_sa": F.sum("_a"), "_sb": F.sum("_b")}, {
+    seg = segmented(counted, keys, ["_v"], **cut)
+    upto = seg.window().rowsBetween(W.unboundedPreceding, 0)
+    whole = seg.window(ordered=False)
+    seg = seg.map(seg.rows.select(
+        "*", F.sum("_a").over(upto).alias("_ca"), F.sum("_b").over(upto).alias("_cb"),
+        F.sum("_a").over(whole).alias("_na"), F.sum("_b").over(whole).alias("_nb")))
+    before = seg.carry_window().rowsBetween(W.unboundedPreceding, -1)
+    every = seg.carry_window().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = seg.carry({"_sa": F.sum("_a"), "_sb": F.sum("_b")}, {
         "_oa": F.sum("_sa").over(before), "_ob": F.sum("_sb").over(before),
-        "_ta": F.sum("_sa").over(every), "_tb": F.sum("_sb").over(every)})
+        "_ta": F.sum("_sa").over(every), "_tb": F.sum("_sb").over(every)}).rows
     zero = F.lit(0)
     n_a, n_b = F.coalesce("_ta", "_na"), F.coalesce("_tb", "_nb")
     gap = F.abs(F.try_divide(F.col("_ca") + F.coalesce("_oa", zero), n_a)

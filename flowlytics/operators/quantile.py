@@ -14,9 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from flowlytics.operators.segments import (
-    SEG, carry_over, carry_window, ordered_segments, same_keys, segment_window,
-)
+from flowlytics.operators.segments import same_keys, segmented
 
 # The eleven profile probabilities and their names.
 PROFILE_PROBS = [0, 0.01, 0.05, 0.10, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
@@ -45,25 +43,24 @@ def exact_quantiles(
     n_rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     grouped = (df.where(F.col(value).isNotNull())
                .groupBy(*keys, F.col(value).alias("_v")).agg(n_rows.alias("_c")))
-    rows = ordered_segments(grouped, keys, ["_v"], **cut)
-
-    whole = segment_window(keys)
-    upto = segment_window(keys, ["_v"])
-    rows = rows.select(
+    seg = segmented(grouped, keys, ["_v"], **cut)
+    whole = seg.window(ordered=False)
+    upto = seg.window()
+    seg = seg.map(seg.rows.select(
         "*",
         F.sum("_c").over(upto.rowsBetween(W.unboundedPreceding, 0)).alias("_cum"),
         F.lead("_v").over(upto).alias("_next"),
         F.sum("_c").over(whole).alias("_n"),
         F.count("_c").over(whole).alias("_nd"),
-    )
-    per_key = carry_window(keys).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    before = carry_window(keys).rowsBetween(W.unboundedPreceding, -1)
-    rows = carry_over(
-        rows, keys,
+    ))
+    over = seg.carry_window()
+    every = over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    before = over.rowsBetween(W.unboundedPreceding, -1)
+    rows = seg.carry(
         {"_s": F.sum("_c"), "_d": F.count("_c"), "_first": F.min("_v")},
-        {"_off": F.sum("_s").over(before), "_n_all": F.sum("_s").over(per_key),
-         "_nd_all": F.sum("_d").over(per_key), "_next_seg": F.lead("_first").over(carry_window(keys))},
-    )
+        {"_off": F.sum("_s").over(before), "_n_all": F.sum("_s").over(every),
+         "_nd_all": F.sum("_d").over(every), "_next_seg": F.lead("_first").over(over)},
+    ).rows
     rows = rows.select(
         *keys, "_v", "_c",
         (F.col("_cum") + F.coalesce("_off", F.lit(0))).alias("_cum"),

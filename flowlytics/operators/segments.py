@@ -1,22 +1,22 @@
 """Splitting long ordered groups, so that no window runs over one unbounded group.
 
-A window ``partitionBy(keys).orderBy(order)`` puts a whole key in one task. With a
-third of a ledger under one product that task never ends. ``ordered_segments`` cuts
-only such hot keys into consecutive ranges of the order. A window then runs per
-(keys, segment), and what a range needs from the ranges before it (a last value, a
-running sum, a minimum) comes from a summary with one row per hot segment.
-
-Cuts are a pure function of the data (counts and a hash sample), so a recomputed
-partition falls into the same segments after an executor loss.
-
-Size bound: a key is hot when it holds more than total / max_segments rows, so there
-are fewer than ``max_segments`` hot keys and fewer than ``2 * max_segments`` hot
-segments however large the ledger is. That is what makes the broadcasts below safe.
+A window ``partitionBy(keys).orderBy(order)`` puts a whole key in one task. With a third of a
+ledger under one product that task never ends. ``plan_cuts`` counts rows per key; where no key is
+long the plain window is the right plan and nothing is added to it. Only the long keys are cut into
+consecutive ranges of the order. A window then runs per (keys, segment), and what a range needs from
+the ranges before it (a last value, a running sum, a minimum) comes from a summary with one row per
+segment of a long key.
+
+Size bound: a key is cut when it holds more than total / max_segments rows, so there are fewer than
+``max_segments`` such keys and, with the sampling error, a small multiple of ``max_segments`` cut
+points, however large the ledger is. That is what makes it safe to bring the cut points to the
+driver and to broadcast them and the summary.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,66 +81,101 @@ def _thin(sample: Column, pieces: Column) -> Column:
                                      lambda c: c.isNotNull()))
 
 
-def ordered_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
-                     max_segments: int = MAX_SEGMENTS, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Adds ``_seg`` (0, 1, ... rising with the order) and ``_hot`` (the key was cut).
+@dataclass(frozen=True)
+class Cuts:
+    """Where the long keys of one (keys, order) are cut; ``table`` is None when no key is long."""
 
-    ``order`` should identify a row within its key; equal order values stay together.
-    """
-    keys = list(keys)
-    point = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    draw = F.xxhash64(*[F.col(c) for c in [*keys, *order]])
+    keys: tuple[str, ...]
+    order: tuple[str, ...]
+    table: DataFrame | None = None
 
-    if not keys:
-        total = df.agg(F.count(F.lit(1)).alias("_n"))
-        n = F.greatest(total.scalar(), F.lit(1))
-        step = F.greatest(F.lit(min_rows), F.ceil(n / max_segments))
-        pieces = F.ceil(n / step).cast("int")
-        sample = (df.where((n > step) & (F.pmod(draw, n) < pieces * _OVERSAMPLE))
-                  .select(point.alias("_p"), pieces.alias("_k")))
-        cuts = (sample.agg(F.array_sort(F.collect_set("_p")).alias("_a"),
-                           F.coalesce(F.max("_k"), F.lit(1)).alias("_k"))
-                .select(_blocks(_thin(F.col("_a"), F.col("_k"))).alias("_b")))
-        out = df.withColumn("_b", cuts.scalar())
-        return (out.withColumn(SEG, F.coalesce(_position(F.col("_b"), point), F.lit(0)))
-                .withColumn(HOT, F.size(F.col("_b")["heads"]) > 0).drop("_b"))
-
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    step = F.greatest(F.lit(min_rows), F.ceil(total / max_segments))
-    hot = (counts.withColumn("_step", step).where("_n > _step")
-           .withColumn("_k", F.ceil(F.col("_n") / F.col("_step")).cast("int")).drop("_step"))
-    sample = same_keys(df.select(*keys, point.alias("_p"), draw.alias("_d")), F.broadcast(hot), keys, "inner")
-    cuts = (sample.where(F.pmod(F.col("_d"), F.col("_n")) < F.col("_k") * _OVERSAMPLE)
-            .groupBy(*keys).agg(F.array_sort(F.collect_set("_p")).alias("_a"), F.first("_k").alias("_k"))
-            .select(*keys, _blocks(_thin(F.col("_a"), F.col("_k"))).alias("_b")))
-    out = same_keys(df, F.broadcast(cuts), keys, "left")
-    return (out.withColumn(SEG, F.when(F.col("_b").isNull(), 0).otherwise(_position(F.col("_b"), point)))
-            .withColumn(HOT, F.col("_b").isNotNull()).drop("_b"))
-
-
-def segment_window(keys: Sequence[str], order: Sequence[str | Column] = ()):
-    w = Window.partitionBy(*keys, SEG)
-    return w.orderBy(*order) if order else w
-
-
-def carry_window(keys: Sequence[str]):
-    """Over the summary rows of one hot key, in segment order (at most a few thousand rows)."""
-    if keys:
-        return Window.partitionBy(*keys).orderBy(SEG)
-    return Window.partitionBy(F.lit(0)).orderBy(SEG)
 
+@dataclass(frozen=True)
+class Segmented:
+    """Rows with ``_seg`` (0, 1, ... rising with the order); ``_hot`` marks rows of a cut key."""
+
+    rows: DataFrame
+    keys: tuple[str, ...]
+    order: tuple[str, ...]
+    cut: bool
+
+    def map(self, rows: DataFrame) -> Segmented:
+        return Segmented(rows, self.keys, self.order, self.cut)
+
+    def window(self, ordered: bool = True):
+        parts = [*self.keys, SEG] if self.cut else list(self.keys) or [F.lit(0)]
+        w = Window.partitionBy(*parts)
+        return w.orderBy(*self.order) if ordered else w
+
+    def carry_window(self):
+        """Over the summary rows of one cut key, in segment order (a few thousand rows at most)."""
+        return Window.partitionBy(*(self.keys or [F.lit(0)])).orderBy(SEG)
 
-def carry_over(rows: DataFrame, keys: Sequence[str], summary: dict[str, Column],
-               *carried: dict[str, Column]) -> DataFrame:
-    """Summarises every hot segment, derives the carried columns, brings them back to the rows.
+    def carry(self, summary: dict[str, Column], *carried: dict[str, Column]) -> Segmented:
+        """Brings columns over from earlier or later segments of the same key.
 
-    ``summary`` are aggregates per (keys, segment); ``carried`` are window expressions over
-    ``carry_window(keys)``, later groups building on earlier ones. Rows of keys that were not
-    cut get null.
+        ``summary`` are aggregates per (keys, segment); ``carried`` are window expressions over
+        ``carry_window()``, later groups building on earlier ones. Where nothing was cut the
+        carried columns are null.
+        """
+        names = [n for group in carried for n in group]
+        if not self.cut:
+            return self.map(self.rows.withColumns({n: F.lit(None) for n in names}))
+        table = self.rows.where(HOT).groupBy(*self.keys, SEG).agg(*[c.alias(n) for n, c in summary.items()])
+        for group in carried:
+            table = table.withColumns(group)
+        table = table.select(*self.keys, SEG, *names)
+        return self.map(same_keys(self.rows, F.broadcast(table), [*self.keys, SEG], "left"))
+
+
+def _point(order: Sequence[str]) -> Column:
+    return F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+
+
+def plan_cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
+              max_segments: int = MAX_SEGMENTS, min_rows: int = MIN_ROWS) -> Cuts:
+    """Counts rows per key (a job on the key columns only) and cuts the long keys.
+
+    Cut points are an evenly thinned hash sample of the order values of a long key. ``order`` should
+    identify a row within its key; equal order values stay together.
     """
-    carry = rows.where(HOT).groupBy(*keys, SEG).agg(*[c.alias(n) for n, c in summary.items()])
-    for group in carried:
-        carry = carry.withColumns(group)
-    carry = carry.select(*keys, SEG, *[n for group in carried for n in group])
-    return same_keys(rows, F.broadcast(carry), [*keys, SEG], "left")
+    keys, order = list(keys), list(order)
+    n = F.count(F.lit(1)).alias("_n")
+    counts = df.groupBy(*keys).agg(n)
+    long = counts.where(F.col("_n") > min_rows).orderBy(F.col("_n").desc()).limit(max_segments)
+    found = long.collect()
+    if not found:
+        return Cuts(tuple(keys), tuple(order))
+    total = counts.agg(F.sum("_n")).first()[0]
+    step = max(min_rows, -(-total // max_segments))
+    found = [r for r in found if r["_n"] > step]
+    if not found:
+        return Cuts(tuple(keys), tuple(order))
+
+    spark = df.sparkSession
+    hot = spark.createDataFrame([(*r, -(-r["_n"] // step)) for r in found], long.schema.add("_k", "bigint"))
+    draw = F.xxhash64(*[F.col(c) for c in [*keys, *order]])
+    points = df.select(*keys, _point(order).alias("_p"), draw.alias("_d"))
+    if keys:
+        points = same_keys(points, F.broadcast(hot), keys, "inner")
+    else:
+        points = points.withColumns({c: F.lit(hot.first()[c]) for c in ("_n", "_k")})
+    sampled = points.where(F.pmod(F.col("_d"), F.col("_n")) < F.col("_k") * _OVERSAMPLE)
+    lists = (sampled.groupBy(*keys).agg(F.array_sort(F.collect_set("_p")).alias("_a"), F.first("_k").alias("_k"))
+             .select(*keys, _blocks(_thin(F.col("_a"), F.col("_k"))).alias("_b")))
+    return Cuts(tuple(keys), tuple(order), spark.createDataFrame(lists.collect(), lists.schema))
+
+
+def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: Cuts | None = None,
+              **limits) -> Segmented:
+    """Rows with their segment. ``cuts`` reuses the cut points of another operator on the same rows."""
+    cuts = cuts or plan_cuts(df, keys, order, **limits)
+    if (list(cuts.keys), list(cuts.order)) != (list(keys), list(order)):
+        raise ValueError("cut points belong to another key or order")
+    if cuts.table is None:
+        return Segmented(df, tuple(keys), tuple(order), False)
+    table = F.broadcast(cuts.table)
+    rows = same_keys(df, table, keys, "left") if keys else df.join(table, F.lit(True), "left")
+    number = F.when(F.col("_b").isNull(), 0).otherwise(_position(F.col("_b"), _point(order)))
+    rows = rows.withColumns({SEG: number, HOT: F.col("_b").isNotNull()}).drop("_b")
+    return Segmented(rows, tuple(keys), tuple(order), True)

@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from flowlytics.functions import values as v
-from flowlytics.operators.segments import (
-    carry_over, carry_window, ordered_segments, segment_window,
-)
+from flowlytics.operators.segments import segmented
 
 
 # ---- row-level series -------------------------------------------------------------------------
@@ -24,29 +22,24 @@ from flowlytics.operators.segments import (
 def shifted(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, str],
             step: int = -1, **cut) -> DataFrame:
     """Adds, per output name, the source column of the previous (-1) or next (+1) row of the series."""
-    rows = ordered_segments(df, keys, order, **cut)
+    seg = segmented(df, keys, order, **cut)
     value = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
     point = F.struct(*order)
-    w = segment_window(keys, order)
-    over = carry_window(keys)
-    if step < 0:
-        rows = rows.withColumn("_x", F.lag(value).over(w))
-        rows = carry_over(rows, keys, {"_e": F.max_by(value, point)}, {"_c": F.lag("_e").over(over)})
-    else:
-        rows = rows.withColumn("_x", F.lead(value).over(w))
-        rows = carry_over(rows, keys, {"_e": F.min_by(value, point)}, {"_c": F.lead("_e").over(over)})
-    near = F.coalesce("_x", "_c")
-    return rows.withColumn("_x", near).select(
+    w, over = seg.window(), seg.carry_window()
+    near, edge, beyond = ((F.lag, F.max_by, F.lag) if step < 0 else (F.lead, F.min_by, F.lead))
+    seg = seg.map(seg.rows.withColumn("_x", near(value).over(w)))
+    rows = seg.carry({"_e": edge(value, point)}, {"_c": beyond("_e").over(over)}).rows
+    return rows.withColumn("_x", F.coalesce("_x", "_c")).select(
         *[F.col(c) for c in df.columns], *[F.col(f"_x.{n}").alias(n) for n in columns])
 
 
 def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "idx", **cut) -> DataFrame:
     """Position 0, 1, ... of each row within its series."""
-    rows = ordered_segments(df, keys, order, **cut)
-    rows = rows.withColumn("_rn", F.row_number().over(segment_window(keys, order)))
-    before = carry_window(keys).rowsBetween(W.unboundedPreceding, -1)
-    rows = carry_over(rows, keys, {"_s": F.count(F.lit(1))}, {"_off": F.sum("_s").over(before)})
-    return rows.select(*df.columns, (F.col("_rn") - 1 + F.coalesce("_off", F.lit(0))).alias(out))
+    seg = segmented(df, keys, order, **cut)
+    seg = seg.map(seg.rows.withColumn("_rn", F.row_number().over(seg.window())))
+    before = seg.carry_window().rowsBetween(W.unboundedPreceding, -1)
+    rows = seg.carry({"_s": F.count(F.lit(1))}, {"_off": F.sum("_s").over(before)}).rows
+    return rows.select(*df.columns, (F.col("_rn") - 1 + F.coalesce("_off", F.lit(0))).cast("bigint").alias(out))
 
 
 def time_gap(df: DataFrame, keys: Sequence[str], seconds: str, tie: Sequence[str] = (),
@@ -70,22 +63,21 @@ def running_balance(df: DataFrame, keys: Sequence[str], order: Sequence[str], ch
     'reflect': the balance itself never goes below 0, later rows build on that; by the closed form
     sum - min(0, lowest sum so far). ``prior`` adds the balance before the row.
     """
-    rows = ordered_segments(df.withColumn("_chg", change), keys, order, **cut)
-    w = segment_window(keys, order)
+    seg = segmented(df.withColumn("_chg", change), keys, order, **cut)
+    w = seg.window()
     upto = w.rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("_s", F.sum("_chg").over(upto))
+    rows = seg.rows.withColumn("_s", F.sum("_chg").over(upto))
     if floor == "reflect":
         rows = rows.withColumns({
             "_m": F.min("_s").over(upto),
             "_m0": F.min("_s").over(w.rowsBetween(W.unboundedPreceding, -1)),
         })
-    before = carry_window(keys).rowsBetween(W.unboundedPreceding, -1)
-    summary = {"_t": F.sum("_chg"), "_low": F.min("_s")}
-    rows = carry_over(
-        rows, keys, summary,
+    before = seg.carry_window().rowsBetween(W.unboundedPreceding, -1)
+    rows = seg.map(rows).carry(
+        {"_t": F.sum("_chg"), "_low": F.min("_s")},
         {"_off": F.sum("_t").over(before)},
         {"_floor": F.min(F.col("_low") + F.coalesce(F.col("_off"), F.lit(0))).over(before)},
-    )
+    ).rows
     off = F.coalesce(F.col("_off"), F.lit(0))
     total = F.col("_s") + off
     previous = total - F.coalesce(F.col("_chg"), F.lit(0))
