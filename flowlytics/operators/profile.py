@@ -129,7 +129,7 @@ def amount_profile(df: DataFrame, product: str = "product_id", value: str = "amo
         (F.sum(F.col(value) * c).cast("double") / F.sum(c)).alias("mean"), F.sum(c).alias("n"))
     q = exact_quantiles(
         scoped, [product, "scope"], value, PROFILE_PROBS, weight="_c", counts=("_n", "_nd"),
-        transforms={"quantiles": lambda a: a.cast("double"), "log1p_quantiles": lambda a: v.log_amount(a, None)},
+        transforms={"quantiles": "CAST({} AS DOUBLE)", "log1p_quantiles": "log1p(greatest(CAST({} AS DOUBLE), 0D))"},
         **cut)
     spread = salted_lookup(scoped, sums, [product, "scope"], "inner").groupBy(product, "scope").agg(
         F.sum(c * F.pow(x - F.col("mean"), 2)).alias("_ss"),

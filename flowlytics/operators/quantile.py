@@ -8,7 +8,7 @@ picked by running counts. Interpolation is linear between neighbouring ranks.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,25 +25,26 @@ def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    probs: Sequence[float] | Callable[[Column], Sequence[Column]],
+    probs: Sequence[float | str],
     *,
     weight: str | None = None,
-    transforms: Mapping[str, Callable[[Column], Column]] | None = None,
+    transforms: Mapping[str, str] | None = None,
     counts: tuple[str, str] = ("n", "n_distinct"),
     **cut,
 ) -> DataFrame:
     """One row per key: an array of quantiles per transform, and the row and distinct counts.
 
-    ``probs`` may be a function of the distinct count. ``weight`` is a column of row counts for
-    input that is already grouped. ``transforms`` must be non-decreasing: ranks are found once
-    on the raw value, and each transform is applied before interpolating.
+    A probability may be an SQL expression over ``_nd``, the distinct count of the key. ``weight`` is
+    a column of row counts for input that is already grouped. ``transforms`` are SQL expressions with
+    ``{}`` for the value; they must be non-decreasing, as ranks are found once on the raw value, and
+    are applied before interpolating.
     """
     keys = list(keys)
-    transforms = transforms or {"quantiles": lambda c: c.cast("double")}
+    transforms = transforms or {"quantiles": "CAST({} AS DOUBLE)"}
     n_rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     grouped = (df.where(F.col(value).isNotNull())
                .groupBy(*keys, F.col(value).alias("_v")).agg(n_rows.alias("_c")))
-    seg = segmented(grouped, keys, ["_v"], **cut)
+    seg = segmented(grouped, keys, ["_v"], counted=df, **cut)
     whole = seg.window(ordered=False)
     upto = seg.window()
     seg = seg.map(seg.rows.select(
@@ -69,22 +70,21 @@ def exact_quantiles(
         F.coalesce("_nd_all", "_nd").alias("_nd"),
     )
 
-    wanted = (list(probs(F.col("_nd"))) if callable(probs) else [F.lit(float(p)) for p in probs])
     picks = []
-    for name, f in transforms.items():
-        for i, p in enumerate(wanted):
-            at = p * (F.col("_n") - 1)
-            rank = F.floor(at)
-            here = (rank >= F.col("_cum") - F.col("_c")) & (rank < F.col("_cum"))
-            lower = f(F.col("_v"))
-            inside = (rank + 1 < F.col("_cum")) | (at == rank)
-            picked = F.when(inside, lower).otherwise(
-                lower + (f(F.col("_next")) - lower) * (at - rank))
-            picks.append(F.max(F.when(here, picked)).alias(f"_{name}_{i}"))
+    for name, form in transforms.items():
+        lower, upper = form.format("_v"), form.format("_next")
+        for i, p in enumerate(probs):
+            pos = f"(({p if isinstance(p, str) else repr(float(p)) + 'D'}) * (_n - 1))"
+            rank = f"floor({pos})"
+            picks.append(F.expr(
+                f"max(CASE WHEN {rank} >= _cum - _c AND {rank} < _cum THEN "
+                f"CASE WHEN {rank} + 1 < _cum OR {pos} = {rank} THEN {lower} "
+                f"ELSE {lower} + ({upper} - {lower}) * ({pos} - {rank}) END END)").alias(f"_{name}_{i}"))
     out = rows.groupBy(*keys).agg(*picks, F.max("_n").alias(counts[0]), F.max("_nd").alias(counts[1]))
     return out.select(
         *keys,
-        *[F.array(*[F.col(f"_{name}_{i}") for i in range(len(wanted))]).alias(name) for name in transforms],
+        *[F.expr(f"array({', '.join(f'_{name}_{i}' for i in range(len(probs)))})").alias(name)
+          for name in transforms],
         *counts,
     )
 
@@ -117,30 +117,22 @@ def fit_bins(df: DataFrame, by: Sequence[str], value: str, bins: int, *,
 
 def fit_adaptive_bins(df: DataFrame, by: Sequence[str], value: str, bins: int, **cut) -> DataFrame:
     """As fit_bins, but never asks for more buckets than there are distinct values."""
-    def probs(distinct: Column) -> list[Column]:
-        k = F.greatest(F.least(distinct, F.lit(bins)), F.lit(1))
-        return [F.when(F.lit(i) <= k, F.lit(float(i)) / k) for i in range(bins + 1)]
-
+    k = f"greatest(least(_nd, {bins}), 1)"
+    probs = [f"CASE WHEN {i} <= {k} THEN {i} / CAST({k} AS DOUBLE) END" for i in range(bins + 1)]
     fitted = exact_quantiles(df, by, value, probs, **cut)
     edges = F.filter(F.transform("quantiles", lambda e: F.round(e, 9)), lambda e: e.isNotNull())
     return fitted.select(*by, F.array_distinct(edges).alias("edges"), "n")
 
 
-def bin_of(value: Column, edges: Column, bins: int, missing: int = -1, offset: int = 0) -> Column:
+def bin_of(value: str, edges: str, bins: int, missing: int = -1, offset: int = 0) -> Column:
     """Right-closed bucket number; the lowest edge belongs to the first bucket.
 
     One comparison per edge keeps the expression inside generated code.
     """
-    below = None
-    for i in range(bins + 1):
-        term = F.coalesce((F.get(edges, F.lit(i)) < value).cast("int"), F.lit(0))
-        below = term if below is None else below + term
-    n = F.size(edges)
-    outside = (
-        edges.isNull() | value.isNull() | (n < 2)
-        | (value < F.get(edges, F.lit(0))) | (value > F.get(edges, n - 1))
-    )
-    return F.when(outside, missing).otherwise(F.greatest(below - 1, F.lit(0))) + F.lit(offset)
+    below = " + ".join(f"coalesce(CAST(get({edges}, {i}) < {value} AS INT), 0)" for i in range(bins + 1))
+    outside = (f"{edges} IS NULL OR {value} IS NULL OR size({edges}) < 2 OR {value} < get({edges}, 0) "
+               f"OR {value} > get({edges}, size({edges}) - 1)")
+    return F.expr(f"CASE WHEN {outside} THEN {missing} ELSE greatest({below} - 1, 0) END + {offset}")
 
 
 def apply_bins(df: DataFrame, edges: DataFrame, by: Sequence[str], value: str, bins: int,
@@ -156,5 +148,5 @@ def apply_bins(df: DataFrame, edges: DataFrame, by: Sequence[str], value: str, b
         joined = same_keys(df, F.broadcast(table) if few_keys else table, by, "left")
     else:
         joined = df.withColumn("_edges", table.select("_edges").scalar())
-    number = bin_of(F.col(value), F.col("_edges"), bins, missing, offset)
+    number = bin_of(value, "_edges", bins, missing, offset)
     return joined.withColumn(out, number).drop("_edges")

@@ -133,15 +133,17 @@ def _point(order: Sequence[str]) -> Column:
 
 
 def plan_cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
-              max_segments: int = MAX_SEGMENTS, min_rows: int = MIN_ROWS) -> Cuts:
+              max_segments: int = MAX_SEGMENTS, min_rows: int = MIN_ROWS,
+              counted: DataFrame | None = None) -> Cuts:
     """Counts rows per key (a job on the key columns only) and cuts the long keys.
 
     Cut points are an evenly thinned hash sample of the order values of a long key. ``order`` should
-    identify a row within its key; equal order values stay together.
+    identify a row within its key; equal order values stay together. ``counted`` is a cheaper frame
+    with at least as many rows per key (the input of an aggregation) to count on instead.
     """
     keys, order = list(keys), list(order)
     n = F.count(F.lit(1)).alias("_n")
-    counts = df.groupBy(*keys).agg(n)
+    counts = (df if counted is None else counted).groupBy(*keys).agg(n)
     long = counts.where(F.col("_n") > min_rows).orderBy(F.col("_n").desc()).limit(max_segments)
     found = long.collect()
     if not found:
