@@ -122,21 +122,18 @@ def by_scope(df: DataFrame, product: str, value: str) -> DataFrame:
 
 def amount_profile(df: DataFrame, product: str = "product_id", value: str = "amount", **cut) -> DataFrame:
     """Count, mean, std, quantiles and log quantiles per product, overall and per direction."""
-    scoped = by_scope(df, product, value)
-    x = F.col(value).cast("double")
-    c = F.col("_c")
-    sums = scoped.groupBy(product, "scope").agg(
-        (F.sum(F.col(value) * c).cast("double") / F.sum(c)).alias("mean"), F.sum(c).alias("n"))
     q = exact_quantiles(
-        scoped, [product, "scope"], value, PROFILE_PROBS, weight="_c", counts=("_n", "_nd"),
+        by_scope(df, product, value), [product, "scope"], value, PROFILE_PROBS, weight="_c", counts=("_n", "_nd"),
         transforms={"quantiles": "CAST({} AS DOUBLE)", "log1p_quantiles": "log1p(greatest(CAST({} AS DOUBLE), 0D))"},
         **cut)
-    spread = salted_lookup(scoped, sums, [product, "scope"], "inner").groupBy(product, "scope").agg(
-        F.sum(c * F.pow(x - F.col("mean"), 2)).alias("_ss"),
-        F.first("n").alias("n"), F.first("mean").alias("mean"))
-    std = F.when(F.col("n") > 1, F.sqrt(F.col("_ss") / (F.col("n") - 1)))
-    return same_keys(spread, q.drop("_n", "_nd"), [product, "scope"], "left").select(
-        product, "scope", "n", "mean", std.alias("std"), "quantiles", "log1p_quantiles")
+    rows = df.where(F.col(value).isNotNull()).select(product, "direction", value)
+    scope = (F.when(F.grouping("direction") == 1, "all")
+             .when(F.col("direction") == 0, "purchase").when(F.col("direction") == 1, "redemption"))
+    moments = rows.groupingSets([[product], [product, "direction"]], product, "direction").agg(
+        scope.alias("scope"), F.count(F.lit(1)).alias("n"), v.mean(value).alias("mean"),
+        F.stddev_samp(F.col(value).cast("double")).alias("std")).where("scope IS NOT NULL").drop("direction")
+    return same_keys(moments, q.drop("_n", "_nd"), [product, "scope"], "left").select(
+        product, "scope", "n", "mean", "std", "quantiles", "log1p_quantiles")
 
 
 def day_counts(df: DataFrame, keys: Sequence[str] = ("product_id",), date: str = "date") -> DataFrame:

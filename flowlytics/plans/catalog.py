@@ -91,13 +91,13 @@ def fit_edges(source: str, by: str, value: str, bins: int) -> str:
     keys = f"{by}, " if by else ""
     group = f"GROUP BY {by}" if by else ""
     return (f"SELECT {keys}list_sort(list_distinct(list_transform(quantile_cont({value}, [{probs}]), "
-            f"lambda x: round(x, 9)))) AS edges, count({value}) AS n FROM {source} {group}")
+            f"lambda edge_: round(edge_, 9)))) AS edges, count({value}) AS n FROM {source} {group}")
 
 
 def bin_of(value: str, edges: str, missing: int = -1, offset: int = 0) -> str:
     number = (f"CASE WHEN {edges} IS NULL OR {value} IS NULL OR len({edges}) < 2 OR {value} < {edges}[1] "
               f"OR {value} > {edges}[len({edges})] THEN {missing} "
-              f"ELSE greatest(len(list_filter({edges}, lambda x: x < {value})) - 1, 0) END")
+              f"ELSE greatest(len(list_filter({edges}, lambda edge_: edge_ < {value})) - 1, 0) END")
     return f"CAST({number} + {offset} AS INTEGER)"
 
 
