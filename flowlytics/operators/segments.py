@@ -155,7 +155,7 @@ def plan_cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         return Cuts(tuple(keys), tuple(order))
 
     spark = df.sparkSession
-    hot = spark.createDataFrame([(*r, -(-r["_n"] // step)) for r in found], long.schema.add("_k", "bigint"))
+    hot = spark.createDataFrame([(*r, -(-r["_n"] // step)) for r in found], long.schema.add("_k", "long"))
     draw = F.xxhash64(*[F.col(c) for c in [*keys, *order]])
     points = df.select(*keys, _point(order).alias("_p"), draw.alias("_d"))
     if keys:

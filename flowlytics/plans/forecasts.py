@@ -1,7 +1,8 @@
 """Registered queries: forecast baselines, their scores and the comparison of methods.
 
 Two forecasters are compared: the train mean of each series, and the mean of each sample's own
-history window (one of the window features). The customer group plays the part of the seed.
+history window (one of the window features). The customer group plays the part of the seed. Window
+means are rounded: two equal means must compare as equal for the sign of change.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from flowlytics.plans.sequences import BINNED_DAYS, LABEL_NAMES, SAMPLE_LABELS,
 from flowlytics.sources import tables as t
 
 SAMPLES = f"""{BINNED_DAYS}, sm AS (SELECT * FROM (SELECT split, product_id, group_id, date, {SAMPLE_LABELS},
-  avg(purchase_log1p) OVER p AS mean_purchase, avg(redemption_log1p) OVER p AS mean_redemption, {SAMPLE_ROW} FROM bd {SAMPLE_WINDOW})
+  round(avg(purchase_log1p) OVER p, 10) AS mean_purchase, round(avg(redemption_log1p) OVER p, 10) AS mean_redemption, {SAMPLE_ROW} FROM bd {SAMPLE_WINDOW})
   WHERE t >= 30 AND t < len - 30 AND split = 'test'),
 nm AS (SELECT product_id, group_id, ln(1 + avg(purchase)) AS pp, ln(1 + avg(redemption)) AS pr FROM bd WHERE split = 'train' GROUP BY ALL),
 sp AS (SELECT sm.*, coalesce(pp, 0) AS pp, coalesce(pr, 0) AS pr FROM sm LEFT JOIN nm USING (product_id, group_id))"""
@@ -42,7 +43,7 @@ sc AS (SELECT {by}, count(*) AS n, avg(abs(pred - truth)) AS mae, sqrt(avg((pred
 def parts(spark, d):
     """Train days and test samples. Samples also carry the mean of each label over their window."""
     days = binned_group_days(spark, d)
-    extra = {f"hist_{k}": (lambda w, k=k: F.avg(k).over(w)) for k in fc.KINDS}
+    extra = {f"hist_{k}": (lambda w, k=k: F.round(F.avg(k).over(w), 10)) for k in fc.KINDS}
     samples = series.history_windows(days, ["split", *fc.SERIES], "date", fc.FEATURES, fc.KINDS, extra=extra)
     return days.where("split = 'train'"), samples.where("split = 'test'").drop("split", "features")
 
