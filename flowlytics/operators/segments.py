@@ -164,7 +164,7 @@ def plan_cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         points = points.withColumns({c: F.lit(hot.first()[c]) for c in ("_n", "_k")})
     sampled = points.where(F.pmod(F.col("_d"), F.col("_n")) < F.col("_k") * _OVERSAMPLE)
     lists = (sampled.groupBy(*keys).agg(F.array_sort(F.collect_set("_p")).alias("_a"), F.first("_k").alias("_k"))
-             .select(*keys, _blocks(_thin(F.col("_a"), F.col("_k"))).alias("_b")))
+             .select(*keys, _blocks(_thin(F.col("_a"), F.col("_k"))).alias("__cuts")))
     return Cuts(tuple(keys), tuple(order), spark.createDataFrame(lists.collect(), lists.schema))
 
 
@@ -178,6 +178,6 @@ def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: Cu
         return Segmented(df, tuple(keys), tuple(order), False)
     table = F.broadcast(cuts.table)
     rows = same_keys(df, table, keys, "left") if keys else df.join(table, F.lit(True), "left")
-    number = F.when(F.col("_b").isNull(), 0).otherwise(_position(F.col("_b"), _point(order)))
-    rows = rows.withColumns({SEG: number, HOT: F.col("_b").isNotNull()}).drop("_b")
+    number = F.when(F.col("__cuts").isNull(), 0).otherwise(_position(F.col("__cuts"), _point(order)))
+    rows = rows.withColumns({SEG: number, HOT: F.col("__cuts").isNotNull()}).drop("__cuts")
     return Segmented(rows, tuple(keys), tuple(order), True)
