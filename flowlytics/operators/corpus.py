@@ -15,6 +15,7 @@ from flowlytics.operators.cleaning import require_columns
 from flowlytics.operators.joins import with_defaults
 from flowlytics.operators.quantile import apply_bins, fit_bins
 from flowlytics.operators.rollup import corpus_daily
+from flowlytics.sources.stage import materialise
 
 CORPUS_COLUMNS = ["product_id", "group_id", "date", "direction", "amount_bin", "product_type", "risk_level"]
 SERIES = ["product_id", "group_id", "direction"]
@@ -68,10 +69,13 @@ def series_bins(df: DataFrame, by: Sequence[str] = tuple(SERIES), bins: int = AM
 
 
 def harmonise(frames: Sequence[DataFrame], **cut) -> DataFrame:
-    """Union, daily roll-up, buckets per series, clamps. Real amounts are kept."""
+    """Union, daily roll-up, buckets per series, clamps. Real amounts are kept.
+
+    The roll-up is written once: fitting and applying the buckets both read it.
+    """
     if not frames:
         raise ValueError("no corpus given")
-    daily = corpus_daily(union_all(frames))
+    daily = materialise(corpus_daily(union_all(frames)))
     binned = series_bins(daily, **cut)
     clamped = binned.withColumns({c: tk.clamp_field(c, c) for c in tk.FIELD_RANGE})
     return clamped.select(*CORPUS_COLUMNS)

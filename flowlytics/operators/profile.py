@@ -111,19 +111,24 @@ def describe(df: DataFrame, keys: Sequence[str], value: str, **cut) -> DataFrame
                        *[F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(names)], "max")
 
 
+def scopes() -> Column:
+    """The scopes a row counts in: all, and its direction."""
+    return F.array_compact(F.array(
+        F.lit("all"), F.when(F.col("direction") == 0, "purchase").when(F.col("direction") == 1, "redemption")))
+
+
 def by_scope(df: DataFrame, product: str, value: str) -> DataFrame:
-    """Counts per (product, scope, value): scope is all, purchase or redemption. Expanded after counting."""
+    """Counts per (product, scope, value), expanded to scopes only after counting."""
     counted = df.where(F.col(value).isNotNull()).groupBy(product, "direction", value).agg(
         F.count(F.lit(1)).alias("_c"))
-    scope = F.array_compact(F.array(
-        F.lit("all"), F.when(F.col("direction") == 0, "purchase").when(F.col("direction") == 1, "redemption")))
-    return counted.select(product, F.explode(scope).alias("scope"), value, "_c")
+    return counted.select(product, F.explode(scopes()).alias("scope"), value, "_c")
 
 
 def amount_profile(df: DataFrame, product: str = "product_id", value: str = "amount", **cut) -> DataFrame:
     """Count, mean, std, quantiles and log quantiles per product, overall and per direction."""
     q = exact_quantiles(
         by_scope(df, product, value), [product, "scope"], value, PROFILE_PROBS, weight="_c", counts=("_n", "_nd"),
+        counted=df.select(product, F.explode(scopes()).alias("scope")),
         transforms={"quantiles": "CAST({} AS DOUBLE)", "log1p_quantiles": "log1p(greatest(CAST({} AS DOUBLE), 0D))"},
         **cut)
     rows = df.where(F.col(value).isNotNull()).select(product, "direction", value)

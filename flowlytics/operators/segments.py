@@ -176,8 +176,10 @@ def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: Cu
         raise ValueError("cut points belong to another key or order")
     if cuts.table is None:
         return Segmented(df, tuple(keys), tuple(order), False)
-    table = F.broadcast(cuts.table)
-    rows = same_keys(df, table, keys, "left") if keys else df.join(table, F.lit(True), "left")
+    if keys:
+        rows = same_keys(df, F.broadcast(cuts.table), keys, "left")
+    else:
+        rows = df.withColumn("__cuts", cuts.table.scalar())
     number = F.when(F.col("__cuts").isNull(), 0).otherwise(_position(F.col("__cuts"), _point(order)))
     rows = rows.withColumns({SEG: number, HOT: F.col("__cuts").isNotNull()}).drop("__cuts")
     return Segmented(rows, tuple(keys), tuple(order), True)

@@ -12,6 +12,7 @@ from flowlytics.plans.catalog import (
 )
 from flowlytics.plans.flows import GROUP_DAILY, group_days
 from flowlytics.sources import readers, tables as t
+from flowlytics.sources.stage import materialise
 
 
 def edge_list(edges, *keys):
@@ -108,6 +109,10 @@ def market_rows(spark, d):
                        (F.col("l_partkey") % 5 + 1).cast("int").alias("risk_level"))
 
 
+def corpus_days(spark, d):
+    return materialise(rollup.corpus_daily(market_rows(spark, d)))
+
+
 @register("corpus_daily", f"WITH {CORPUS_DAYS} SELECT * FROM cd")
 def corpus_daily(spark, d):
     return rollup.corpus_daily(market_rows(spark, d))
@@ -122,7 +127,7 @@ cb AS (SELECT product_id, group_id, date, direction, amount, amount_log1p, produ
 
 @register("series_bins", f"WITH {SERIES_BINS} SELECT * FROM cb")
 def series_bins(spark, d):
-    return corpus.series_bins(rollup.corpus_daily(market_rows(spark, d)))
+    return corpus.series_bins(corpus_days(spark, d))
 
 
 @register("direction_bins", f"""WITH {CORPUS_DAYS}, x AS (SELECT *, {log_amount('amount')} AS amount_log1p FROM cd),
@@ -130,7 +135,7 @@ ed AS ({fit_edges('x', 'direction', 'amount_log1p', 16)})
 SELECT product_id, group_id, date, x.direction, {bin_of('amount_log1p', '(CASE WHEN n >= 16 THEN edges END)', 0)} AS amount_bin
 FROM x LEFT JOIN ed ON x.direction = ed.direction""")
 def direction_bins(spark, d):
-    binned = corpus.series_bins(rollup.corpus_daily(market_rows(spark, d)), ["direction"], few_keys=True)
+    binned = corpus.series_bins(corpus_days(spark, d), ["direction"], few_keys=True)
     return binned.select("product_id", "group_id", "date", "direction", "amount_bin")
 
 
@@ -143,7 +148,8 @@ def net_bins(spark, d):
 
 
 def binned_group_days(spark, d):
-    days = split.date_split(group_days(spark, d))
+    """Group days with their split and bucket; the roll-up is computed once for bounds, edges and rows."""
+    days = split.date_split(materialise(group_days(spark, d)))
     edges = q.fit_bins(days.where("split = 'train'"), [], "amount_log1p", 16)
     return q.apply_bins(days, edges, [], "amount_log1p", 16, missing=-1, offset=1)
 

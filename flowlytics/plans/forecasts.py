@@ -14,6 +14,7 @@ from flowlytics.plans.buckets import binned_group_days
 from flowlytics.plans.catalog import LG, at, register, rounded
 from flowlytics.plans.sequences import BINNED_DAYS, LABEL_NAMES, SAMPLE_LABELS, SAMPLE_ROW, SAMPLE_WINDOW
 from flowlytics.sources import tables as t
+from flowlytics.sources.stage import materialise
 
 SAMPLES = f"""{BINNED_DAYS}, sm AS (SELECT * FROM (SELECT split, product_id, group_id, date, {SAMPLE_LABELS},
   round(avg(purchase_log1p) OVER p, 10) AS mean_purchase, round(avg(redemption_log1p) OVER p, 10) AS mean_redemption, {SAMPLE_ROW} FROM bd {SAMPLE_WINDOW})
@@ -97,14 +98,14 @@ def tree_forecast(spark, d):
 @register("forecast_scores", f"""WITH {NAIVE}, {score_sql('kind, horizon', 'kind, horizon')}
 SELECT kind, horizon, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(wape, 6) AS wape, round(dir_acc, 6) AS dir_acc FROM sc""")
 def forecast_scores(spark, d):
-    return rounded(fc.metrics(fc.naive_long(*parts(spark, d))), 6, *fc.METRICS)
+    return rounded(fc.metrics(materialise(fc.naive_long(*parts(spark, d)))), 6, *fc.METRICS)
 
 
 @register("money_scores", f"""WITH {NAIVE}, ml AS (SELECT product_id, group_id, date, kind, horizon, exp(truth) - 1 AS truth, exp(pred) - 1 AS pred FROM nl),
 {score_sql('kind, horizon', 'kind, horizon, product_id, group_id', 'ml')} SELECT kind, horizon, n, round(wape, 6) AS wape, round(dir_acc, 6) AS dir_acc FROM sc""")
 def money_scores(spark, d):
     """WAPE in money and direction per series, the stricter variant."""
-    scored = fc.metrics(fc.naive_long(*parts(spark, d)), log_space=False, per_series=True)
+    scored = fc.metrics(materialise(fc.naive_long(*parts(spark, d))), log_space=False, per_series=True)
     return rounded(scored, 6, "wape", "dir_acc").select("kind", "horizon", "n", "wape", "dir_acc")
 
 
@@ -115,7 +116,7 @@ su AS (SELECT method, kind, horizon, metric, avg(v) AS mean, stddev_pop(v) AS st
 
 
 def summary(spark, d):
-    scored = fc.metrics(both_methods(spark, d), ["method", "group_id", "kind", "horizon"])
+    scored = fc.metrics(materialise(both_methods(spark, d)), ["method", "group_id", "kind", "horizon"])
     runs = fc.metrics_long(scored.drop("n"), ["method", "group_id", "kind", "horizon"])
     return fc.seed_summary(runs, "group_id")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowlytics.operators import cleaning, joins, profile as p, quality, rollup, series, split
 from flowlytics.functions import timefeat as tf
 from flowlytics.functions import values as v
-from flowlytics.plans.buckets import SERIES_BINS, SPLIT_CASE, bounds_sql, market_rows
+from flowlytics.plans.buckets import SERIES_BINS, SPLIT_CASE, bounds_sql, corpus_days
 from flowlytics.plans.catalog import E, L, LG, LK, at, is_month_end, is_quarter_end, register, rounded, total
 from flowlytics.plans.flows import BALANCE, label_sql, with_balance
 from flowlytics.operators.quantile import PROFILE_NAMES, PROFILE_PROBS
@@ -229,7 +229,7 @@ def calibration(spark, d):
 
 @register("bin_balance", f"WITH {SERIES_BINS} SELECT amount_bin, count(*) AS n, count(*) / (SELECT count(*) FROM cb) AS share FROM cb GROUP BY amount_bin")
 def bin_balance(spark, d):
-    return p.bin_balance(corpus.series_bins(rollup.corpus_daily(market_rows(spark, d))))
+    return p.bin_balance(corpus.series_bins(corpus_days(spark, d)))
 
 
 # ---- quality ----------------------------------------------------------------------------------
@@ -288,4 +288,4 @@ def ks_distance(spark, d):
 @register("corpus_health", f"""WITH {SERIES_BINS}, n AS (SELECT count(*) AS n FROM cb GROUP BY amount_bin)
 SELECT count(*) AS n_bins, max(n) / sum(n) AS max_share, max(n) / avg(n) AS max_over_mean, max(n) / sum(n) < 0.5 AS passed FROM n""")
 def corpus_health(spark, d):
-    return quality.corpus_health(corpus.series_bins(rollup.corpus_daily(market_rows(spark, d))))
+    return quality.corpus_health(corpus.series_bins(corpus_days(spark, d)))

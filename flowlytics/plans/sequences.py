@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowlytics.functions import tokens as tk
 from flowlytics.functions import values as v
 from flowlytics.operators import corpus, quantile as q, rollup, series, vocab
-from flowlytics.plans.buckets import CORPUS_DAYS, SERIES_BINS, SPLIT_CASE, binned_group_days, bounds_sql, market_rows
+from flowlytics.plans.buckets import CORPUS_DAYS, SERIES_BINS, SPLIT_CASE, binned_group_days, bounds_sql, corpus_days
 from flowlytics.plans.catalog import (
     E, FACT, L, LG, LK, TIE_COLUMNS, bin_of, fit_edges, log_amount, register, rounded, total,
 )
@@ -115,7 +115,7 @@ def history_windows(spark, d):
   n AS (PARTITION BY product_id, group_id, direction ORDER BY date ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING))
 SELECT product_id, group_id, direction, date, CAST(bin_sum AS INTEGER) AS bin_sum, CAST(last_bin AS INTEGER) AS last_bin FROM s WHERE t < len - 30""")
 def corpus_windows(spark, d):
-    rows = corpus.series_bins(rollup.corpus_daily(market_rows(spark, d)))
+    rows = corpus.series_bins(corpus_days(spark, d))
     w = series.corpus_windows(rows, corpus.SERIES, "date", ["direction", "amount_bin", "product_type", "risk_level", "n_txn"])
     f = F.col("features")
     return w.select(*corpus.SERIES, "date", F.aggregate(f, F.lit(0), lambda a, x: a + x[1].cast("int")).alias("bin_sum"),
@@ -126,7 +126,7 @@ def corpus_windows(spark, d):
   lag(amount_log1p) OVER (PARTITION BY product_id, group_id, direction ORDER BY date) AS y FROM cb)
 SELECT product_id, group_id, direction, count(y) AS n_pairs, round(corr(x, y), 6) AS lag1_corr FROM p GROUP BY product_id, group_id, direction""")
 def lag1_corr(spark, d):
-    rows = corpus.series_bins(rollup.corpus_daily(market_rows(spark, d)))
+    rows = corpus.series_bins(corpus_days(spark, d))
     return rounded(series.lag1_corr(rows, corpus.SERIES, ["date"], "amount_log1p"), 6, "lag1_corr")
 
 
