@@ -234,6 +234,6 @@ SELECT product_id, date, split, {', '.join(f"CASE WHEN lead(split, {h}) OVER w =
 FROM s WINDOW w AS (PARTITION BY product_id ORDER BY date)""")
 def split_masked_labels(spark, d):
     """Labels that would reach into another split are left out."""
-    days = split.assign_split(rollup.daily_flow(t.ledger(spark, d)), split.split_bounds(t.ledger(spark, d, "key")))
+    days = split.assign_split(rollup.daily_flow(t.ledger(spark, d, ok_only=True)), split.split_bounds(t.ledger(spark, d, "key")))
     rows = series.lead_labels(days, ["product_id"], "date", {"purchase_amt": "label"}, (1, 7, 30), within="split")
     return rows.select("product_id", "date", "split", "label_1d", "label_7d", "label_30d")

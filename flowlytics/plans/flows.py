@@ -201,20 +201,20 @@ SELECT *, purchase_amt - redemption_amt AS net_amt FROM f"""
 
 @register("daily_flow", FLOW)
 def daily_flow(spark, d):
-    return rollup.daily_flow(t.ledger(spark, d))
+    return rollup.daily_flow(t.ledger(spark, d, ok_only=True))
 
 
 @register("daily_flow_by_part", f"""WITH {LK}, f AS (SELECT product_id, date, {total(0)} AS purchase_amt,
   {total(1)} AS redemption_amt FROM lk WHERE status = 1 GROUP BY product_id, date)
 SELECT *, purchase_amt - redemption_amt AS net_amt FROM f""")
 def daily_flow_by_part(spark, d):
-    return rollup.daily_flow(t.ledger(spark, d, "key"))
+    return rollup.daily_flow(t.ledger(spark, d, "key", ok_only=True))
 
 
 @register("direction_totals", f"""WITH {L} SELECT product_id, date, direction, CAST(sum(amount) AS DOUBLE) AS amount
 FROM l WHERE status = 1 GROUP BY product_id, date, direction""")
 def direction_totals(spark, d):
-    return rollup.direction_totals(t.ledger(spark, d), ["product_id", "date"])
+    return rollup.direction_totals(t.ledger(spark, d, ok_only=True), ["product_id", "date"])
 
 
 @register("failure_mean", f"""WITH {L} SELECT product_id, date, avg(CASE WHEN status = 0 THEN 1 ELSE 0 END) AS fail_rate
@@ -290,7 +290,7 @@ def group_daily(spark, d):
   FROM l WHERE status = 1 GROUP BY product_id, date)
 SELECT product_id, date, {label_sql()} FROM f WINDOW w AS (PARTITION BY product_id ORDER BY date)""")
 def lead_labels(spark, d):
-    rows = series.lead_labels(rollup.daily_flow(t.ledger(spark, d)), ["product_id"], "date",
+    rows = series.lead_labels(rollup.daily_flow(t.ledger(spark, d, ok_only=True)), ["product_id"], "date",
                               {"purchase_amt": "label_purchase", "redemption_amt": "label_redemption"}, (1, 7, 30))
     return rows.drop("purchase_amt", "redemption_amt", "net_amt")
 
@@ -302,7 +302,7 @@ LEFT JOIN f b ON a.product_id = b.product_id AND b.date = a.date + 1
 LEFT JOIN f c ON a.product_id = c.product_id AND c.date = a.date + 7
 LEFT JOIN f x ON a.product_id = x.product_id AND x.date = a.date + 30""")
 def calendar_labels(spark, d):
-    rows = series.lead_labels(rollup.daily_flow(t.ledger(spark, d)), ["product_id"], "date",
+    rows = series.lead_labels(rollup.daily_flow(t.ledger(spark, d, ok_only=True)), ["product_id"], "date",
                               {"purchase_amt": "label"}, (1, 7, 30), calendar=True)
     return rows.select("product_id", "date", "label_1d", "label_7d", "label_30d")
 
@@ -323,7 +323,7 @@ g AS (SELECT lead(purchase_amt, 1) OVER w AS a, lead(purchase_amt, 7) OVER w AS
 SELECT 'label_1d' AS label, count(a) / count(*) AS coverage FROM g UNION ALL
 SELECT 'label_7d', count(b) / count(*) FROM g UNION ALL SELECT 'label_30d', count(c) / count(*) FROM g""")
 def label_coverage(spark, d):
-    rows = series.lead_labels(rollup.daily_flow(t.ledger(spark, d)), ["product_id"], "date", {"purchase_amt": "label"}, (1, 7, 30))
+    rows = series.lead_labels(rollup.daily_flow(t.ledger(spark, d, ok_only=True)), ["product_id"], "date", {"purchase_amt": "label"}, (1, 7, 30))
     return rollup.label_coverage(rows, ["label_1d", "label_7d", "label_30d"])
 
 

@@ -250,7 +250,7 @@ g AS (SELECT 'fail_rate' AS gate, avg(CASE WHEN status = 0 THEN 1 ELSE 0 END) AS
 SELECT *, (lo IS NULL OR value >= lo) AND (hi IS NULL OR value <= hi) AS passed FROM g""")
 def quality_gates(spark, d):
     rows = split.assign_split(with_balance(spark, d), split.split_bounds(t.ledger(spark, d, "key")))
-    daily = series.lead_labels(rollup.daily_flow(t.ledger(spark, d)), ["product_id"], "date", {"purchase_amt": "label_purchase"}, (1, 7, 30))
+    daily = series.lead_labels(rollup.daily_flow(t.ledger(spark, d, ok_only=True)), ["product_id"], "date", {"purchase_amt": "label_purchase"}, (1, 7, 30))
     return quality.gates(rows, daily, ["label_purchase_1d", "label_purchase_30d"])
 
 

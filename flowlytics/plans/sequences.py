@@ -142,7 +142,7 @@ def dilated_lags(spark, d):
 SELECT product_id, date, CAST(coalesce(sign(purchase - lag(purchase) OVER w), 0) AS INTEGER) AS purchase_sign,
   CAST(coalesce(sign(redemption - lag(redemption) OVER w), 0) AS INTEGER) AS redemption_sign FROM f WINDOW w AS (PARTITION BY product_id ORDER BY date)""")
 def change_sign(spark, d):
-    rows = series.change_sign(rollup.daily_flow(t.ledger(spark, d)), ["product_id"], ["date"],
+    rows = series.change_sign(rollup.daily_flow(t.ledger(spark, d, ok_only=True)), ["product_id"], ["date"],
                               {"purchase_sign": "purchase_amt", "redemption_sign": "redemption_amt"})
     return rows.select("product_id", "date", "purchase_sign", "redemption_sign")
 
