@@ -37,16 +37,20 @@ def split_bounds(df: DataFrame, train: float = 0.8, val: float = 0.1, gap_days:
 
 
 def assign_split(df: DataFrame, bounds: DataFrame, date: str = "date") -> DataFrame:
-    """Adds train / val / test / gap. The bounds arrive as a scalar subquery."""
-    one = bounds.select(F.struct("*").alias("b")).scalar()
+    """Adds train / val / test / gap.
+
+    The one row of bounds is fetched first (a job on the dates), so the split is a comparison with
+    literal days and a filter on a split reaches the scan. A bound that does not exist matches nothing.
+    """
+    b = {name: F.lit(day).cast("date") for name, day in bounds.first().asDict().items()}
     d = F.col(date)
     name = (
-        F.when(d <= F.col("_b.train_end"), "train")
-        .when(d.between(F.col("_b.val_start"), F.col("_b.val_end")), "val")
-        .when(d >= F.col("_b.test_start"), "test")
+        F.when(d <= b["train_end"], "train")
+        .when(d.between(b["val_start"], b["val_end"]), "val")
+        .when(d >= b["test_start"], "test")
         .otherwise("gap")
     )
-    return df.withColumn("_b", one).withColumn("split", name).drop("_b")
+    return df.withColumn("split", name)
 
 
 def date_split(df: DataFrame, train: float = 0.70, val: float = 0.15, date: str = "date") -> DataFrame:
