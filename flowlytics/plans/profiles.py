@@ -171,17 +171,35 @@ def product_profile(spark, d):
         F.col("amount_histogram")[0]["n"].alias("first_bar"))
 
 
+def shown(x: str, digits: int = 0) -> str:
+    return f"printf('%.{digits}f', round({x}, {digits}))"
+
+
+def direction_line(number: int, name: str, array: str, count: str) -> str:
+    return (f"SELECT product_id, {number}, '  - {name}: n=' || {count} || ', p50=' || {shown(array + '[2]')} || ', p99=' || "
+            f"{shown(array + '[4]')} FROM g WHERE {count} > 0")
+
+
+def points(direction: int | None) -> str:
+    value = "CAST(amount AS DOUBLE)" if direction is None else f"CASE WHEN direction = {direction} THEN CAST(amount AS DOUBLE) END"
+    return f"quantile_cont({value}, [0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.99::DOUBLE])"
+
+
 @register("report_lines", f"""WITH {L}, g AS (SELECT product_id, count(*) AS n, min(date) AS lo, max(date) AS hi,
   CAST(floor((max(txn_ts) - min(txn_ts)) / 86400) AS INTEGER) AS days, {', '.join(f"count(*) FILTER (isodow(date) = {i + 1}) AS d{i}" for i in range(7))},
-  count(*) FILTER (direction = 0) AS np, count(*) FILTER (direction = 1) AS nr FROM l GROUP BY product_id)
+  count(*) FILTER (direction = 0) AS np, count(*) FILTER (direction = 1) AS nr, avg(CASE WHEN direction = 0 THEN 1 ELSE 0 END) AS ps,
+  avg(CASE WHEN direction = 1 THEN 1 ELSE 0 END) AS rs, avg(CASE WHEN status = 1 THEN 1 ELSE 0 END) AS ss,
+  {points(None)} AS qa, {points(0)} AS qp, {points(1)} AS qr FROM l GROUP BY product_id)
 SELECT product_id, 0 AS line_no, '## ' || product_id AS line FROM g UNION ALL
 SELECT product_id, 1, '- records: ' || n FROM g UNION ALL
 SELECT product_id, 2, '- from ' || lo || ' to ' || hi || ' (' || days || ' days)' FROM g UNION ALL
+SELECT product_id, 3, '- purchase ' || {shown('ps * 100', 2)} || '% / redemption ' || {shown('rs * 100', 2)} || '%' FROM g UNION ALL
+SELECT product_id, 4, '- success ' || {shown('ss * 100', 2)} || '%' FROM g UNION ALL
+SELECT product_id, 5, '- amount: p25=' || {shown('qa[1]')} || ' p50=' || {shown('qa[2]')} || ' p75=' || {shown('qa[3]')} || ' p99=' || {shown('qa[4]')} FROM g UNION ALL
+{direction_line(6, 'purchase', 'qp', 'np')} UNION ALL {direction_line(7, 'redemption', 'qr', 'nr')} UNION ALL
 SELECT product_id, 8, '- Mon=' || d0 || ', Tue=' || d1 || ', Wed=' || d2 || ', Thu=' || d3 || ', Fri=' || d4 || ', Sat=' || d5 || ', Sun=' || d6 FROM g""")
 def report_lines(spark, d):
-    """The lines without rounded decimals: their text form is a matter of each engine."""
-    rows = p.product_profile(t.ledger(spark, d).withColumn("ts", F.timestamp_seconds("txn_ts")))
-    return p.report_lines(rows).where(F.col("line_no").isin(0, 1, 2, 8))
+    return p.report_lines(p.product_profile(t.ledger(spark, d).withColumn("ts", F.timestamp_seconds("txn_ts"))))
 
 
 @register("cross_table", """WITH c AS (SELECT c_mktsegment AS segment, count(*) FILTER (l_returnflag <> 'R') AS purchase,
