@@ -23,6 +23,7 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 BLOCK_ROWS = 50_000
 LOCAL_BITS = 16
 LEAST_BLOCK_BITS = 9
+FILTER_ROWS = 4_000_000
 
 
 class QuotientFilter:
@@ -93,34 +94,49 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACE, " ")
 
 
+def block_bits(fingerprints: int) -> int:
+    """Leading bits by which filters are cut, so that a block holds about BLOCK_ROWS fingerprints at any size."""
+    return max(LEAST_BLOCK_BITS, int(np.ceil(np.log2(max(1, fingerprints) / BLOCK_ROWS))))
+
+
+def packed_filter(fingerprints: list[np.ndarray], leading: int) -> pa.RecordBatch:
+    """The filter of one task's fingerprints, a row per block."""
+    values = np.concatenate(fingerprints) if fingerprints else np.empty(0, np.uint64)
+    parts = list(QuotientFilter.of(values, leading + LOCAL_BITS).blocks(leading))
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([f.pack(leading) for _, f in parts], pa.binary())],
+                                      names=["block", "filter"])
+
+
+def repeated_in(filters: DataFrame, leading: int, least: int = 2) -> DataFrame:
+    """Fingerprints (``fp``) with their counts (``n``) of at least ``least``, from the tasks' filters (block, filter)."""
+    bits = leading + LOCAL_BITS
+
+    def merge(group: pa.Table) -> pa.Table:
+        filters = [QuotientFilter.unpack(raw, b, bits, leading) for b, raw in zip(group["block"].to_pylist(), group["filter"].to_pylist())]
+        whole = QuotientFilter.merged(filters)
+        many = whole.counts >= least
+        return pa.table({"fp": whole.fingerprints()[many].view(np.int64), "n": whole.counts[many].astype(np.int64)})
+
+    return filters.groupBy("block").applyInArrow(merge, "fp long, n long")
+
+
 def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
     """Fingerprints (column ``fp``) that occur more than once, by filters built per partition and merged per block."""
-    block_bits = max(LEAST_BLOCK_BITS, int(np.ceil(np.log2(max(1, rows) / BLOCK_ROWS))) if rows > BLOCK_ROWS else 0)
-    bits = block_bits + LOCAL_BITS
+    leading = block_bits(rows)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             held.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
             size += len(held[-1])
-            if size >= 4_000_000:
-                yield packed(held)
+            if size >= FILTER_ROWS:
+                yield packed_filter(held, leading)
                 held, size = [], 0
         if held:
-            yield packed(held)
-
-    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        parts = list(QuotientFilter.of(np.concatenate(held), bits).blocks(block_bits))
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([f.pack(block_bits) for _, f in parts], pa.binary())],
-                                          names=["block", "filter"])
-
-    def merge(group: pa.Table) -> pa.Table:
-        filters = [QuotientFilter.unpack(raw, b, bits, block_bits) for b, raw in zip(group["block"].to_pylist(), group["filter"].to_pylist())]
-        whole = QuotientFilter.merged(filters)
-        return pa.table({"fp": whole.fingerprints()[whole.counts > 1].view(np.int64)})
+            yield packed_filter(held, leading)
 
     filters = fingerprints.select("fp").mapInArrow(build, "block int, filter binary")
-    return filters.groupBy("block").applyInArrow(merge, "fp long")
+    return repeated_in(filters, leading).select("fp")
 
 
 def duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
