@@ -8,15 +8,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlytics.llm import contamination, exact, packing
+from flowlytics.llm import contamination, exact, jaccard, packing, quality
 from flowlytics.sources.stage import materialise
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it is trained on labelled rows among its input."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id stays."""
     return exact.keep_first(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a shingle similarity of 0.75 or more, the smallest doc_id of each component stays."""
+    return jaccard.keep_one(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more lies in benchmark windows go."""
     return contamination.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -27,7 +37,13 @@ def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("exact_dedup", exact_dedup), ("decontamination", decontamination), ("packing", sequence_packing)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact_dedup),
+    ("ngram_jaccard_join", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("packing", sequence_packing),
+]
 
 # no SQL states the classifier of the first stage
 ORACLE_SQL = None
