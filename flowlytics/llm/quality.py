@@ -26,7 +26,7 @@ PAD = 256
 PIECE = 1024  # blocks whose filters are computed at once
 PER_CLASS = 1000  # labelled documents of each class that training uses at most
 POOL = 32  # chunks of a labelled document that training uses at most, spread over the whole of it
-DRAWN, EPOCHS, BATCH, RATE, SEED = 8, 12, 64, 0.004, 11
+DRAWN, STEPS, BATCH, RATE, SEED = 8, 384, 64, 0.004, 11
 
 
 @dataclass
@@ -75,7 +75,9 @@ def scores(net: Network, raws: list[bytes]) -> np.ndarray:
     docs = [padded(r) for r in raws]
     ends = np.cumsum([len(d) // BLOCK for d in docs])
     codes = np.concatenate([*docs, np.full(WIDTH, PAD, np.int16)])
-    total, per = int(ends[-1]), BLOCK // STRIDE
+    total, per, last = int(ends[-1]), BLOCK // STRIDE, ends - 1
+    beyond = WIDTH // STRIDE - 1
+    blank = np.maximum(np.tile(net.embed[PAD], WIDTH) @ net.filters + net.bias, 0)
     most, mean = np.empty((total, FILTERS), np.float32), np.empty((total, FILTERS), np.float32)
     for a in range(0, total, PIECE):
         b = min(a + PIECE, total)
@@ -84,6 +86,7 @@ def scores(net: Network, raws: list[bytes]) -> np.ndarray:
         acts += net.bias
         np.maximum(acts, 0, out=acts)
         acts = acts.reshape(b - a, per, FILTERS)
+        acts[last[(last >= a) & (last < b)] - a, -beyond:] = blank  # these places would see the next text
         most[a:b], mean[a:b] = acts.max(axis=1), acts.mean(axis=1)
     chunk = np.concatenate((np.maximum(most[:-1], most[1:]), (mean[:-1] + mean[1:]) / 2), axis=1)
     read = np.maximum(chunk @ net.hidden + net.hidden_bias, 0)
@@ -102,11 +105,12 @@ def training_chunks(raw: bytes, most: int = POOL) -> list[bytes]:
     return [codes[i * BLOCK:(i + 2) * BLOCK + WIDTH].tobytes() for i in picked]
 
 
-def train(chunks: list[np.ndarray], labels: np.ndarray, shift: float, seed: int = SEED, epochs: int = EPOCHS) -> Network:
+def train(chunks: list[np.ndarray], labels: np.ndarray, shift: float, seed: int = SEED, steps: int = STEPS) -> Network:
     """Adam on the cross-entropy of documents, each given as an array of chunks; ``shift`` moves the logit to the true share."""
     net, rng = Network.fresh(seed), np.random.default_rng(seed)
     weights = net.weights()
     first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
+    epochs = -(-steps // -(-len(chunks) // BATCH))
     total = epochs * -(-len(chunks) // BATCH)
     hardest = [0] * len(chunks)
     for _ in range(epochs):
