@@ -2,7 +2,9 @@
 
 A roll-up that feeds split bounds, bucket edges and windows would otherwise be computed once per
 reader. It is written once as parquet to the shared folder the session names in
-``spark.checkpoint.dir``, so that a lost executor costs a re-read and not the lineage.
+``spark.checkpoint.dir``, so that a lost executor costs a re-read and not the lineage. All tables
+of a session lie in one folder of its own there, which the file system deletes when the session's
+JVM ends.
 """
 
 from __future__ import annotations
@@ -12,17 +14,32 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folders: dict[str, str] = {}
 _own: list[tempfile.TemporaryDirectory] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one only where none is configured (tests)."""
+    """The folder of this session below ``spark.checkpoint.dir``.
+
+    Where the setting is missing, a session in one process (tests, a laptop) gets a temporary
+    folder; on a cluster, whose machines don't share one, that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own:
-        _own.append(tempfile.TemporaryDirectory(prefix="flowlytics-"))
-    return _own[0].name
+    key = f"{spark.sparkContext.applicationId} {named}"
+    if key not in _folders:
+        if not named:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            _own.append(tempfile.TemporaryDirectory(prefix="flowlytics-"))
+            named = _own[-1].name
+        _folders[key] = f"{named.rstrip('/')}/flowlytics-{uuid.uuid4().hex}"
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(_folders[key])
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return _folders[key]
 
 
 def materialise(df: DataFrame) -> DataFrame:
