@@ -6,11 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from flowlytics.functions import timefeat as tf
 from flowlytics.functions import values as v
-from flowlytics.operators.segments import segmented
+from flowlytics.operators.series import row_index
 
 # Accepted column names, in order of preference.
 COLUMN_CANDIDATES = {
@@ -154,13 +153,8 @@ def date_range(df: DataFrame, col: str, end: str, years: int) -> DataFrame:
 
 
 def dense_row_id(df: DataFrame, order: Sequence[str], out: str = "__row_id__", **cut) -> DataFrame:
-    """0, 1, ... n-1 in a total order, numbered per segment and shifted by the rows before it."""
-    seg = segmented(df, [], order, **cut)
-    seg = seg.map(seg.rows.withColumn("_rn", F.row_number().over(seg.window())))
-    before = seg.carry_window().rowsBetween(W.unboundedPreceding, -1)
-    rows = seg.carry({"_s": F.count(F.lit(1))}, {"_off": F.sum("_s").over(before)}).rows
-    number = (F.col("_rn") - 1 + F.coalesce("_off", F.lit(0))).cast("bigint")
-    return rows.withColumn(out, number).drop("_rn", "_off", "_seg", "_hot")
+    """0, 1, ... n-1 in a total order over all rows."""
+    return row_index(df, [], order, out, **cut)
 
 
 def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:

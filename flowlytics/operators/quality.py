@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from flowlytics.functions import values as v
 from flowlytics.operators.profile import bin_balance, series_lengths
 from flowlytics.operators.segments import segmented
+from flowlytics.operators.series import shifted
 
 # Accepted range per gate.
 LIMITS = {"fail_rate": (0.01, 0.50), "redemption_share": (0.20, 0.80), "min_balance": (0.0, None)}
@@ -64,14 +65,14 @@ def holding_order(df: DataFrame, holding: str = "min_holding_days") -> DataFrame
     """Redemption share per product ordered by holding period, longest first; a longer period should
     not redeem more than the next shorter one."""
     per = df.groupBy("product_id", holding).agg(v.share(F.col("direction") == 1).alias("red_share"))
-    w = W.partitionBy(F.lit(0)).orderBy(F.col(holding).desc(), "product_id")
-    return per.withColumn("passed", F.coalesce(F.lag("red_share").over(w) <= F.col("red_share"), F.lit(True)))
+    before = shifted(per.withColumn("_h", -F.col(holding)), [], ["_h", "product_id"], {"_before": "red_share"}, -1)
+    return before.withColumn("passed", F.coalesce(F.col("_before") <= F.col("red_share"), F.lit(True))).drop("_h", "_before")
 
 
 def monotone(groups: DataFrame, order: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Flags group rows whose value is below that of the group before it."""
-    w = W.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
-    return groups.withColumn("passed", F.coalesce(F.lag(value).over(w) <= F.col(value), F.lit(True)))
+    before = shifted(groups, keys, [order], {"_before": value}, -1)
+    return before.withColumn("passed", F.coalesce(F.col("_before") <= F.col(value), F.lit(True))).drop("_before")
 
 
 def ks_distance(df: DataFrame, sample: str, value: str, keys: Sequence[str] = (), limit: float = 0.05,

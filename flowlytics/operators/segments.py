@@ -1,16 +1,14 @@
 """Splitting long ordered groups, so that no window runs over one unbounded group.
 
 A window ``partitionBy(keys).orderBy(order)`` puts a whole key in one task. With a third of a
-ledger under one product that task never ends. ``plan_cuts`` counts rows per key; where no key is
-long the plain window is the right plan and nothing is added to it. Only the long keys are cut into
-consecutive ranges of the order. A window then runs per (keys, segment), and what a range needs from
-the ranges before it (a last value, a running sum, a minimum) comes from a summary with one row per
-segment of a long key.
-
-Size bound: a key is cut when it holds more than total / max_segments rows, so there are fewer than
-``max_segments`` such keys and, with the sampling error, a small multiple of ``max_segments`` cut
-points, however large the ledger is. That is what makes it safe to bring the cut points to the
-driver and to broadcast them and the summary.
+ledger under one product that task never ends. ``plan_cuts`` counts rows per key and cuts each key
+of more than ``PIECE_ROWS`` rows into consecutive ranges of the order of about that many rows, so
+the size of a task does not depend on the size of the ledger. A window then runs per (keys,
+segment), and what a range needs from the ranges before it (a last value, a running sum, a minimum)
+comes from a summary with one row per segment of a long key.
+
+Cut points and summaries follow the data, so they are tables in the shared folder and are joined
+without a hint: their size is known, and the optimizer broadcasts them where it is small.
 """
 
 from __future__ import annotations
@@ -21,11 +19,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlytics.sources.stage import materialise
+
 SEG = "_seg"
 HOT = "_hot"
-MAX_SEGMENTS = 1024
-MIN_ROWS = 1_000_000
-_BLOCK = 32
+PIECE_ROWS = 1_000_000
 _OVERSAMPLE = 8
 
 
@@ -53,13 +51,14 @@ def salted_lookup(big: DataFrame, small: DataFrame, keys: Sequence[str],
 
 
 def _blocks(cuts: Column) -> Column:
-    """Sorted cuts as blocks with their heads: two short scans in place of one long."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(cuts), F.lit(1)), F.lit(_BLOCK))
-    blocks = F.when(F.size(cuts) > 0, F.transform(starts, lambda i: F.slice(cuts, i, _BLOCK)))
+    """Sorted cuts as blocks of about their square root with the heads of the blocks: two short scans in place of one long."""
+    width = F.greatest(F.ceil(F.sqrt(F.size(cuts))).cast("int"), F.lit(1))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(cuts), F.lit(1)), width)
+    blocks = F.when(F.size(cuts) > 0, F.transform(starts, lambda i: F.slice(cuts, i, width)))
     blocks = F.coalesce(blocks, F.array(cuts))
     return F.struct(
         F.transform(F.filter(blocks, lambda b: F.size(b) > 0), lambda b: F.get(b, F.lit(0))).alias("heads"),
-        blocks.alias("blocks"),
+        blocks.alias("blocks"), width.alias("width"),
     )
 
 
@@ -67,7 +66,7 @@ def _position(blocks: Column, point: Column) -> Column:
     """Number of cuts at or below the point."""
     head = F.size(F.filter(blocks["heads"], lambda h: h <= point))
     inner = F.size(F.filter(F.get(blocks["blocks"], head - 1), lambda c: c <= point))
-    return F.when(head == 0, 0).otherwise((head - 1) * _BLOCK + inner)
+    return F.when(head == 0, 0).otherwise((head - 1) * blocks["width"] + inner)
 
 
 def _thin(sample: Column, pieces: Column) -> Column:
@@ -108,7 +107,7 @@ class Segmented:
         return w.orderBy(*self.order) if ordered else w
 
     def carry_window(self):
-        """Over the summary rows of one cut key, in segment order (a few thousand rows at most)."""
+        """Over the summary rows of one cut key, in segment order (one row for PIECE_ROWS rows of the key)."""
         return Window.partitionBy(*(self.keys or [F.lit(0)])).orderBy(SEG)
 
     def carry(self, summary: dict[str, Column], *carried: dict[str, Column]) -> Segmented:
@@ -124,8 +123,8 @@ class Segmented:
         table = self.rows.where(HOT).groupBy(*self.keys, SEG).agg(*[c.alias(n) for n, c in summary.items()])
         for group in carried:
             table = table.withColumns(group)
-        table = table.select(*self.keys, SEG, *names)
-        return self.map(same_keys(self.rows, F.broadcast(table), [*self.keys, SEG], "left"))
+        table = materialise(table.select(*self.keys, SEG, *names))
+        return self.map(same_keys(self.rows, table, [*self.keys, SEG], "left"))
 
 
 def _point(order: Sequence[str]) -> Column:
@@ -133,39 +132,29 @@ def _point(order: Sequence[str]) -> Column:
 
 
 def plan_cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
-              max_segments: int = MAX_SEGMENTS, min_rows: int = MIN_ROWS,
-              counted: DataFrame | None = None) -> Cuts:
-    """Counts rows per key (a job on the key columns only) and cuts the long keys.
+              piece_rows: int = PIECE_ROWS, counted: DataFrame | None = None) -> Cuts:
+    """Counts rows per key (a job on the key columns only) and cuts the keys of more than ``piece_rows`` rows.
 
     Cut points are an evenly thinned hash sample of the order values of a long key. ``order`` should
     identify a row within its key; equal order values stay together. ``counted`` is a cheaper frame
     with at least as many rows per key (the input of an aggregation) to count on instead.
     """
     keys, order = list(keys), list(order)
-    n = F.count(F.lit(1)).alias("_n")
-    counts = (df if counted is None else counted).groupBy(*keys).agg(n)
-    long = counts.where(F.col("_n") > min_rows).orderBy(F.col("_n").desc()).limit(max_segments)
-    found = long.collect()
-    if not found:
-        return Cuts(tuple(keys), tuple(order))
-    total = counts.agg(F.sum("_n")).first()[0]
-    step = max(min_rows, -(-total // max_segments))
-    found = [r for r in found if r["_n"] > step]
-    if not found:
+    counts = (df if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    long = counts.where(F.col("_n") > piece_rows).withColumn("_k", F.ceil(F.col("_n") / piece_rows))
+    if long.isEmpty():
         return Cuts(tuple(keys), tuple(order))
-
-    spark = df.sparkSession
-    hot = spark.createDataFrame([(*r, -(-r["_n"] // step)) for r in found], long.schema.add("_k", "long"))
+    long = materialise(long)
     draw = F.xxhash64(*[F.col(c) for c in [*keys, *order]])
     points = df.select(*keys, _point(order).alias("_p"), draw.alias("_d"))
     if keys:
-        points = same_keys(points, F.broadcast(hot), keys, "inner")
+        points = same_keys(points, long, keys, "inner")
     else:
-        points = points.withColumns({c: F.lit(hot.first()[c]) for c in ("_n", "_k")})
+        points = points.withColumns({c: long.select(c).scalar() for c in ("_n", "_k")})
     sampled = points.where(F.pmod(F.col("_d"), F.col("_n")) < F.col("_k") * _OVERSAMPLE)
     lists = (sampled.groupBy(*keys).agg(F.array_sort(F.collect_set("_p")).alias("_a"), F.first("_k").alias("_k"))
              .select(*keys, _blocks(_thin(F.col("_a"), F.col("_k"))).alias("__cuts")))
-    return Cuts(tuple(keys), tuple(order), spark.createDataFrame(lists.collect(), lists.schema))
+    return Cuts(tuple(keys), tuple(order), materialise(lists))
 
 
 def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: Cuts | None = None,
@@ -177,7 +166,7 @@ def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: Cu
     if cuts.table is None:
         return Segmented(df, tuple(keys), tuple(order), False)
     if keys:
-        rows = same_keys(df, F.broadcast(cuts.table), keys, "left")
+        rows = same_keys(df, cuts.table, keys, "left")
     else:
         rows = df.withColumn("__cuts", cuts.table.scalar())
     number = F.when(F.col("__cuts").isNull(), 0).otherwise(_position(F.col("__cuts"), _point(order)))

@@ -1,7 +1,7 @@
 """Token statistics: frequency, coverage, vocabulary, next-token counts.
 
-A token is made of a few small codes, so its frequency table is bounded by the token space (960
-for four fields, under two million for eight) however many rows it counts.
+Rows are counted down to distinct tokens first; ranks and running counts go over segments of the
+frequency order, so a free-text token column is no single task either.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from flowlytics.operators.segments import segmented
+
 # Weight of each token field in the next-token loss.
 FIELD_WEIGHTS = {"direction": 1.0, "amount_bin": 0.3, "product_type": 0.1, "risk_level": 0.1}
 
@@ -20,13 +22,19 @@ def token_frequency(df: DataFrame, token: str = "token") -> DataFrame:
     return df.groupBy(token).agg(F.count(F.lit(1)).alias("n"))
 
 
-def ranked_tokens(df: DataFrame, token: str = "token") -> DataFrame:
+def ranked_tokens(df: DataFrame, token: str = "token", **cut) -> DataFrame:
     """Frequency with rank (count down, then token), running and total count."""
     freq = token_frequency(df, token)
-    w = W.partitionBy(F.lit(0))
-    upto = w.orderBy(F.col("n").desc(), token).rowsBetween(W.unboundedPreceding, 0)
-    return freq.select(token, "n", F.row_number().over(w.orderBy(F.col("n").desc(), token)).alias("rank"),
-                       F.sum("n").over(upto).alias("cum"), F.sum("n").over(w).alias("total"))
+    seg = segmented(freq.withColumn("_o", -F.col("n")), [], ["_o", token], **cut)
+    upto, whole = seg.window().rowsBetween(W.unboundedPreceding, 0), seg.window(ordered=False)
+    seg = seg.map(seg.rows.withColumns({"_r": F.row_number().over(seg.window()), "_c": F.sum("n").over(upto), "_t": F.sum("n").over(whole)}))
+    before = seg.carry_window().rowsBetween(W.unboundedPreceding, -1)
+    every = seg.carry_window().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = seg.carry({"_rows": F.count(F.lit(1)), "_sum": F.sum("n")}, {
+        "_br": F.sum("_rows").over(before), "_bc": F.sum("_sum").over(before), "_all": F.sum("_sum").over(every)}).rows
+    zero = F.lit(0)
+    return rows.select(token, "n", (F.col("_r") + F.coalesce("_br", zero)).cast("int").alias("rank"),
+                       (F.col("_c") + F.coalesce("_bc", zero)).alias("cum"), F.coalesce("_all", "_t").alias("total"))
 
 
 def top_tokens(df: DataFrame, k: int, token: str = "token") -> DataFrame:
@@ -53,8 +61,8 @@ def build_vocab(df: DataFrame, k: int, token: str = "token") -> DataFrame:
 
 
 def encode(df: DataFrame, vocab: DataFrame, token: str = "token", unknown: int = 0) -> DataFrame:
-    """Adds token_id. Counted down to the tokens that occur, the vocabulary is small by construction."""
-    return df.join(F.broadcast(vocab.select(token, "token_id")), token, "left").withColumn(
+    """Adds token_id; the optimizer broadcasts the vocabulary where its size allows."""
+    return df.join(vocab.select(token, "token_id"), token, "left").withColumn(
         "token_id", F.coalesce("token_id", F.lit(unknown)))
 
 
@@ -89,16 +97,10 @@ def cross_entropy(pairs: DataFrame, fields: Mapping[str, int], weights: Mapping[
     return parts.unionByName(total)
 
 
-def top_n(df: DataFrame, value: str, tie: Sequence[str], n: int, valid: Column | None = None,
-          over_pick: int = 2, shape: Column | None = None) -> DataFrame:
-    """The n largest positive values: take over_pick * n, keep rows of the right shape, then n."""
-    order = [F.col(value).desc(), *tie]
-    rows = df.where(F.col(value).isNotNull() & (F.col(value) > 0))
-    if valid is not None:
-        rows = rows.where(valid)
-    if shape is not None:
-        rows = rows.orderBy(*order).limit(n * over_pick).where(shape)
-    return rows.orderBy(*order).limit(n)
+def top_n(df: DataFrame, value: str, tie: Sequence[str], n: int, valid: Column | None = None) -> DataFrame:
+    """The n largest positive values among the valid rows; fewer only where there are fewer."""
+    rows = df.where(F.col(value) > 0)
+    return (rows if valid is None else rows.where(valid)).orderBy(F.col(value).desc(), *tie).limit(n)
 
 
 def sample_rows(df: DataFrame, key: Sequence[str], k: int, seed: int = 0) -> DataFrame:

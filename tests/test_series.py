@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlytics.operators import cleaning, quality, rollup, series, split
 
-SMALL = {"max_segments": 16, "min_rows": 15}
+SMALL = {"piece_rows": 15}
 
 
 @pytest.fixture(scope="module")
