@@ -26,16 +26,18 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str], schema: str | N
 
 
 def read_raw_files(spark: SparkSession, paths: Sequence[str], fmt: str = "csv") -> DataFrame:
-    """Union of raw files that may differ in columns; each row carries its file name."""
-    def one(path: str) -> DataFrame:
-        reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-        df = reader.format(fmt).load(path)
-        return df.select("*", F.col("_metadata.file_name").alias("__src_file__"))
-
-    frames = [one(p) for p in paths]
-    out = frames[0]
-    for df in frames[1:]:
-        out = out.unionByName(df, allowMissingColumns=True)
+    """Raw files that may differ in columns, each row with its file name.
+
+    Paths with the same header are read in one scan, so the plan has a branch per header and not per file.
+    """
+    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        alike.setdefault(tuple(reader.format(fmt).load(path).columns), []).append(path)
+    out = None
+    for same in alike.values():
+        df = reader.format(fmt).load(same).select("*", F.col("_metadata.file_name").alias("__src_file__"))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
 
