@@ -22,7 +22,7 @@ def bin_label(number: Column) -> Column:
     """A00, A01, ...; a missing bucket (-1) prints as A-1."""
     number = number.cast("int")
     return F.concat(F.lit("A"), F.when(number < 0, number.cast("string"))
-                    .otherwise(F.lpad(number.cast("string"), 2, "0")))
+                    .otherwise(F.format_string("%02d", number)))
 
 
 def compose_token(direction, amount_label, product_type, risk) -> Column:

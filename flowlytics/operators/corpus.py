@@ -61,11 +61,11 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def series_bins(df: DataFrame, by: Sequence[str] = tuple(SERIES), bins: int = AMOUNT_BINS,
-                few_keys: bool = False, **cut) -> DataFrame:
+                codes: Sequence[int] | None = None, **cut) -> DataFrame:
     """Quantile bucket of log1p(amount) within each series; short or constant series get 0."""
     logged = df.withColumn("amount_log1p", v.log_amount("amount"))
     edges = fit_bins(logged, list(by), "amount_log1p", bins, min_rows=bins, **cut)
-    return apply_bins(logged, edges, list(by), "amount_log1p", bins, missing=0, few_keys=few_keys)
+    return apply_bins(logged, edges, list(by), "amount_log1p", bins, missing=0, codes=codes)
 
 
 def harmonise(frames: Sequence[DataFrame], **cut) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowlytics.functions import timefeat as tf
 from flowlytics.functions import values as v
 from flowlytics.operators.cleaning import dense_row_id
-from flowlytics.operators.quantile import apply_bins, fit_bins
+from flowlytics.operators.quantile import DIRECTIONS, apply_bins, fit_bins
 from flowlytics.operators.segments import plan_cuts
 from flowlytics.operators.series import running_balance, signed_amount, time_gap
 
@@ -25,7 +25,7 @@ def _direction_bins(df: DataFrame, **cut) -> DataFrame:
     """24 buckets per direction; a direction with fewer than 32 rows gets 0."""
     logged = df.withColumn("amount_log1p", v.log_amount("amount"))
     edges = fit_bins(logged, ["direction"], "amount_log1p", WIDE_BINS, min_rows=MIN_BIN_ROWS, **cut)
-    return apply_bins(logged, edges, ["direction"], "amount_log1p", WIDE_BINS, missing=0, few_keys=True)
+    return apply_bins(logged, edges, ["direction"], "amount_log1p", WIDE_BINS, missing=0, codes=DIRECTIONS)
 
 
 def _per_product(df: DataFrame, tie: list[str], **cut) -> DataFrame:

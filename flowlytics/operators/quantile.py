@@ -21,6 +21,10 @@ PROFILE_PROBS = [0, 0.01, 0.05, 0.10, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
 PROFILE_NAMES = ["p00", "p01", "p05", "p10", "p25", "p50", "p75", "p90", "p95", "p99", "p100"]
 
 
+# fixed values: codes of the direction (purchase, redemption, unknown)
+DIRECTIONS = (-1, 0, 1)
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -138,15 +142,19 @@ def bin_of(value: str, edges: str, bins: int, missing: int = -1, offset: int = 0
 
 def apply_bins(df: DataFrame, edges: DataFrame, by: Sequence[str], value: str, bins: int,
                out: str = "amount_bin", *, missing: int = -1, offset: int = 0,
-               few_keys: bool = False) -> DataFrame:
+               codes: Sequence[int] | None = None) -> DataFrame:
     """Adds the bucket number of ``value``.
 
-    ``few_keys`` states that the keys come from a fixed code (a direction), so the edge table
-    is broadcast; otherwise the join is left to the size check of the optimizer and to AQE.
+    ``codes`` lists the values of the one key, where it is a fixed code such as the direction: the
+    edges of these and of null, one row each, are broadcast, and any other value has no bucket.
+    Otherwise the join is left to the size check of the optimizer and to AQE.
     """
     table = edges.select(*by, F.col("edges").alias("_edges"))
     if by:
-        joined = same_keys(df, F.broadcast(table) if few_keys else table, by, "left")
+        if codes is not None:
+            (key,) = by
+            table = F.broadcast(table.where(F.col(key).isin(*codes) | F.col(key).isNull()))
+        joined = same_keys(df, table, by, "left")
     else:
         joined = df.withColumn("_edges", table.select("_edges").scalar())
     number = bin_of(value, "_edges", bins, missing, offset)

@@ -56,7 +56,7 @@ def amount_bins(spark, d):
     rows = logged(t.ledger(spark, d, "key"))
     rows = split.assign_split(rows, split.split_bounds(t.ledger(spark, d, "key")))
     edges = q.fit_bins(rows.where("split = 'train'"), ["direction"], "amount_log1p", 16)
-    return q.apply_bins(rows, edges, ["direction"], "amount_log1p", 16, few_keys=True).groupBy(
+    return q.apply_bins(rows, edges, ["direction"], "amount_log1p", 16, codes=q.DIRECTIONS).groupBy(
         "split", "direction", "amount_bin").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("amount"))
 
 
@@ -92,7 +92,7 @@ SELECT x.direction, {bin_of('amount_log1p', '(CASE WHEN n >= 32 THEN edges END)'
 def direction_bins_24(spark, d):
     rows = logged(t.ledger(spark, d, "key"))
     edges = q.fit_bins(rows, ["direction"], "amount_log1p", 24, min_rows=32)
-    return q.apply_bins(rows, edges, ["direction"], "amount_log1p", 24, missing=0, few_keys=True).groupBy(
+    return q.apply_bins(rows, edges, ["direction"], "amount_log1p", 24, missing=0, codes=q.DIRECTIONS).groupBy(
         "direction", "amount_bin").agg(F.count(F.lit(1)).alias("n"), F.min("amount").cast("double").alias("lo"),
                                        F.max("amount").cast("double").alias("hi"))
 
@@ -135,7 +135,7 @@ ed AS ({fit_edges('x', 'direction', 'amount_log1p', 16)})
 SELECT product_id, group_id, date, x.direction, {bin_of('amount_log1p', '(CASE WHEN n >= 16 THEN edges END)', 0)} AS amount_bin
 FROM x LEFT JOIN ed ON x.direction = ed.direction""")
 def direction_bins(spark, d):
-    binned = corpus.series_bins(corpus_days(spark, d), ["direction"], few_keys=True)
+    binned = corpus.series_bins(corpus_days(spark, d), ["direction"], codes=q.DIRECTIONS)
     return binned.select("product_id", "group_id", "date", "direction", "amount_bin")
 
 
@@ -165,14 +165,14 @@ ed AS (SELECT direction, list_sort(list_distinct(list_transform(range(0, k + 1),
 @register("bin_labels", f"""WITH v AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS direction,
   round(l_tax + 0, 9) AS qty FROM lineitem), {ADAPTIVE},
 b AS (SELECT v.direction, qty, {bin_of('qty', 'edges')} AS bin FROM v JOIN ed ON v.direction = ed.direction)
-SELECT direction, qty, CASE WHEN bin < 0 THEN 'A' || bin ELSE 'A' || lpad(CAST(bin AS VARCHAR), 2, '0') END AS label, count(*) AS n
+SELECT direction, qty, CASE WHEN bin < 0 THEN 'A' || bin ELSE 'A' || printf('%02d', bin) END AS label, count(*) AS n
 FROM b GROUP BY ALL""")
 def bin_labels(spark, d):
     """Tax has nine values, so nine buckets are asked for in place of sixteen."""
     rows = t.table(spark, d, "lineitem").select(
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("direction"), F.round("l_tax", 9).alias("qty"))
     edges = q.fit_adaptive_bins(rows, ["direction"], "qty", 16)
-    rows = q.apply_bins(rows, edges, ["direction"], "qty", 16, "bin", few_keys=True)
+    rows = q.apply_bins(rows, edges, ["direction"], "qty", 16, "bin", codes=q.DIRECTIONS)
     return rows.select("direction", "qty", tk.bin_label(F.col("bin")).alias("label")).groupBy(
         "direction", "qty", "label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -185,7 +185,7 @@ def stored_edges(spark, d):
     rows = logged(t.ledger(spark, d, "key"))
     state = readers.edge_state(q.fit_bins(rows, ["direction"], "amount_log1p", 16), "amount", 16, "direction")
     edges = readers.edges_for(state, "amount", "direction")
-    return q.apply_bins(rows, edges, ["direction"], "amount_log1p", 16, few_keys=True).groupBy(
+    return q.apply_bins(rows, edges, ["direction"], "amount_log1p", 16, codes=q.DIRECTIONS).groupBy(
         "direction", "amount_bin").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -49,12 +49,12 @@ TYPE_CODE = ("(CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'LARGE' THEN 1 WHEN 'MEDIU
 TIE_COLUMNS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity"
 
 # l: by product type; lk: by part key; lg: by product type with customer group; e: events
-L = f"l AS (SELECT p_type AS product_id, {FACT}, {TIE_COLUMNS} FROM lineitem JOIN part ON l_partkey = p_partkey)"
+L = f"l AS (SELECT p_type AS product_id, {FACT}, {TIE_COLUMNS} FROM lineitem LEFT JOIN part ON l_partkey = p_partkey)"
 LK = f"lk AS (SELECT CAST(l_partkey AS VARCHAR) AS product_id, {FACT}, {TIE_COLUMNS} FROM lineitem)"
 LG = f"""lg AS (SELECT p_type AS product_id, {FACT}, o_custkey AS cust_id, {SEGMENT_CODE} AS group_id,
   c_mktsegment AS group_name, {TYPE_CODE} AS product_type, {TIE_COLUMNS}
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey)"""
+  FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN orders ON l_orderkey = o_orderkey
+  LEFT JOIN customer ON o_custkey = c_custkey)"""
 E = """e AS (SELECT event_id, user_id AS cust_id, event_type AS product_id, ts,
   CAST(floor(epoch(ts)) AS BIGINT) AS txn_ts, CAST(ts AS DATE) AS date,
   CASE WHEN event_type IN ('click', 'signup') THEN 1 ELSE 0 END AS direction,

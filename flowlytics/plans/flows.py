@@ -360,11 +360,11 @@ def orders_to_ledger(spark, d):
     return rounded(wide, 9, "yield_rate")
 
 
-PRICES = f"""{E}, px AS (SELECT lpad(CAST(cust_id AS VARCHAR), 6, '0') AS code, date,
+PRICES = f"""{E}, px AS (SELECT printf('%06d', cust_id) AS code, date,
   CAST(arg_min(amount, (ts, event_id)) AS DOUBLE) AS open, CAST(max(amount) AS DOUBLE) AS high,
   CAST(min(amount) AS DOUBLE) AS low, CAST(arg_max(amount, (ts, event_id)) AS DOUBLE) AS close,
   count(*) AS volume, sum(amount) AS amount FROM e GROUP BY code, date),
-qt AS (SELECT lpad(CAST(e.cust_id AS VARCHAR), 6, '0') AS code, any_value(c_mktsegment || ' ' || c_name) AS name,
+qt AS (SELECT printf('%06d', e.cust_id) AS code, any_value(c_mktsegment || ' ' || c_name) AS name,
   CAST(sum(amount) AS DOUBLE) AS turnover,
   CAST(sum(CASE WHEN direction = 0 THEN amount ELSE -amount END) AS DOUBLE) AS main_net
   FROM e LEFT JOIN customer ON e.cust_id = c_custkey GROUP BY 1)"""
@@ -394,10 +394,10 @@ def quotes_to_ledger(spark, d):
     return rounded(wide, 9, "yield_rate")
 
 
-@register("most_traded", f"""WITH {PRICES} SELECT code, turnover FROM (SELECT * FROM qt WHERE turnover > 0 ORDER BY turnover DESC, code LIMIT 40)
-WHERE regexp_full_match(code, '[0-9]{{6}}') ORDER BY turnover DESC, code LIMIT 20""")
+@register("most_traded", f"""WITH {PRICES} SELECT code, turnover FROM qt WHERE turnover > 0
+AND regexp_full_match(code, '[0-9]{{6}}') ORDER BY turnover DESC, code LIMIT 20""")
 def most_traded(spark, d):
-    return vocab.top_n(t.quotes(spark, d), "turnover", ["code"], 20, shape=v.is_six_digits("code")).select("code", "turnover")
+    return vocab.top_n(t.quotes(spark, d), "turnover", ["code"], 20, v.is_six_digits("code")).select("code", "turnover")
 
 
 @register("row_ids", f"""WITH {LK} SELECT product_id, date, l_orderkey, l_linenumber, l_suppkey, l_extendedprice,

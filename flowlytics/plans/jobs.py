@@ -70,7 +70,7 @@ def training_tables(fact: DataFrame, product: DataFrame, customer: DataFrame, *,
     state = materialise(readers.edge_state(amount_edges, "amount", AMOUNT_BINS, "direction").unionByName(
         readers.edge_state(gap_edges, "gap", GAP_BINS)))
     rows = q.apply_bins(rows, readers.edges_for(state, "amount", "direction"), ["direction"], "amount_log1p",
-                        AMOUNT_BINS, few_keys=True)
+                        AMOUNT_BINS, codes=q.DIRECTIONS)
     rows = q.apply_bins(rows, readers.edges_for(state, "gap"), [], "_gap", GAP_BINS, "dt_bin").drop("_gap")
     txns = cleaning.dense_row_id(rows, ["cust_id_hash", "product_id", "txn_ts", *tie], **cut)
 

@@ -154,7 +154,7 @@ TOKENS = f"""tr AS (SELECT {FACT}, {TIE_COLUMNS}, CAST(l_partkey AS VARCHAR) AS
   CAST(l_suppkey % 5 + 1 AS INTEGER) AS risk_level FROM lineitem),
 tx AS (SELECT *, {log_amount('amount')} AS amount_log1p FROM tr), ted AS ({fit_edges('tx', 'direction', 'amount_log1p', 16)}),
 tk AS (SELECT tx.*, {bin_of('amount_log1p', 'edges')} AS amount_bin FROM tx JOIN ted ON tx.direction = ted.direction),
-tok AS (SELECT *, (CASE direction WHEN 0 THEN 'PUR' ELSE 'RED' END) || '_A' || lpad(CAST(amount_bin AS VARCHAR), 2, '0') || '_' || {TYPE_NAME} || '_R' || risk_level AS token FROM tk),
+tok AS (SELECT *, (CASE direction WHEN 0 THEN 'PUR' ELSE 'RED' END) || '_A' || printf('%02d', amount_bin) || '_' || {TYPE_NAME} || '_R' || risk_level AS token FROM tk),
 freq AS (SELECT token, count(*) AS n FROM tok GROUP BY token),
 ranked AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS rank, sum(n) OVER (ORDER BY n DESC, token ROWS UNBOUNDED PRECEDING) AS cum,
   sum(n) OVER () AS total FROM freq)"""
@@ -167,7 +167,7 @@ def coded_rows(spark, d):
         "product_type": (F.col("l_partkey") % 7).cast("int"), "risk_level": (F.col("l_suppkey") % 5 + 1).cast("int"),
         "amount_log1p": v.log_amount("amount")})
     edges = q.fit_adaptive_bins(rows, ["direction"], "amount_log1p", 16)
-    return q.apply_bins(rows, edges, ["direction"], "amount_log1p", 16, few_keys=True)
+    return q.apply_bins(rows, edges, ["direction"], "amount_log1p", 16, codes=q.DIRECTIONS)
 
 
 def token_rows(spark, d):
@@ -215,15 +215,15 @@ def packed_tokens(spark, d):
   {log_amount('amount')} AS amount_log1p, CAST(cust_id % 6 AS INTEGER) AS product_type, CAST(cust_id % 5 + 1 AS INTEGER) AS risk_level FROM e),
 ed AS ({fit_edges('g', 'direction', 'amount_log1p', 16)}), gd AS ({fit_edges('g', '', 'gap', 8)}),
 b AS (SELECT g.*, {bin_of('amount_log1p', 'ed.edges')} AS ab, {bin_of('gap', 'gd.edges')} AS gb FROM g JOIN ed ON g.direction = ed.direction CROSS JOIN gd),
-tok AS (SELECT (CASE direction WHEN 0 THEN 'PUR' ELSE 'RED' END) || '_A' || lpad(CAST(ab AS VARCHAR), 2, '0') || '_' || {TYPE_NAME} || '_R' || risk_level
-  || '_NA_D' || (isodow(date) - 1) || '_A0' || (hour(ts) // 3) || '_A' || lpad(CAST(gb AS VARCHAR), 2, '0') AS token FROM b)
+tok AS (SELECT (CASE direction WHEN 0 THEN 'PUR' ELSE 'RED' END) || '_A' || printf('%02d', ab) || '_' || {TYPE_NAME} || '_R' || risk_level
+  || '_NA_D' || (isodow(date) - 1) || '_A0' || (hour(ts) // 3) || '_A' || printf('%02d', gb) AS token FROM b)
 SELECT token, count(*) AS n FROM tok GROUP BY token""")
 def wide_tokens(spark, d):
     rows = series.time_gap(t.event_ledger(spark, d), ["cust_id"], "txn_ts", ["event_id"])
     rows = rows.withColumns({
         "gap": v.log_amount("dt_prev_sec"), "amount_log1p": v.log_amount("amount"),
         "product_type": (F.col("cust_id") % 6).cast("int"), "risk_level": (F.col("cust_id") % 5 + 1).cast("int")})
-    rows = q.apply_bins(rows, q.fit_adaptive_bins(rows, ["direction"], "amount_log1p", 16), ["direction"], "amount_log1p", 16, "ab", few_keys=True)
+    rows = q.apply_bins(rows, q.fit_adaptive_bins(rows, ["direction"], "amount_log1p", 16), ["direction"], "amount_log1p", 16, "ab", codes=q.DIRECTIONS)
     rows = q.apply_bins(rows, q.fit_bins(rows, [], "gap", 8), [], "gap", 8, "gb")
     token = tk.compose_token("direction", tk.bin_label(F.col("ab")), "product_type", "risk_level")
     hour = F.floor(F.hour("ts") / 3).cast("int")

@@ -2,7 +2,8 @@
 
 lineitem is the transaction ledger: a returned line is a redemption, an untaxed line a failed
 transaction, the discounted price the amount (decimal, so sums are exact). The joins to part,
-orders and customer are made only when an attribute of theirs is asked for; they carry no hint, so
+orders and customer are made only when an attribute of theirs is asked for. They are left joins: a
+line with an unknown part, order or customer keeps its row, with nulls. They carry no hint, so
 a small dimension is broadcast by the size check of the optimizer and a large one is shuffled.
 """
 
@@ -50,17 +51,17 @@ def ledger(spark: SparkSession, sf_dir: str, product: str = "type", group: bool
     ]
     if product == "type":
         part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-        rows = rows.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        rows = rows.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
         columns = [F.col("p_type").alias("product_id"), *columns]
     else:
         columns = [F.col("l_partkey").cast("string").alias("product_id"), *columns]
     if group or customer:
         orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-        rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
         columns.append(F.col("o_custkey").alias("cust_id"))
     if group:
         people = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-        rows = rows.join(people, F.col("o_custkey") == F.col("c_custkey"))
+        rows = rows.join(people, F.col("o_custkey") == F.col("c_custkey"), "left")
         columns += [position("c_mktsegment", SEGMENTS).alias("group_id"), F.col("c_mktsegment").alias("group_name")]
     if tie:
         columns += TIE
@@ -116,7 +117,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with its order as shop order lines."""
     rows = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    joined = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     sign = F.when(F.col("l_returnflag") == "R", -1).otherwise(1)
     return joined.select(
         F.concat(F.when(F.col("l_tax") == 0, "C").otherwise(""), F.col("l_orderkey").cast("string")).alias("InvoiceNo"),
@@ -128,11 +129,16 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linenumber", "l_suppkey", "l_discount")
 
 
+def code_of(number: str) -> Column:
+    """Six digits at least: shorter numbers are padded, longer ones stay whole."""
+    return F.format_string("%06d", number).alias("code")
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open, high, low, close, volume and traded amount per customer-facing code and day, from events."""
     e = event_ledger(spark, sf_dir)
     at = F.struct("ts", "event_id")
-    return e.groupBy(F.lpad(F.col("cust_id").cast("string"), 6, "0").alias("code"), "date").agg(
+    return e.groupBy(code_of("cust_id"), "date").agg(
         F.min_by("amount", at).cast("double").alias("open"), F.max("amount").cast("double").alias("high"),
         F.min("amount").cast("double").alias("low"), F.max_by("amount", at).cast("double").alias("close"),
         F.count(F.lit(1)).alias("volume"), F.sum("amount").alias("amount"))
@@ -147,4 +153,4 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("cust_id"), F.concat_ws(" ", "c_mktsegment", "c_name").alias("name"))
     return flows.join(people, "cust_id", "left").select(
-        F.lpad(F.col("cust_id").cast("string"), 6, "0").alias("code"), "name", "turnover", "main_net")
+        code_of("cust_id"), "name", "turnover", "main_net")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from flowlytics.operators import cleaning, corpus, forecast as fc, joins, mapping, profile as p, quality, rollup, vocab
 from flowlytics.operators import quantile as q
-from flowlytics.sources import readers
+from flowlytics.functions import tokens
+from flowlytics.sources import readers, tables
 
 
 def test_detection_prefers_order_then_substring():
@@ -120,7 +121,7 @@ def test_ks_equals_definition(spark):
     a, b = (np.sort(frame[frame.direction == d].amount) for d in (0, 1))
     grid = np.sort(frame.amount)
     want = np.abs(np.searchsorted(a, grid, "right") / len(a) - np.searchsorted(b, grid, "right") / len(b)).max()
-    for cut in ({}, {"max_segments": 8, "min_rows": 20}):
+    for cut in ({}, {"piece_rows": 20}):
         assert quality.ks_distance(df, "direction", "amount", **cut).first()["ks"] == pytest.approx(want)
 
 
@@ -153,10 +154,21 @@ def test_transition_rows_sum_to_one(spark):
     assert got["f"] == pytest.approx(want) and got["total"] == pytest.approx(want / 2)
 
 
-def test_top_n_over_picks_before_the_shape_filter(spark):
-    df = spark.createDataFrame([("bad", 9.0), ("000001", 8.0), ("000002", 7.0), ("000003", 6.0), ("x", None), ("y", -1.0)], "code string, v double")
-    got = [r["code"] for r in vocab.top_n(df, "v", ["code"], 2, shape=F.col("code").rlike(r"^\d{6}$")).collect()]
-    assert got == ["000001", "000002"]
+def test_top_n_filters_before_it_picks(spark):
+    rows = [("x", None), ("y", -1.0)] + [(f"bad{i}", 100.0 + i) for i in range(40)] + [(f"{i:06d}", float(i)) for i in range(1, 41)]
+    df = spark.createDataFrame(rows, "code string, v double")
+    got = [r["code"] for r in vocab.top_n(df, "v", ["code"], 20, F.col("code").rlike(r"^\d{6}$")).collect()]
+    assert got == [f"{i:06d}" for i in range(40, 20, -1)]
+
+
+def test_codes_stay_distinct_with_seven_digits(spark):
+    ids = spark.createDataFrame([(i,) for i in (7, 1_000_007, 1_000_008, 123_456)], "cust_id long")
+    assert [r["code"] for r in ids.select(tables.code_of("cust_id")).collect()] == ["000007", "1000007", "1000008", "123456"]
+
+
+def test_bin_labels_stay_distinct_beyond_a_hundred(spark):
+    labels = [r["l"] for r in spark.range(128).select(tokens.bin_label(F.col("id")).alias("l")).collect()]
+    assert len(set(labels)) == 128 and labels[5] == "A05" and labels[100] == "A100"
 
 
 def test_merge_keeps_rows_without_group(spark):

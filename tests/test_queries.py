@@ -20,7 +20,7 @@ def con():
 def test_query_equals_its_sql(spark, con, name):
     _, rows, problems = oracle.check(spark, con, SF_DIR, name)
     assert not problems
-    assert problems is not None or name == "tree_forecast"
+    assert problems is not None
 
 
 def plan(spark, name):
