@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship_library(spark: SparkSession) -> SparkSession:
+    """Gives the executors' Python workers this package, once for each application."""
+    if spark.sparkContext.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        folder = tempfile.TemporaryDirectory(prefix="flowlytics-")  # the driver serves the archive from it
+        tree = shutil.copytree(package, f"{folder.name}/tree/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder.name}/{package.name}", "zip", Path(tree).parent))
+        _shipped[spark.sparkContext.applicationId] = folder
+    return spark
+
 
 def local_session(cpus: str = "8", app: str = "flowlytics", memory: str = "12g") -> SparkSession:
     """A single-JVM session for tests and the bench; a cluster brings its own."""
