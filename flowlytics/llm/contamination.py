@@ -26,27 +26,23 @@ WINDOW = 13
 SHINGLE = 4
 PART_WINDOWS = 50_000
 
-# bytes of words: digits, letters and everything beyond ASCII; A-Z become a-z, the rest separates
-_WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-
-
-def split_words(raw: bytes) -> list[bytes]:
-    return raw.translate(_WORD_BYTES).split()
+# words are digits, letters and everything beyond ASCII; the rest separates
+_TABLE = texts.translation({*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)})
 
 
 def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per window: item_id (string), window (its words, joined by blanks), shingles (hash of each shingle)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = texts.WordHashes()
         for batch, raws in texts.slices(batches, "text"):
             ids, wins, hashes = [], [], []
             for item, raw in zip(batch.column("item_id").to_pylist(), raws):
-                words = split_words(raw)
+                found = texts.Words([raw], _TABLE)
+                words = found.clean.split()
                 size = min(window, len(words))
                 if not size:
                     continue
-                h = texts.rolling(texts.hash_words(words, known), min(SHINGLE, size)).view(np.int64)
+                h = texts.rolling(found.hashes, min(SHINGLE, size)).view(np.int64)
                 per = size - min(SHINGLE, size) + 1
                 for i in range(len(words) - size + 1):
                     ids.append(item)
@@ -63,14 +59,13 @@ def shingle_frequencies(docs: DataFrame, wanted: np.ndarray, sizes: list[int]) -
     """Documents (column ``text``) that hold each wanted shingle; ``wanted`` is sorted. Counted per task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = texts.WordHashes(), np.zeros(len(wanted), np.int64)
+        seen = np.zeros(len(wanted), np.int64)
         for _, raws in texts.slices(batches, "text"):
-            words, ends = _concatenated(raws)
-            hashed = texts.hash_words(words, known)
+            words = texts.Words(raws, _TABLE)
             for k in sizes:
-                at, which = _matches(texts.rolling(hashed, k), wanted)
-                doc = np.searchsorted(ends, at, side="right")
-                inside = at + k <= ends[np.minimum(doc, len(ends) - 1)]
+                at, which = _matches(texts.rolling(words.hashes, k), wanted)
+                doc = np.searchsorted(words.ends, at, side="right")
+                inside = at + k <= words.ends[np.minimum(doc, len(raws) - 1)]
                 seen += np.bincount(np.unique(np.stack((doc[inside], which[inside])), axis=1)[1], minlength=len(wanted))
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(seen[some])], names=["shingle", "n"])
@@ -78,16 +73,6 @@ def shingle_frequencies(docs: DataFrame, wanted: np.ndarray, sizes: list[int]) -
     return docs.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
-def _concatenated(raws: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Words of several texts in a row, and where each text ends."""
-    words: list[bytes] = []
-    ends = np.empty(len(raws), np.int64)
-    for i, raw in enumerate(raws):
-        words += split_words(raw)
-        ends[i] = len(words)
-    return words, ends
-
-
 def _matches(hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of hashes that are wanted, and which ones they are."""
     if not len(hashes) or not len(wanted):
@@ -126,18 +111,19 @@ class WindowIndex:
             found[-1].append((off, words, item))
         self.by_size = {k: (np.array(keys, np.int64).view(np.uint64), found) for k, (keys, found) in self.by_size.items()}
 
-    def hits(self, words: list[bytes], hashed: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, dict[int, set[str]]]:
+    def hits(self, words: texts.Words) -> tuple[np.ndarray, dict[int, set[str]]]:
         """Flags of hit words, and the items found in each text."""
-        hit, items = np.zeros(len(words), bool), {}
+        hit, items = np.zeros(len(words.hashes), bool), {}
         for k, (keys, windows) in self.by_size.items():
-            at, which = _matches(texts.rolling(hashed, k), keys)
-            docs = np.searchsorted(ends, at, side="right")
+            at, which = _matches(texts.rolling(words.hashes, k), keys)
+            docs = np.searchsorted(words.ends, at, side="right")
             for place, w, doc in zip(at.tolist(), which.tolist(), docs.tolist()):
-                first, last = (int(ends[doc - 1]) if doc else 0), int(ends[doc])
+                first, last = (int(words.ends[doc - 1]) if doc else 0), int(words.ends[doc])
                 for off, win, item in windows[w]:
                     start = place - off
-                    if start >= first and start + len(win) <= last and words[start:start + len(win)] == win:
-                        hit[start:start + len(win)] = True
+                    end = start + len(win)
+                    if start >= first and end <= last and words.clean[words.starts[start]:words.stops[end - 1]].split() == win:
+                        hit[start:end] = True
                         items.setdefault(doc, set()).add(item)
         return hit, items
 
@@ -147,10 +133,10 @@ _FOUND = "doc_id {id}, n_words long, n_hit long, hits binary, items array<string
 
 def _search(docs: DataFrame, index: WindowIndex, keep_hits: bool) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = texts.WordHashes()
         for batch, raws in texts.slices(batches, "text"):
-            words, ends = _concatenated(raws)
-            hit, items = index.hits(words, texts.hash_words(words, known), ends)
+            words = texts.Words(raws, _TABLE)
+            ends = words.ends
+            hit, items = index.hits(words)
             starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
             total = np.concatenate(([0], np.cumsum(hit)))
             n_hit = total[ends] - total[starts]

@@ -99,10 +99,13 @@ def block_bits(fingerprints: int) -> int:
     return max(LEAST_BLOCK_BITS, int(np.ceil(np.log2(max(1, fingerprints) / BLOCK_ROWS))))
 
 
-def packed_filter(fingerprints: list[np.ndarray], leading: int) -> pa.RecordBatch:
-    """The filter of one task's fingerprints, a row per block."""
-    values = np.concatenate(fingerprints) if fingerprints else np.empty(0, np.uint64)
-    parts = list(QuotientFilter.of(values, leading + LOCAL_BITS).blocks(leading))
+def packed_filter(fingerprints: list[np.ndarray], leading: int, least: int = 1) -> pa.RecordBatch:
+    """The filter of one task's fingerprints (those that it has ``least`` times), a row per block."""
+    whole = QuotientFilter.of(np.concatenate(fingerprints), leading + LOCAL_BITS)
+    if least > 1:
+        many = whole.counts >= least
+        whole = QuotientFilter(whole.bits, whole.quotients[many], whole.remainders[many], whole.counts[many])
+    parts = list(whole.blocks(leading))
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([f.pack(leading) for _, f in parts], pa.binary())],
                                       names=["block", "filter"])
 

@@ -35,28 +35,25 @@ PERCENT = 75
 FREQUENT = 16
 MOST_RANKED = 500_000
 SAMPLE_BITS = 62
-TASK_TOKENS = 2_000_000
+TASK_TOKENS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
-def shingle_sets(raws: list[bytes], known: texts.WordHashes, k: int = WORDS) -> Iterator[np.ndarray]:
+_TABLE = texts.translation({0x20, *range(0x09, 0x0E)})
+
+
+def shingle_sets(raws: list[bytes], k: int = WORDS) -> Iterator[np.ndarray]:
     """The distinct shingles of each text, hashed and sorted; a text of fewer words is one shingle, one without words none."""
-    words: list[bytes] = []
-    ends = []
-    for raw in raws:
-        words += raw.lower().split()
-        ends.append(len(words))
-    hashed = texts.hash_words(words, known)
-    rolled = texts.rolling(hashed, k)
-    start = 0
-    for end in ends:
+    words = texts.Words(raws, _TABLE)
+    rolled = texts.rolling(words.hashes, k)
+    for start, end in words.bounds():
         if end - start >= k:
             h = np.sort(rolled[start:end - k + 1])
             keep = np.ones(len(h), bool)
             np.not_equal(h[1:], h[:-1], out=keep[1:])
             yield h[keep]
         else:
-            yield texts.rolling(hashed[start:end], end - start) if end > start else np.empty(0, texts.U64)
-        start = end
+            yield texts.rolling(words.hashes[start:end], end - start) if end > start else np.empty(0, texts.U64)
 
 
 class Ranks:
@@ -93,10 +90,10 @@ def _digests(docs: DataFrame, leading: int) -> DataFrame:
     """A row per document (doc_id, n, set_key) and, in the same pass, the tasks' filters of a quarter of all shingles."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = texts.WordHashes(), [], 0
+        held, size = [], 0
         for batch, raws in texts.slices(batches, "text"):
             n, keys = [], []
-            for s in shingle_sets(raws, known):
+            for s in shingle_sets(raws):
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 held.append(s[:np.searchsorted(s, texts.U64(1 << SAMPLE_BITS))])
@@ -120,21 +117,24 @@ def _digests(docs: DataFrame, leading: int) -> DataFrame:
 
 
 def _remaining_filters(docs: DataFrame, ranks: Ranks, leading: int) -> DataFrame:
-    """Filters of the other three quarters of the shingles, of documents that hold a frequent one."""
+    """Filters of the other three quarters of the shingles, of documents that hold a frequent one.
+
+    A task passes on what repeats within it. That is a lower bound of the frequency, good enough for an order.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = texts.WordHashes(), [], 0
+        held, size = [], 0
         for _, raws in texts.slices(batches, "text"):
-            for s in shingle_sets(raws, known):
+            for s in shingle_sets(raws):
                 cut = np.searchsorted(s, texts.U64(1 << SAMPLE_BITS))
                 if ranks.of(s[:cut]).any():
                     held.append(s[cut:])
                     size += len(held[-1])
             if size >= TASK_TOKENS:
-                yield exact.packed_filter(held, leading)
+                yield exact.packed_filter(held, leading, 2)
                 held, size = [], 0
         if held:
-            yield exact.packed_filter(held, leading)
+            yield exact.packed_filter(held, leading, 2)
 
     return docs.select("text").mapInArrow(count, "block int, filter binary")
 
@@ -153,9 +153,9 @@ def _members(docs: DataFrame, ranks: Ranks, leading: int, percent: int) -> DataF
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, reps, size = texts.WordHashes(), [], [], 0
+        held, reps, size = [], [], 0
         for batch, raws in texts.slices(batches, "text"):
-            for rep, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(raws, known)):
+            for rep, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(raws)):
                 p = prefix(s, ranks, percent)
                 held.append(p)
                 reps.append(np.full(len(p), rep, np.int64))
@@ -206,29 +206,38 @@ def _members(docs: DataFrame, ranks: Ranks, leading: int, percent: int) -> DataF
     return docs.mapInArrow(emit, "block int, rows binary").groupBy("block").applyInArrow(group, "token long, rep long")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(rep, n, shingles) of documents."""
+def _small(df: DataFrame) -> DataFrame:
+    """A staged table, to be broadcast where it is small enough by count; otherwise the join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = texts.WordHashes()
-        for batch, raws in texts.slices(batches, "text"):
-            found = [s.view(np.int64) for s in shingle_sets(raws, known)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))],
-                                             names=["rep", "n", "shingles"])
 
-    return docs.mapInArrow(sets, "rep long, n long, shingles array<long>")
+def _distances(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """a, b, d, linked of each pair. Only the documents in pairs are cut into shingles; a set of b meets each of its a."""
 
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raws in texts.slices(batches, "text"):
+            found = [s.view(np.int64) for s in shingle_sets(raws)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
-def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, d, linked of each pair (a < b)."""
-    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    whole = F.col("na") + F.col("nb") - F.col("common")
+    def sets_for_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raws in texts.slices(batches, "text"):
+            for a, partners, s in zip(batch.column("doc_id").to_pylist(), batch.column("partners").to_pylist(), shingle_sets(raws)):
+                step = max(1, 100_000 // max(1, len(s)))
+                for start in range(0, len(partners), step):
+                    some = partners[start:start + step]
+                    yield pa.RecordBatch.from_arrays([pa.array([a] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array([s.view(np.int64)] * len(some), pa.list_(pa.int64()))],
+                                                     names=["a", "b", "sa"])
+
+    partners = materialise(pairs.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list("b").alias("partners")))
+    hubs = materialise(pairs.select(F.col("b").alias("doc_id")).distinct())
+    left = docs.join(_small(partners), "doc_id").select("doc_id", "partners", "text").mapInArrow(sets_for_partners, "a long, b long, sa array<long>")
+    right = docs.join(_small(hubs), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles array<long>").select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    both = left.join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
+    whole = F.size("sa") + F.size("sb") - F.col("common")
     return both.select("a", "b", (1 - F.col("common") / whole).alias("d"), (100 * F.col("common") >= percent * whole).alias("linked"))
 
 
-def _linked_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked_classes(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the representatives that link to another one. ``members``: token, rep, n."""
     spark = members.sparkSession
     eps = 1 - percent / 100
@@ -243,9 +252,11 @@ def _linked_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
                  .agg(F.min(F.struct(F.xxhash64("rep").alias("o"), "rep", "n", "label")).alias("p")))
         pivots = materialise(drawn.select("token", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel")))
         meets = now.join(pivots, "token").filter("rep <> pivot AND label <> plabel").select("token", "rep", "pivot", "n", "pn")
-        meets = materialise(meets.withColumns({"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot"), "bound": 1 - F.least("n", "pn") / F.greatest("n", "pn")}))
+        ends = [F.struct(F.xxhash64(c).alias("o"), F.col(c).alias("x")) for c in ("rep", "pivot")]
+        ordered = F.greatest(*ends)["x"], F.least(*ends)["x"]  # each pair in one direction
+        meets = materialise(meets.withColumns({"a": ordered[0], "b": ordered[1], "bound": 1 - F.least("n", "pn") / F.greatest("n", "pn")}))
         near = meets.filter(100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
-        distances = materialise(_distances(near.select("a", "b").distinct(), sets, percent))
+        distances = materialise(_distances(near.select("a", "b").distinct(), docs, percent))
         found = distances.filter("linked").select("a", "b")
         links = found if links is None else links.unionAll(found)
         labels = materialise(components(links))
@@ -260,7 +271,7 @@ def _linked_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
         left = materialise(members.join(done, ["token", "rep"], "left_anti").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
         split = left.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
         members = materialise(left.join(split, "token", "left_semi").drop("label"))
-        cells *= 4
+        cells = max(64, cells * 4)
     if labels is None:
         labels = spark.createDataFrame([], "node long, root long")
     return labels
@@ -291,10 +302,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         more = _ranked(_remaining_filters(firsts, ranks, leading), leading)
         ranks = Ranks(*(np.concatenate(x) for x in zip(quarter, more)))
     members = materialise(_members(firsts, ranks, leading, percent))
-    involved = members.select("rep").distinct()
-    sets = materialise(_sets(firsts.join(involved.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")))
-    sized = materialise(members.distinct().join(sets.select("rep", "n").groupBy("rep").agg(F.max("n").alias("n")), "rep"))
-    roots = materialise(_linked_classes(sized, sets, percent).withColumnRenamed("node", "rep"))
+    sizes = digests.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("rep")).agg(F.max("n").alias("n"))
+    sized = materialise(members.distinct().join(sizes, "rep"))
+    roots = materialise(_linked_classes(sized, firsts, percent).withColumnRenamed("node", "rep"))
     of_set = copied.join(roots, "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
     by_doc = roots.select(F.col("rep").alias("doc_id"), F.col("root").alias("own"))
     found = digests.join(of_set, "set_key", "left").join(by_doc, "doc_id", "left")

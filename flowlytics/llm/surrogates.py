@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flowlytics.sources.stage import materialise
 
@@ -42,8 +43,9 @@ PATTERNS = [
     ("female", _after(FEMALE)),
 ]
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
-# a text without any of these has no entity; cheaper than the patterns
-HINT = f"[@\\d]|password|{MALE}|{FEMALE}"
+PLAIN = "|".join(f"(?:{p})" for k, p in PATTERNS if k in ("email", "ip", "card", "phone", "hex"))
+# what a text must hold for the kinds that PLAIN leaves out; without any it takes the shorter pattern
+RARE = ("AKIA", "password", *MALE.split("|"), *FEMALE.split("|"))
 MOST_PLAIN = 8  # drawn so often within the format; after that the surrogate gets longer
 
 # syllables of made-up names by script, and endings by script and gender (fixed values)
@@ -61,20 +63,36 @@ def kind_of(surface: Column) -> Column:
             .when(surface.rlike("^[0-9a-f]{40}$"), "hex"))
 
 
-def found(text: Column) -> Column:
-    """Entities of a text in order, each with the form of address before it: array of struct(kind, surface)."""
-    surfaces = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    before = F.split(text, ANY)
-    male, female = f"(?s).*(?:{MALE})\\.? (?:\\p{{Lu}}\\p{{Ll}}{{1,30}} )?$", f"(?s).*(?:{FEMALE})\\.? (?:\\p{{Lu}}\\p{{Ll}}{{1,30}} )?$"
+def _rare(text: Column) -> Column:
+    out = F.lit(False)
+    for word in RARE:
+        out = out | text.contains(word)
+    return out
 
-    def entity(surface: Column, i: Column) -> Column:
-        # the end of what stands before: enough for a form of address and a name between, or the name found just before it
-        lead = F.right(F.get(before, i), F.lit(64))
-        previous = F.when((i > 0) & (F.get(before, i) == " "), F.concat(F.right(F.get(before, i - 1), F.lit(64)), F.get(surfaces, i - 1), F.lit(" "))).otherwise(lead)
-        named = F.when(previous.rlike(male), "male").when(previous.rlike(female), "female").otherwise("password")
-        return F.struct(F.coalesce(kind_of(surface), named).alias("kind"), surface.alias("surface"))
 
-    return F.transform(surfaces, entity)
+def entities(docs: DataFrame) -> DataFrame:
+    """doc_id, copy, pos, kind, surface of each entity. ``docs``: doc_id, copy, text."""
+    t = F.col("text")
+    rows = docs.withColumn("rare", _rare(t)).filter(F.col("rare") | t.rlike("[@0-9]"))
+    surfaces = F.when(F.col("rare"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.regexp_extract_all(t, F.lit(PLAIN), F.lit(0)))
+    # the end of what stands before each: enough for a form of address and a name between
+    leads = F.transform(_pieces(t, F.col("rare")), lambda p: F.struct(F.right(p, F.lit(64)).alias("lead"), (F.length(p) == 1).alias("one")))
+    cut = rows.select("doc_id", "copy", F.posexplode(F.arrays_zip(surfaces.alias("surface"), leads.alias("before"))).alias("pos", "e"))
+    cut = cut.select("doc_id", "copy", "pos", F.col("e.surface").alias("surface"), F.col("e.before.lead").alias("lead"), F.col("e.before.one").alias("one")).filter("surface IS NOT NULL")
+    cut = cut.withColumn("kind", kind_of(F.col("surface")))
+    # a second name after a first one: what stood before the first counts
+    w = Window.partitionBy("doc_id", "copy").orderBy("pos")
+    joined = F.col("one") & (F.col("lead") == " ")
+    before = F.when(joined, F.concat(F.lag("lead").over(w), F.lag("surface").over(w), F.lit(" "))).otherwise(F.col("lead"))
+    names = "(?s).*(?:%s)\\.? (?:\\p{Lu}\\p{Ll}{1,30} )?$"
+    named = cut.withColumn("lead", before)
+    kind = F.coalesce("kind", F.when(F.col("lead").rlike(names % MALE), "male").when(F.col("lead").rlike(names % FEMALE), "female").otherwise("password"))
+    return named.select("doc_id", "copy", "pos", kind.alias("kind"), "surface")
+
+
+def _pieces(text: Column, rare: Column) -> Column:
+    """What stands between the entities."""
+    return F.when(rare, F.split(text, ANY)).otherwise(F.split(text, PLAIN))
 
 
 def canonical(kind: Column, surface: Column) -> Column:
@@ -155,15 +173,18 @@ def _name(kind: Column, surface: Column, stream: Column, more: Column) -> Column
 
 def surrogate(key: str, kind: Column, surface: Column, identity: Column, attempt: Column) -> Column:
     """The surrogate of one way to write an identity, in that way's format."""
-    stream = _stream(key, kind, identity, attempt, F.greatest(F.length(surface), F.lit(40)))
+    drawn = _stream(key, kind, identity, attempt, F.greatest(F.length(surface), F.lit(40)))
+    # bound by a lambda, the stream is made once and not for each character
+    return F.get(F.transform(F.array(drawn), lambda stream: _by_kind(kind, surface, attempt, stream)), F.lit(0))
+
+
+def _by_kind(kind: Column, surface: Column, attempt: Column, stream: Column) -> Column:
     wide = attempt >= MOST_PLAIN
     longer = F.when(wide, F.concat(F.lit("x"), F.left(F.sha2(stream, 256), F.lit(8)))).otherwise("")
-    at = F.substring_index(surface, "@", 1)
-    host = F.substring_index(surface, "@", -1)
-    top = F.concat(F.lit("."), F.substring_index(host, ".", -1))
-    local = F.substring(surface, F.lit(1), F.length(surface) - F.length(top))
-    mail = F.concat(F.substring_index(_replaced(local, stream, F.lit(0)), "@", 1), longer, F.lit("@"), F.substring_index(_replaced(local, stream, F.lit(0)), "@", -1), top)
-    return (F.when(kind == "email", F.when(at.isNotNull(), mail)).when(kind == "ip", _octets(surface, stream, wide))
+    top = F.concat(F.lit("."), F.substring_index(surface, ".", -1))
+    address = _replaced(F.substring(surface, F.lit(1), F.length(surface) - F.length(top)), stream, F.lit(0))
+    mail = F.concat(F.substring_index(address, "@", 1), longer, F.lit("@"), F.substring_index(address, "@", -1), top)
+    return (F.when(kind == "email", mail).when(kind == "ip", _octets(surface, stream, wide))
             .when(kind == "card", _checked(_replaced(surface, stream, F.lit(1))))
             .when(kind == "phone", _replaced(surface, stream, F.when(surface.startswith("+"), 1).otherwise(0)))
             .when(kind == "key", _replaced(surface, stream, F.lit(4)))
@@ -201,17 +222,13 @@ def with_surrogates(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str
     A null text comes back null, an empty one empty, both without entities; text outside of entities is unchanged. Repeated
     rows get the same result each. An empty table gives no row. Other columns are ignored.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    t = F.col("text")
-    seen = rows.filter(t.rlike(HINT)).select("doc_id", F.xxhash64("text").alias("copy"), found(t).alias("found")).filter(F.size("found") > 0)
-    seen = materialise(seen.dropDuplicates(["doc_id", "copy"]).select("doc_id", "copy", F.posexplode("found").alias("pos", "e")).select("doc_id", "copy", "pos", "e.kind", "e.surface"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("copy", F.xxhash64("text"))
+    seen = materialise(entities(rows).dropDuplicates(["doc_id", "copy", "pos"]))
     table = materialise(surrogate_table(seen.select("kind", "surface").distinct(), key))
     per_doc = (seen.join(table, ["kind", "surface"]).groupBy(F.col("doc_id").alias("of"), F.col("copy").alias("of_copy"))
                .agg(F.array_sort(F.collect_list(F.struct("pos", "surrogate"))).alias("made")))
     per_doc = materialise(per_doc.select("of", "of_copy", F.transform("made", lambda m: m["surrogate"]).alias("made")))
-    keyed = rows.withColumn("copy", F.xxhash64("text"))
-    joined = keyed.join(per_doc, keyed["doc_id"].eqNullSafe(per_doc["of"]) & (keyed["copy"] == per_doc["of_copy"]), "left")
-    pieces = F.split(t, ANY)
-    rebuilt = F.array_join(F.zip_with(pieces, F.col("made"), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    return joined.select("doc_id", F.when(F.col("made").isNull(), t).otherwise(rebuilt).alias("text"),
+    joined = rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["of"]) & (rows["copy"] == per_doc["of_copy"]), "left")
+    rebuilt = F.array_join(F.zip_with(_pieces(F.col("text"), _rare(F.col("text"))), F.col("made"), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    return joined.select("doc_id", F.when(F.col("made").isNull(), F.col("text")).otherwise(rebuilt).alias("text"),
                          F.coalesce(F.size("made"), F.lit(0)).cast("long").alias("n_entities"))

@@ -6,10 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 SLICE_BYTES = 2_000_000
-CACHED_WORDS = 200_000
+PIECE_BYTES = 1 << 18
 
 U64 = np.uint64
 
@@ -33,20 +32,6 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             start = end
 
 
-class WordHashes(dict):
-    """64-bit hash of a word; remembers a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def hash_words(words: list[bytes], known: WordHashes) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), U64, len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64 bits (xor-shift and multiply), so that every bit depends on every other."""
     h = h ^ (h >> U64(30))
@@ -56,6 +41,68 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
+def translation(separators: set[int]) -> bytes:
+    """Byte table that makes A-Z lower case and each separator a blank."""
+    return bytes(0x20 if b in separators else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+
+
+_BASE = 0x9E3779B97F4A7C15
+_VALUES = mix(np.arange(1, 257, dtype=U64))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, U64(base), U64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+_UP, _DOWN = _powers(_BASE, PIECE_BYTES + 1), _powers(pow(_BASE, -1, 1 << 64), PIECE_BYTES + 1)
+
+
+class Words:
+    """The words of several texts in a row: 64-bit hashes, places in ``clean``, and the number of words up to each text's end."""
+
+    def __init__(self, raws: list[bytes], table: bytes):
+        self.clean = b" ".join(raws).translate(table)
+        found = [self._piece(a, b) for a, b in self._pieces()]
+        self.hashes, self.starts, self.stops = (np.concatenate([f[i] for f in found]) if found else np.empty(0, k) for i, k in enumerate((U64, np.int64, np.int64)))
+        lengths = np.fromiter(map(len, raws), np.int64, len(raws))
+        self.ends = np.searchsorted(self.starts, np.cumsum(lengths + 1) - 1)
+
+    def _pieces(self) -> Iterator[tuple[int, int]]:
+        """Stretches of about PIECE_BYTES that end between words."""
+        at, length = 0, len(self.clean)
+        while at < length:
+            end = length
+            if length - at > PIECE_BYTES:
+                end = self.clean.rfind(b" ", at, at + PIECE_BYTES) + 1 or self.clean.find(b" ", at + PIECE_BYTES) + 1 or length
+            yield at, end
+            at = end
+
+    def _piece(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of a stretch: the polynomial of a word's bytes is a difference of running sums, moved to its start."""
+        codes = np.frombuffer(self.clean, np.uint8, b - a, a)
+        inside = np.zeros(len(codes) + 2, np.int8)
+        inside[1:-1] = codes != 0x20
+        turns = np.diff(inside)
+        starts, stops = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+        up, down = (_UP, _DOWN) if len(codes) <= PIECE_BYTES else (_powers(_BASE, len(codes) + 1), _powers(pow(_BASE, -1, 1 << 64), len(codes) + 1))
+        sums = np.zeros(len(codes) + 1, U64)
+        np.cumsum(_VALUES[codes] * up[:len(codes)], out=sums[1:])
+        hashes = (sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(U64) * U64(0xC2B2AE3D27D4EB4F)
+        return mix(hashes), starts + a, stops + a
+
+    def word(self, i: int) -> bytes:
+        return self.clean[self.starts[i]:self.stops[i]]
+
+    def bounds(self) -> Iterator[tuple[int, int]]:
+        """First word and end of each text."""
+        start = 0
+        for end in self.ends.tolist():
+            yield start, end
+            start = end
+
+
 # odd multipliers, one for each place in a shingle (fixed values)
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                    0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85,
