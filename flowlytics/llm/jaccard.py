@@ -37,6 +37,7 @@ MOST_RANKED = 500_000
 SAMPLE_BITS = 62
 TASK_TOKENS = 1_000_000
 BROADCAST_ROWS = 500_000
+CELLS = 256
 
 
 _TABLE = texts.translation({0x20, *range(0x09, 0x0E)})
@@ -87,20 +88,21 @@ def prefix(shingles: np.ndarray, ranks: Ranks, percent: int = PERCENT) -> np.nda
 
 
 def _digests(docs: DataFrame, leading: int) -> DataFrame:
-    """A row per document (doc_id, n, set_key) and, in the same pass, the tasks' filters of a quarter of all shingles."""
+    """A row per document (doc_id, n, set_key, counts of its shingles by cells of the hash space) and, in the same pass, the tasks' filters of a quarter of all shingles."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch, raws in texts.slices(batches, "text"):
-            n, keys = [], []
+            n, keys, counts = [], [], []
             for s in shingle_sets(raws):
+                counts.append(np.bincount((s >> texts.U64(56)).astype(np.int64), minlength=CELLS).clip(max=255).astype(np.uint8).tobytes())
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 held.append(s[:np.searchsorted(s, texts.U64(1 << SAMPLE_BITS))])
                 size += len(held[-1])
             none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), *none],
-                                             names=["doc_id", "n", "set_key", "block", "filter"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), *none],
+                                             names=["doc_id", "n", "set_key", "counts", "block", "filter"])
             if size >= TASK_TOKENS:
                 yield blocks(held)
                 held, size = [], 0
@@ -110,10 +112,10 @@ def _digests(docs: DataFrame, leading: int) -> DataFrame:
     def blocks(held: list[np.ndarray]) -> pa.RecordBatch:
         f = exact.packed_filter(held, leading)
         k = f.num_rows
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), f.column(0), f.column(1)],
-                                          names=["doc_id", "n", "set_key", "block", "filter"])
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), f.column(0), f.column(1)],
+                                          names=["doc_id", "n", "set_key", "counts", "block", "filter"])
 
-    return docs.mapInArrow(digest, "doc_id long, n long, set_key binary, block int, filter binary")
+    return docs.mapInArrow(digest, "doc_id long, n long, set_key binary, counts binary, block int, filter binary")
 
 
 def _remaining_filters(docs: DataFrame, ranks: Ranks, leading: int) -> DataFrame:
@@ -237,8 +239,30 @@ def _distances(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (1 - F.col("common") / whole).alias("d"), (100 * F.col("common") >= percent * whole).alias("linked"))
 
 
-def _linked_classes(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of the representatives that link to another one. ``members``: token, rep, n."""
+def _screened(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """a, b, low, close of each pair: a lower bound of the distance, and whether it lets the pair link.
+
+    Counting shingles by cells maps the sets into a space with a smaller distance: the differences of the counts add up to
+    no more than the symmetric difference. The sizes give a bound as well. Only close pairs need their sets.
+    """
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            ca, cb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int64) for c in ("ca", "cb"))
+            differ = np.maximum(np.abs(ca - cb).sum(axis=1), np.abs(na - nb))
+            both = na + nb
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(2 * differ / (both + differ)), pa.array(differ * (100 + percent) <= both * (100 - percent))],
+                                             names=["a", "b", "low", "close"])
+
+    left = profiles.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
+    right = profiles.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(screen, "a long, b long, low double, close boolean")
+    return found.groupBy("a", "b").agg(F.min("low").alias("low"), F.bool_or("close").alias("close"))
+
+
+def _linked_classes(members: DataFrame, profiles: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of the representatives that link to another one. ``members``: token, rep; ``profiles``: rep, n, counts."""
     spark = members.sparkSession
     eps = 1 - percent / 100
     links = labels = None
@@ -249,29 +273,31 @@ def _linked_classes(members: DataFrame, docs: DataFrame, percent: int) -> DataFr
         else:
             now = members.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
         drawn = (now.groupBy("token", F.pmod(F.xxhash64("rep", F.lit(cells)), F.lit(cells)).alias("cell"))
-                 .agg(F.min(F.struct(F.xxhash64("rep").alias("o"), "rep", "n", "label")).alias("p")))
-        pivots = materialise(drawn.select("token", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel")))
-        meets = now.join(pivots, "token").filter("rep <> pivot AND label <> plabel").select("token", "rep", "pivot", "n", "pn")
+                 .agg(F.min(F.struct(F.xxhash64("rep").alias("o"), "rep", "label")).alias("p")))
+        pivots = materialise(drawn.select("token", F.col("p.rep").alias("pivot"), F.col("p.label").alias("plabel")))
         ends = [F.struct(F.xxhash64(c).alias("o"), F.col(c).alias("x")) for c in ("rep", "pivot")]
         ordered = F.greatest(*ends)["x"], F.least(*ends)["x"]  # each pair in one direction
-        meets = materialise(meets.withColumns({"a": ordered[0], "b": ordered[1], "bound": 1 - F.least("n", "pn") / F.greatest("n", "pn")}))
-        near = meets.filter(100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
-        distances = materialise(_distances(near.select("a", "b").distinct(), docs, percent))
+        meets = now.join(pivots, "token").filter("rep <> pivot AND label <> plabel").select("token", "rep", "pivot")
+        meets = materialise(meets.withColumns({"a": ordered[0], "b": ordered[1]}))
+        screened = materialise(_screened(meets.select("a", "b").distinct(), profiles, percent))
+        distances = _distances(materialise(screened.filter("close").select("a", "b")), docs, percent)
+        distances = materialise(distances.groupBy("a", "b").agg(F.min("d").alias("d"), F.bool_or("linked").alias("linked")))
         found = distances.filter("linked").select("a", "b")
         links = found if links is None else links.unionAll(found)
         labels = materialise(components(links))
         label = labels.select(F.col("node").alias("rep"), F.col("root").alias("label"))
         of_pivot = labels.select(F.col("node").alias("pivot"), F.col("root").alias("plabel"))
-        seen = materialise(meets.join(distances.select("a", "b", "d"), ["a", "b"], "left").join(label, "rep", "left").join(of_pivot, "pivot", "left")
-                           .select("token", "rep", "pivot", "d", "bound", F.coalesce("label", "rep").alias("label"), F.coalesce("plabel", "pivot").alias("plabel")))
-        outside = seen.filter("label <> plabel").groupBy("token", "pivot").agg(F.min(F.coalesce("d", "bound")).alias("nearest"))
+        known = materialise(screened.select("a", "b", "low").join(distances.select("a", "b", "d"), ["a", "b"], "left"))
+        seen = materialise(meets.join(known, ["a", "b"]).join(label, "rep", "left").join(of_pivot, "pivot", "left")
+                           .select("token", "rep", "pivot", "d", "low", F.coalesce("label", "rep").alias("label"), F.coalesce("plabel", "pivot").alias("plabel")))
+        outside = seen.filter("label <> plabel").groupBy("token", "pivot").agg(F.min(F.coalesce("d", "low")).alias("nearest"))
         inner = (seen.filter("label = plabel AND d IS NOT NULL").join(outside, ["token", "pivot"])
                  .filter(F.col("d") < F.col("nearest") - eps - 1e-9).select("token", "rep"))
         done = inner.unionAll(pivots.select("token", F.col("pivot").alias("rep"))).distinct()
         left = materialise(members.join(done, ["token", "rep"], "left_anti").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
         split = left.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
         members = materialise(left.join(split, "token", "left_semi").drop("label"))
-        cells = max(64, cells * 4)
+        cells *= 8
     if labels is None:
         labels = spark.createDataFrame([], "node long, root long")
     return labels
@@ -302,9 +328,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         more = _ranked(_remaining_filters(firsts, ranks, leading), leading)
         ranks = Ranks(*(np.concatenate(x) for x in zip(quarter, more)))
     members = materialise(_members(firsts, ranks, leading, percent))
-    sizes = digests.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("rep")).agg(F.max("n").alias("n"))
-    sized = materialise(members.distinct().join(sizes, "rep"))
-    roots = materialise(_linked_classes(sized, firsts, percent).withColumnRenamed("node", "rep"))
+    profiles = passed.filter("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "n", "counts").distinct()
+    profiles = materialise(profiles.join(members.select("rep").distinct(), "rep", "left_semi"))
+    roots = materialise(_linked_classes(materialise(members.distinct()), profiles, firsts, percent).withColumnRenamed("node", "rep"))
     of_set = copied.join(roots, "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
     by_doc = roots.select(F.col("rep").alias("doc_id"), F.col("root").alias("own"))
     found = digests.join(of_set, "set_key", "left").join(by_doc, "doc_id", "left")

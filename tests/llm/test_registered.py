@@ -63,7 +63,7 @@ def test_pipeline_equals_its_stages(spark):
 
 
 def test_filtering_stages_keep_columns(spark):
-    docs = spark.createDataFrame([(1, "a b c", None, None, 3, "x"), (2, None, "en", "s", 0, "y"), (None, "", "en", "s", 0, "z")],
+    docs = spark.createDataFrame([(1, "a b c", None, None, 3, "x"), (2, None, "en", "s", 0, "y"), (None, "z", "en", "s", 0, "z")],
                                  "doc_id long, text string, lang string, source string, n_chars long, fp string")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF_DIR)
