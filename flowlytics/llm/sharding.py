@@ -107,49 +107,40 @@ def minimax_cuts(rows: DataFrame, shards: int, first_bits: int = FIRST_BITS, mor
             return 0, []
         least, _ = _search(cells, shards, True)
         most, cuts = _search(cells, shards, False)
-        touched = set() if least == most else _reached(cells, shards, least, most)
-        if least == most or not touched:
+        windows = [] if least == most else _reached(cells, shards, least, most)
+        if not windows:
             return most, [cells[c].low for c in cuts[:-1]]
         bits = min(bits + more_bits, SPACE_BITS)
-        split = [cells[i] for i in sorted(touched)]
-        finer = _cells(rows, bits, _joined(split))
-        kept = [c for i, c in enumerate(cells) if i not in touched]
+        finer = _cells(rows, bits, [(cells[a].low, cells[b].high) for a, b in windows])
+        kept = [c for i, c in enumerate(cells) if not any(a <= i <= b for a, b in windows)]
         cells = sorted(kept + finer, key=lambda c: c.low)
 
 
-def _reached(cells: list[Cell], shards: int, least: int, most: int) -> set[int]:
-    """Cells that can be split and in which a cut can lie for a capacity from ``least`` to ``most``.
+def _reached(cells: list[Cell], shards: int, least: int, most: int) -> list[tuple[int, int]]:
+    """Runs of cells (first, last) in which a cut can lie for a capacity from ``least`` to ``most``, one for each shard at most.
 
-    The k-th cut lies between where the strict sweep at the least capacity and the loose one at the most can put it.
+    The k-th cut lies between where the strict sweep at the least capacity and the loose one at the most can put it. Runs
+    without a cell that can be split are left out, and runs that touch are joined.
     """
     sizes = [c.size for c in cells]
     sums = [0]
     for s in sizes:
         sums.append(sums[-1] + s)
-    loose = [not c.single for c in cells]
     low = high = 0
-    found: set[int] = set()
+    found: list[tuple[int, int]] = []
     for _ in range(shards):
         low = max(bisect_right(sums, sums[low] + least) - 1, low)
         high = bisect_right(sums, sums[high] + most) - 1
-        found.update(i for i in range(low, min(high + 1, len(cells))) if loose[i])
-        if high < len(cells) and loose[high]:
-            high += 1
-        low, high = min(low, len(cells)), min(high, len(cells))
+        last = min(high, len(cells) - 1)
+        if any(not c.single for c in cells[low:last + 1]):
+            if found and low <= found[-1][1] + 1:
+                found[-1] = (found[-1][0], max(last, found[-1][1]))
+            else:
+                found.append((low, last))
+        high = min(high + (high < len(cells) and not cells[high].single), len(cells))
     return found
 
 
-def _joined(cells: list[Cell]) -> list[tuple[int, int]]:
-    """Ranges of neighbouring cells, so that the filter stays short."""
-    out: list[tuple[int, int]] = []
-    for c in cells:
-        if out and out[-1][1] == c.low:
-            out[-1] = (out[-1][0], c.high)
-        else:
-            out.append((c.low, c.high))
-    return out
-
-
 def sharded(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
