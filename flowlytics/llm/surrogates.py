@@ -228,7 +228,8 @@ def with_surrogates(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str
     per_doc = (seen.join(table, ["kind", "surface"]).groupBy(F.col("doc_id").alias("of"), F.col("copy").alias("of_copy"))
                .agg(F.array_sort(F.collect_list(F.struct("pos", "surrogate"))).alias("made")))
     per_doc = materialise(per_doc.select("of", "of_copy", F.transform("made", lambda m: m["surrogate"]).alias("made")))
-    joined = rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["of"]) & (rows["copy"] == per_doc["of_copy"]), "left")
+    # always by a merge join, so that the plan is the same at every size
+    joined = rows.join(per_doc.hint("merge"), rows["doc_id"].eqNullSafe(per_doc["of"]) & (rows["copy"] == per_doc["of_copy"]), "left")
     rebuilt = F.array_join(F.zip_with(_pieces(F.col("text"), _rare(F.col("text"))), F.col("made"), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
     return joined.select("doc_id", F.when(F.col("made").isNull(), F.col("text")).otherwise(rebuilt).alias("text"),
                          F.coalesce(F.size("made"), F.lit(0)).cast("long").alias("n_entities"))
