@@ -203,7 +203,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose document is not contaminated. Of rows that share a doc_id all go if one does."""
-    judged = contamination(docs, benchmark, doc_id, text, **options)
-    bad = materialise(judged.filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.join(bad, docs[doc_id].eqNullSafe(bad["__bad"]), "left_anti")
+    """The rows of ``docs``, all columns, whose document is not contaminated.
+
+    A row goes by its doc_id together with its text, so clean texts under the same doc_id, or without one, stay.
+    """
+    rows = docs.withColumn("__sha", F.unhex(F.sha2(F.col(text).cast("string"), 256)))
+    judged = contamination(rows.withColumn("__row", F.struct(F.col(doc_id).alias("id"), F.col("__sha").alias("sha"))), benchmark, "__row", text, **options)
+    bad = materialise(judged.filter("contaminated").select(F.col("doc_id.id").alias("__bad"), F.col("doc_id.sha").alias("__bad_sha")).distinct())
+    return rows.join(bad, rows[doc_id].eqNullSafe(bad["__bad"]) & (rows["__sha"] == bad["__bad_sha"]), "left_anti").drop("__sha")

@@ -165,6 +165,12 @@ def duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, all columns, without those of which an equal text with a smaller doc_id stays."""
-    dropped = materialise(duplicate_groups(docs, text, doc_id).filter(~F.col("kept")).select(F.col("doc_id").alias("__dropped")))
-    return docs.join(dropped, docs[doc_id].eqNullSafe(dropped["__dropped"]), "left_anti")
+    """The rows of ``docs``, all columns, without those of which an equal text with a smaller doc_id stays.
+
+    A row goes by its doc_id together with its text, so other texts under the same doc_id, or without one, stay.
+    """
+    copies = duplicate_groups(docs, text, doc_id).filter(~F.col("kept"))
+    dropped = materialise(copies.select(F.col("doc_id").alias("__dropped"), F.unhex("text_sha256").alias("__dropped_sha")).distinct())
+    rows = docs.withColumn("__sha", F.unhex(F.sha2(normalised(F.col(text)), 256)))
+    same = rows[doc_id].eqNullSafe(dropped["__dropped"]) & (rows["__sha"] == dropped["__dropped_sha"])
+    return rows.join(dropped, same, "left_anti").drop("__sha")

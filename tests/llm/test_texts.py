@@ -59,6 +59,12 @@ def test_exact_keeps_one_of_each(spark):
     assert kept.columns == ["doc_id", "text", "norm", "fp", "block", "filter"]
 
 
+def test_exact_keeps_other_texts_of_a_doc_id(spark):
+    rows = [(1, "one"), (None, "one"), (None, "alone"), (3, "one"), (3, "other"), (4, "other")]
+    kept = exact.keep_first(texts(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == [(1, "one"), (3, "other"), (None, "alone")]
+
+
 def test_quotient_filters_merge_without_loss():
     import numpy as np
 
@@ -117,6 +123,16 @@ def test_contamination(spark, documents):
         assert {r.doc_id for r in kept.collect()} == {i for i, v in want.items() if not v[4]}
 
 
+def test_decontamination_keeps_other_texts_of_a_doc_id(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, item), (None, "clean"), (None, None), (3, f"a {item}"), (3, "clean too"), (4, item.upper())]
+    bench = spark.createDataFrame([("i", item)], "item_id string, text string")
+    for part_windows in (10**6, 3):
+        kept = contamination.remove_contaminated(texts(spark, rows), bench, part_windows=part_windows)
+        assert kept.columns == ["doc_id", "text", "norm", "fp", "block", "filter"]
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == [(3, "clean too"), (None, "clean"), (None, None)]
+
+
 def token_ids(rows):
     tokenizer = Tokenizer.from_file(VOCABULARY)
     return {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for i, t in rows}
