@@ -32,6 +32,7 @@ CACHED = 150_000
 
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the tokenizer file's own pattern
 _PLAIN = re.compile(r"[a-z]+")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space for str.split(), but not for the pattern
 
 
 class WordTokens:
@@ -39,7 +40,8 @@ class WordTokens:
 
     White space never joins a token, so the ids of a text are those of its words in turn; words and the parts that the
     pattern makes of them are remembered, in two generations of bounded size. The library's model merges each new part.
-    Texts with characters for which lower case depends on the place, or with special tokens, go through the library whole.
+    Texts with characters for which lower case depends on the place, with control characters that only split() takes for
+    white space, or with special tokens, go through the library whole.
     """
 
     def __init__(self, path: str):
@@ -52,6 +54,7 @@ class WordTokens:
         self.parts_of = regex.compile(_SPLIT).findall
         self.words: dict[str, bytes] = _Generations(self._word)
         self.parts: dict[str, bytes] = _Generations(self._part)
+        self.known: dict[str, bool] = _Generations(self._known)
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.letters = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -60,7 +63,14 @@ class WordTokens:
         pieces = self.merge(part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))
         return np.array([p.id for p in pieces], "<u4").tobytes()
 
+    def _known(self, letter: str) -> bool:
+        """Whether Python and the library, whose Unicode tables differ in age, take the character for the same class."""
+        probe = f"a{letter}{letter}b"
+        return b"".join([self.parts[p] for p in self.parts_of(unicodedata.normalize("NFC", probe).lower())]) == self._whole(probe)
+
     def _word(self, word: str) -> bytes:
+        if not word.isascii() and not all([self.known[c] for c in set(word)]):
+            return self._whole(word)
         low = word.lower()
         if _PLAIN.fullmatch(low):
             return self.parts[low]
@@ -71,7 +81,7 @@ class WordTokens:
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text or "İ" in text:
                 return self._whole(text)
-        if "<|" in text:
+        if "<|" in text or any(c in text for c in _SEPARATORS):
             return self._whole(text)
         return b"".join(map(self.words.__getitem__, text.split()))
 

@@ -163,6 +163,14 @@ def test_packing(spark, documents):
     assert packing.packed(texts(spark, []), VOCABULARY).count() == 0
 
 
+def test_packing_keeps_separator_characters(spark):
+    rows = [(i, f"a{c}b {c} c") for i, c in enumerate("\x1c\x1d\x1e\x1f\x85\u2028\u200b")]
+    assert check_packing(rows, packing.packed(texts(spark, rows), VOCABULARY).collect(), 4096) > 0
+    tokens = packing.word_tokens(VOCABULARY)
+    odd = [f"a{chr(c)}b" for c in range(0x3000) if chr(c) not in "ΣİI"]
+    assert [t for t in odd if tokens(t) != tokens._whole(t)] == []
+
+
 def test_packing_balances_cost():
     rng = random.Random(2)
     lengths = [rng.randint(1, 3000) for _ in range(400)]
