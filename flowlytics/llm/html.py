@@ -2,7 +2,8 @@
 
 The page becomes a tree of its block elements. Paragraphs pass points for their length and commas to their ancestors, fully
 to the parent and less with each level; a container's points are discounted by the share of link text in it. The best
-container and those of its siblings that are good enough are kept, without menus, headers, footers, sidebars, notices,
+container is widened to its parent while most of the other text there is not link text; it and those of its siblings that
+are good enough are kept, without menus, headers, footers, sidebars, notices,
 adverts, forms and comments inside.
 """
 
@@ -38,6 +39,7 @@ DROPPED_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs hea
                           "respond reply replies pagination pager toolbar".split())
 KEPT_TAGS = frozenset(("html", "body", "main"))
 MAIN_TAGS = ("article", "main")
+TEXT_TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6")
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
                    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -203,18 +205,19 @@ def main_text(source: str) -> str:
             node.parent.chars += node.chars
             node.parent.link_chars += node.link_chars
     best = max((n for n in page.nodes if not n.dropped), key=Node.score)
+    least = best.score() / 5
     around = []
     up = best
     while up is not None:
         around.append(up)
         up = up.parent
-    best = next((n for tag in MAIN_TAGS for n in around if n.tag == tag), best)
+    article = next((n for tag in MAIN_TAGS for n in around if n.tag == tag), None)
+    best = article or _widened(page, around)
     kept = {id(best)}
     if best.parent is not None:
-        least = best.score() / 5
         for n in page.nodes:
             if n.parent is best.parent and not n.dropped and n is not best and (
-                    n.score() >= least or n.tag == "p" and n.chars > 80 and n.density() < 0.25):
+                    n.score() >= least or n.tag in TEXT_TAGS and n.chars and n.density() < 0.25):
                 kept.add(id(n))
     inside: dict[int, bool] = {}
     for n in page.nodes:
@@ -222,6 +225,22 @@ def main_text(source: str) -> str:
     return "\n\n".join(text for node, text, links in page.blocks if inside[id(node)] and not (links > len(text) / 2 and node.tag in ("li", "div", "ul", "ol")))
 
 
+def _widened(page: Page, around: list[Node]) -> Node:
+    """The first of ``around`` (a container, then what it lies in), or the widest whose further text is mostly not of links."""
+    children: dict[int, list[Node]] = {}
+    for n in page.nodes:
+        if n.parent is not None and not n.dropped:
+            children.setdefault(id(n.parent), []).append(n)
+    best = around[0]
+    for outer in around[1:]:
+        rest = outer.chars - best.chars
+        linked = sum(n.chars for n in children[id(outer)] if n is not best and n.density() > 0.25)
+        if linked > rest / 2:
+            break
+        best = outer
+    return best
+
+
 def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 

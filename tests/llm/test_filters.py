@@ -211,6 +211,15 @@ def test_main_text_without_article():
     assert html.main_text(page) == "\n\n".join([long] * 3)
 
 
+def test_main_text_keeps_headings_and_short_sections():
+    long = "This paragraph goes on, with commas, for quite a while, so that it has points of its own."
+    body = f"<h1>Title</h1><div>{f'<p>{long}</p>' * 10}</div><h2>More</h2><div><p>Short end.</p></div><p>Bye.</p>"
+    want = "\n\n".join(["Title", *[long] * 10, "More", "Short end.", "Bye."])
+    menu = "<div>" + f"<a href=1>{long}</a>" * 5 + "</div>"
+    for page in (f"<body><div>{body}</div></body>", f"<body>{body}</body>", f"<body>{menu}<div>{body}</div>{menu}</body>", f"<body><div id=menu>{long}</div><div><div>{body}</div></div></body>"):
+        assert html.main_text(page) == want
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "<p>deep, deep, text</p>"
     cases = [None, "", "   ", "plain text only", "<p>unclosed", "<<>>< p>", "<!-- never ends", "<script>never ends", '<a href="never ends', deep, "<p>" + "w, " * 200_000, "</p></div>", "a < b &amp; c &#x41; &bogus;"]
