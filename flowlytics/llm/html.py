@@ -23,7 +23,8 @@ from flowlytics.llm import texts
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span "
-                   "strike strong sub sup time tt u var wbr".split())
+                   "strike strong sub sup time tt u var wbr object math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle msub msup msubsup "
+                   "munder mover munderover mtable mtr mtd semantics".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                      "header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 SAME_CLOSED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -31,15 +32,20 @@ FENCE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 
 # what is never the main text: elements, roles, and words of class and id
 DROPPED = frozenset("nav header footer aside form script style textarea title noscript iframe noembed noframes xmp template button select "
-                    "object svg math dialog menu head fieldset input audio video canvas map".split())
+                    "svg menu head fieldset input audio video canvas map".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 DROPPED_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget ad ads advert adverts "
                           "advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal "
                           "overlay newsletter subscribe signup login social share sharing related recommended comment comments commentlist disqus "
                           "respond reply replies pagination pager toolbar".split())
+# an id is a name of these and of the words above; one with other words is the slug of a section
+PLACE_WORDS = frozenset("site page main top bottom left right primary secondary container wrapper section box bar list area block links buttons form".split())
+# classes and ids of inline elements that mean nothing else
+INLINE_NAMES = frozenset("ad ads advert advertisement navbar breadcrumb breadcrumbs pagination cookie-notice cookie-banner share-buttons social-share".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT_TAGS = frozenset(("html", "body", "main"))
 MAIN_TAGS = ("article", "main")
-TEXT_TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6")
+TEXT_TAGS = HEADINGS | {"p"}
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
                    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -66,6 +72,16 @@ class Node:
         return self.points * (1 - self.density())
 
 
+def _is_boilerplate(tag: str, name: str, value: str) -> bool:
+    """Whether a class or id (``name``) marks what is not the main text. Ids of headings are slugs of their text."""
+    if tag in INLINE:
+        return not INLINE_NAMES.isdisjoint(value.split())
+    words = _NAME.findall(value)
+    if name == "class":
+        return not DROPPED_WORDS.isdisjoint(words)
+    return tag not in HEADINGS and not DROPPED_WORDS.isdisjoint(words) and all(w in DROPPED_WORDS or w in PLACE_WORDS for w in words)
+
+
 def _is_dropped(tag: str, attributes: str) -> bool:
     if tag in DROPPED:
         return True
@@ -73,7 +89,7 @@ def _is_dropped(tag: str, attributes: str) -> bool:
         return False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value, name = (a or b or c).lower(), name.lower()
-        if name in ("class", "id") and not DROPPED_WORDS.isdisjoint(_NAME.findall(value)):
+        if name in ("class", "id") and _is_boilerplate(tag, name, value):
             return True
         if name == "role" and value.strip() in DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDES.search(value):
             return True
@@ -212,7 +228,7 @@ def main_text(source: str) -> str:
         around.append(up)
         up = up.parent
     article = next((n for tag in MAIN_TAGS for n in around if n.tag == tag), None)
-    best = article or _widened(page, around)
+    best, menus = (article, set()) if article else _widened(page, around)
     kept = {id(best)}
     if best.parent is not None:
         for n in page.nodes:
@@ -221,24 +237,39 @@ def main_text(source: str) -> str:
                 kept.add(id(n))
     inside: dict[int, bool] = {}
     for n in page.nodes:
-        inside[id(n)] = id(n) in kept or n.parent is not None and inside[id(n.parent)]
-    return "\n\n".join(text for node, text, links in page.blocks if inside[id(node)] and not (links > len(text) / 2 and node.tag in ("li", "div", "ul", "ol")))
+        inside[id(n)] = id(n) not in menus and (id(n) in kept or n.parent is not None and inside[id(n.parent)])
+    return "\n\n".join(text for node, text, _ in page.blocks if inside[id(node)])
 
 
-def _widened(page: Page, around: list[Node]) -> Node:
-    """The first of ``around`` (a container, then what it lies in), or the widest whose further text is mostly not of links."""
+def _widened(page: Page, around: list[Node]) -> tuple[Node, set[int]]:
+    """The first of ``around`` (a container, then what it lies in), or the widest whose further text is mostly not of links.
+
+    Also the menus in it: lists of links right below the containers, but those that a heading or paragraph leads in to.
+    """
     children: dict[int, list[Node]] = {}
     for n in page.nodes:
         if n.parent is not None and not n.dropped:
             children.setdefault(id(n.parent), []).append(n)
-    best = around[0]
+    best, menus = around[0], _menus(children.get(id(around[0]), []), None)
     for outer in around[1:]:
         rest = outer.chars - best.chars
         linked = sum(n.chars for n in children[id(outer)] if n is not best and n.density() > 0.25)
         if linked > rest / 2:
             break
+        menus |= _menus(children[id(outer)], best)
         best = outer
-    return best
+    return best, menus
+
+
+def _menus(children: list[Node], after: Node | None) -> set[int]:
+    """Lists of links among the children, but those led in to by a heading or paragraph that comes ``after`` the main part."""
+    found, before, begun = set(), None, after is None
+    for n in children:
+        if n.tag in ("div", "ul", "ol") and n is not after and n.density() > 0.5 and not (begun and before in TEXT_TAGS):
+            found.add(id(n))
+        begun = begun or n is after
+        before = n.tag if n.chars else before
+    return found
 
 
 def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:

@@ -220,6 +220,17 @@ def test_main_text_keeps_headings_and_short_sections():
         assert html.main_text(page) == want
 
 
+def test_main_text_keeps_lists_of_links_slugs_and_mathematics():
+    long = "This paragraph goes on, with commas, for quite a while, so that it has points of its own."
+    links = "<ul><li><a href=1>First reference</a></li><li><a href=2>Second reference</a></ul>"
+    body = (f'<p>{long}</p><h2 id="related-work">Related work</h2><section id="notice-periods"><p>Notice <span class="share">12 %</span> of it.</p></section>'
+            f'<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><dialog>Say it.</dialog><object><p>Instead.</p></object><h2>References</h2>{links}<p>{long}</p>')
+    want = "\n\n".join([long, "Related work", "Notice 12 % of it.", "So x=1 holds.", "Say it.", "Instead.", "References", "First reference", "Second reference", long])
+    assert html.main_text(f"<body>{links}<article>{body}<div id=share-buttons>Share it</div></article>{links}</body>") == want
+    assert html.main_text(f"<body>{links}<div>{body}</div></body>") == want
+    assert html.main_text(f"<body><div>{links}{body}</div></body>") == want
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "<p>deep, deep, text</p>"
     cases = [None, "", "   ", "plain text only", "<p>unclosed", "<<>>< p>", "<!-- never ends", "<script>never ends", '<a href="never ends', deep, "<p>" + "w, " * 200_000, "</p></div>", "a < b &amp; c &#x41; &bogus;"]
