@@ -22,37 +22,38 @@ from flowlytics.sources.stage import materialise
 # fixed values: forms of address by gender, with the names after them
 MALE = "Mr|Mister|Sir|Herr|Herrn|Monsieur|Señor|Don|господин|κύριος"
 FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Doña|госпожа|κυρία"
+PERSON = "Dr|Doctor|Prof|Professor"
 NAME = "\\p{Lu}\\p{Ll}{1,30}(?:-\\p{Lu}\\p{Ll}{1,30})?"
 
 
-def _after(titles: str) -> str:
-    """A capitalised name after a form of address, directly or with one name between."""
-    return f"(?<=(?<![\\p{{L}}])(?:{titles})\\.? (?:\\p{{Lu}}\\p{{Ll}}{{1,30}} )?){NAME}(?![\\p{{L}}])"
+def _titled(titles: str) -> str:
+    """Up to three capitalised names (the group) after a form of address."""
+    return f"(?<![\\p{{L}}])(?:{titles})\\.? ({NAME}(?: {NAME}){{0,2}})(?![\\p{{L}}])"
 
 
 # kind, pattern; of two that fit at one place the first counts
 PATTERNS = [
     ("email", "(?<![\\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\\.){1,8}[A-Za-z]{2,24}(?![\\w-])"),
     ("ip", "(?<![\\w.])(?:(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\.){3}(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)(?![\\w]|\\.\\d)"),
-    ("card", "(?<![\\w.+-])\\d{4}(?:[ -]?\\d{4}){3}(?![\\w]|[.-]\\d)"),
-    ("phone", "(?<![\\w.])\\+\\d{1,3}[ -.]?\\(?\\d{1,4}\\)?(?:[ -.]?\\d{2,4}){2,4}(?!\\w)|(?<![\\w.])\\(\\d{3}\\) ?\\d{3}-\\d{4}(?!\\w)"),
+    ("card", "(?<![\\w.+-])(?:\\d{4}(?:[ -]?\\d{4}){3}|3[47]\\d{2}[ -]?\\d{6}[ -]?\\d{5})(?![\\w]|[.-]\\d)"),
+    ("phone", "(?<![\\w.])\\+\\d{1,3}[ -.]?\\(?\\d{1,4}\\)?(?:[ -.]?\\d{2,4}){2,4}(?!\\w)|(?<![\\w.])\\(\\d{3}\\) ?\\d{3}-\\d{4}(?!\\w)|(?<![\\w.+-])\\d{3}-\\d{3}-\\d{4}(?!\\w|-\\d)"),
     ("key", "(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("hex", "(?<![A-Za-z0-9])[0-9a-f]{40}(?![A-Za-z0-9])"),
     ("password", "(?<=(?<![A-Za-z0-9])password[=:] ?)[^\\s\"']{6,128}"),
-    ("male", _after(MALE)),
-    ("female", _after(FEMALE)),
 ]
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 PLAIN = "|".join(f"(?:{p})" for k, p in PATTERNS if k in ("email", "ip", "card", "phone", "hex"))
-# what a text must hold for the kinds that PLAIN leaves out; without any it takes the shorter pattern
-RARE = ("AKIA", "password", *MALE.split("|"), *FEMALE.split("|"))
+TITLES = {"male": MALE, "female": FEMALE, "person": PERSON}
+# what a text must hold for names and the kinds that PLAIN leaves out; without any it takes the shorter pattern
+RARE = ("AKIA", "password", *MALE.split("|"), *FEMALE.split("|"), *(t + end for t in PERSON.split("|") for end in " ."))
 MOST_PLAIN = 8  # drawn so often within the format; after that the surrogate gets longer
 
 # syllables of made-up names by script, and endings by script and gender (fixed values)
 SYLLABLES = {"latin": "ba be bo da de di do fa fe ga ge ka ke la le li lo ma me mi mo na ne no ra re ri ro sa se so ta te to va ve",
              "cyrillic": "ба бе бо ва ве га да де жа зе ка ко ла ле ли ма ми на не но па ра ре ро са се та те то ха",
              "greek": "βα γα δα δε ζη θα κα κο λα λε λι μα με μι να νε νι πα πο ρα ρε σα σε τα τε τι φα χα"}
-ENDINGS = {("latin", "male"): "n", ("latin", "female"): "na", ("cyrillic", "male"): "в", ("cyrillic", "female"): "ва", ("greek", "male"): "ς", ("greek", "female"): ""}
+ENDINGS = {("latin", "male"): "n", ("latin", "female"): "na", ("cyrillic", "male"): "в", ("cyrillic", "female"): "ва", ("greek", "male"): "ς", ("greek", "female"): "",
+           ("latin", "person"): "l", ("cyrillic", "person"): "л", ("greek", "person"): "λ"}
 
 
 def kind_of(surface: Column) -> Column:
@@ -70,29 +71,47 @@ def _rare(text: Column) -> Column:
     return out
 
 
+def _names_pattern(text: Column) -> Column:
+    """The pattern of a text in which forms of address stand before names, with all further mentions of these; else null."""
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(_titled(t)), F.lit(1)) for t in TITLES.values()))
+    names = F.array_distinct(F.flatten(F.transform(found, lambda x: F.split(x, " "))))
+    longest = F.array_sort(names, lambda a, b: F.length(b) - F.length(a))
+    whole = F.concat(F.lit(f"{ANY}|(?<![\\p{{L}}])(?:"), F.array_join(longest, "|"), F.lit(")(?![\\p{L}])"))
+    return F.when(_rare(text) & (F.size(names) > 0), whole)
+
+
 def entities(docs: DataFrame) -> DataFrame:
-    """doc_id, copy, pos, kind, surface of each entity. ``docs``: doc_id, copy, text."""
-    t = F.col("text")
-    rows = docs.withColumn("rare", _rare(t)).filter(F.col("rare") | t.rlike("[@0-9]"))
-    surfaces = F.when(F.col("rare"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.regexp_extract_all(t, F.lit(PLAIN), F.lit(0)))
-    # the end of what stands before each: enough for a form of address and a name between
-    leads = F.transform(_pieces(t, F.col("rare")), lambda p: F.struct(F.right(p, F.lit(64)).alias("lead"), (F.length(p) == 1).alias("one")))
+    """doc_id, copy, pos, kind, surface of each entity, once for rows that repeat. ``docs``: doc_id, copy, text."""
+    t, named = F.col("text"), F.col("named")
+    rows = docs.withColumn("rare", _rare(t)).filter(F.col("rare") | t.rlike("[@0-9]|[a-f]{40}")).withColumn("named", _names_pattern(t))
+    surfaces = (F.when(named.isNotNull(), F.regexp_extract_all(t, named, F.lit(0))).when(F.col("rare"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
+                .otherwise(F.regexp_extract_all(t, F.lit(PLAIN), F.lit(0))))
+    # the end of what stands before each: enough for a form of address
+    leads = F.transform(_pieces(t, F.col("rare"), named), lambda p: F.struct(F.right(p, F.lit(64)).alias("lead"), (F.length(p) == 1).alias("one")))
     cut = rows.select("doc_id", "copy", F.posexplode(F.arrays_zip(surfaces.alias("surface"), leads.alias("before"))).alias("pos", "e"))
     cut = cut.select("doc_id", "copy", "pos", F.col("e.surface").alias("surface"), F.col("e.before.lead").alias("lead"), F.col("e.before.one").alias("one")).filter("surface IS NOT NULL")
-    cut = cut.withColumn("kind", kind_of(F.col("surface")))
-    # a second name after a first one: what stood before the first counts
+    cut = cut.dropDuplicates(["doc_id", "copy", "pos"])
+    lead = F.col("lead")
+    plain = F.coalesce(kind_of(F.col("surface")), F.when(lead.rlike("(?<![A-Za-z0-9])password[=:] ?$"), "password"))
+    title = F.lit(None).cast("string")
+    for kind, titles in TITLES.items():
+        title = F.coalesce(title, F.when(lead.rlike(f"(?<![\\p{{L}}])(?:{titles})\\.? $"), kind))
+    cut = cut.withColumn("plain", plain).withColumn("titled", F.when(F.col("plain").isNull(), title))
+    # second and third names are of the first one's kind
     w = Window.partitionBy("doc_id", "copy").orderBy("pos")
-    joined = F.col("one") & (F.col("lead") == " ")
-    before = F.when(joined, F.concat(F.lag("lead").over(w), F.lag("surface").over(w), F.lit(" "))).otherwise(F.col("lead"))
-    names = "(?s).*(?:%s)\\.? (?:\\p{Lu}\\p{Ll}{1,30} )?$"
-    named = cut.withColumn("lead", before)
-    kind = F.coalesce("kind", F.when(F.col("lead").rlike(names % MALE), "male").when(F.col("lead").rlike(names % FEMALE), "female").otherwise("password"))
-    return named.select("doc_id", "copy", "pos", kind.alias("kind"), "surface")
+    for _ in range(2):
+        before = F.when(F.col("one") & (lead == " ") & F.col("plain").isNull(), F.lag("titled").over(w))
+        cut = cut.withColumn("titled", F.coalesce("titled", before))
+    # further mentions are of the kind of the last one that is known, or the first
+    same = Window.partitionBy("doc_id", "copy", "surface").orderBy("pos")
+    last = F.last("titled", True).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first = F.first("titled", True).over(same.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return cut.select("doc_id", "copy", "pos", F.coalesce("plain", last, first, F.lit("person")).alias("kind"), "surface")
 
 
-def _pieces(text: Column, rare: Column) -> Column:
+def _pieces(text: Column, rare: Column, named: Column) -> Column:
     """What stands between the entities."""
-    return F.when(rare, F.split(text, ANY)).otherwise(F.split(text, PLAIN))
+    return F.when(named.isNotNull(), F.split(text, named)).when(rare, F.split(text, F.lit(ANY))).otherwise(F.split(text, F.lit(PLAIN)))
 
 
 def canonical(kind: Column, surface: Column) -> Column:
@@ -163,7 +182,7 @@ def _name(kind: Column, surface: Column, stream: Column, more: Column) -> Column
         for s, syllables in SYLLABLES.items():
             pool = F.array(*map(F.lit, syllables.split()))
             drawn = _drawn(pool, stream, at * 8, more)
-            ending = F.when(kind == "male", ENDINGS[s, "male"]).otherwise(ENDINGS[s, "female"])
+            ending = F.when(kind == "male", ENDINGS[s, "male"]).when(kind == "female", ENDINGS[s, "female"]).otherwise(ENDINGS[s, "person"])
             whole = F.initcap(F.concat(F.array_join(drawn, ""), ending))
             out = F.when(script == s, whole) if out is None else out.when(script == s, whole)
         return out
@@ -185,7 +204,7 @@ def _by_kind(kind: Column, surface: Column, attempt: Column, stream: Column) ->
     address = _replaced(F.substring(surface, F.lit(1), F.length(surface) - F.length(top)), stream, F.lit(0))
     mail = F.concat(F.substring_index(address, "@", 1), longer, F.lit("@"), F.substring_index(address, "@", -1), top)
     return (F.when(kind == "email", mail).when(kind == "ip", _octets(surface, stream, wide))
-            .when(kind == "card", _checked(_replaced(surface, stream, F.lit(1))))
+            .when(kind == "card", _checked(_replaced(surface, stream, F.when(F.length(F.regexp_replace(surface, "\\D", "")) == 15, 2).otherwise(1))))
             .when(kind == "phone", _replaced(surface, stream, F.when(surface.startswith("+"), 1).otherwise(0)))
             .when(kind == "key", _replaced(surface, stream, F.lit(4)))
             .when(kind == "hex", F.left(F.sha2(stream, 512), F.lit(40)))
@@ -223,13 +242,14 @@ def with_surrogates(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str
     rows get the same result each. An empty table gives no row. Other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("copy", F.xxhash64("text"))
-    seen = materialise(entities(rows).dropDuplicates(["doc_id", "copy", "pos"]))
+    seen = materialise(entities(rows))
     table = materialise(surrogate_table(seen.select("kind", "surface").distinct(), key))
     per_doc = (seen.join(table, ["kind", "surface"]).groupBy(F.col("doc_id").alias("of"), F.col("copy").alias("of_copy"))
                .agg(F.array_sort(F.collect_list(F.struct("pos", "surrogate"))).alias("made")))
     per_doc = materialise(per_doc.select("of", "of_copy", F.transform("made", lambda m: m["surrogate"]).alias("made")))
     # always by a merge join, so that the plan is the same at every size
     joined = rows.join(per_doc.hint("merge"), rows["doc_id"].eqNullSafe(per_doc["of"]) & (rows["copy"] == per_doc["of_copy"]), "left")
-    rebuilt = F.array_join(F.zip_with(_pieces(F.col("text"), _rare(F.col("text"))), F.col("made"), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    joined = joined.withColumn("named", F.when(F.col("made").isNotNull(), _names_pattern(F.col("text"))))
+    rebuilt = F.array_join(F.zip_with(_pieces(F.col("text"), _rare(F.col("text")), F.col("named")), F.col("made"), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
     return joined.select("doc_id", F.when(F.col("made").isNull(), F.col("text")).otherwise(rebuilt).alias("text"),
                          F.coalesce(F.size("made"), F.lit(0)).cast("long").alias("n_entities"))

@@ -276,6 +276,21 @@ def test_surrogates(spark):
     assert surrogates.with_surrogates(frame(spark, [], "doc_id long, text string"), "k").count() == 0
 
 
+def test_surrogates_for_further_mentions_and_formats(spark):
+    rows = [(1, "Smith, or Mr. John Paul Smith, left; Smith's John and Smithson stay. Mrs. Smith saw Smith."), (2, "Dr. Weiß and Weiß; Prof Ada Byron"),
+            (3, "3714 496353 98431 and 371449635398431, call 348-555-4265"), (4, "deadbeef" * 5), (1, "Smith")]
+    out = surrogates.with_surrogates(frame(spark, rows + rows[:1], "doc_id long, text string"), "k").collect()
+    got = {r.doc_id: r.text for r in out if r.text != "Smith"}
+    assert len(out) == 6 and len({r.text for r in out if r.doc_id == 1}) == 2
+    one = re.fullmatch(r"(\w+n), or Mr\. (\w+n) (\w+n) (\w+n), left; (\w+n)'s (\w+n) and Smithson stay\. Mrs\. (\w+na) saw (\w+na)\.", got[1])
+    assert one and one[1] == one[4] == one[5] and one[2] == one[6] and one[7] == one[8] and not re.search(r"\b(Smith|John|Paul)\b", got[1])
+    two = re.fullmatch(r"Dr\. (\w+l) and (\w+l); Prof (\w+l) (\w+l)", got[2])
+    assert two and two[1] == two[2] != "Weiß" and "Byron" not in got[2]
+    three = re.fullmatch(r"(37\d\d \d{6} \d{5}) and (37\d{13}), call (\d{3}-\d{3}-\d{4})", got[3])
+    assert three and three[1].replace(" ", "") == three[2] != "371449635398431" and three[3] != "348-555-4265"
+    assert re.fullmatch("[0-9a-f]{40}", got[4]) and got[4] != rows[3][1]
+
+
 def test_surrogates_stay_distinct(spark):
     """All 9,000 of the 10,000 addresses with one-digit octets: most drawn surrogates collide with an original or another."""
     ips = [f"{i // 1000}.{i // 100 % 10}.{i // 10 % 10}.{i % 10}" for i in range(9000)]
