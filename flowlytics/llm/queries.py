@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlytics.llm import bpe, contamination, exact, html, jaccard, lines, packing, quality, sharding, surrogates, urls
+from flowlytics.llm import align, bpe, contamination, exact, html, jaccard, lines, packing, quality, sharding, surrogates, urls
 from flowlytics.llm.registry import ORACLE, QUERIES, register, table  # noqa: F401
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -111,3 +111,8 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     tokens = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
