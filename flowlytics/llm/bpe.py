@@ -13,6 +13,9 @@ neighbours. Answers are remembered. A sequence of pairwise compatible tokens is
 from __future__ import annotations
 
 import base64
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -28,10 +31,10 @@ from pyspark.sql import functions as F
 from flowlytics.llm import texts
 
 REMEMBERED_PAIRS = 1_000_000
-REMEMBERED_PIECES = 200_000
+REMEMBERED_PIECES = 400_000
 LONGEST_REMEMBERED = 64
 PIECES_AT_ONCE = 100_000
-OLD_LETTERS_END = 0xD5  # lead bytes below it are of characters that every Unicode version classes alike
+OLD_LETTERS_END, OLD_LETTERS_BELOW = 0xD5, 0x540  # bytes of texts, and characters, that every Unicode version classes alike lie below
 
 
 class Merges:
@@ -71,7 +74,7 @@ class Merges:
                 return
         self.reached[i] = text
         self.length[i] = len(text)
-        self.automaton.add_word(text, i)
+        self.automaton.add_word(text, (len(text) - 1, i))
 
     def _merges_to(self, text: str) -> bool:
         """Whether plain merging of the single bytes ends in the whole text (asked only of tokens that have no halves)."""
@@ -111,39 +114,47 @@ class Merges:
         whole = self.ids.get(piece)
         if whole is not None:
             return [whole]
-        n, length = len(piece), self.length
+        n, length, shorter, known = len(piece), self.length, self.shorter, self.known
         longest = [0] * n
-        for end, i in self.automaton.iter(piece):
-            longest[end - length[i] + 1] = i  # ends rise, so the longest comes last
-        open_ends = bytearray(b"\x01") * (n + 1)
+        for end, (back, i) in self.automaton.iter(piece):
+            longest[end - back] = i  # ends rise, so the longest comes last
+        closed: set[int] = set()  # ends that lead nowhere
         out: list[int] = []
-        at, token = 0, longest[0] if n else None
+        at, before, token = 0, None, longest[0] if n else None
         while at < n:
             end = at + length[token]
-            if open_ends[end] and (not out or self.compatible(out[-1], token)):
+            if end not in closed and (before is None or known.get((before, token)) or self.compatible(before, token)):
                 out.append(token)
-                at = end
+                at, before = end, token
                 token = longest[at] if at < n else None
-            elif self.shorter[token] is not None:
-                token = self.shorter[token]
-            else:
-                open_ends[at] = 0
+                continue
+            token = shorter[token]
+            if token is None:
+                closed.add(at)
                 token = out.pop()
+                before = out[-1] if out else None
                 at -= length[token]
         return out
 
 
 class Pieces(dict):
-    """Packed ids of each piece of text met so far; long pieces are not kept."""
+    """Packed ids of each piece of text met so far; long pieces are not kept. When it is full, the older half goes."""
 
     def __init__(self, merges: Merges):
         super().__init__()
         self.merges = merges
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        packed = np.array(self.merges.encode(piece.encode().decode("latin-1")), "<u4").tobytes()
+        packed = self.older.get(piece)
+        if packed is None:
+            ids = array("I", self.merges.encode(piece.encode().decode("latin-1")))
+            if sys.byteorder == "big":
+                ids.byteswap()
+            packed = ids.tobytes()
         if len(piece) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
@@ -163,6 +174,25 @@ def _classes() -> tuple[str, str]:
     return out[0], out[1]
 
 
+def plain_pattern(pattern: str, end: int) -> str:
+    """The pattern for texts of characters below ``end``, with its classes spelled out as ranges, for the standard library."""
+
+    def spelled(kind: str, inside: bool) -> str:
+        points = np.array([c for c in range(end) if regex.fullmatch(kind.lower() if kind == r"\S" else kind, chr(c))])
+        first = np.flatnonzero(np.diff(points, prepend=-2) > 1)
+        last = np.append(first[1:], len(points)) - 1
+        out = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(points[first].tolist(), points[last].tolist()))
+        return out if inside else f"[^{out}]" if kind == r"\S" else f"[{out}]"
+
+    parts = regex.split(r"(\\p\{[LN]\}|\\[sS]|\\.|[\[\]])", pattern)
+    inside, out = False, []
+    for part in parts:
+        if part in ("[", "]"):
+            inside = part == "["
+        out.append(spelled(part, inside) if part in (r"\p{L}", r"\p{N}", r"\s") or (part == r"\S" and not inside) else part)
+    return "".join(out)
+
+
 class Encoder:
     """Ids of whole texts: pieces by the pattern, tokens by the merges."""
 
@@ -170,7 +200,10 @@ class Encoder:
         self.merges = Merges(ranks)
         self.pieces = Pieces(self.merges)
         self.pattern = pattern
-        self.split = regex.compile(pattern)
+        try:  # the standard library is faster, where the pattern has no classes that it lacks
+            self.split = re.compile(plain_pattern(pattern, OLD_LETTERS_BELOW))
+        except re.error:
+            self.split = regex.compile(pattern)
         self.exact = None
 
     def packed(self, raw: bytes) -> bytes:
