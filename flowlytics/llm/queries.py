@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlytics.llm import align, bpe, contamination, exact, html, jaccard, lines, packing, quality, sharding, surrogates, urls
+from flowlytics.llm import align, bpe, contamination, exact, html, jaccard, lines, packing, quality, repair, sharding, surrogates, urls
 from flowlytics.llm.registry import ORACLE, QUERIES, register, table  # noqa: F401
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -116,3 +116,13 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_token_alignment")
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    found = repair.digests(repair.repaired(repair.damaged(conversations)))
+    every = conversations.select(F.col("conv_id").cast("long").alias("conv")).distinct()
+    whole = every.join(found, every["conv"].eqNullSafe(found["conv_id"]), "left")
+    return whole.select(F.col("conv").alias("conv_id"), *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in repair.COUNTS), F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
