@@ -4,16 +4,19 @@ The Jaccard distance is a metric, and a link is a distance of at most EPSILON =
 
 1. Equal sets collapse to one representative (the smallest doc_id), which carries the class.
 2. Regions: in one common order of all shingles, frequent ones last, two linked sets share a shingle among the first
-   n - ceil(threshold n) + 1 of each. So the sets that share such a shingle form a region, and each link lies in one.
-   The order's frequencies are counted over all documents by counting quotient filters.
-3. In each region pivots are drawn and the distances of all members to them computed. Members within EPSILON of a pivot
-   join its class; pivots have met every member, so they leave. By the triangle inequality a member x of the pivot's class
-   with d(x, p) < min d(y, p) - EPSILON, over the members y outside of the class, links to none of those: it leaves too.
-   What is left near the boundary stays in the region, which is joined again with more pivots, until all its members are
-   one class or fewer than two are left. Classes that are already connected are not compared again; no link between
-   different classes is lost.
-
-No group is gathered: pivots, minima and classes are aggregates with partial groups, distances are computed per pair.
+   n - ceil(threshold n) + 1 of each. So the sets that share such a shingle form a region, and each link lies in one. Sizes
+   and the places of the shared shingle bound the similarity of a pair from above. The order's frequencies are counted over
+   all documents by counting quotient filters.
+3. Pivots connect: in each region that holds several classes, members meet a few drawn pivots, as far as the bounds let them
+   link. Classes grow by these links, so a group of near copies is one class after as many comparisons as it has members.
+4. Regions that still hold several classes and are large become Voronoi regions: all members' distances to drawn pivots are
+   computed, each member goes to its nearest pivot p and, as d(x, q) <= d(x, p) + 2 EPSILON is all that a link across allows,
+   to the pivots q of that window as well. That is repeated while regions shrink.
+5. Within the regions, pairs of different classes are compared exactly where at least one is at home, the bounds hold and
+   their distances to the pivot differ by no more than EPSILON. Members of a region's largest class only meet the others.
+
+No link between different classes is lost and no group is gathered: pivots, minima and classes are aggregates with partial
+groups, distances are computed per pair.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlytics.llm import exact, texts
@@ -35,9 +38,12 @@ PERCENT = 75
 FREQUENT = 16
 MOST_RANKED = 500_000
 SAMPLE_BITS = 62
-TASK_TOKENS = 1_000_000
-BROADCAST_ROWS = 500_000
-CELLS = 256
+TASK_TOKENS = 500_000
+PIVOTS = (1, 4, 16)
+REGION_ROWS = 512
+REGION_PIVOTS = 4
+SHRINKS = 0.75
+LONG = (1 << 16) - 1
 
 
 _TABLE = texts.translation({0x20, *range(0x09, 0x0E)})
@@ -88,21 +94,20 @@ def prefix(shingles: np.ndarray, ranks: Ranks, percent: int = PERCENT) -> np.nda
 
 
 def _digests(docs: DataFrame, leading: int) -> DataFrame:
-    """A row per document (doc_id, n, set_key, counts of its shingles by cells of the hash space) and, in the same pass, the tasks' filters of a quarter of all shingles."""
+    """A row per document (doc_id, n, set_key) and, in the same pass, the tasks' filters of a quarter of all shingles."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch, raws in texts.slices(batches, "text"):
-            n, keys, counts = [], [], []
+            n, keys = [], []
             for s in shingle_sets(raws):
-                counts.append(np.bincount((s >> texts.U64(56)).astype(np.int64), minlength=CELLS).clip(max=255).astype(np.uint8).tobytes())
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 held.append(s[:np.searchsorted(s, texts.U64(1 << SAMPLE_BITS))])
                 size += len(held[-1])
             none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), *none],
-                                             names=["doc_id", "n", "set_key", "counts", "block", "filter"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), *none],
+                                             names=["doc_id", "n", "set_key", "block", "filter"])
             if size >= TASK_TOKENS:
                 yield blocks(held)
                 held, size = [], 0
@@ -112,10 +117,10 @@ def _digests(docs: DataFrame, leading: int) -> DataFrame:
     def blocks(held: list[np.ndarray]) -> pa.RecordBatch:
         f = exact.packed_filter(held, leading)
         k = f.num_rows
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), f.column(0), f.column(1)],
-                                          names=["doc_id", "n", "set_key", "counts", "block", "filter"])
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), f.column(0), f.column(1)],
+                                          names=["doc_id", "n", "set_key", "block", "filter"])
 
-    return docs.mapInArrow(digest, "doc_id long, n long, set_key binary, counts binary, block int, filter binary")
+    return docs.mapInArrow(digest, "doc_id long, n long, set_key binary, block int, filter binary")
 
 
 def _remaining_filters(docs: DataFrame, ranks: Ranks, leading: int) -> DataFrame:
@@ -148,158 +153,200 @@ def _ranked(filters: DataFrame, leading: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _members(docs: DataFrame, ranks: Ranks, leading: int, percent: int) -> DataFrame:
-    """(token, rep) of prefix shingles that at least two documents share.
+    """(region, rep, n, rest) of prefix shingles that at least two documents share: the set's size and how many of its shingles
+    at most come after this one (both null for sets of LONG or more).
 
     Each task packs its rows by blocks of the token space; a block is grouped where all its rows meet. Members of frequent
     tokens are dealt out by a hash instead and go through as they are, so no block grows with one token.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, reps, size = [], [], 0
+        held, size = [], 0
         for batch, raws in texts.slices(batches, "text"):
             for rep, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(raws)):
                 p = prefix(s, ranks, percent)
-                held.append(p)
-                reps.append(np.full(len(p), rep, np.int64))
-                size += len(p)
+                n = len(p)
+                held.append((p, np.full(n, rep, np.int64), np.full(n, min(len(s), LONG), np.uint16), (np.arange(n) * 256 // max(n, 1)).astype(np.uint8)))
+                size += n
             if size >= TASK_TOKENS:
-                yield pack(np.concatenate(held), np.concatenate(reps))
-                held, reps, size = [], [], 0
+                yield pack(*map(np.concatenate, zip(*held)))
+                held, size = [], 0
         if held:
-            yield pack(np.concatenate(held), np.concatenate(reps))
+            yield pack(*map(np.concatenate, zip(*held)))
 
-    def pack(tokens: np.ndarray, reps: np.ndarray) -> pa.RecordBatch:
+    def pack(tokens: np.ndarray, reps: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
         frequent = ranks.of(tokens) > 0
-        place = np.where(frequent, texts.mix(tokens ^ reps.view(np.uint64)), tokens) >> texts.U64(64 - leading)
-        order = np.lexsort((frequent, place))
-        tokens, reps, frequent, place = tokens[order], reps[order], frequent[order], place[order]
+        block = np.where(frequent, texts.mix(tokens ^ reps.view(np.uint64)), tokens) >> texts.U64(64 - leading)
+        order = np.lexsort((frequent, block))
+        tokens, reps, sizes, places, frequent, block = (x[order] for x in (tokens, reps, sizes, places, frequent, block))
         blocks, rows = [], []
-        for start, end in zip(*exact._runs(place)):
+        for start, end in zip(*exact._runs(block)):
             own = slice(start, end)
             base = int(reps[own].min())
             wide = int(reps[own].max()) - base >= 1 << 32
             rows.append(b"".join((np.array([base, int(wide), int(frequent[own].sum()), end - start], "<i8").tobytes(), tokens[own].astype("<u8").tobytes(),
-                                  (reps[own] - base).astype("<u8" if wide else "<u4").tobytes())))
-            blocks.append(int(place[start]))
+                                  (reps[own] - base).astype("<u8" if wide else "<u4").tobytes(), sizes[own].astype("<u2").tobytes(), places[own].tobytes())))
+            blocks.append(int(block[start]))
         return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(rows, pa.binary())], names=["block", "rows"])
 
     def group(block: pa.Table) -> pa.Table:
-        light, passed = [], []
+        parts = []
         for raw in block["rows"].to_pylist():
             base, wide, frequent, n = np.frombuffer(raw, "<i8", 4).tolist()
-            tokens = np.frombuffer(raw, "<u8", n, 32)
-            reps = np.frombuffer(raw, "<u8" if wide else "<u4", n, 32 + 8 * n).astype(np.int64) + base
-            light.append((tokens[:n - frequent], reps[:n - frequent]))
-            passed.append((tokens[n - frequent:], reps[n - frequent:]))
-        tokens, reps = (np.concatenate(x) for x in zip(*light))
-        order = np.lexsort((reps, tokens))
-        tokens, reps = tokens[order], reps[order]
+            at = 32 + (16 if wide else 12) * n
+            parts.append((np.frombuffer(raw, "<u8", n, 32), np.frombuffer(raw, "<u8" if wide else "<u4", n, 32 + 8 * n).astype(np.int64) + base,
+                          np.frombuffer(raw, "<u2", n, at).astype(np.int64), np.frombuffer(raw, np.uint8, n, at + 2 * n).astype(np.int64), np.arange(n) >= n - frequent))
+        tokens, reps, sizes, places, passed = map(np.concatenate, zip(*parts))
+        order = np.lexsort((places, sizes, reps, tokens))
+        tokens, reps, sizes, places, passed = (x[order] for x in (tokens, reps, sizes, places, passed))
         fresh = np.ones(len(tokens), bool)
-        fresh[1:] = (tokens[1:] != tokens[:-1]) | (reps[1:] != reps[:-1])
-        tokens, reps = tokens[fresh], reps[fresh]
-        same = tokens[1:] == tokens[:-1]
-        shared = np.zeros(len(tokens), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        out_tokens = np.concatenate([tokens[shared], *(t for t, _ in passed)]).view(np.int64)
-        out_reps = np.concatenate([reps[shared], *(r for _, r in passed)])
-        return pa.table({"token": out_tokens, "rep": out_reps})
-
-    return docs.mapInArrow(emit, "block int, rows binary").groupBy("block").applyInArrow(group, "token long, rep long")
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """A staged table, to be broadcast where it is small enough by count; otherwise the join shuffles."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def _distances(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """a, b, d, linked of each pair. Only the documents in pairs are cut into shingles; a set of b meets each of its a."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raws in texts.slices(batches, "text"):
-            found = [s.view(np.int64) for s in shingle_sets(raws)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
-
-    def sets_for_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raws in texts.slices(batches, "text"):
-            for a, partners, s in zip(batch.column("doc_id").to_pylist(), batch.column("partners").to_pylist(), shingle_sets(raws)):
-                step = max(1, 100_000 // max(1, len(s)))
-                for start in range(0, len(partners), step):
-                    some = partners[start:start + step]
-                    yield pa.RecordBatch.from_arrays([pa.array([a] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array([s.view(np.int64)] * len(some), pa.list_(pa.int64()))],
-                                                     names=["a", "b", "sa"])
-
-    partners = materialise(pairs.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list("b").alias("partners")))
-    hubs = materialise(pairs.select(F.col("b").alias("doc_id")).distinct())
-    left = docs.join(_small(partners), "doc_id").select("doc_id", "partners", "text").mapInArrow(sets_for_partners, "a long, b long, sa array<long>")
-    right = docs.join(_small(hubs), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles array<long>").select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = left.join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    whole = F.size("sa") + F.size("sb") - F.col("common")
-    return both.select("a", "b", (1 - F.col("common") / whole).alias("d"), (100 * F.col("common") >= percent * whole).alias("linked"))
-
-
-def _screened(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """a, b, low, close of each pair: a lower bound of the distance, and whether it lets the pair link.
-
-    Counting shingles by cells maps the sets into a space with a smaller distance: the differences of the counts add up to
-    no more than the symmetric difference. The sizes give a bound as well. Only close pairs need their sets.
-    """
-
-    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            ca, cb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int64) for c in ("ca", "cb"))
-            differ = np.maximum(np.abs(ca - cb).sum(axis=1), np.abs(na - nb))
-            both = na + nb
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(2 * differ / (both + differ)), pa.array(differ * (100 + percent) <= both * (100 - percent))],
-                                             names=["a", "b", "low", "close"])
-
-    left = profiles.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
-    right = profiles.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(screen, "a long, b long, low double, close boolean")
-    return found.groupBy("a", "b").agg(F.min("low").alias("low"), F.bool_or("close").alias("close"))
-
-
-def _linked_classes(members: DataFrame, profiles: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of the representatives that link to another one. ``members``: token, rep; ``profiles``: rep, n, counts."""
-    spark = members.sparkSession
-    eps = 1 - percent / 100
-    links = labels = None
-    cells = 1
-    while not members.isEmpty():
-        if labels is None:
-            now = members.withColumn("label", F.col("rep"))
+        fresh[1:] = (tokens[1:] != tokens[:-1]) | (reps[1:] != reps[:-1]) | (sizes[1:] != sizes[:-1])
+        tokens, reps, sizes, places, passed = (x[fresh] for x in (tokens, reps, sizes, places, passed))
+        first = np.ones(len(tokens), bool)
+        first[1:] = tokens[1:] != tokens[:-1]
+        number = np.cumsum(first) - 1
+        of_first = reps[first][number]
+        kept = passed | (np.bincount(number, reps != of_first, minlength=first.sum()) > 0)[number]
+        tokens, reps, sizes, places = (x[kept] for x in (tokens, reps, sizes, places))
+        length = sizes - -(-percent * sizes // 100) + 1  # of the prefix
+        rest = sizes - 1 - -(-places * length // 256)
+        known = sizes < LONG
+        return pa.table({"region": tokens.view(np.int64), "rep": reps, "n": pa.array(sizes, mask=~known), "rest": pa.array(rest, mask=~known)})
+
+    return docs.mapInArrow(emit, "block int, rows binary").groupBy("block").applyInArrow(group, "region long, rep long, n long, rest long")
+
+
+class Distances:
+    """Distances of pairs (a, b), each computed once; the sets of the documents asked for are staged as they come up."""
+
+    def __init__(self, docs: DataFrame, percent: int):
+        self.docs, self.percent = docs, percent
+        self.sets = self.known = None
+
+    def _fetch(self, reps: DataFrame) -> None:
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, raws in texts.slices(batches, "text"):
+                found = [s.view(np.int64) for s in shingle_sets(raws)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["rep", "shingles"])
+
+        if self.sets is not None:
+            reps = reps.join(self.sets, "rep", "left_anti")
+        reps = materialise(reps)
+        if not reps.isEmpty():
+            new = materialise(self.docs.join(reps, self.docs["doc_id"] == reps["rep"], "left_semi").select("doc_id", "text").mapInArrow(cut, "rep long, shingles array<long>"))
+            self.sets = new if self.sets is None else self.sets.unionAll(new)
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """a, b, d, linked of the pairs (a > b; staged). Where a doc_id has several sets, the nearest ones count."""
+        if self.known is not None:
+            pairs = pairs.join(self.known, ["a", "b"], "left_anti")
+        pairs = materialise(pairs)
+        if self.known is not None and pairs.isEmpty():
+            return self.known.limit(0)
+        self._fetch(pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).distinct())
+        if self.sets is None:
+            both = pairs.selectExpr("a", "b", "array(0L) as sa", "array(0L) as sb")
         else:
-            now = members.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
-        drawn = (now.groupBy("token", F.pmod(F.xxhash64("rep", F.lit(cells)), F.lit(cells)).alias("cell"))
-                 .agg(F.min(F.struct(F.xxhash64("rep").alias("o"), "rep", "label")).alias("p")))
-        pivots = materialise(drawn.select("token", F.col("p.rep").alias("pivot"), F.col("p.label").alias("plabel")))
-        ends = [F.struct(F.xxhash64(c).alias("o"), F.col(c).alias("x")) for c in ("rep", "pivot")]
-        ordered = F.greatest(*ends)["x"], F.least(*ends)["x"]  # each pair in one direction
-        meets = now.join(pivots, "token").filter("rep <> pivot AND label <> plabel").select("token", "rep", "pivot")
-        meets = materialise(meets.withColumns({"a": ordered[0], "b": ordered[1]}))
-        screened = materialise(_screened(meets.select("a", "b").distinct(), profiles, percent))
-        distances = _distances(materialise(screened.filter("close").select("a", "b")), docs, percent)
-        distances = materialise(distances.groupBy("a", "b").agg(F.min("d").alias("d"), F.bool_or("linked").alias("linked")))
-        found = distances.filter("linked").select("a", "b")
-        links = found if links is None else links.unionAll(found)
-        labels = materialise(components(links))
-        label = labels.select(F.col("node").alias("rep"), F.col("root").alias("label"))
-        of_pivot = labels.select(F.col("node").alias("pivot"), F.col("root").alias("plabel"))
-        known = materialise(screened.select("a", "b", "low").join(distances.select("a", "b", "d"), ["a", "b"], "left"))
-        seen = materialise(meets.join(known, ["a", "b"]).join(label, "rep", "left").join(of_pivot, "pivot", "left")
-                           .select("token", "rep", "pivot", "d", "low", F.coalesce("label", "rep").alias("label"), F.coalesce("plabel", "pivot").alias("plabel")))
-        outside = seen.filter("label <> plabel").groupBy("token", "pivot").agg(F.min(F.coalesce("d", "low")).alias("nearest"))
-        inner = (seen.filter("label = plabel AND d IS NOT NULL").join(outside, ["token", "pivot"])
-                 .filter(F.col("d") < F.col("nearest") - eps - 1e-9).select("token", "rep"))
-        done = inner.unionAll(pivots.select("token", F.col("pivot").alias("rep"))).distinct()
-        left = materialise(members.join(done, ["token", "rep"], "left_anti").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
-        split = left.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
-        members = materialise(left.join(split, "token", "left_semi").drop("label"))
-        cells *= 8
+            sa, sb = (self.sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+            both = pairs.join(sa, "a").join(sb, "b")
+        both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
+        whole = F.size("sa") + F.size("sb") - F.col("common")
+        found = both.select("a", "b", (1 - F.col("common") / whole).alias("d"), (100 * F.col("common") >= self.percent * whole).alias("linked"))
+        found = materialise(found.groupBy("a", "b").agg(F.min("d").alias("d"), F.bool_or("linked").alias("linked")))
+        self.known = found if self.known is None else self.known.unionAll(found)
+        return found
+
+
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of regions with several classes, with their class as ``label``; a row per region beside: size and largest class."""
+    now = members.withColumn("label", F.col("rep"))
+    if labels is not None:
+        now = members.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
+    now = materialise(now)
+    mixed = now.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("region")
+    return materialise(now.join(mixed, "region", "left_semi"))
+
+
+def _drawn(members: DataFrame, number: int, salt: int) -> DataFrame:
+    """(region, pivot, plabel, pn, prest): of each region's members by cells of a hash, the least by another hash."""
+    picked = F.min(F.struct(F.xxhash64("rep", F.lit(salt)).alias("o"), "rep", "label", "n", "rest")).alias("p")
+    drawn = members.groupBy("region", F.pmod(F.xxhash64("rep", F.lit(-salt)), F.lit(number)).alias("cell")).agg(picked)
+    return materialise(drawn.select("region", F.col("p.rep").alias("pivot"), F.col("p.label").alias("plabel"), F.col("p.n").alias("pn"), F.col("p.rest").alias("prest")))
+
+
+def _may_link(n: str, rest: str, other_n: str, other_rest: str, percent: int) -> Column:
+    """Whether sizes and places let a pair link; both bounds are exact."""
+    low, high = F.least(n, other_n), F.greatest(n, other_n)
+    sizes = 100 * low >= percent * high
+    places = (100 + percent) * (1 + F.least(rest, other_rest)) >= percent * (F.col(n) + F.col(other_n))
+    return F.col(n).isNull() | F.col(other_n).isNull() | (sizes & places)
+
+
+def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """Distinct pairs (a > b) of two columns."""
+    return rows.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
+
+
+def _voronoi(members: DataFrame, distances: Distances, percent: int, salt: int) -> DataFrame:
+    """Members by (region, pivot): at home with the nearest pivot, a copy with each pivot of the window."""
+    window = 2 * (1 - percent / 100) + 1e-9
+    pivots = _drawn(members, REGION_PIVOTS, salt)
+    meets = materialise(members.join(pivots.select("region", "pivot"), "region").select("region", "rep", "n", "rest", "label", "pivot"))
+    distances.of(_pairs(meets.filter("rep <> pivot"), "rep", "pivot"))
+    d = distances.known.select("a", "b", "d")
+    seen = (meets.withColumns({"a": F.greatest("rep", "pivot"), "b": F.least("rep", "pivot")}).join(d, ["a", "b"], "left")
+            .withColumn("d", F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.col("d"))))
+    seen = materialise(seen.select("region", "rep", "n", "rest", "label", "pivot", "d"))
+    nearest = seen.groupBy(F.col("region").alias("r"), F.col("rep").alias("x")).agg(F.min(F.struct("d", "pivot")).alias("near"))
+    near = seen.join(nearest, (F.col("region") == F.col("r")) & (F.col("rep") == F.col("x"))).filter(F.col("d") <= F.col("near.d") + window)
+    return near.select(F.xxhash64("region", "pivot").alias("region"), "rep", "n", "rest", "label", "d", (F.col("pivot") == F.col("near.pivot")).alias("home"), F.col("region").alias("parent"))
+
+
+def _linked_classes(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of the representatives that link to another one. ``members``: region, rep, n, rest."""
+    distances, links, labels = Distances(docs, percent), None, None
+
+    def connected(pairs: DataFrame) -> None:
+        nonlocal links, labels
+        found = distances.of(pairs).filter("linked").select("a", "b")
+        if not found.isEmpty():
+            links = found if links is None else links.unionAll(found)
+            labels = materialise(components(links))
+
+    for number in PIVOTS:
+        members = _labelled(members, labels)
+        pivots = _drawn(members, number, number)
+        close = (F.col("label") != F.col("plabel")) & _may_link("n", "rest", "pn", "prest", percent)
+        meets = materialise(members.join(pivots, "region").filter(close).select("rep", "pivot"))
+        connected(_pairs(meets, "rep", "pivot"))
+        members = members.drop("label")
+
+    members = _labelled(members, labels).withColumns({"d": F.lit(0.0), "home": F.lit(True)})
+    ready, salt = [], 100
+    while True:
+        sizes = materialise(members.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > REGION_ROWS))
+        if sizes.isEmpty():
+            break
+        large = materialise(members.join(sizes.select("region"), "region", "left_semi").drop("d", "home"))
+        ready.append(members.join(sizes.select("region"), "region", "left_anti"))
+        cells = materialise(_voronoi(large, distances, percent, salt))
+        parents = sizes.select(F.col("region").alias("parent"), F.col("size").alias("before"))
+        after = cells.groupBy("region", "parent").agg(F.count(F.lit(1)).alias("size")).join(parents, "parent")
+        stuck = materialise(after.filter(F.col("size") > F.lit(SHRINKS) * F.col("before")).select("region"))
+        ready.append(cells.join(stuck, "region", "left_semi").drop("parent"))
+        members = cells.join(stuck, "region", "left_anti").drop("parent")
+        salt += 1
+    columns = ["region", "rep", "n", "rest", "d", "home"]
+    for part in (*ready, members):
+        now = _labelled(part.select(columns), labels)
+        counted = now.groupBy("region", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("region").agg(F.max(F.struct("m", "label"))["label"].alias("major"))
+        few = materialise(now.join(counted, "region").filter("label <> major"))
+        x = few.select("region", *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "rest", "d", "home", "label", "major")))
+        meet = ((F.col("x_label") != F.col("label")) & ((F.col("label") == F.col("x_major")) | (F.col("x_rep") < F.col("rep"))) & (F.col("home") | F.col("x_home"))
+                & (F.abs(F.col("d") - F.col("x_d")) <= 1 - percent / 100 + 1e-9) & _may_link("n", "rest", "x_n", "x_rest", percent))
+        connected(_pairs(now.join(x, "region").filter(meet).select("rep", "x_rep"), "rep", "x_rep"))
     if labels is None:
-        labels = spark.createDataFrame([], "node long, root long")
+        labels = members.sparkSession.createDataFrame([], "node long, root long")
     return labels
 
 
@@ -328,9 +375,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         more = _ranked(_remaining_filters(firsts, ranks, leading), leading)
         ranks = Ranks(*(np.concatenate(x) for x in zip(quarter, more)))
     members = materialise(_members(firsts, ranks, leading, percent))
-    profiles = passed.filter("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), "n", "counts").distinct()
-    profiles = materialise(profiles.join(members.select("rep").distinct(), "rep", "left_semi"))
-    roots = materialise(_linked_classes(materialise(members.distinct()), profiles, firsts, percent).withColumnRenamed("node", "rep"))
+    roots = materialise(_linked_classes(members, firsts, percent).withColumnRenamed("node", "rep"))
     of_set = copied.join(roots, "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
     by_doc = roots.select(F.col("rep").alias("doc_id"), F.col("root").alias("own"))
     found = digests.join(of_set, "set_key", "left").join(by_doc, "doc_id", "left")
