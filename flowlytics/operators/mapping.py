@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from flowlytics.functions import timefeat as tf
 from flowlytics.functions import values as v
-from flowlytics.operators.cleaning import dense_row_id
 from flowlytics.operators.quantile import DIRECTIONS, apply_bins, fit_bins
-from flowlytics.operators.segments import plan_cuts
-from flowlytics.operators.series import running_balance, signed_amount, time_gap
+from flowlytics.operators.segments import Segmented, segmented
+from flowlytics.operators.series import row_index, running_balance, signed_amount, time_gap
 
 WIDE_COLUMNS = [
     "product_id", "cust_id", "ts", "date", "direction", "status", "amount", "amount_log1p", "amount_bin",
@@ -28,12 +27,23 @@ def _direction_bins(df: DataFrame, **cut) -> DataFrame:
     return apply_bins(logged, edges, ["direction"], "amount_log1p", WIDE_BINS, missing=0, codes=DIRECTIONS)
 
 
-def _per_product(df: DataFrame, tie: list[str], **cut) -> DataFrame:
-    """Gap to the previous row and clipped running balance within each product."""
+def _per_product(df: DataFrame, tie: list[str], **cut) -> Segmented:
+    """Gap to the previous row and clipped running balance within each product, on one range partitioning."""
     order = ["ts", *tie]
-    cuts = plan_cuts(df, ["product_id"], order, **cut)
-    gapped = time_gap(df, ["product_id"], "ts", tie, cuts=cuts)
-    return running_balance(gapped, ["product_id"], order, signed_amount(), "clip", cuts=cuts)
+    seg = segmented(df, ["product_id"], order, **cut)
+    gapped = time_gap(seg.rows, ["product_id"], "ts", tie, seg=seg)
+    return seg.map(running_balance(gapped, ["product_id"], order, signed_amount(), "clip", seg=seg))
+
+
+def _numbered(rows: DataFrame, tie: list[str], row_id: bool, **cut) -> DataFrame:
+    """The ledger's columns in its order; the number of a row comes from the segments of gap and balance."""
+    seg = _per_product(rows, tie, **cut)
+    wide = _direction_bins(seg.rows, **cut)
+    wide = wide.withColumns({c: F.col(c).cast("double") for c in ("amount", "aum_after")})
+    if not row_id:
+        return wide.select(*WIDE_COLUMNS)
+    whole = seg.whole(wide)
+    return row_index(wide, [], whole.order, "__row_id__", seg=whole).select(*WIDE_COLUMNS, "__row_id__")
 
 
 def from_orders(df: DataFrame, tie: list[str] = ("InvoiceNo", "CustomerID", "Quantity", "UnitPrice"),
@@ -74,12 +84,7 @@ def from_orders(df: DataFrame, tie: list[str] = ("InvoiceNo", "CustomerID", "Qua
         "cust_type": v.hash_bucket("cust_id", 3, "cust"),
         "yield_rate": v.placeholder_yield("product_id", "risk_level"),
     })
-    wide = _direction_bins(_per_product(rows, tie, **cut), **cut)
-    wide = wide.withColumns({c: F.col(c).cast("double") for c in ("amount", "aum_after")})
-    if not row_id:
-        return wide.select(*WIDE_COLUMNS)
-    order = ["product_id", "ts", *tie]
-    return dense_row_id(wide, order, **cut).select(*WIDE_COLUMNS, "__row_id__")
+    return _numbered(rows, tie, row_id, **cut)
 
 
 def from_quotes(prices: DataFrame, quotes: DataFrame, rules=v.FUND_NAME_RULES, row_id: bool = True,
@@ -111,8 +116,4 @@ def from_quotes(prices: DataFrame, quotes: DataFrame, rules=v.FUND_NAME_RULES, r
         v.investor_kind("main_net").alias("cust_type"),
         v.intraday_yield(v.to_number("open"), v.to_number("close")).alias("yield_rate"),
     )
-    wide = _direction_bins(_per_product(rows, [], **cut), **cut)
-    wide = wide.withColumns({c: F.col(c).cast("double") for c in ("amount", "aum_after")})
-    if not row_id:
-        return wide.select(*WIDE_COLUMNS)
-    return dense_row_id(wide, ["product_id", "ts"], **cut).select(*WIDE_COLUMNS, "__row_id__")
+    return _numbered(rows, [], row_id, **cut)

@@ -128,7 +128,6 @@ def amount_profile(df: DataFrame, product: str = "product_id", value: str = "amo
     """Count, mean, std, quantiles and log quantiles per product, overall and per direction."""
     q = exact_quantiles(
         by_scope(df, product, value), [product, "scope"], value, PROFILE_PROBS, weight="_c", counts=("_n", "_nd"),
-        counted=df.select(product, F.explode(scopes()).alias("scope")),
         transforms={"quantiles": "CAST({} AS DOUBLE)", "log1p_quantiles": "log1p(greatest(CAST({} AS DOUBLE), 0D))"},
         **cut)
     rows = df.where(F.col(value).isNotNull()).select(product, "direction", value)

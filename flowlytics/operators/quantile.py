@@ -2,7 +2,7 @@
 
 The built-in exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer. Here equal values are counted first (partial aggregation before the
-shuffle), the value order of a hot group is cut into segments, and the wanted ranks are
+shuffle), the counts are dealt out by ranges of key and value, and the wanted ranks are
 picked by running counts. Interpolation is linear between neighbouring ranks.
 """
 
@@ -34,7 +34,6 @@ def exact_quantiles(
     weight: str | None = None,
     transforms: Mapping[str, str] | None = None,
     counts: tuple[str, str] = ("n", "n_distinct"),
-    counted: DataFrame | None = None,
     **cut,
 ) -> DataFrame:
     """One row per key: an array of quantiles per transform, and the row and distinct counts.
@@ -42,14 +41,14 @@ def exact_quantiles(
     A probability may be an SQL expression over ``_nd``, the distinct count of the key. ``weight`` is
     a column of row counts for input that is already grouped. ``transforms`` are SQL expressions with
     ``{}`` for the value; they must be non-decreasing, as ranks are found once on the raw value, and
-    are applied before interpolating. ``counted`` is a cheaper frame with at least as many rows per key.
+    are applied before interpolating.
     """
     keys = list(keys)
     transforms = transforms or {"quantiles": "CAST({} AS DOUBLE)"}
     n_rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     grouped = (df.where(F.col(value).isNotNull())
                .groupBy(*keys, F.col(value).alias("_v")).agg(n_rows.alias("_c")))
-    seg = segmented(grouped, keys, ["_v"], counted=df if counted is None else counted, **cut)
+    seg = segmented(grouped, keys, ["_v"], **cut)
     whole = seg.window(ordered=False)
     upto = seg.window()
     seg = seg.map(seg.rows.select(

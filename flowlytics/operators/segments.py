@@ -1,14 +1,14 @@
-"""Splitting long ordered groups, so that no window runs over one unbounded group.
+"""Ordered segments, so that no window runs over one unbounded group.
 
-A window ``partitionBy(keys).orderBy(order)`` puts a whole key in one task. With a third of a
-ledger under one product that task never ends. ``plan_cuts`` counts rows per key and cuts each key
-of more than ``PIECE_ROWS`` rows into consecutive ranges of the order of about that many rows, so
-the size of a task does not depend on the size of the ledger. A window then runs per (keys,
-segment), and what a range needs from the ranges before it (a last value, a running sum, a minimum)
-comes from a summary with one row per segment of a long key.
+A window ``partitionBy(keys).orderBy(order)`` puts a whole key in one task. With a third of a ledger under one product that
+task never ends. ``segmented`` deals the rows out by ranges of (keys, order) instead and stages them; the number of a range is
+a row's segment, so segments have about the same size whatever the keys are, and rise with the order within each key. A window
+then runs per (keys, segment), and what a range needs from the ranges before it (a last value, a running sum, a minimum) comes
+from a summary with one row per segment of a key that spans several.
 
-Cut points and summaries follow the data, so they are tables in the shared folder and are joined
-without a hint: their size is known, and the optimizer broadcasts them where it is small.
+There is one plan for every size. Segments are as many as ``spark.sql.shuffle.partitions`` and the adaptive coalescing make
+them, so these settings bound a task. The summary has at most two rows per segment more than there are segments; it is a table in the
+shared folder and is joined without a hint.
 """
 
 from __future__ import annotations
@@ -22,9 +22,6 @@ from pyspark.sql import functions as F
 from flowlytics.sources.stage import materialise
 
 SEG = "_seg"
-HOT = "_hot"
-PIECE_ROWS = 1_000_000
-_OVERSAMPLE = 8
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str],
@@ -50,125 +47,52 @@ def salted_lookup(big: DataFrame, small: DataFrame, keys: Sequence[str],
     return same_keys(salted, copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def _blocks(cuts: Column) -> Column:
-    """Sorted cuts as blocks of about their square root with the heads of the blocks: two short scans in place of one long."""
-    width = F.greatest(F.ceil(F.sqrt(F.size(cuts))).cast("int"), F.lit(1))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(cuts), F.lit(1)), width)
-    blocks = F.when(F.size(cuts) > 0, F.transform(starts, lambda i: F.slice(cuts, i, width)))
-    blocks = F.coalesce(blocks, F.array(cuts))
-    return F.struct(
-        F.transform(F.filter(blocks, lambda b: F.size(b) > 0), lambda b: F.get(b, F.lit(0))).alias("heads"),
-        blocks.alias("blocks"), width.alias("width"),
-    )
-
-
-def _position(blocks: Column, point: Column) -> Column:
-    """Number of cuts at or below the point."""
-    head = F.size(F.filter(blocks["heads"], lambda h: h <= point))
-    inner = F.size(F.filter(F.get(blocks["blocks"], head - 1), lambda c: c <= point))
-    return F.when(head == 0, 0).otherwise((head - 1) * blocks["width"] + inner)
-
-
-def _thin(sample: Column, pieces: Column) -> Column:
-    """pieces - 1 evenly spaced cuts out of a sorted sample."""
-    size = F.size(sample)
-    step = F.transform(
-        F.sequence(F.lit(1), F.greatest(pieces - 1, F.lit(1))),
-        lambda i: F.get(sample, F.floor(i * size / pieces).cast("int")),
-    )
-    return F.array_distinct(F.filter(F.when(pieces > 1, step).otherwise(F.slice(sample, 1, 0)),
-                                     lambda c: c.isNotNull()))
-
-
-@dataclass(frozen=True)
-class Cuts:
-    """Where the long keys of one (keys, order) are cut; ``table`` is None when no key is long."""
-
-    keys: tuple[str, ...]
-    order: tuple[str, ...]
-    table: DataFrame | None = None
-
-
 @dataclass(frozen=True)
 class Segmented:
-    """Rows with ``_seg`` (0, 1, ... rising with the order); ``_hot`` marks rows of a cut key."""
+    """Staged rows with ``_seg`` (0, 1, ... rising with keys and order)."""
 
     rows: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    cut: bool
 
     def map(self, rows: DataFrame) -> Segmented:
-        return Segmented(rows, self.keys, self.order, self.cut)
+        """The same segments with other columns beside."""
+        return Segmented(rows, self.keys, self.order)
+
+    def whole(self, rows: DataFrame) -> Segmented:
+        """The same segments as parts of one series of all keys, in the order of keys and order."""
+        return Segmented(rows, (), (*self.keys, *self.order))
 
     def window(self, ordered: bool = True):
-        parts = [*self.keys, SEG] if self.cut else list(self.keys) or [F.lit(0)]
-        w = Window.partitionBy(*parts)
+        w = Window.partitionBy(*self.keys, SEG)
         return w.orderBy(*self.order) if ordered else w
 
     def carry_window(self):
-        """Over the summary rows of one cut key, in segment order (one row for PIECE_ROWS rows of the key)."""
+        """Over the summary rows of one key, in segment order."""
         return Window.partitionBy(*(self.keys or [F.lit(0)])).orderBy(SEG)
 
     def carry(self, summary: dict[str, Column], *carried: dict[str, Column]) -> Segmented:
         """Brings columns over from earlier or later segments of the same key.
 
-        ``summary`` are aggregates per (keys, segment); ``carried`` are window expressions over
-        ``carry_window()``, later groups building on earlier ones. Where nothing was cut the
-        carried columns are null.
+        ``summary`` are aggregates per (keys, segment); ``carried`` are window expressions over ``carry_window()``, later
+        groups building on earlier ones. In a key of one segment the carried columns are null.
         """
         names = [n for group in carried for n in group]
-        if not self.cut:
-            return self.map(self.rows.withColumns({n: F.lit(None) for n in names}))
-        table = self.rows.where(HOT).groupBy(*self.keys, SEG).agg(*[c.alias(n) for n, c in summary.items()])
+        table = self.rows.groupBy(*self.keys, SEG).agg(*[c.alias(n) for n, c in summary.items()])
+        parts = F.count(F.lit(1)).over(Window.partitionBy(*(self.keys or [F.lit(0)])))
+        table = table.withColumn("_parts", parts).where("_parts > 1")
         for group in carried:
             table = table.withColumns(group)
         table = materialise(table.select(*self.keys, SEG, *names))
         return self.map(same_keys(self.rows, table, [*self.keys, SEG], "left"))
 
 
-def _point(order: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-
-
-def plan_cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
-              piece_rows: int = PIECE_ROWS, counted: DataFrame | None = None) -> Cuts:
-    """Counts rows per key (a job on the key columns only) and cuts the keys of more than ``piece_rows`` rows.
+def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, segments: int | None = None) -> Segmented:
+    """Rows dealt out by ranges of (keys, order) and staged with their segment (runs jobs for the ranges and the table).
 
-    Cut points are an evenly thinned hash sample of the order values of a long key. ``order`` should
-    identify a row within its key; equal order values stay together. ``counted`` is a cheaper frame
-    with at least as many rows per key (the input of an aggregation) to count on instead.
+    ``order`` should identify a row within its key; rows that are equal in keys and order stay together. ``segments`` sets the
+    number of ranges; by default the session does.
     """
-    keys, order = list(keys), list(order)
-    counts = (df if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    long = counts.where(F.col("_n") > piece_rows).withColumn("_k", F.ceil(F.col("_n") / piece_rows))
-    if long.isEmpty():
-        return Cuts(tuple(keys), tuple(order))
-    long = materialise(long)
-    draw = F.xxhash64(*[F.col(c) for c in [*keys, *order]])
-    points = df.select(*keys, _point(order).alias("_p"), draw.alias("_d"))
-    if keys:
-        points = same_keys(points, long, keys, "inner")
-    else:
-        points = points.withColumns({c: long.select(c).scalar() for c in ("_n", "_k")})
-    sampled = points.where(F.pmod(F.col("_d"), F.col("_n")) < F.col("_k") * _OVERSAMPLE)
-    lists = (sampled.groupBy(*keys).agg(F.array_sort(F.collect_set("_p")).alias("_a"), F.first("_k").alias("_k"))
-             .select(*keys, _blocks(_thin(F.col("_a"), F.col("_k"))).alias("__cuts")))
-    return Cuts(tuple(keys), tuple(order), materialise(lists))
-
-
-def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: Cuts | None = None,
-              **limits) -> Segmented:
-    """Rows with their segment. ``cuts`` reuses the cut points of another operator on the same rows."""
-    cuts = cuts or plan_cuts(df, keys, order, **limits)
-    if (list(cuts.keys), list(cuts.order)) != (list(keys), list(order)):
-        raise ValueError("cut points belong to another key or order")
-    if cuts.table is None:
-        return Segmented(df, tuple(keys), tuple(order), False)
-    if keys:
-        rows = same_keys(df, cuts.table, keys, "left")
-    else:
-        rows = df.withColumn("__cuts", cuts.table.scalar())
-    number = F.when(F.col("__cuts").isNull(), 0).otherwise(_position(F.col("__cuts"), _point(order)))
-    rows = rows.withColumns({SEG: number, HOT: F.col("__cuts").isNotNull()}).drop("__cuts")
-    return Segmented(rows, tuple(keys), tuple(order), True)
+    columns = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
+    ranged = df.repartitionByRange(*([segments] if segments else []), *columns)
+    return Segmented(materialise(ranged.withColumn(SEG, F.spark_partition_id())), tuple(keys), tuple(order))

@@ -1,7 +1,8 @@
 """Series operators.
 
 Row-level series (transactions of a product or a customer) can be arbitrarily long, so they run
-on ordered segments with carries. Day-level series come out of a roll-up and are bounded by the
+on ordered segments with carries; ``seg`` takes segments that another operator already made of the
+same rows (``df`` then holds their ``_seg``, and so does the result). Day-level series come out of a roll-up and are bounded by the
 number of calendar days; they use plain windows.
 """
 
@@ -14,15 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from flowlytics.functions import values as v
-from flowlytics.operators.segments import segmented
+from flowlytics.operators.segments import Segmented, segmented
 
 
 # ---- row-level series -------------------------------------------------------------------------
 
 def shifted(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, str],
-            step: int = -1, **cut) -> DataFrame:
+            step: int = -1, seg: Segmented | None = None, **cut) -> DataFrame:
     """Adds, per output name, the source column of the previous (-1) or next (+1) row of the series."""
-    seg = segmented(df, keys, order, **cut)
+    seg = seg.map(df) if seg else segmented(df, keys, order, **cut)
     value = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
     point = F.struct(*order)
     w, over = seg.window(), seg.carry_window()
@@ -33,9 +34,10 @@ def shifted(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: M
         *[F.col(c) for c in df.columns], *[F.col(f"_x.{n}").alias(n) for n in columns])
 
 
-def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "idx", **cut) -> DataFrame:
+def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "idx",
+              seg: Segmented | None = None, **cut) -> DataFrame:
     """Position 0, 1, ... of each row within its series."""
-    seg = segmented(df, keys, order, **cut)
+    seg = seg.map(df) if seg else segmented(df, keys, order, **cut)
     seg = seg.map(seg.rows.withColumn("_rn", F.row_number().over(seg.window())))
     before = seg.carry_window().rowsBetween(W.unboundedPreceding, -1)
     rows = seg.carry({"_s": F.count(F.lit(1))}, {"_off": F.sum("_s").over(before)}).rows
@@ -55,15 +57,16 @@ def signed_amount(amount: str = "amount", direction: str = "direction") -> Colum
 
 
 def running_balance(df: DataFrame, keys: Sequence[str], order: Sequence[str], change: Column,
-                    floor: str | None = None, out: str = "aum_after",
-                    prior: str | None = None, **cut) -> DataFrame:
+                    floor: str | None = None, out: str = "aum_after", prior: str | None = None,
+                    seg: Segmented | None = None, **cut) -> DataFrame:
     """Balance after each row.
 
     floor=None: the plain running sum. 'clip': the running sum, shown as 0 where negative.
     'reflect': the balance itself never goes below 0, later rows build on that; by the closed form
     sum - min(0, lowest sum so far). ``prior`` adds the balance before the row.
     """
-    seg = segmented(df.withColumn("_chg", change), keys, order, **cut)
+    changed = df.withColumn("_chg", change)
+    seg = seg.map(changed) if seg else segmented(changed, keys, order, **cut)
     w = seg.window()
     upto = w.rowsBetween(W.unboundedPreceding, 0)
     rows = seg.rows.withColumn("_s", F.sum("_chg").over(upto))

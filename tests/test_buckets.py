@@ -7,9 +7,9 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from flowlytics.operators import quantile as q
-from flowlytics.operators.segments import plan_cuts, salted_lookup, segmented
+from flowlytics.operators.segments import salted_lookup, segmented
 
-SMALL = {"piece_rows": 20}
+SMALL = {"segments": 9}
 
 
 @pytest.fixture(scope="module")
@@ -48,7 +48,6 @@ def test_weighted_input_and_transform(spark, skewed):
 def test_segments_are_ordered_ranges(skewed):
     frame, df = skewed
     seg = segmented(df, ["k"], ["v", "id"], **SMALL)
-    assert seg.cut
     parts = seg.rows.groupBy("k", "_seg").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).toPandas()
     for _, g in parts.groupby("k"):
         g = g.sort_values("_seg")
@@ -56,22 +55,34 @@ def test_segments_are_ordered_ranges(skewed):
     assert parts.n.sum() == len(frame)
     hot = parts[parts.k == 0]
     assert len(hot) > 1 and hot.n.max() < 0.6 * hot.n.sum()
-    sizes = parts.groupby("k").n.transform("sum")
-    assert (parts[sizes <= SMALL["piece_rows"]]["_seg"] == 0).all() and parts.n.max() < 8 * SMALL["piece_rows"]
+    bounds = parts.groupby("_seg").k.agg(["min", "max"]).sort_index()
+    assert (bounds["max"].values[:-1] <= bounds["min"].values[1:]).all()
 
 
-def test_no_cut_leaves_a_plain_window(skewed):
+def test_segments_hold_about_the_same_number_of_rows(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"), "id")
+    sizes = [r["count"] for r in segmented(df, ["k"], ["id"], segments=16).rows.groupBy("_seg").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2.5 * 20_000 / 16
+
+
+def test_only_keys_of_several_segments_are_carried(skewed):
     _, df = skewed
-    assert plan_cuts(df, ["k"], ["v", "id"]).table is None
-    seg = segmented(df, ["k"], ["v", "id"])
-    assert not seg.cut and seg.rows is df
+    seg = segmented(df, ["k"], ["v", "id"], **SMALL)
+    rows = seg.carry({"_s": F.count("*")}, {"_all": F.sum("_s").over(seg.carry_window().rowsBetween(-1000, 1000))}).rows
+    got = {r["k"]: (r["parts"], r["total"], r["n"]) for r in rows.groupBy("k").agg(
+        F.countDistinct("_seg").alias("parts"), F.max("_all").alias("total"), F.count("*").alias("n")).collect()}
+    assert any(parts > 1 for parts, _, _ in got.values())
+    assert all(total == (n if parts > 1 else None) for parts, total, n in got.values())
 
 
-def test_segments_do_not_change_between_runs(skewed):
+def test_one_plan_for_every_size(skewed):
     _, df = skewed
-    runs = [sorted(tuple(r) for r in segmented(df.repartition(n), ["k"], ["v", "id"], **SMALL).rows.select("id", "_seg").collect())
-            for n in (1, 7)]
-    assert runs[0] == runs[1]
+    plans = []
+    for part in (df, df.limit(3)):
+        seg = segmented(part, ["k"], ["v", "id"])
+        rows = seg.map(seg.rows.withColumn("s", F.sum("v").over(seg.window()))).carry({"_t": F.sum("v")}, {"_o": F.lag("_t").over(seg.carry_window())}).rows
+        plans.append([line.strip(" :+-") .split(" ")[0] for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines()])
+    assert plans[0] == plans[1] and "array" not in str(rows.dtypes)
 
 
 def edges_of(spark, values, bins, **kw):

@@ -28,7 +28,7 @@ def tables(spark):
 
 def test_training_tables(spark, tables, tmp_path):
     fact, frames = tables
-    out = jobs.training_tables(*frames, piece_rows=100)
+    out = jobs.training_tables(*frames, segments=5)
     txns = out.txns.toPandas()
     assert len(txns) == len(fact) - 5 and sorted(txns["__row_id__"]) == list(range(len(txns)))
     assert "product_type_name" not in txns and (txns.aum_after >= 0).all()

@@ -121,7 +121,7 @@ def test_ks_equals_definition(spark):
     a, b = (np.sort(frame[frame.direction == d].amount) for d in (0, 1))
     grid = np.sort(frame.amount)
     want = np.abs(np.searchsorted(a, grid, "right") / len(a) - np.searchsorted(b, grid, "right") / len(b)).max()
-    for cut in ({}, {"piece_rows": 20}):
+    for cut in ({}, {"segments": 6}):
         assert quality.ks_distance(df, "direction", "amount", **cut).first()["ks"] == pytest.approx(want)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlytics.operators import cleaning, quality, rollup, series, split
 
-SMALL = {"piece_rows": 15}
+SMALL = {"segments": 7}
 
 
 @pytest.fixture(scope="module")
