@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from flowlytics.llm import bpe, texts
 from flowlytics.sources.stage import materialise
 
-CHUNK_LINKS = 1_000_000
+CHUNK_LINKS = 500_000
+SLICE_BYTES = 300_000
 SPACE_PIECE = "▁"
 NEXT, SIDE, GROUP, LAST = range(4)
 SEPARATORS = (b",", b"|", b";", b"")
@@ -191,7 +192,7 @@ def _chunks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held, size = sides(a_path, b_path), [], 0
-        for batch, raws in texts.slices(batches, "text"):
+        for batch, raws in texts.slices(batches, "text", SLICE_BYTES):
             found = Aligned(own, raws)
             held.append((batch.column("doc_id").to_pylist(), found.n_a, found.n_b, found.n_groups, found.n_links, found.shas, found.links))
             size += len(found.links) + batch.num_rows

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from flowlytics.llm import texts
 
-REMEMBERED_PAIRS = 300_000
-REMEMBERED_PIECES = 150_000
+REMEMBERED_PAIRS = 150_000
+REMEMBERED_PIECES = 80_000
 LONGEST_REMEMBERED = 64
 PIECES_AT_ONCE = 100_000
 OLD_LETTERS_END, OLD_LETTERS_BELOW = 0xD5, 0x540  # bytes of texts, and characters, that every Unicode version classes alike lie below

@@ -9,11 +9,12 @@ The Jaccard distance is a metric, and a link is a distance of at most EPSILON =
    all documents by counting quotient filters.
 3. Pivots connect: in each region that holds several classes, members meet a few drawn pivots, as far as the bounds let them
    link. Classes grow by these links, so a group of near copies is one class after as many comparisons as it has members.
-4. Regions that still hold several classes and are large become Voronoi regions: all members' distances to drawn pivots are
-   computed, each member goes to its nearest pivot p and, as d(x, q) <= d(x, p) + 2 EPSILON is all that a link across allows,
-   to the pivots q of that window as well. That is repeated while regions shrink.
-5. Within the regions, pairs of different classes are compared exactly where at least one is at home, the bounds hold and
-   their distances to the pivot differ by no more than EPSILON. Members of a region's largest class only meet the others.
+4. Regions with more than REGION_ROWS members outside of their largest class become Voronoi regions: all members' distances
+   to drawn pivots are computed, each member goes to its nearest pivot p and, as d(x, q) <= d(x, p) + 2 EPSILON is all that a
+   link across allows, to the pivots q of that window as well. That is repeated while regions shrink.
+5. Within the regions, members outside of the largest class meet the members of other classes: those pairs are compared
+   exactly of which at least one is at home, for which the bounds hold, and whose distances to the pivot differ by no more
+   than EPSILON.
 
 No link between different classes is lost and no group is gathered: pivots, minima and classes are aggregates with partial
 groups, distances are computed per pair.
@@ -21,13 +22,14 @@ groups, distances are computed per pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flowlytics.llm import exact, texts
 from flowlytics.llm.components import components
@@ -39,11 +41,13 @@ FREQUENT = 16
 MOST_RANKED = 500_000
 SAMPLE_BITS = 62
 TASK_TOKENS = 500_000
-PIVOTS = (1, 4, 16)
+PIVOTS = (1, 4)
 REGION_ROWS = 512
 REGION_PIVOTS = 4
 SHRINKS = 0.75
 LONG = (1 << 16) - 1
+NEAR = 64
+BROADCAST_BYTES = 32_000_000
 
 
 _TABLE = texts.translation({0x20, *range(0x09, 0x0E)})
@@ -211,11 +215,32 @@ def _members(docs: DataFrame, ranks: Ranks, leading: int, percent: int) -> DataF
         length = sizes - -(-percent * sizes // 100) + 1  # of the prefix
         rest = sizes - 1 - -(-places * length // 256)
         known = sizes < LONG
+        met = passed[kept]
+        near = np.flatnonzero(tokens[:-1] == tokens[1:])
+        for lag in range(1, NEAR + 1):  # a member without a partner that sizes and places allow can go
+            near = near[near + lag < len(tokens)]
+            near = near[tokens[near] == tokens[near + lag]]
+            if not len(near):
+                break
+            other = near + lag
+            if lag == NEAR:
+                met[np.isin(tokens, tokens[near])] = True
+                break
+            low, high = np.minimum(sizes[near], sizes[other]), np.maximum(sizes[near], sizes[other])
+            fits = (100 * low >= percent * high) & ((100 + percent) * (1 + np.minimum(rest[near], rest[other])) >= percent * (low + high))
+            fits = (fits | ~known[near] | ~known[other]) & (reps[near] != reps[other])
+            met[near[fits]] = met[other[fits]] = True
+        tokens, reps, sizes, rest, known = (x[met] for x in (tokens, reps, sizes, rest, known))
         return pa.table({"region": tokens.view(np.int64), "rep": reps, "n": pa.array(sizes, mask=~known), "rest": pa.array(rest, mask=~known)})
 
     return docs.mapInArrow(emit, "block int, rows binary").groupBy("block").applyInArrow(group, "region long, rep long, n long, rest long")
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A staged table of long columns, to be broadcast up to BROADCAST_BYTES; beyond, the join shuffles."""
+    return F.broadcast(table) if 16 * len(table.columns) * table.count() <= BROADCAST_BYTES else table
+
+
 class Distances:
     """Distances of pairs (a, b), each computed once; the sets of the documents asked for are staged as they come up."""
 
@@ -233,7 +258,7 @@ class Distances:
             reps = reps.join(self.sets, "rep", "left_anti")
         reps = materialise(reps)
         if not reps.isEmpty():
-            new = materialise(self.docs.join(reps, self.docs["doc_id"] == reps["rep"], "left_semi").select("doc_id", "text").mapInArrow(cut, "rep long, shingles array<long>"))
+            new = materialise(self.docs.join(_small(reps), self.docs["doc_id"] == reps["rep"], "left_semi").select("doc_id", "text").mapInArrow(cut, "rep long, shingles array<long>"))
             self.sets = new if self.sets is None else self.sets.unionAll(new)
 
     def of(self, pairs: DataFrame) -> DataFrame:
@@ -258,20 +283,26 @@ class Distances:
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of regions with several classes, with their class as ``label``; a row per region beside: size and largest class."""
-    now = members.withColumn("label", F.col("rep"))
-    if labels is not None:
-        now = members.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
-    now = materialise(now)
-    mixed = now.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("region")
-    return materialise(now.join(mixed, "region", "left_semi"))
+    """Members with their class as ``label``. ``labels``: rep, root."""
+    if labels is None:
+        return members.withColumn("label", F.col("rep"))
+    return members.join(labels, "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
 
 
-def _drawn(members: DataFrame, number: int, salt: int) -> DataFrame:
-    """(region, pivot, plabel, pn, prest): of each region's members by cells of a hash, the least by another hash."""
+def _drawn(now: DataFrame, number: int, salt: int) -> DataFrame:
+    """(region, pivot, plabel, pn, prest) of regions with several classes: of the members by cells of a hash, the least by another hash."""
     picked = F.min(F.struct(F.xxhash64("rep", F.lit(salt)).alias("o"), "rep", "label", "n", "rest")).alias("p")
-    drawn = members.groupBy("region", F.pmod(F.xxhash64("rep", F.lit(-salt)), F.lit(number)).alias("cell")).agg(picked)
-    return materialise(drawn.select("region", F.col("p.rep").alias("pivot"), F.col("p.label").alias("plabel"), F.col("p.n").alias("pn"), F.col("p.rest").alias("prest")))
+    cells = now.groupBy("region", F.pmod(F.xxhash64("rep", F.lit(-salt)), F.lit(number)).alias("cell")).agg(picked, F.min("label").alias("low"), F.max("label").alias("high"))
+    region = Window.partitionBy("region")
+    mixed = cells.withColumns({"low": F.min("low").over(region), "high": F.max("high").over(region)}).filter("low <> high")
+    return materialise(mixed.select("region", F.col("p.rep").alias("pivot"), F.col("p.label").alias("plabel"), F.col("p.n").alias("pn"), F.col("p.rest").alias("prest")))
+
+
+def _mixed(now: DataFrame) -> DataFrame:
+    """(region, major, others) of regions with several classes: the largest class and the number of members outside of it."""
+    counted = now.groupBy("region", "label").agg(F.count(F.lit(1)).alias("m"))
+    whole = counted.groupBy("region").agg(F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("size")).filter("most.m < size")
+    return materialise(whole.select("region", F.col("most.label").alias("major"), (F.col("size") - F.col("most.m")).alias("others")))
 
 
 def _may_link(n: str, rest: str, other_n: str, other_rest: str, percent: int) -> Column:
@@ -287,66 +318,61 @@ def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
 
 
-def _voronoi(members: DataFrame, distances: Distances, percent: int, salt: int) -> DataFrame:
-    """Members by (region, pivot): at home with the nearest pivot, a copy with each pivot of the window."""
+def _voronoi(now: DataFrame, connect: Callable[[DataFrame], None], distances: Distances, percent: int, salt: int) -> DataFrame:
+    """Members by (region, pivot): at home with the nearest pivot, a copy with each pivot of the window. ``parent`` is the region before."""
     window = 2 * (1 - percent / 100) + 1e-9
-    pivots = _drawn(members, REGION_PIVOTS, salt)
-    meets = materialise(members.join(pivots.select("region", "pivot"), "region").select("region", "rep", "n", "rest", "label", "pivot"))
-    distances.of(_pairs(meets.filter("rep <> pivot"), "rep", "pivot"))
-    d = distances.known.select("a", "b", "d")
-    seen = (meets.withColumns({"a": F.greatest("rep", "pivot"), "b": F.least("rep", "pivot")}).join(d, ["a", "b"], "left")
+    pivots = _drawn(now, REGION_PIVOTS, salt)
+    meets = materialise(now.join(pivots.select("region", "pivot"), "region").select("region", "rep", "n", "rest", "pivot"))
+    connect(_pairs(meets.filter("rep <> pivot"), "rep", "pivot"))
+    seen = (meets.withColumns({"a": F.greatest("rep", "pivot"), "b": F.least("rep", "pivot")}).join(distances.known.select("a", "b", "d"), ["a", "b"], "left")
             .withColumn("d", F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.col("d"))))
-    seen = materialise(seen.select("region", "rep", "n", "rest", "label", "pivot", "d"))
+    seen = materialise(seen.select("region", "rep", "n", "rest", "pivot", "d"))
     nearest = seen.groupBy(F.col("region").alias("r"), F.col("rep").alias("x")).agg(F.min(F.struct("d", "pivot")).alias("near"))
     near = seen.join(nearest, (F.col("region") == F.col("r")) & (F.col("rep") == F.col("x"))).filter(F.col("d") <= F.col("near.d") + window)
-    return near.select(F.xxhash64("region", "pivot").alias("region"), "rep", "n", "rest", "label", "d", (F.col("pivot") == F.col("near.pivot")).alias("home"), F.col("region").alias("parent"))
+    return materialise(near.select(F.xxhash64("region", "pivot").alias("region"), "rep", "n", "rest", "d", (F.col("pivot") == F.col("near.pivot")).alias("home"), F.col("region").alias("parent")))
 
 
 def _linked_classes(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of the representatives that link to another one. ``members``: region, rep, n, rest."""
+    """(rep, root) of the representatives that link to another one. ``members``: region, rep, n, rest."""
     distances, links, labels = Distances(docs, percent), None, None
 
-    def connected(pairs: DataFrame) -> None:
+    def connect(pairs: DataFrame) -> None:
         nonlocal links, labels
         found = distances.of(pairs).filter("linked").select("a", "b")
         if not found.isEmpty():
             links = found if links is None else links.unionAll(found)
-            labels = materialise(components(links))
+            labels = _small(materialise(components(links).withColumnRenamed("node", "rep")))
 
     for number in PIVOTS:
-        members = _labelled(members, labels)
-        pivots = _drawn(members, number, number)
+        pivots = _drawn(_labelled(members, labels), number, number)
         close = (F.col("label") != F.col("plabel")) & _may_link("n", "rest", "pn", "prest", percent)
-        meets = materialise(members.join(pivots, "region").filter(close).select("rep", "pivot"))
-        connected(_pairs(meets, "rep", "pivot"))
-        members = members.drop("label")
+        connect(_pairs(_labelled(members, labels).join(_small(pivots), "region").filter(close), "rep", "pivot"))
 
-    members = _labelled(members, labels).withColumns({"d": F.lit(0.0), "home": F.lit(True)})
-    ready, salt = [], 100
+    parts = []  # members by regions that are compared directly
+    part, salt = members.withColumns({"d": F.lit(0.0), "home": F.lit(True)}), 100
     while True:
-        sizes = materialise(members.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > REGION_ROWS))
-        if sizes.isEmpty():
+        regions = _mixed(_labelled(part, labels))
+        wide = materialise(regions.filter(F.col("others") > REGION_ROWS).select("region"))
+        if wide.isEmpty():
+            parts.append((part, regions))
             break
-        large = materialise(members.join(sizes.select("region"), "region", "left_semi").drop("d", "home"))
-        ready.append(members.join(sizes.select("region"), "region", "left_anti"))
-        cells = materialise(_voronoi(large, distances, percent, salt))
-        parents = sizes.select(F.col("region").alias("parent"), F.col("size").alias("before"))
-        after = cells.groupBy("region", "parent").agg(F.count(F.lit(1)).alias("size")).join(parents, "parent")
-        stuck = materialise(after.filter(F.col("size") > F.lit(SHRINKS) * F.col("before")).select("region"))
-        ready.append(cells.join(stuck, "region", "left_semi").drop("parent"))
-        members = cells.join(stuck, "region", "left_anti").drop("parent")
-        salt += 1
-    columns = ["region", "rep", "n", "rest", "d", "home"]
-    for part in (*ready, members):
-        now = _labelled(part.select(columns), labels)
-        counted = now.groupBy("region", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("region").agg(F.max(F.struct("m", "label"))["label"].alias("major"))
-        few = materialise(now.join(counted, "region").filter("label <> major"))
-        x = few.select("region", *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "rest", "d", "home", "label", "major")))
-        meet = ((F.col("x_label") != F.col("label")) & ((F.col("label") == F.col("x_major")) | (F.col("x_rep") < F.col("rep"))) & (F.col("home") | F.col("x_home"))
+        parts.append((part, regions.join(wide, "region", "left_anti")))
+        now = materialise(_labelled(part, labels).join(wide, "region", "left_semi"))
+        cells = _voronoi(now, connect, distances, percent, salt)
+        before = now.groupBy(F.col("region").alias("parent")).agg(F.count(F.lit(1)).alias("before"))
+        sizes = cells.groupBy("region", "parent").agg(F.count(F.lit(1)).alias("size")).join(before, "parent")
+        stuck = materialise(sizes.filter(F.col("size") > F.lit(SHRINKS) * F.col("before")).select("region"))  # no pivot separates them
+        whole = cells.join(stuck, "region", "left_semi").drop("parent")
+        parts.append((whole, _mixed(_labelled(whole, labels))))
+        part, salt = materialise(cells.join(stuck, "region", "left_anti").drop("parent")), salt + 1
+    for part, regions in parts:
+        now = _labelled(part, labels).join(_small(regions.select("region", "major")), "region")
+        few = materialise(now.filter("label <> major").select("region", *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "rest", "d", "home", "label"))))
+        meet = ((F.col("x_label") != F.col("label")) & ((F.col("label") == F.col("major")) | (F.col("x_rep") < F.col("rep"))) & (F.col("home") | F.col("x_home"))
                 & (F.abs(F.col("d") - F.col("x_d")) <= 1 - percent / 100 + 1e-9) & _may_link("n", "rest", "x_n", "x_rest", percent))
-        connected(_pairs(now.join(x, "region").filter(meet).select("rep", "x_rep"), "rep", "x_rep"))
+        connect(_pairs(now.join(few, "region").filter(meet), "rep", "x_rep"))
     if labels is None:
-        labels = members.sparkSession.createDataFrame([], "node long, root long")
+        labels = members.sparkSession.createDataFrame([], "rep long, root long")
     return labels
 
 
@@ -368,14 +394,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copied = classes.filter("rep <> last").select("set_key", "rep")
     again = digests.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
     copies = digests.filter("n > 0 AND doc_id IS NOT NULL").join(copied, "set_key").filter("doc_id <> rep").select("doc_id")
-    firsts = rows.filter("doc_id IS NOT NULL").join(materialise(copies.join(again, "doc_id", "left_anti")), "doc_id", "left_anti")
+    firsts = rows.filter("doc_id IS NOT NULL").join(_small(materialise(copies.join(again, "doc_id", "left_anti"))), "doc_id", "left_anti")
     quarter = _ranked(passed.filter("block IS NOT NULL").select("block", "filter"), leading)
     ranks = Ranks(*quarter)
     if len(quarter[0]):
         more = _ranked(_remaining_filters(firsts, ranks, leading), leading)
         ranks = Ranks(*(np.concatenate(x) for x in zip(quarter, more)))
     members = materialise(_members(firsts, ranks, leading, percent))
-    roots = materialise(_linked_classes(members, firsts, percent).withColumnRenamed("node", "rep"))
+    roots = materialise(_linked_classes(members, firsts, percent))
     of_set = copied.join(roots, "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
     by_doc = roots.select(F.col("rep").alias("doc_id"), F.col("root").alias("own"))
     found = digests.join(of_set, "set_key", "left").join(by_doc, "doc_id", "left")

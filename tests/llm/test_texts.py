@@ -100,6 +100,23 @@ def test_jaccard_without_ranks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.jaccard(rows)
 
 
+@pytest.mark.parametrize("others, pivots", [(512, (1, 4)), (4, (1,)), (2, ())])
+def test_jaccard_in_voronoi_regions(spark, monkeypatch, others, pivots):
+    """A hot group around the threshold: most of its sets share their rarest shingles, and only some link."""
+    monkeypatch.setattr(jaccard, "REGION_ROWS", others)
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    draw = random.Random(4)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(160):
+        words = list(base)
+        for _ in range(draw.randrange(0, 4)):
+            words[draw.randrange(60)] = f"x{draw.randrange(10 ** 6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(i, " ".join(draw.choice(base) for _ in range(40))) for i in range(160, 200)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == {(i, n, c) for i, (n, c) in brute.jaccard(rows).items()}
+
+
 def test_jaccard_nulls_and_repeats(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "other words stand in here now"), (2, "a b c d e f"), (2, "a b c d e f"), (9, "other words stand in here now")]
     got = sorted(((r.doc_id, r.component_id) for r in jaccard.near_duplicates(texts(spark, rows)).collect()), key=str)
