@@ -5,24 +5,24 @@ Predictions are kept in long form: product_id, group_id, date, kind, horizon, tr
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
-import numpy as np
-import pyarrow as pa
+from pyspark import inheritable_thread_target
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from flowlytics.functions import values as v
-from flowlytics.operators.boosting import Boosted
 from flowlytics.operators.series import change_sign, history_windows
+from flowlytics.sources.stage import materialise, shared_folder
 
 KINDS = ("purchase_log1p", "redemption_log1p")
 HORIZONS = (1, 7, 30)
 SERIES = ["product_id", "group_id"]
 POINT = [*SERIES, "date"]
-TREE_ROWS = 10_000  # labelled rows that the boosted trees learn from at most
 # The ten features of a history window.
 FEATURES = ["direction", "amount_bin", "product_type", "risk_level", "dow", "dom",
             "is_month_end", "is_quarter_end", "n_txn", "yield_rate"]
@@ -93,38 +93,39 @@ def feature_names(features: Sequence[str] = FEATURES, groups: int = 8) -> list[s
 
 
 def fit_trees(train: DataFrame, test: DataFrame, targets: Sequence[tuple[str, int]] | None = None, *,
-              rounds: int = 200, depth: int = 6, rate: float = 0.05, seed: int = 0, max_rows: int = TREE_ROWS) -> DataFrame:
-    """Boosted-tree forecast per target on window features (runs a job for the models).
+              rounds: int = 200, depth: int = 6, rate: float = 0.05, seed: int = 0, parallel: int = 3) -> DataFrame:
+    """Gradient-boosted trees per target on window features, fitted by Spark on all labelled rows; all test rows are scored.
 
-    The trees learn from at most ``max_rows`` labelled rows, drawn by a hash of the row and the seed; each
-    target is fitted in a task of its own. All test rows are scored.
+    The fits of ``parallel`` targets run side by side. Lineage is cut every ten rounds in the checkpoint folder; the session's
+    own is used where it names one. A target without any labelled row is left out.
     """
     targets = list(targets or [(k, h) for k in KINDS for h in HORIZONS])
     names, labels = feature_names(), [f"{k}_h{h}" for k, h in targets]
-    row = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names]).alias("x")
-    drawn = train.orderBy(F.xxhash64(F.lit(seed), *POINT), *POINT).limit(max_rows)
-    long = drawn.select(row, F.posexplode(F.array(*[F.col(c).cast("double") for c in labels])).alias("target", "y")).where("y IS NOT NULL")
-
-    def fit(group: pa.Table) -> pa.Table:
-        x, y = np.array(group["x"].to_pylist()), group["y"].to_numpy()
-        order = np.lexsort((*x.T, y))  # rows may arrive in any order
-        model = Boosted(rounds, depth, rate).fit(x[order], y[order])
-        return pa.table({"target": group["target"].slice(0, 1), "model": [pickle.dumps(model)]})
-
-    fitted = {r["target"]: pickle.loads(r["model"]) for r in long.groupBy("target").applyInArrow(fit, "target int, model binary").collect()}
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array(batch.column("x").to_pylist()).reshape(batch.num_rows, len(names))
-            made = np.stack([fitted[i].predict(x) if i in fitted else np.full(len(x), np.nan) for i in range(len(targets))], axis=1)
-            kept = batch.select([*POINT, "y"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(list(made), pa.list_(pa.float64()))], names=[*kept.schema.names, "p"])
-
-    rows = test.select(*POINT, F.array(*[F.col(c).cast("double") for c in labels]).alias("y"), row)
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    scored = rows.mapInArrow(score, ", ".join(f"{c} {kinds[c]}" for c in POINT) + ", y array<double>, p array<double>")
-    entries = [F.struct(F.lit(k).alias("kind"), F.lit(h).alias("horizon"), F.get("y", i).alias("truth"), F.get("p", i).alias("pred"))
-               for i, (k, h) in enumerate(targets)]
+    spark = train.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/trees")
+    row = VectorAssembler(inputCols=names, outputCol="x")
+
+    def assembled(df: DataFrame) -> DataFrame:
+        whole = df.select(*POINT, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names], *[F.col(c).cast("double") for c in labels])
+        return row.transform(whole).select(*POINT, "x", *labels)
+
+    learn = materialise(assembled(train).drop(*POINT))
+    known = learn.agg(*[F.count(c).alias(c) for c in labels]).first()
+
+    def fit(label: str) -> GBTRegressionModel:
+        trees = GBTRegressor(featuresCol="x", labelCol=label, predictionCol=f"p_{label}", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed,
+                             maxBins=64, minInstancesPerNode=20, checkpointInterval=10)
+        return trees.fit(learn.where(F.col(label).isNotNull()).select("x", label))
+
+    fitted = [label for label in labels if known[label]]
+    with ThreadPool(parallel) as pool:
+        models = pool.map(inheritable_thread_target(spark)(fit), fitted)
+    scored = assembled(test)
+    for model in models:
+        scored = model.transform(scored)
+    entries = [F.struct(F.lit(k).alias("kind"), F.lit(h).alias("horizon"), F.col(label).alias("truth"), F.col(f"p_{label}").alias("pred"))
+               for (k, h), label in zip(targets, labels) if label in fitted]
     return scored.select(*POINT, F.explode(F.array(*entries)).alias("e")).select(*POINT, "e.*")
 
 

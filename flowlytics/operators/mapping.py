@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlytics.functions import timefeat as tf
 from flowlytics.functions import values as v
+from flowlytics.operators.joins import require_unique
 from flowlytics.operators.quantile import DIRECTIONS, apply_bins, fit_bins
 from flowlytics.operators.segments import Segmented, segmented
 from flowlytics.operators.series import row_index, running_balance, signed_amount, time_gap
@@ -92,10 +93,12 @@ def from_quotes(prices: DataFrame, quotes: DataFrame, rules=v.FUND_NAME_RULES, r
     """Daily prices (code, date, open, close, amount) with a quote snapshot (code, name, main_net).
 
     One row per code and day: a close at or above the open is inflow, the traded amount is the
-    amount, type and risk come from the name, the investor kind from the main net inflow.
+    amount, type and risk come from the name, the investor kind from the main net inflow. A code with
+    two quotes is an error (runs a job on the quotes).
     """
     when = F.to_date("date")
-    rows = prices.where(v.to_number("amount") > 0).join(quotes.select("code", "name", "main_net"), "code", "left")
+    known = require_unique(quotes.select("code", "name", "main_net"), ["code"])
+    rows = prices.where(v.to_number("amount") > 0).join(known, "code", "left")
     kind = v.classify(F.coalesce("name", F.lit("")), rules)
     rows = rows.select(
         F.col("code").cast("string").alias("product_id"),

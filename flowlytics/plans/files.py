@@ -34,6 +34,40 @@ def raw_files(spark, d):
         F.count(F.lit(1)).alias("n"), F.count("交易状态").alias("n_status"), F.count_distinct(F.col("交易状态").isNull()).alias("n_headers"))
 
 
+def mixed_folder(spark, d) -> str:
+    """One folder of CSV exports with three headers, some lines with a field too few, some texts in the place of amounts."""
+    rows, root = t.table(spark, d, "lineitem"), f"{fresh(spark)}/mixed"
+    amount = F.when(F.col("l_discount") == 0, "n/a").otherwise(F.col("l_quantity").cast("string"))
+    named = rows.select(F.col("l_partkey").cast("string").alias("产品代码"), amount.alias("确认金额"), F.col("l_linestatus").alias("交易状态"), "l_linestatus", "l_tax", "l_returnflag")
+    parts = (named.where("l_linestatus = 'F'").select("产品代码", "确认金额", "交易状态"),
+             named.where("l_linestatus = 'O' AND l_returnflag <> 'A' AND l_tax > 0").select("确认金额", "产品代码"))
+    for part in parts:
+        part.write.mode("append").option("header", True).csv(root)
+    short = named.where("l_linestatus = 'O' AND (l_returnflag = 'A' OR l_tax = 0)")
+    line = F.when(F.col("l_tax") == 0, F.col("产品代码")).otherwise(F.concat_ws(",", "产品代码", F.lit("x"), "确认金额")).alias("产品代码,渠道,确认金额")
+    short.select(line).write.mode("append").option("header", True).option("quote", "\u0000").option("sep", "\t").csv(root)
+    return root
+
+
+@register("mixed_files", """SELECT CAST(l_partkey AS VARCHAR) AS product_id, count(*) AS n,
+  CAST(sum(CASE WHEN l_discount <> 0 AND NOT (l_linestatus = 'O' AND l_tax = 0) THEN CAST(l_quantity AS DOUBLE) END) AS DOUBLE) AS quantity,
+  count(*) FILTER (l_linestatus = 'F') AS n_status FROM lineitem GROUP BY l_partkey""")
+def mixed_files(spark, d):
+    """A folder whose files differ in columns and their order, each read by its own header."""
+    read = readers.read_raw_files(spark, [mixed_folder(spark, d)])
+    return read.groupBy(F.col("产品代码").alias("product_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(v.to_number("确认金额")).alias("quantity"), F.count("交易状态").alias("n_status"))
+
+
+@register("quarantined_rows", """SELECT reason, count(*) AS n, count(DISTINCT record) AS n_records FROM (
+  SELECT 'columns' AS reason, CAST(l_partkey AS VARCHAR) AS record FROM lineitem WHERE l_linestatus = 'O' AND l_tax = 0
+  UNION ALL SELECT 'number 确认金额', 'n/a' FROM lineitem WHERE l_discount = 0 AND NOT (l_linestatus = 'O' AND l_tax = 0)) GROUP BY reason""")
+def quarantined_rows(spark, d):
+    """What doesn't fit, with its reason: lines with a field too few, and texts that are no amounts."""
+    bad = readers.quarantined(spark, [mixed_folder(spark, d)], ["确认金额"])
+    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("record").alias("n_records"))
+
+
 @register("run_logs", f"WITH {EPOCHS} SELECT method, CAST(seed AS BIGINT) AS seed, CAST(count(*) AS INTEGER) AS n_epochs, min(val_loss) AS best_val_loss FROM en GROUP BY method, seed")
 def run_logs(spark, d):
     path = fresh(spark)
@@ -121,11 +155,20 @@ def time_formats(spark, d):
         F.sum("word_ok").alias("n_ok"), F.sum("number_ok").alias("n_number"))
 
 
-FUND_WORDS = ["货币", "医药", "红利"]
+# a word of each rule, in their order, and one of none
+FUND_WORDS = ["货币", "信用", "红利", "平衡", "沪深300", "半导体", "原油", "纳指", "远见"]
+FUND_SQL = "\n".join(f"  WHEN {i} THEN {{{{'type': {kind}, 'risk': {risk}}}}}" for i, (kind, risk) in enumerate(
+    [(0, 1), (1, 2), (4, 4), (3, 4), (2, 4), (2, 5), (5, 5), (6, 5), (2, 4)])).replace("{{", "{").replace("}}", "}")
 
 
-@register("fund_rules", """SELECT c_custkey AS cust_id, CAST(CASE WHEN c_custkey % 3 = 0 THEN 0 WHEN c_custkey % 3 = 1 THEN 2 ELSE 4 END AS INTEGER) AS type FROM customer""")
+@register("fund_rules", f"""WITH c AS (SELECT c_custkey % 9 AS word, CASE c_custkey % 9
+{FUND_SQL} END AS rule FROM customer)
+SELECT CAST(word AS INTEGER) AS word, CAST(rule.type AS INTEGER) AS type, CAST(rule.risk AS INTEGER) AS risk,
+  CASE rule.type {" ".join(f"WHEN {i} THEN '{n}'" for i, n in v.TYPE_NAMES.items())} ELSE 'UNK' END AS type_name, count(*) AS n FROM c GROUP BY ALL""")
 def fund_rules(spark, d):
-    """Fund names classified by the built-in rules; the names are made of the customers' numbers."""
-    names = F.concat(F.lit("基金 "), F.element_at(F.array(*map(F.lit, FUND_WORDS)), (F.col("c_custkey") % 3 + 1).cast("int")), F.lit(" "), F.col("c_custkey").cast("string"))
-    return t.table(spark, d, "customer").select(F.col("c_custkey").alias("cust_id"), v.classify(names, v.FUND_NAME_RULES)["type"].alias("type"))
+    """Fund names classified by all eight rules and the fallback; the names hold the customers' segments."""
+    word = (F.col("c_custkey") % 9).cast("int")
+    name = F.concat_ws(" ", F.lit("基金"), F.element_at(F.array(*map(F.lit, FUND_WORDS)), word + 1), "c_mktsegment")
+    rule = v.classify(F.col("name"), v.FUND_NAME_RULES)
+    named = t.table(spark, d, "customer").select(word.alias("word"), name.alias("name")).select("word", rule["type"].alias("type"), rule["risk"].alias("risk"))
+    return named.groupBy("word", "type", "risk", v.label_of("type", v.TYPE_NAMES).alias("type_name")).agg(F.count(F.lit(1)).alias("n"))

@@ -13,6 +13,7 @@ from flowlytics.plans.catalog import (
 )
 from flowlytics.plans.flows import GROUP_DAILY, group_days
 from flowlytics.sources import tables as t
+from flowlytics.sources.stage import materialise
 
 ORDER = ["txn_ts", *t.TIE]
 
@@ -211,23 +212,31 @@ def packed_tokens(spark, d):
     return coded_rows(spark, d).groupBy(tk.pack_token().alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
+CHANNEL = "(CASE cust_id % 5 WHEN 0 THEN 'APP' WHEN 1 THEN 'WEB' WHEN 2 THEN 'BR' WHEN 3 THEN '3RD' ELSE 'UNK' END)"
+
+
 @register("wide_tokens", f"""WITH {E}, g AS (SELECT *, round(ln(1 + least(greatest(coalesce(txn_ts - lag(txn_ts) OVER (PARTITION BY cust_id ORDER BY txn_ts, event_id), 0), 0), 2592000)), 9) AS gap,
-  {log_amount('amount')} AS amount_log1p, CAST(cust_id % 6 AS INTEGER) AS product_type, CAST(cust_id % 5 + 1 AS INTEGER) AS risk_level FROM e),
-ed AS ({fit_edges('g', 'direction', 'amount_log1p', 16)}), gd AS ({fit_edges('g', '', 'gap', 8)}),
-b AS (SELECT g.*, {bin_of('amount_log1p', 'ed.edges')} AS ab, {bin_of('gap', 'gd.edges')} AS gb FROM g JOIN ed ON g.direction = ed.direction CROSS JOIN gd),
+  {log_amount('amount')} AS amount_log1p, CAST(cust_id % 6 AS INTEGER) AS product_type, CAST(cust_id % 5 + 1 AS INTEGER) AS risk_level,
+  CAST(CASE WHEN cust_id % 3 = 0 THEN 9 ELSE hour(ts) END AS DOUBLE) AS hour FROM e),
+ed AS ({fit_edges('g', 'direction', 'amount_log1p', 16)}), gd AS ({fit_edges('g', '', 'gap', 8)}), hd AS ({fit_edges('g', '', 'hour', 8)}),
+b AS (SELECT g.*, {bin_of('amount_log1p', 'ed.edges')} AS ab, {bin_of('gap', 'gd.edges')} AS gb, {bin_of('hour', 'hd.edges')} AS hb
+  FROM g JOIN ed ON g.direction = ed.direction CROSS JOIN gd CROSS JOIN hd),
 tok AS (SELECT (CASE direction WHEN 0 THEN 'PUR' ELSE 'RED' END) || '_A' || printf('%02d', ab) || '_' || {TYPE_NAME} || '_R' || risk_level
-  || '_NA_D' || (isodow(date) - 1) || '_A0' || (hour(ts) // 3) || '_A' || printf('%02d', gb) AS token FROM b)
+  || '_' || {CHANNEL} || '_D' || (isodow(date) - 1) || '_A' || printf('%02d', hb) || '_A' || printf('%02d', gb) AS token FROM b)
 SELECT token, count(*) AS n FROM tok GROUP BY token""")
 def wide_tokens(spark, d):
+    """Eight-field tokens: amount, hour and gap by fitted quantiles, the channel from its code. Customers of the branch (every third)
+    come at nine, so hours are spread unevenly and some edges fall together."""
     rows = series.time_gap(t.event_ledger(spark, d), ["cust_id"], "txn_ts", ["event_id"])
-    rows = rows.withColumns({
+    rows = materialise(rows.withColumns({
         "gap": v.log_amount("dt_prev_sec"), "amount_log1p": v.log_amount("amount"),
-        "product_type": (F.col("cust_id") % 6).cast("int"), "risk_level": (F.col("cust_id") % 5 + 1).cast("int")})
+        "product_type": (F.col("cust_id") % 6).cast("int"), "risk_level": (F.col("cust_id") % 5 + 1).cast("int"),
+        "channel": (F.col("cust_id") % 5).cast("int"), "hour": F.when(F.col("cust_id") % 3 == 0, 9).otherwise(F.hour("ts")).cast("double")}))
     rows = q.apply_bins(rows, q.fit_adaptive_bins(rows, ["direction"], "amount_log1p", 16), ["direction"], "amount_log1p", 16, "ab", codes=q.DIRECTIONS)
-    rows = q.apply_bins(rows, q.fit_bins(rows, [], "gap", 8), [], "gap", 8, "gb")
+    for value, out in (("gap", "gb"), ("hour", "hb")):
+        rows = q.apply_bins(rows, q.fit_bins(rows, [], value, 8), [], value, 8, out)
     token = tk.compose_token("direction", tk.bin_label(F.col("ab")), "product_type", "risk_level")
-    hour = F.floor(F.hour("ts") / 3).cast("int")
-    wide = tk.compose_wide_token(token, F.weekday("date"), tk.bin_label(hour), tk.bin_label(F.col("gb")))
+    wide = tk.compose_wide_token(token, F.weekday("date"), tk.bin_label(F.col("hb")), tk.bin_label(F.col("gb")), F.col("channel"))
     return vocab.token_frequency(rows.select(wide.alias("token")))
 
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from flowlytics.functions import values as v
+
+CORRUPT = "__corrupt_record__"
 
 META_SCHEMA = (
     "map<string, struct<product_type_name string, product_type_id int, risk_level int, min_holding_days int, "
@@ -25,22 +31,70 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str], schema: str | N
     return reader.parquet(*([path] if isinstance(path, str) else path))
 
 
+def header_inventory(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """file, header: the first line of every CSV file below the paths, from the first block of each file."""
+    lines = spark.read.text(list(paths), recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("id"))
+    return lines.where("start = 0").groupBy("file").agg(F.min_by("value", "id").alias("header"))
+
+
+def _by_header(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their column names; the list of files is the driver's, as that of any scan."""
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for row in header_inventory(spark, paths).orderBy("file").toLocalIterator():
+        alike.setdefault(tuple(next(csv.reader([row["header"].lstrip("\ufeff")]), [])), []).append(row["file"])
+    return alike
+
+
 def read_raw_files(spark: SparkSession, paths: Sequence[str], fmt: str = "csv") -> DataFrame:
-    """Raw files that may differ in columns, each row with its file name.
+    """Raw files that may differ in columns and their order, each row with its file name.
 
-    Paths with the same header are read in one scan, so the plan has a branch per header and not per file.
+    CSV files are read by the names in their own header, also where files of one folder differ. Files with the same header are
+    read in one scan, so the plan has a branch per header and not per file. Rows whose number of fields differs from the
+    header's stay, with nulls for what is missing; ``quarantined`` lists them.
     """
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+    if fmt == "csv":
+        return _union(_scan(spark, header, files) for header, files in _by_header(spark, paths).items())
     alike: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
-        alike.setdefault(tuple(reader.format(fmt).load(path).columns), []).append(path)
+        alike.setdefault(tuple(spark.read.format(fmt).load(path).columns), []).append(path)
+    return _union(spark.read.format(fmt).load(same).select("*", F.col("_metadata.file_name").alias("__src_file__")) for same in alike.values())
+
+
+def _scan(spark: SparkSession, header: Sequence[str], files: list[str], corrupt: str | None = None) -> DataFrame:
+    """Files of one header as text columns. ``corrupt`` adds the lines that don't fit it; then no column is pruned, as only whole lines show that."""
+    fields = StructType([StructField(c, StringType()) for c in [*header, *([corrupt] if corrupt else [])]])
+    reader = spark.read.schema(fields).option("header", True).option("mode", "PERMISSIVE")
+    if corrupt:
+        reader = reader.option("columnNameOfCorruptRecord", corrupt).option("columnPruning", False)
+    return reader.csv(files).select("*", F.col("_metadata.file_name").alias("__src_file__"))
+
+
+def _union(frames: Iterable[DataFrame]) -> DataFrame | None:
     out = None
-    for same in alike.values():
-        df = reader.format(fmt).load(same).select("*", F.col("_metadata.file_name").alias("__src_file__"))
+    for df in frames:
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
 
+def quarantined(spark: SparkSession, paths: Sequence[str], numbers: Sequence[str] = ()) -> DataFrame:
+    """Rows of CSV files that don't fit: __src_file__, reason, record.
+
+    ``columns``: more or fewer fields than the file's header has (record is the line); ``number <column>``: a text in one of
+    the columns ``numbers`` that is no number (record is the text). A row has one entry per reason.
+    """
+    def bad(header: Sequence[str], files: list[str]) -> DataFrame:
+        rows = _scan(spark, header, files, CORRUPT)
+        entries = [F.when(F.col(CORRUPT).isNotNull(), F.struct(F.lit("columns").alias("reason"), F.col(CORRUPT).alias("record")))]
+        for c in numbers:
+            if c in header:
+                wrong = F.col(CORRUPT).isNull() & (F.trim(c) != "") & v.to_number(c).isNull()
+                entries.append(F.when(wrong, F.struct(F.lit(f"number {c}").alias("reason"), F.col(c).alias("record"))))
+        return rows.select("__src_file__", F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("__src_file__", "e.*")
+
+    return _union(bad(header, files) for header, files in _by_header(spark, paths).items())
+
+
 def parse_meta(text: DataFrame, column: str = "value") -> DataFrame:
     """JSON objects keyed by product id to one row per product."""
     parsed = F.from_json(F.col(column), META_SCHEMA)

@@ -319,10 +319,30 @@ def test_group_daily_defaults(spark):
     assert (row["group_id"], row["net"], row["n_txn"], row["yield_rate"], row["direction"], row["product_type"], row["risk_level"]) == (0, -20.0, 2, 0.02, 1, 1, 2)
 
 
-def test_trees_beat_nothing_but_run(spark):
-    rows = [("p", 0, i, 0, 3, 1, 2, i % 7, i % 28, 0, 0, 5, 0.02, float(i % 5), float(i % 3)) for i in range(90)]
+def test_trees_learn_what_the_features_determine(spark):
+    rows = [("p", 0, i, 0, 3, 1, 2, i % 7, i % 28, 0, 0, 5, 0.02, float(i % 5), float(i % 3)) for i in range(400)]
     daily = spark.createDataFrame(rows, "product_id string, group_id int, date int, direction int, amount_bin int, product_type int, risk_level int, dow int, dom int, "
                                         "is_month_end int, is_quarter_end int, n_txn int, yield_rate double, purchase_log1p double, redemption_log1p double")
-    feats = fc.window_features(daily)
-    out = fc.fit_trees(feats, feats, [(fc.KINDS[0], 1)], rounds=2, depth=2)
-    assert out.count() == feats.count() == 30
+    feats = fc.window_features(daily).withColumn("planted_h0", F.when(F.col("dow_last") >= 5, 4.0).otherwise(1.0)).withColumn("none_h0", F.lit(None).cast("double"))
+    out = fc.fit_trees(feats, feats, [(fc.KINDS[0], 1), ("planted", 0), ("none", 0)], rounds=6, depth=2, rate=0.5)
+    assert out.groupBy("kind").count().count() == 2 and out.count() == 2 * feats.count()
+    assert out.where("kind = 'planted'").agg(F.max(F.abs(F.col("truth") - F.col("pred")))).first()[0] < 0.3
+
+
+def test_files_of_one_folder_are_read_by_their_own_headers(spark, tmp_path):
+    for name, text in (("a.csv", "a,b,c\n1,2,3\n4,5\n"), ("b.csv", "c,a\n30,10\n31,x,9\n"), ("c.csv", "\ufeffa,b,c\n\"7,5\",8,n/a\n"), ("d.csv", "a\n")):
+        (tmp_path / name).write_text(text)
+    read = readers.read_raw_files(spark, [str(tmp_path)])
+    assert {(r["a"], r["b"], r["c"], r["__src_file__"]) for r in read.collect()} == {
+        ("1", "2", "3", "a.csv"), ("4", "5", None, "a.csv"), ("10", None, "30", "b.csv"), ("x", None, "31", "b.csv"), ("7,5", "8", "n/a", "c.csv")}
+    bad = readers.quarantined(spark, [str(tmp_path)], ["a", "c"])
+    assert {tuple(r) for r in bad.collect()} == {("a.csv", "columns", "4,5"), ("b.csv", "columns", "31,x,9"), ("c.csv", "number a", "7,5"), ("c.csv", "number c", "n/a")}
+
+
+def test_a_code_with_two_quotes_is_an_error(spark):
+    from flowlytics.operators import mapping
+
+    prices = spark.createDataFrame([("1", "2024-01-01", "1", "2", "5")], "code string, date string, open string, close string, amount string")
+    quotes = spark.createDataFrame([("1", "n", "3"), ("1", "m", "3")], "code string, name string, main_net string")
+    with pytest.raises(ValueError):
+        mapping.from_quotes(prices, quotes)
