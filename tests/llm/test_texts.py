@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import brute
-from flowlytics.llm import contamination, exact, jaccard, packing
+from flowlytics.llm import components, contamination, exact, jaccard, packing
 
 SF_DIR = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -100,6 +100,21 @@ def test_jaccard_without_ranks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.jaccard(rows)
 
 
+@pytest.mark.parametrize("local", [1_000_000, 40, 0])
+def test_components_in_any_number_of_steps(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)
+    draw = random.Random(2)
+    edges = [(draw.randrange(120), draw.randrange(120)) for _ in range(90)] + [(i, i + 1) for i in range(200, 260)] + [(500, i) for i in range(501, 540)] + [(7, 7)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    alone = {x for a, b in edges if a == b for x in (a,)} - {x for a, b in edges if a != b for x in (a, b)}
+    assert {r.node: r.root for r in got} == {x: r for x, r in root.items() if x not in alone} and len(got) == len(root) - len(alone)
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 @pytest.mark.parametrize("others, pivots", [(512, (1, 4)), (4, (1,)), (2, ())])
 def test_jaccard_in_voronoi_regions(spark, monkeypatch, others, pivots):
     """A hot group around the threshold: most of its sets share their rarest shingles, and only some link."""
