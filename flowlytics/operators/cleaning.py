@@ -140,10 +140,15 @@ def clean_basic(df: DataFrame, amount: str = "amount", balance: str | None = "au
     return out
 
 
+def dropped_facts(amount: str = "amount") -> list[Column]:
+    """How many rows clean_basic keeps and drops, as aggregates."""
+    ok = F.coalesce(valid_amount(amount), F.lit(False))
+    return [F.count_if(ok).alias("kept"), F.count_if(~ok).alias("dropped")]
+
+
 def dropped_rows(df: DataFrame, keys: Sequence[str] = (), amount: str = "amount") -> DataFrame:
     """How many rows clean_basic keeps and drops."""
-    ok = F.coalesce(valid_amount(amount), F.lit(False))
-    return df.groupBy(*keys).agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("dropped"))
+    return df.groupBy(*keys).agg(*dropped_facts(amount))
 
 
 def date_range(df: DataFrame, col: str, end: str, years: int) -> DataFrame:

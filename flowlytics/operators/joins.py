@@ -36,18 +36,23 @@ def require_unique(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
     return dim
 
 
-def miss_rate(joined: DataFrame, markers: Sequence[str], warn_over: float = 0.05) -> DataFrame:
-    """Rows that found no partner in some dimension, as count, ratio and warning flag."""
+def miss_facts(markers: Sequence[str]) -> list[Column]:
+    """Rows, and rows that found no partner in some dimension, as aggregates."""
     hit = None
     for m in markers:
         term = F.col(m).isNotNull()
         hit = term if hit is None else hit & term
-    missed = F.count_if(~hit)
-    return joined.agg(F.count(F.lit(1)).alias("n_rows"), missed.alias("n_missed")).select(
-        "n_rows", "n_missed",
-        (F.col("n_missed") / F.col("n_rows")).alias("miss_ratio"),
-        ((F.col("n_missed") / F.col("n_rows")) > warn_over).alias("warn"),
-    )
+    return [F.count(F.lit(1)).alias("n_rows"), F.count_if(~hit).alias("n_missed")]
+
+
+def with_ratio(facts: DataFrame, warn_over: float = 0.05) -> DataFrame:
+    ratio = F.col("n_missed") / F.nullif("n_rows", F.lit(0))
+    return facts.select("n_rows", "n_missed", ratio.alias("miss_ratio"), (ratio > warn_over).alias("warn"))
+
+
+def miss_rate(joined: DataFrame, markers: Sequence[str], warn_over: float = 0.05) -> DataFrame:
+    """Rows that found no partner in some dimension, as count, ratio and warning flag."""
+    return with_ratio(joined.agg(*miss_facts(markers)), warn_over)
 
 
 def with_defaults(df: DataFrame, lookup: DataFrame, key: str, defaults: Mapping[str, object],

@@ -55,6 +55,12 @@ def gates(ledger: DataFrame, daily: DataFrame | None = None, labels: Sequence[st
     return rows
 
 
+def bin_rows(edges: DataFrame, bins: int, codes: Sequence[int], by: str = "direction", per_bin: int = 2) -> DataFrame:
+    """Whether each code had enough rows for its buckets, ``per_bin`` each; ``edges`` come from fit_bins (codes without rows have none)."""
+    counts = edges.agg(*[F.coalesce(F.max(F.when(F.col(by) == c, F.col("n"))), F.lit(0)).alias(f"bin_rows_{c}") for c in codes])
+    return _gate_rows(counts, {f"bin_rows_{c}": (per_bin * bins, None) for c in codes})
+
+
 def invariants(df: DataFrame, min_rows: int = 10_000, n_products: int = 2) -> DataFrame:
     """Enough rows, and exactly the expected number of products."""
     one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("product_id").alias("n_products"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowlytics.functions import tokens as tk
 from flowlytics.functions import values as v
-from flowlytics.operators import corpus, quantile as q, rollup, series, split
+from flowlytics.operators import corpus, quality, quantile as q, rollup, series, split
 from flowlytics.plans.catalog import (
     E, L, LG, LK, TIE_COLUMNS, bin_of, fit_edges, log_amount, register, total,
 )
@@ -237,3 +237,11 @@ def split_masked_labels(spark, d):
     days = split.assign_split(rollup.daily_flow(t.ledger(spark, d, ok_only=True)), split.split_bounds(t.ledger(spark, d, "key")))
     rows = series.lead_labels(days, ["product_id"], "date", {"purchase_amt": "label"}, (1, 7, 30), within="split")
     return rows.select("product_id", "date", "split", "label_1d", "label_7d", "label_30d")
+
+
+@register("bin_row_gates", f"""WITH {LK}, c AS (SELECT unnest([0, 1, -1]) AS d), n AS (SELECT direction, CAST(count(*) AS DOUBLE) AS n FROM lk GROUP BY direction)
+SELECT 'bin_rows_' || d AS gate, coalesce(n, 0) AS value, 20000.0::DOUBLE AS lo, coalesce(n, 0) >= 20000 AS passed FROM c LEFT JOIN n ON direction = d""")
+def bin_row_gates(spark, d):
+    """Whether each direction has two rows for each of 10,000 buckets, and one that doesn't occur."""
+    edges = q.fit_bins(logged(t.ledger(spark, d, "key")), ["direction"], "amount_log1p", 16)
+    return quality.bin_rows(edges, 10_000, (0, 1, -1)).select("gate", "value", "lo", "passed")

@@ -8,10 +8,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from flowlytics.functions import values as v
-from flowlytics.operators import cleaning, profile as p, quantile as q, split
-from flowlytics.plans import jobs
+from flowlytics.operators import cleaning, profile as p, quantile as q, rollup, series, split
+from flowlytics.plans import flows, jobs  # noqa: F401  (flows registers lead_labels)
 from flowlytics.plans.buckets import LOGGED, logged
-from flowlytics.plans.catalog import L, LK, TIE_COLUMNS, bin_of, fit_edges, register, rounded
+from flowlytics.plans.catalog import L, LK, ORACLE, TIE_COLUMNS, bin_of, fit_edges, register, rounded
 from flowlytics.plans.forecasts import EPOCHS, runs
 from flowlytics.sources import readers, tables as t
 from flowlytics.sources.stage import shared_folder
@@ -83,6 +83,35 @@ def split_files(spark, d):
     return readers.read_parquet(spark, path).groupBy("direction", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("amount"))
 
 
+@register("replaced_split", f"WITH {LK} SELECT direction, count(*) AS n, CAST(sum(amount) * max(CASE direction WHEN 1 THEN 2 ELSE 1 END) AS DOUBLE) AS amount FROM lk GROUP BY direction")
+def replaced_split(spark, d):
+    """All splits written twice, then one of them anew: nothing doubles, and the other one stays."""
+    path, rows = fresh(spark), t.ledger(spark, d, "key").select("direction", "status", "amount")
+    for _ in range(2):
+        readers.write_split(rows, path, by="direction")
+    readers.write_split(rows.where("direction = 1").withColumn("amount", (F.col("amount") * 2).cast(rows.schema["amount"].dataType)), path, by="direction")
+    return readers.read_parquet(spark, path).groupBy("direction").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("amount"))
+
+
+@register("bucketed_days", ORACLE["lead_labels"])
+def bucketed_days(spark, d):
+    """Labels from a daily table that is stored by product and sorted by day; the window needs no exchange."""
+    daily = rollup.daily_flow(t.ledger(spark, d, ok_only=True))
+    stored = readers.write_bucketed(daily, f"daily_{uuid.uuid4().hex}", fresh(spark), ["product_id"], ["date"], 16)
+    rows = series.lead_labels(stored, ["product_id"], "date", {"purchase_amt": "label_purchase", "redemption_amt": "label_redemption"}, (1, 7, 30))
+    return rows.drop("purchase_amt", "redemption_amt", "net_amt")
+
+
+@register("run_metrics", f"""WITH {EPOCHS}, b AS (SELECT method, CAST(seed AS BIGINT) AS seed, min(val_loss) AS best, CAST(count(*) AS DOUBLE) AS epochs FROM en GROUP BY method, seed)
+SELECT method, seed, 'purchase' AS series, 'MAE' AS metric, best AS value FROM b UNION ALL SELECT method, seed, 'purchase', 'pinball@' || seed, epochs FROM b""")
+def run_metrics(spark, d):
+    """Metrics of run logs, one of them under a name that no schema knows."""
+    path = fresh(spark)
+    own = F.create_map(F.lit("MAE"), F.col("best_val_loss"), F.concat(F.lit("pinball@"), F.col("seed").cast("string")), F.size("history").cast("double"))
+    readers.write_json(runs(spark, d).withColumn("metrics", F.create_map(F.lit("purchase"), own)), path)
+    return readers.read_run_metrics(spark, path)
+
+
 @register("state_file", f"""WITH {LK}, {LOGGED}, ed AS ({fit_edges('x', 'direction', 'amount_log1p', 16)})
 SELECT x.direction, {bin_of('amount_log1p', 'edges')} AS amount_bin, count(*) AS n FROM x LEFT JOIN ed ON x.direction = ed.direction GROUP BY ALL""")
 def state_file(spark, d):

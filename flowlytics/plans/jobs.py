@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from flowlytics.functions import timefeat as tf
@@ -30,11 +30,12 @@ class TrainingTables:
     join_misses: DataFrame
     dropped: DataFrame
 
-    def write(self, path: str, mode: str = "errorifexists") -> None:
-        readers.write_split(self.txns, f"{path}/txns", mode=mode)
-        readers.write_split(self.daily, f"{path}/daily", mode=mode)
-        readers.write_json(self.state, f"{path}/bucket_state", mode)
-        readers.write_json(self.gates, f"{path}/gates", mode)
+    def write(self, path: str) -> None:
+        """Writes all tables; a second run puts its own in their place."""
+        readers.write_split(self.txns, f"{path}/txns")
+        readers.write_split(self.daily, f"{path}/daily")
+        readers.write_json(self.state, f"{path}/bucket_state", "overwrite")
+        readers.write_json(self.gates, f"{path}/gates", "overwrite")
 
 
 def training_tables(fact: DataFrame, product: DataFrame, customer: DataFrame, *, tie: Sequence[str] = ("txn_id",),
@@ -44,14 +45,18 @@ def training_tables(fact: DataFrame, product: DataFrame, customer: DataFrame, *,
 
     ``fact`` has txn_id, cust_id_hash, product_id, txn_ts, txn_type, txn_status, amount, aum_after.
     Buckets are fitted on the train rows only. The cleaned and joined ledger is staged once; every
-    later step reads that. ``mask_labels`` drops labels that reach into another split.
+    later step reads that. Misses and dropped rows are counted by that write as it passes them. ``mask_labels`` drops labels that reach into another split.
     """
     tie = list(tie)
     joined = joins.join_dims(fact, joins.require_unique(product, ["product_id"]),
                              joins.require_unique(customer, ["cust_id_hash"]))
-    misses = joins.miss_rate(joined, ["product_type", "cust_type"])
     named = cleaning.canonicalise(cleaning.drop_columns(joined), {"txn_type": "direction", "txn_status": "status"})
-    clean = cleaning.clean_basic(named).drop("date")
+    seen = Observation()
+    named = named.observe(seen, *joins.miss_facts(["product_type", "cust_type"]), *cleaning.dropped_facts())
+    clean = materialise(cleaning.clean_basic(named).drop("date"))
+    spark, facts = clean.sparkSession, seen.get
+    misses = joins.with_ratio(spark.createDataFrame([(facts["n_rows"], facts["n_missed"])], "n_rows long, n_missed long"))
+    dropped = spark.createDataFrame([(facts["kept"], facts["dropped"])], "kept long, dropped long")
     timed = series.time_gap(tf.time_features(clean), ["cust_id_hash", "product_id"], "txn_ts", tie, **cut)
     timed = timed.withColumns({"amount_log1p": v.log_amount("amount"), "_gap": v.log_amount("dt_prev_sec")})
     rows = materialise(timed)
@@ -65,7 +70,7 @@ def training_tables(fact: DataFrame, product: DataFrame, customer: DataFrame, *,
     else:
         rows = rows.withColumn("min_purchase_bin", F.lit(0))
     fit_on = rows.where("split = 'train'")
-    amount_edges = q.fit_bins(fit_on, ["direction"], "amount_log1p", AMOUNT_BINS, **cut)
+    amount_edges = materialise(q.fit_bins(fit_on, ["direction"], "amount_log1p", AMOUNT_BINS, **cut))
     gap_edges = q.fit_bins(fit_on, [], "_gap", GAP_BINS, **cut)
     state = materialise(readers.edge_state(amount_edges, "amount", AMOUNT_BINS, "direction").unionByName(
         readers.edge_state(gap_edges, "gap", GAP_BINS)))
@@ -83,8 +88,8 @@ def training_tables(fact: DataFrame, product: DataFrame, customer: DataFrame, *,
                                    {"purchase_amt": "label_purchase", "redemption_amt": "label_redemption"},
                                    HORIZONS, within="split")
     daily = cleaning.dense_row_id(daily, ["product_id", "date"], **cut)
-    gates = quality.gates(rows, daily, labels[:3], **cut)
-    return TrainingTables(txns, daily, bounds, state, gates, misses, cleaning.dropped_rows(named))
+    gates = quality.gates(rows, daily, labels[:3], **cut).unionByName(quality.bin_rows(amount_edges, AMOUNT_BINS, (0, 1)))
+    return TrainingTables(txns, daily, bounds, state, gates, misses, dropped)
 
 
 def token_corpus(client: DataFrame | None = None, meta: DataFrame | None = None, market: DataFrame | None = None,

@@ -110,18 +110,43 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN_SCHEMA).json(path)
 
 
+def read_run_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """method, seed, series, metric, value of run logs; metric names are taken as they come, no schema lists them."""
+    log = spark.read.text(path).select(F.try_parse_json("value").alias("log")).where("log IS NOT NULL")
+    metrics = F.try_variant_get("log", "$.metrics", "map<string, map<string, double>>")
+    rows = log.select(F.try_variant_get("log", "$.method", "string").alias("method"), F.try_variant_get("log", "$.seed", "bigint").alias("seed"), metrics.alias("m"))
+    each = rows.select("method", "seed", F.explode("m").alias("series", "m"))
+    return each.select("method", "seed", "series", F.explode("m").alias("metric", "value"))
+
+
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """JSON lines; nested statistics keep their structure."""
     df.write.mode(mode).json(path)
 
 
-def write_split(df: DataFrame, path: str, by: str = "split", mode: str = "errorifexists") -> None:
+def write_split(df: DataFrame, path: str, by: str = "split", mode: str = "replace") -> None:
     """One directory per split; the split value lives in the path, not in the files.
 
-    A split can hold most of the rows, so rows are not gathered by split: each task appends
-    to the few splits it meets.
+    A split can hold most of the rows, so rows are not gathered by split: each task appends to the few splits it meets.
+    ``replace`` puts the splits of ``df`` in the place of those of the same value and leaves the others alone, so that a second
+    run gives the same content and one split can be written anew; other modes are those of Spark's writer.
+    """
+    writer = df.write.partitionBy(by)
+    if mode == "replace":
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    else:
+        writer.mode(mode).parquet(path)
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, by: Sequence[str], order: Sequence[str], buckets: int = 64) -> DataFrame:
+    """A catalog table dealt out by a hash of ``by`` and sorted within; joins and windows on ``by`` read it without an exchange.
+
+    Rows are dealt out before the write, so each bucket is one file. The table replaces one of the same name.
     """
-    df.write.mode(mode).partitionBy(by).parquet(path)
+    by, order = list(by), list(order)
+    dealt = df.repartition(buckets, *by)
+    dealt.write.mode("overwrite").bucketBy(buckets, *by).sortBy(*by, *order).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
 
 
 def edge_state(edges: DataFrame, feature: str, bins: int, key: str | None = None) -> DataFrame:

@@ -32,7 +32,7 @@ def test_training_tables(spark, tables, tmp_path):
     txns = out.txns.toPandas()
     assert len(txns) == len(fact) - 5 and sorted(txns["__row_id__"]) == list(range(len(txns)))
     assert "product_type_name" not in txns and (txns.aum_after >= 0).all()
-    assert out.dropped.first()["dropped"] == 5 and out.join_misses.first()["n_missed"] == 0
+    assert tuple(out.dropped.first()) == (len(fact) - 5, 5) and tuple(out.join_misses.first()) == (len(fact), 0, 0.0, False)
 
     b = out.bounds.first()
     assert txns[txns.split == "train"].date.max() <= b["train_end"] < b["val_start"] <= txns[txns.split == "val"].date.min()
@@ -89,3 +89,40 @@ def test_token_corpus_and_profile(spark, tmp_path):
     assert len(rows) == 20 and {r["amount_bin"] for r in rows} == set(range(16)) and {r["product_type"] for r in rows} == {5}
     with pytest.raises(ValueError):
         jobs.token_corpus()
+
+
+def test_a_second_run_gives_the_same_files(spark, tables, tmp_path):
+    _, frames = tables
+    out = jobs.training_tables(*frames)
+    for _ in range(2):
+        out.write(str(tmp_path))
+    assert readers.read_parquet(spark, str(tmp_path / "txns")).count() == out.txns.count()
+    assert spark.read.json(str(tmp_path / "gates")).count() == out.gates.count()
+    readers.write_split(out.txns.where("split = 'val'").limit(3), str(tmp_path / "txns"))
+    left = {r["split"]: r["count"] for r in readers.read_parquet(spark, str(tmp_path / "txns")).groupBy("split").count().collect()}
+    assert left["val"] == 3 and left["train"] == out.txns.where("split = 'train'").count()
+
+
+def test_small_directions_are_flagged(spark):
+    from flowlytics.operators import quality, quantile
+
+    rows = spark.createDataFrame([(0, float(i)) for i in range(40)] + [(1, 1.0)] * 31, "direction int, x double")
+    got = quality.bin_rows(quantile.fit_bins(rows, ["direction"], "x", 16), 16, (0, 1, -1)).collect()
+    assert [(r["gate"], r["value"], r["passed"]) for r in got] == [("bin_rows_0", 40.0, True), ("bin_rows_1", 31.0, False), ("bin_rows_-1", 0.0, False)]
+
+
+def test_bucketed_tables_are_read_without_an_exchange(spark, tmp_path):
+    from flowlytics.operators import series
+
+    days = spark.range(400).select((F.col("id") % 7).cast("string").alias("product_id"), F.col("id").cast("int").alias("date"), F.rand(1).alias("x"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = readers.write_bucketed(days, "days_by_product", str(tmp_path / "days"), ["product_id"], ["date"], 4)
+        labels = series.lead_labels(stored, ["product_id"], "date", {"x": "label"}, (1, 7))
+        joined = labels.join(stored.groupBy("product_id").agg(F.sum("x").alias("total")), "product_id")
+        assert joined.count() == 400
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        spark.sql("DROP TABLE IF EXISTS days_by_product")
