@@ -3,14 +3,18 @@
 The page becomes a tree of its block elements. Paragraphs pass points for their length and commas to their ancestors, fully
 to the parent and less with each level; a container's points are discounted by the share of link text in it. The best
 container is widened to its parent while most of the other text there is not link text; it and those of its siblings that
-are good enough are kept, without menus, headers, footers, sidebars, notices,
-adverts, forms and comments inside.
+are good enough are kept, without menus, headers, footers, sidebars, notices, adverts, forms and comments inside.
+
+Elements that are such by their tag, their role or a whole class name never count. A form, and an element of which only a part
+of a class name says so (``with-sidebar``, ``comments-open``), goes unless it holds an article or main element or most of the
+page's text. Inside an article only whole class names count, and headings and paragraphs never go by their class.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +42,11 @@ DROPPED_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs hea
                           "advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal "
                           "overlay newsletter subscribe signup login social share sharing related recommended comment comments commentlist disqus "
                           "respond reply replies pagination pager toolbar".split())
+# elements that may be wrapped around a page
+WRAPPERS = frozenset(("form", "fieldset"))
+# words that go with those above in the class of boilerplate
+COMPANIONS = frozenset("posts post articles items item stories content inner wrap wrapper box block section area list links link bar buttons button form site page main "
+                       "top bottom left right primary secondary container body meta author text title head header icon icons count".split())
 # an id is a name of these and of the words above; one with other words is the slug of a section
 PLACE_WORDS = frozenset("site page main top bottom left right primary secondary container wrapper section box bar list area block links buttons form".split())
 # classes and ids of inline elements that mean nothing else
@@ -56,13 +65,19 @@ _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _COMMA = re.compile("[,،、，;；]")
 
 
+KEPT, UNSURE, GONE = range(3)
+
+
 class Node:
     """A block element: points of its paragraphs, and characters of text and of links inside."""
 
-    __slots__ = ("tag", "parent", "dropped", "points", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "dropped", "unsure", "in_article", "points", "chars", "link_chars")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, kind: int):
+        self.tag, self.parent = tag, parent
+        self.dropped = kind == GONE or parent is not None and parent.dropped
+        self.unsure = kind == UNSURE
+        self.in_article = tag in MAIN_TAGS or parent is not None and parent.in_article
         self.points = self.chars = self.link_chars = 0.0
 
     def density(self) -> float:
@@ -72,38 +87,58 @@ class Node:
         return self.points * (1 - self.density())
 
 
-def _is_boilerplate(tag: str, name: str, value: str) -> bool:
-    """Whether a class or id (``name``) marks what is not the main text. Ids of headings are slugs of their text."""
-    if tag in INLINE:
-        return not INLINE_NAMES.isdisjoint(value.split())
-    words = _NAME.findall(value)
-    if name == "class":
-        return not DROPPED_WORDS.isdisjoint(words)
-    return tag not in HEADINGS and not DROPPED_WORDS.isdisjoint(words) and all(w in DROPPED_WORDS or w in PLACE_WORDS for w in words)
-
-
-def _is_dropped(tag: str, attributes: str) -> bool:
+def _by_class(tag: str, value: str, in_article: bool) -> int:
+    """What the class names say. A name of these words alone, or with companions only, marks boilerplate."""
+    sure = unsure = False
+    for name in value.split():
+        words = _NAME.findall(name)
+        if not DROPPED_WORDS.isdisjoint(words):
+            sure = sure or all(w in DROPPED_WORDS or w in COMPANIONS for w in words)
+            unsure = True
+    if in_article:
+        if tag in TEXT_TAGS or not sure:
+            return KEPT
+        names = value.split()
+        return GONE if all(w in DROPPED_WORDS or w in COMPANIONS for n in names for w in _NAME.findall(n)) else KEPT
+    if tag in MAIN_TAGS and unsure:  # a comment as an article has no other name
+        return GONE if all(not DROPPED_WORDS.isdisjoint(_NAME.findall(n)) for n in value.split()) else KEPT
+    if sure:
+        return GONE if len(value.split()) == 1 or any(n in DROPPED_WORDS for n in value.split()) else UNSURE
+    return UNSURE if unsure else KEPT
+
+
+def _kind(tag: str, attributes: str, in_article: bool) -> int:
+    if tag in WRAPPERS:
+        return GONE if in_article else UNSURE
     if tag in DROPPED:
-        return True
+        return GONE
     if tag in KEPT_TAGS or not attributes.strip():
-        return False
+        return KEPT
+    found = KEPT
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value, name = (a or b or c).lower(), name.lower()
-        if name in ("class", "id") and _is_boilerplate(tag, name, value):
-            return True
         if name == "role" and value.strip() in DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDES.search(value):
-            return True
-    return False
+            return GONE
+        if name in ("class", "id") and tag in INLINE:
+            found = max(found, KEPT if INLINE_NAMES.isdisjoint(value.split()) else GONE)
+        elif name == "class":
+            found = max(found, _by_class(tag, value, in_article))
+        elif name == "id" and tag not in HEADINGS:  # an id with other words is the slug of a section
+            words = _NAME.findall(value)
+            if not DROPPED_WORDS.isdisjoint(words) and all(w in DROPPED_WORDS or w in PLACE_WORDS for w in words):
+                found = GONE
+    return found
 
 
 class Page:
     """Builds the tree and its blocks (node, text, link characters) from the marks of a page."""
 
     def __init__(self, source: str):
-        self.nodes = [Node("html", None, False)]
+        self.nodes = [Node("html", None, KEPT)]
         self.blocks: list[tuple[Node, str, int]] = []
         self.open: list[tuple[str, Node]] = [("html", self.nodes[0])]  # open elements, each with the block element it is in
         self.links = self.inline_drops = 0
+        self.names = Counter(["html"])  # of the open elements
         self.text: list[str] = []
         self.link_text: list[str] = []
         self._read(source)
@@ -151,30 +186,37 @@ class Page:
         if tag == "br":
             self._add(" ")
             return
+        around = self.open[-1][1]
         if tag in INLINE:
             if tag not in VOID and not attributes.endswith("/"):
-                dropped = _is_dropped(tag, attributes)
-                self.open.append(("!" + tag if dropped else tag, self.open[-1][1]))
+                dropped = _kind(tag, attributes, around.in_article) == GONE
+                self._open("!" + tag if dropped else tag, around)
                 self.links += tag == "a"
                 self.inline_drops += dropped
             return
         self._flush()
-        if tag in CLOSES_P and any(t == "p" for t, _ in reversed(self.open)):
+        if tag in CLOSES_P:
             self._close("p", ("table", "td", "th", "button"))
         if tag in SAME_CLOSED:
             for same in SAME_CLOSED[tag]:
                 self._close(same, FENCE[tag])
-        if tag in VOID or tag in ("html", "body") and any(t == tag for t, _ in self.open):
+        if tag in VOID or tag in ("html", "body") and self.names[tag]:
             return
         parent = self.open[-1][1]
-        node = Node(tag, parent, parent.dropped or _is_dropped(tag, attributes))
+        node = Node(tag, parent, _kind(tag, attributes, parent.in_article))
         self.nodes.append(node)
-        self.open.append((tag, node))
+        self._open(tag, node)
+
+    def _open(self, name: str, node: Node) -> None:
+        self.open.append((name, node))
+        self.names[name] += 1
 
     def _end(self, tag: str) -> None:
         if tag == "br":
             self._add(" ")
         elif tag in INLINE:
+            if not self.names[tag] and not self.names["!" + tag]:
+                return
             for i in range(len(self.open) - 1, 0, -1):
                 if self.open[i][0] in (tag, "!" + tag):
                     self._forget(self.open.pop(i)[0])
@@ -187,6 +229,8 @@ class Page:
 
     def _close(self, tag: str, fences: tuple[str, ...]) -> None:
         """Closes the innermost open element of that name, and all inside it, unless a fence lies between."""
+        if not self.names[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             name = self.open[i][0]
             if name == tag:
@@ -198,13 +242,30 @@ class Page:
                 return
 
     def _forget(self, name: str) -> None:
+        self.names[name] -= 1
         self.links -= name in ("a", "!a")
         self.inline_drops -= name[0] == "!"
 
+    def settle(self) -> None:
+        """Decides on elements that are only perhaps boilerplate, and leaves the blocks that stay."""
+        held = dict.fromkeys(map(id, self.nodes), 0)
+        mains = dict.fromkeys(map(id, self.nodes), False)
+        for node, text, _ in self.blocks:
+            held[id(node)] += len(text)
+        for n in reversed(self.nodes):  # children come after their parents
+            if n.parent is not None:
+                held[id(n.parent)] += held[id(n)]
+                mains[id(n.parent)] |= not n.dropped and (n.tag in MAIN_TAGS or mains[id(n)])
+        half = held[id(self.nodes[0])] / 2
+        for n in self.nodes[1:]:
+            n.dropped = n.dropped or n.parent.dropped or n.unsure and not mains[id(n)] and held[id(n)] <= half
+        self.blocks = [b for b in self.blocks if not b[0].dropped]
+
 
 def main_text(source: str) -> str:
     """The blocks of the main text, joined by empty lines; empty where a page has none."""
     page = Page(source)
+    page.settle()
     if not page.blocks:
         return ""
     for node, text, links in page.blocks:

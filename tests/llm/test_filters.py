@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -231,6 +232,41 @@ def test_main_text_keeps_lists_of_links_slugs_and_mathematics():
     assert html.main_text(f"<body><div>{links}{body}</div></body>") == want
 
 
+BODY = "<h1>Title here</h1><p>" + "Long text, with commas, and more words to read. " * 6 + "</p><p>short</p>"
+TEXT = "Title here\n\n" + ("Long text, with commas, and more words to read. " * 6).strip() + "\n\nshort"
+MENU = "<nav><a href=x>Menu</a></nav><footer>foot text</footer>"
+
+
+@pytest.mark.parametrize("page", [
+    f'<body>{MENU}<article class="post comments-open">{BODY}</article></body>',
+    f'<body><div class="layout with-sidebar"><div><article>{BODY}</article></div><div class="sidebar">side text</div></div></body>',
+    f'<body><div class="wrapper header-fixed">{MENU}{BODY}</div></body>',
+    f'<body><div class="widget-area-off content">{BODY}</div>{MENU}</body>',
+    f'<form id="aspnetForm">{MENU}<div>{BODY}</div></form>',
+    f'<div class="site-footer dark">F</div><div class="content">{BODY}</div><div class="user-comments">{"bad comment, " * 10}</div>',
+    f'<article>{BODY}<div class="share-buttons">S</div><div class="related-posts">More</div></article><div class="comments-area"><article class="comment-body"><p>{"bad, " * 200}</p></article></div>',
+    f'<article>{BODY}<form>Your mail</form></article><aside><article>{"side article, " * 90}</article></aside>',
+])
+def test_articles_are_not_lost_with_what_is_around_them(page):
+    assert html.main_text(page) == TEXT
+
+
+def test_inside_an_article_only_whole_names_count():
+    extra = '<section class="related work"><p>Related work text</p></section><p class="reply">A reply</p><div class="login-guide"><p>How to log in</p></div>'
+    assert html.main_text(f"<article>{BODY}{extra}</article>") == TEXT + "\n\nRelated work text\n\nA reply\n\nHow to log in"
+
+
+def test_deep_pages_take_time_in_proportion():
+    def seconds(n):
+        start = time.process_time()
+        html.main_text("<div>" * n + "x" + "</div>" * n)
+        html.main_text("<p>" * n + "<b>" * n + "</i>" * n)
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(40_000) < 12 * seconds(8_000) + 0.5
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "<p>deep, deep, text</p>"
     cases = [None, "", "   ", "plain text only", "<p>unclosed", "<<>>< p>", "<!-- never ends", "<script>never ends", '<a href="never ends', deep, "<p>" + "w, " * 200_000, "</p></div>", "a < b &amp; c &#x41; &bogus;"]
