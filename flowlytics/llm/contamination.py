@@ -207,7 +207,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "do
 
     A row goes by its doc_id together with its text, so clean texts under the same doc_id, or without one, stay.
     """
-    rows = docs.withColumn("__sha", F.unhex(F.sha2(F.col(text).cast("string"), 256)))
-    judged = contamination(rows.withColumn("__row", F.struct(F.col(doc_id).alias("id"), F.col("__sha").alias("sha"))), benchmark, "__row", text, **options)
+    sha, row = (texts.fresh_name(docs.columns, name) for name in ("sha", "row"))
+    rows = docs.withColumn(sha, F.unhex(F.sha2(F.col(text).cast("string"), 256)))
+    judged = contamination(rows.withColumn(row, F.struct(F.col(doc_id).alias("id"), F.col(sha).alias("sha"))), benchmark, row, text, **options)
     bad = materialise(judged.filter("contaminated").select(F.col("doc_id.id").alias("__bad"), F.col("doc_id.sha").alias("__bad_sha")).distinct())
-    return rows.join(bad, rows[doc_id].eqNullSafe(bad["__bad"]) & (rows["__sha"] == bad["__bad_sha"]), "left_anti").drop("__sha")
+    return rows.join(bad, rows[doc_id].eqNullSafe(bad["__bad"]) & (rows[sha] == bad["__bad_sha"]), "left_anti").drop(sha)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlytics.llm.texts import fresh_name
 from flowlytics.sources.stage import materialise
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -167,10 +168,18 @@ def duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, all columns, without those of which an equal text with a smaller doc_id stays.
 
-    A row goes by its doc_id together with its text, so other texts under the same doc_id, or without one, stay.
+    A row goes by its doc_id together with its text, so other texts under the same doc_id, or without one, stay. Of rows that
+    repeat both, one stays. Names of other columns are free.
     """
-    copies = duplicate_groups(docs, text, doc_id).filter(~F.col("kept"))
-    dropped = materialise(copies.select(F.col("doc_id").alias("__dropped"), F.unhex("text_sha256").alias("__dropped_sha")).distinct())
-    rows = docs.withColumn("__sha", F.unhex(F.sha2(normalised(F.col(text)), 256)))
-    same = rows[doc_id].eqNullSafe(dropped["__dropped"]) & (rows["__sha"] == dropped["__dropped_sha"])
-    return rows.join(dropped, same, "left_anti").drop("__sha")
+    sha = fresh_name(docs.columns, "sha")
+    found = materialise(duplicate_groups(docs, text, doc_id).select("doc_id", "kept", F.unhex("text_sha256").alias("sha")))
+    marked = found.groupBy("doc_id", "sha").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1 OR NOT kept")
+    marked = materialise(marked.select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"), "kept"))
+    rows = docs.withColumn(sha, F.unhex(F.sha2(normalised(F.col(text)), 256)))
+    same = rows[doc_id].eqNullSafe(marked["__id"]) & (rows[sha] == marked["__sha"])
+    out = rows.join(marked, same, "left_anti")
+    again = marked.filter("kept")
+    if not again.isEmpty():
+        repeats = rows.join(again, rows[doc_id].eqNullSafe(again["__id"]) & (rows[sha] == again["__sha"]), "left_semi")
+        out = out.unionAll(repeats.dropDuplicates([doc_id, sha]))
+    return out.drop(sha)

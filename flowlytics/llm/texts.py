@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             start = end
 
 
+def fresh_name(taken: Sequence[str], name: str) -> str:
+    """``name``, with as many underscores before it as make it unlike all of the taken ones (column names ignore case)."""
+    names = {t.lower() for t in taken}
+    while name.lower() in names:
+        name = "_" + name
+    return name
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64 bits (xor-shift and multiply), so that every bit depends on every other."""
     h = h ^ (h >> U64(30))

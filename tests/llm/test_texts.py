@@ -65,6 +65,22 @@ def test_exact_keeps_other_texts_of_a_doc_id(spark):
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == [(1, "one"), (3, "other"), (None, "alone")]
 
 
+def test_exact_keeps_one_row_of_repeated_ones(spark):
+    rows = [(1, "one"), (1, "one"), (None, "two  x"), (None, "two x"), (None, "three"), (5, "one"), (6, ""), (6, None)]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, __sha int, SHA int")
+    kept = exact.keep_first(docs)
+    assert kept.columns == docs.columns and exact.keep_first(docs.limit(0)).count() == 0
+    got = sorted(((r.doc_id, " ".join((r.text or "").split())) for r in kept.collect()), key=str)
+    assert got == [(1, "one"), (6, ""), (None, "three"), (None, "two x")]
+
+
+def test_clean_rows_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, 6), (None, None, 5, 6)], "doc_id long, text string, __sha int, row int")
+    items = spark.createDataFrame([(1, "other words here")], "item_id long, text string")
+    kept = contamination.remove_contaminated(docs, items)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+
+
 def test_quotient_filters_merge_without_loss():
     import numpy as np
 
