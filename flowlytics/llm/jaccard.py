@@ -47,6 +47,7 @@ REGION_PIVOTS = 4
 SHRINKS = 0.75
 LONG = (1 << 16) - 1
 NEAR = 64
+HOT = 20_000  # frequency above which a token's members don't meet in one block
 BROADCAST_BYTES = 32_000_000
 
 
@@ -97,6 +98,36 @@ def prefix(shingles: np.ndarray, ranks: Ranks, percent: int = PERCENT) -> np.nda
     return shingles[:size]
 
 
+def has_partner(sizes: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
+    """For each member of a region, whether sizes and places let it link to some other one.
+
+    In the order of sizes, the partners that a member allows are a range; one of them has to allow it in turn, which the
+    greatest reach in the range tells (a table of maxima over powers of two, so the work is about linear).
+    """
+    order = np.argsort(sizes, kind="stable")
+    n = sizes[order]
+    reach = ((100 + percent) * (1 + rest[order]) - percent * n) // percent  # no partner is larger
+    at = np.arange(len(n))
+    low = np.searchsorted(n, -(-percent * n // 100))
+    high = np.searchsorted(n, np.minimum(reach, 100 * n // percent), "right")
+    tables = [reach]
+    while 2 << (len(tables) - 1) <= len(n):
+        step = 1 << (len(tables) - 1)
+        tables.append(np.maximum(tables[-1][:-step], tables[-1][step:]))
+
+    def reached(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(n), bool)
+        length = end - start
+        for k, table in enumerate(tables):
+            some = np.flatnonzero((length >= 1 << k) & (length < 2 << k))
+            found[some] = np.maximum(table[start[some]], table[end[some] - (1 << k)]) >= n[some]
+        return found
+
+    out = np.zeros(len(n), bool)
+    out[order] = reached(low, np.minimum(high, at)) | reached(np.maximum(low, at + 1), high)
+    return out
+
+
 def _digests(docs: DataFrame, leading: int) -> DataFrame:
     """A row per document (doc_id, n, set_key) and, in the same pass, the tasks' filters of a quarter of all shingles."""
 
@@ -158,10 +189,11 @@ def _ranked(filters: DataFrame, leading: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _members(docs: DataFrame, ranks: Ranks, leading: int, percent: int) -> DataFrame:
     """(region, rep, n, rest) of prefix shingles that at least two documents share: the set's size and how many of its shingles
-    at most come after this one (both null for sets of LONG or more).
+    at most come after this one (both null for sets of LONG or more). Shingles with the same members are one region.
 
-    Each task packs its rows by blocks of the token space; a block is grouped where all its rows meet. Members of frequent
-    tokens are dealt out by a hash instead and go through as they are, so no block grows with one token.
+    Each task packs its rows by blocks of the token space; a block is grouped where all its rows meet, and members without a
+    possible partner go. Members of hot tokens are dealt out by a hash instead and go through as they are, so no block grows
+    with one token.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +211,7 @@ def _members(docs: DataFrame, ranks: Ranks, leading: int, percent: int) -> DataF
             yield pack(*map(np.concatenate, zip(*held)))
 
     def pack(tokens: np.ndarray, reps: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-        frequent = ranks.of(tokens) > 0
+        frequent = ranks.of(tokens) > HOT
         block = np.where(frequent, texts.mix(tokens ^ reps.view(np.uint64)), tokens) >> texts.U64(64 - leading)
         order = np.lexsort((frequent, block))
         tokens, reps, sizes, places, frequent, block = (x[order] for x in (tokens, reps, sizes, places, frequent, block))
@@ -224,16 +256,27 @@ def _members(docs: DataFrame, ranks: Ranks, leading: int, percent: int) -> DataF
                 break
             other = near + lag
             if lag == NEAR:
-                met[np.isin(tokens, tokens[near])] = True
+                for token in np.unique(tokens[near]):
+                    own = slice(np.searchsorted(tokens, token), np.searchsorted(tokens, token, "right"))
+                    met[own] |= True if not known[own].all() else has_partner(sizes[own], rest[own], percent)
                 break
             low, high = np.minimum(sizes[near], sizes[other]), np.maximum(sizes[near], sizes[other])
             fits = (100 * low >= percent * high) & ((100 + percent) * (1 + np.minimum(rest[near], rest[other])) >= percent * (low + high))
             fits = (fits | ~known[near] | ~known[other]) & (reps[near] != reps[other])
             met[near[fits]] = met[other[fits]] = True
-        tokens, reps, sizes, rest, known = (x[met] for x in (tokens, reps, sizes, rest, known))
-        return pa.table({"region": tokens.view(np.int64), "rep": reps, "n": pa.array(sizes, mask=~known), "rest": pa.array(rest, mask=~known)})
-
-    return docs.mapInArrow(emit, "block int, rows binary").groupBy("block").applyInArrow(group, "region long, rep long, n long, rest long")
+        tokens, reps, sizes, rest, known, passed = (x[met] for x in (tokens, reps, sizes, rest, known, passed[kept]))
+        starts, ends = exact._runs(tokens)  # shingles with the same members are one region
+        names = np.add.reduceat(texts.mix(reps.view(np.uint64)), starts) if len(starts) else np.empty(0, np.uint64)
+        region = np.where(passed, tokens, np.repeat(texts.mix(names), ends - starts))
+        order = np.lexsort((-rest, sizes, reps, region))
+        region, reps, sizes, rest, known = (x[order] for x in (region, reps, sizes, rest, known))
+        once = np.ones(len(region), bool)
+        once[1:] = (region[1:] != region[:-1]) | (reps[1:] != reps[:-1]) | (sizes[1:] != sizes[:-1])
+        region, reps, sizes, rest, known = (x[once] for x in (region, reps, sizes, rest, known))
+        return pa.table({"region": region.view(np.int64), "rep": reps, "n": pa.array(sizes, mask=~known), "rest": pa.array(rest, mask=~known)})
+
+    found = docs.mapInArrow(emit, "block int, rows binary").groupBy("block").applyInArrow(group, "region long, rep long, n long, rest long")
+    return found.groupBy("region", "rep", "n").agg(F.max("rest").alias("rest"))
 
 
 def _small(table: DataFrame) -> DataFrame:

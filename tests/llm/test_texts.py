@@ -111,6 +111,7 @@ def test_jaccard_on_documents(spark, documents):
 def test_jaccard_without_ranks(spark, monkeypatch):
     """The order of shingles is free: results don't depend on what counts as frequent."""
     monkeypatch.setattr(jaccard, "FREQUENT", 2)
+    monkeypatch.setattr(jaccard, "HOT", 2)
     rows = near_copies(13)
     got = jaccard.near_duplicates(texts(spark, rows)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.jaccard(rows)
@@ -131,6 +132,18 @@ def test_components_in_any_number_of_steps(spark, monkeypatch, local):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_members_without_a_possible_partner():
+    import numpy as np
+
+    draw = random.Random(9)
+    for _ in range(300):
+        sizes = np.array([draw.randrange(1, 60) for _ in range(draw.randrange(1, 40))])
+        rest = np.array([draw.randrange(max(0, 3 * n // 4 - 1), n) for n in sizes])
+        want = [any(i != j and 100 * min(m, n) >= 75 * max(m, n) and 175 * (1 + min(p, q)) >= 75 * (m + n) for j, (n, q) in enumerate(zip(sizes, rest)))
+                for i, (m, p) in enumerate(zip(sizes, rest))]
+        assert jaccard.has_partner(sizes, rest, 75).tolist() == want
+
+
 @pytest.mark.parametrize("others, pivots", [(512, (1, 4)), (4, (1,)), (2, ())])
 def test_jaccard_in_voronoi_regions(spark, monkeypatch, others, pivots):
     """A hot group around the threshold: most of its sets share their rarest shingles, and only some link."""
