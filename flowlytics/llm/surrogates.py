@@ -23,7 +23,7 @@ from flowlytics.sources.stage import materialise
 MALE = "Mr|Mister|Sir|Herr|Herrn|Monsieur|Señor|Don|господин|κύριος"
 FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Doña|госпожа|κυρία"
 PERSON = "Dr|Doctor|Prof|Professor"
-NAME = "\\p{Lu}\\p{Ll}{1,30}(?:-\\p{Lu}\\p{Ll}{1,30})?"
+NAME = "\\p{Lu}\\p{Ll}++(?:-\\p{Lu}\\p{Ll}++)?"
 
 
 def _titled(titles: str) -> str:
@@ -36,16 +36,17 @@ PATTERNS = [
     ("email", "(?<![\\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\\.){1,8}[A-Za-z]{2,24}(?![\\w-])"),
     ("ip", "(?<![\\w.])(?:(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\.){3}(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)(?![\\w]|\\.\\d)"),
     ("card", "(?<![\\w.+-])(?:\\d{4}(?:[ -]?\\d{4}){3}|3[47]\\d{2}[ -]?\\d{6}[ -]?\\d{5})(?![\\w]|[.-]\\d)"),
-    ("phone", "(?<![\\w.])\\+\\d{1,3}[ -.]?\\(?\\d{1,4}\\)?(?:[ -.]?\\d{2,4}){2,4}(?!\\w)|(?<![\\w.])\\(\\d{3}\\) ?\\d{3}-\\d{4}(?!\\w)|(?<![\\w.+-])\\d{3}-\\d{3}-\\d{4}(?!\\w|-\\d)"),
+    ("phone", "(?<![\\w.])\\+\\d{1,3}[ .-]?\\(?\\d{1,4}\\)?(?:[ .-]?\\d{2,4}){2,4}(?!\\w)|(?<![\\w.])\\(\\d{3}\\) ?\\d{3}-\\d{4}(?!\\w)|(?<![\\w.+-])\\d{3}-\\d{3}-\\d{4}(?!\\w|-\\d)"),
     ("key", "(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("hex", "(?<![A-Za-z0-9])[0-9a-f]{40}(?![A-Za-z0-9])"),
-    ("password", "(?<=(?<![A-Za-z0-9])password[=:] ?)[^\\s\"']{6,128}"),
+    ("password", "(?<=(?<![A-Za-z0-9])password[=:] ?)[^\\s\"']{6,}"),
 ]
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 PLAIN = "|".join(f"(?:{p})" for k, p in PATTERNS if k in ("email", "ip", "card", "phone", "hex"))
 TITLES = {"male": MALE, "female": FEMALE, "person": PERSON}
 # what a text must hold for names and the kinds that PLAIN leaves out; without any it takes the shorter pattern
 RARE = ("AKIA", "password", *MALE.split("|"), *FEMALE.split("|"), *(t + end for t in PERSON.split("|") for end in " ."))
+DRAWN_A_TASK = 5_000  # identities
 MOST_PLAIN = 8  # drawn so often within the format; after that the surrogate gets longer
 
 # syllables of made-up names by script, and endings by script and gender (fixed values)
@@ -132,9 +133,12 @@ def _stream(key: str, kind: Column, identity: Column, attempt: Column, length: C
     return F.array_join(blocks, "")
 
 
-def _replaced(surface: Column, stream: Column, fixed: Column) -> Column:
-    """Each ASCII letter and digit replaced by another of its class, from the ``fixed``-th (by count of letters and digits) on."""
-    ordinal = lambda i: F.length(F.regexp_replace(F.substring(surface, F.lit(1), i + 1), "[^A-Za-z0-9]", "")) - 1
+def _replaced(surface: Column, stream: Column, fixed: Column, by_place: bool = False) -> Column:
+    """Each ASCII letter and digit replaced by another of its class, from the ``fixed``-th (by count of letters and digits) on.
+
+    ``by_place`` takes the stream by the character's place: for entities of any length that are written in one way only.
+    """
+    ordinal = lambda i: i if by_place else F.length(F.regexp_replace(F.substring(surface, F.lit(1), i + 1), "[^A-Za-z0-9]", "")) - 1
 
     def one(c: Column, i: Column) -> Column:
         at = ordinal(i)
@@ -208,7 +212,7 @@ def _by_kind(kind: Column, surface: Column, attempt: Column, stream: Column) ->
             .when(kind == "phone", _replaced(surface, stream, F.when(surface.startswith("+"), 1).otherwise(0)))
             .when(kind == "key", _replaced(surface, stream, F.lit(4)))
             .when(kind == "hex", F.left(F.sha2(stream, 512), F.lit(40)))
-            .when(kind == "password", F.concat(_replaced(surface, stream, F.lit(0)), longer))
+            .when(kind == "password", F.concat(_replaced(surface, stream, F.lit(0), by_place=True), longer))
             .otherwise(_name(kind, surface, stream, F.when(wide, 2).otherwise(0))))
 
 
@@ -219,7 +223,8 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     taken = people.select("kind", F.col("identity").alias("look"))  # what originals look like; no surrogate may be one
     todo, attempt, settled = people.withColumn("attempt", F.lit(0)), 0, None
     while True:
-        drawn = todo.withColumn("look", canonical(F.col("kind"), surrogate(key, F.col("kind"), F.col("form"), F.col("identity"), F.col("attempt"))))
+        spread = todo.repartition(max(1, -(-todo.count() // DRAWN_A_TASK)), "kind", "identity")
+        drawn = spread.withColumn("look", canonical(F.col("kind"), surrogate(key, F.col("kind"), F.col("form"), F.col("identity"), F.col("attempt"))))
         drawn = materialise(drawn)
         free = drawn.join(taken, ["kind", "look"], "left_anti")
         winners = free.groupBy("kind", "look").agg(F.min("identity").alias("identity"))
@@ -231,7 +236,8 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
         attempt += 1
         taken = taken.unionAll(good.select("kind", "look"))
         todo = rest.withColumn("attempt", F.lit(attempt))
-    made = forms.join(settled.select("kind", "identity", "attempt"), ["kind", "identity"])
+    made = materialise(forms.join(settled.select("kind", "identity", "attempt"), ["kind", "identity"]))
+    made = made.repartition(max(1, -(-made.count() // DRAWN_A_TASK)), "kind", "surface")
     return made.select("kind", "surface", surrogate(key, F.col("kind"), F.col("surface"), F.col("identity"), F.col("attempt")).alias("surrogate"))
 
 

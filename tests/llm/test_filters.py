@@ -327,6 +327,21 @@ def test_surrogates_for_further_mentions_and_formats(spark):
     assert re.fullmatch("[0-9a-f]{40}", got[4]) and got[4] != rows[3][1]
 
 
+def test_surrogates_leave_amounts_and_whole_passwords(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "DRAWN_A_TASK", 2)
+    amounts = "It cost +1,250,000,000 dollars, +12%34&56#78 and (1+2)*3, or +12!345!678."
+    long = "aB3$" * 60
+    name = "Ab" + "c" * 60
+    rows = [(1, amounts), (2, f"password={long} end"), (3, f"Mr. {name} came. Then {name} left."), (4, "+44 20-7946.0958 rang")]
+    got = {r.doc_id: r.text for r in surrogates.with_surrogates(frame(spark, rows, "doc_id long, text string"), "k").collect()}
+    assert got[1] == amounts
+    made = got[2].removeprefix("password=").removesuffix(" end")
+    assert len(made) == len(long)
+    assert "aB3$aB3$" not in made and all(made[i] == "$" for i in range(3, len(long), 4))
+    assert name not in got[3] and name[1:40] not in got[3]
+    assert "7946" not in got[4] and re.fullmatch(r"\+\d\d \d\d-\d{4}\.\d{4} rang", got[4])
+
+
 def test_surrogates_stay_distinct(spark):
     """All 9,000 of the 10,000 addresses with one-digit octets: most drawn surrogates collide with an original or another."""
     ips = [f"{i // 1000}.{i // 100 % 10}.{i // 10 % 10}.{i % 10}" for i in range(9000)]
