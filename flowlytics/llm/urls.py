@@ -57,7 +57,7 @@ def _handed_down(children: DataFrame, key: str, parents: DataFrame, parent: str)
     Strength by moments: over the children, the variance of the rates around the parent's mean is that of binomial draws
     times 1 + (n - 1) / (strength + 1). Children that don't spread more than that get the greatest strength.
     """
-    prior = children.join(parents.select(parent, (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("mean")), parent)
+    prior = materialise(children.join(parents.select(parent, (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("mean")), parent))
     binomial = F.col("mean") * (1 - F.col("mean"))
     square = F.pow(F.col("bad") - F.col("n") * F.col("mean"), 2) / F.col("n")
     moments = prior.filter("n > 1").agg(F.sum(square - binomial).alias("excess"), F.sum((F.col("n") - 1) * binomial).alias("room"))
@@ -73,8 +73,8 @@ def reputations(outcomes: DataFrame, suffix_labels: int = SUFFIX_LABELS, z: floa
     """One row per host: host, n, bad, bad_share, bad_bound. ``outcomes``: host and bad (1, 0 or null where not labelled)."""
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     hosts = materialise(hosts.withColumns({"domain": last_labels(F.col("host"), suffix_labels + 1), "suffix": last_labels(F.col("host"), suffix_labels)}))
-    domains = hosts.groupBy("domain").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.lit("").alias("root"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    domains = materialise(hosts.groupBy("domain").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+    suffixes = materialise(domains.groupBy("suffix").agg(F.lit("").alias("root"), F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     root = suffixes.agg(F.lit("").alias("root"), (F.sum("bad") + 1).alias("alpha"), (F.sum("n") - F.sum("bad") + 1).alias("beta"))
     of_suffix = _handed_down(suffixes, "suffix", root, "root")
     of_domain = _handed_down(domains, "domain", of_suffix, "suffix")
