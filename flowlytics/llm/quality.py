@@ -169,7 +169,8 @@ def _gradients(net: Network, codes: np.ndarray, starts: np.ndarray, labels: np.n
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    """Whether a document's labels are kept from training; one without doc_id has no remainder and isn't held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Network | float:
@@ -179,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     comes back instead, smoothed.
     """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"))
-    known = known.filter(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
+    known = known.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
     shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     zeros, ones = shares.get(0, 0), shares.get(1, 0)
     picked = [known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect() for c in (0, 1)]
@@ -193,7 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([training_chunks(r) for r in raws], pa.list_(pa.binary()))],
                                              names=["doc_id", "label", "chunks"])
 
-    joined = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), "doc_id").select("doc_id", "label", "text")
+    joined = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
+    joined = joined.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one text where rows repeat a doc_id
     got = joined.mapInArrow(cut, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, label int, chunks array<binary>").toArrow().sort_by("doc_id")
     y = got["label"].to_numpy().astype(np.float32)
     if not 0 < y.sum() < len(y):
@@ -206,7 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
 def scored(docs: DataFrame, model: Network | float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted. The score sees nothing but the bytes of the whole text.
 
-    A null text is scored as an empty one, from padding alone. Repeated rows are scored each; an empty table gives no row.
+    A null text is scored as an empty one, from padding alone. Repeated rows are scored each; an empty table gives no row. A
+    null doc_id is not held out.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
