@@ -13,6 +13,7 @@ from flowlytics.operators.quantile import (
     PROFILE_NAMES, PROFILE_PROBS, bounded_quantiles, exact_quantiles, quantile_map,
 )
 from flowlytics.operators.segments import salted_lookup, same_keys
+from flowlytics.sources.stage import materialise
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
@@ -163,45 +164,48 @@ def product_profile(df: DataFrame, product: str = "product_id", min_count: int =
     """The whole profile for all products at once; one row per product, aggregates only.
 
     ``df`` has product, ts, date, direction, status, amount. First and last day and the extreme
-    quantiles are raw values; ``min_count`` drops products with fewer rows.
+    quantiles are raw values; ``min_count`` drops products with fewer rows. The rows are read once and staged with these
+    columns; all counts are folded from one table by product and day.
     """
-    seconds = F.unix_timestamp("ts")
-    sub = F.date_trunc("second", "ts")
-    counts = df.groupBy(product).agg(
-        F.count(F.lit(1)).alias("n_records"),
-        F.min(sub).alias("first_time"), F.max(sub).alias("last_time"),
-        tf.whole_days(F.min(seconds), F.max(seconds)).alias("days_total"),
-        *[F.count_if(tf.dow("date") == d).alias(f"_dow{d}") for d in range(7)],
-        *[F.count_if(F.month("date") == m).alias(f"_m{m}") for m in range(1, 13)],
-        v.share(tf.is_month_end("date") == 1).alias("month_end_share"),
-        v.share(tf.is_quarter_end("date") == 1).alias("quarter_end_share"),
-        v.share(F.col("direction") == 0).alias("purchase_share"),
-        v.share(F.col("direction") == 1).alias("redemption_share"),
-        v.share(F.col("status") == 1).alias("status_share_success"),
+    rows = materialise(df.select(product, F.date_trunc("second", "ts").alias("ts"), "date", "direction", "status", "amount"))
+    days = materialise(rows.groupBy(product, "date").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.count_if(F.col("direction") == 0).alias("purchases"),
+        F.count_if(F.col("direction") == 1).alias("redemptions"), F.count_if(F.col("status") == 1).alias("done")))
+    n, month_end, quarter_end = F.col("n"), tf.is_month_end("date") == 1, tf.is_quarter_end("date") == 1
+
+    def where(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+
+    counts = days.groupBy(product).agg(
+        F.sum("n").alias("n_records"), F.min("first").alias("first_time"), F.max("last").alias("last_time"),
+        tf.whole_days(F.unix_timestamp(F.min("first")), F.unix_timestamp(F.max("last"))).alias("days_total"),
+        *[where(tf.dow("date") == d).alias(f"_dow{d}") for d in range(7)],
+        *[where(F.month("date") == m).alias(f"_m{m}") for m in range(1, 13)],
+        (where(month_end) / F.sum("n")).alias("month_end_share"), (where(quarter_end) / F.sum("n")).alias("quarter_end_share"),
+        *[(F.sum(c) / F.sum("n")).alias(s) for c, s in (("purchases", "purchase_share"), ("redemptions", "redemption_share"), ("done", "status_share_success"))],
+        F.avg("n").alias("avg_txns_per_day"),
+        F.avg(F.when(month_end, n)).alias("avg_txns_per_month_end_day"), F.avg(F.when(quarter_end, n)).alias("avg_txns_per_quarter_end_day"),
+        quantile_map(bounded_quantiles("n", PROFILE_PROBS)).alias("daily_count_quantiles"),
     ).where(F.col("n_records") >= min_count)
     counts = counts.select(
         product, "n_records", "first_time", "last_time", "days_total",
         F.create_map(*[x for d in range(7) for x in (F.lit(str(d)), F.col(f"_dow{d}"))]).alias("txns_per_dow"),
         F.map_filter(F.create_map(*[x for m in range(1, 13) for x in (F.lit(m), F.col(f"_m{m}"))]),
                      lambda k, n: n > 0).alias("txns_per_month"),
-        "month_end_share", "quarter_end_share", "purchase_share", "redemption_share", "status_share_success")
-    per_day = day_counts(df, [product]).groupBy(product).agg(
-        F.avg("n").alias("avg_txns_per_day"),
-        F.avg(F.when(tf.is_month_end("date") == 1, F.col("n"))).alias("avg_txns_per_month_end_day"),
-        F.avg(F.when(tf.is_quarter_end("date") == 1, F.col("n"))).alias("avg_txns_per_quarter_end_day"),
-        quantile_map(bounded_quantiles("n", PROFILE_PROBS)).alias("daily_count_quantiles"))
-    years = value_counts(df.select(product, F.year("date").alias("year")), [product], "year").groupBy(product).agg(
-        F.map_from_entries(F.collect_list(F.struct("year", "n"))).alias("txns_per_year"))
-    amounts = amount_profile(df, product, **cut).groupBy(product).agg(
+        "month_end_share", "quarter_end_share", "purchase_share", "redemption_share", "status_share_success",
+        "avg_txns_per_day", "avg_txns_per_month_end_day", "avg_txns_per_quarter_end_day", "daily_count_quantiles")
+    by_year = days.where("date IS NOT NULL").groupBy(product, F.year("date").alias("year")).agg(F.sum("n").alias("n"))
+    years = by_year.groupBy(product).agg(F.map_from_entries(F.collect_list(F.struct("year", "n"))).alias("txns_per_year"))
+    amounts = amount_profile(rows, product, **cut).groupBy(product).agg(
         F.map_from_entries(F.collect_list(F.struct("scope", F.struct(
             "n", "mean", "std", quantile_map(F.col("quantiles")).alias("quantiles"),
             quantile_map(F.col("log1p_quantiles")).alias("log1p_quantiles"))))).alias("amount"))
-    bars = histogram(df, [product], "amount").groupBy(product).agg(
+    bars = histogram(rows, [product], "amount").groupBy(product).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("bin", "lo", "hi", "n"))),
                     lambda b: F.struct(b["lo"].alias("lo"), b["hi"].alias("hi"), b["n"].alias("n"))
                     ).alias("amount_histogram"))
     out = counts
-    for part in (per_day, years, amounts, bars):
+    for part in (years, amounts, bars):
         out = same_keys(out, part, [product], "left")
     return out
 
