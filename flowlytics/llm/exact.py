@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlytics.llm.texts import fresh_name
+from flowlytics.llm.texts import fresh_name, small
 from flowlytics.sources.stage import materialise
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -174,7 +174,7 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     sha = fresh_name(docs.columns, "sha")
     found = materialise(duplicate_groups(docs, text, doc_id).select("doc_id", "kept", F.unhex("text_sha256").alias("sha")))
     marked = found.groupBy("doc_id", "sha").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1 OR NOT kept")
-    marked = materialise(marked.select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"), "kept"))
+    marked = small(materialise(marked.select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"), "kept")), 64)
     rows = docs.withColumn(sha, F.unhex(F.sha2(normalised(F.col(text)), 256)))
     same = rows[doc_id].eqNullSafe(marked["__id"]) & (rows[sha] == marked["__sha"])
     out = rows.join(marked, same, "left_anti")

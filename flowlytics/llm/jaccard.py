@@ -48,7 +48,6 @@ SHRINKS = 0.75
 LONG = (1 << 16) - 1
 NEAR = 64
 HOT = 20_000  # frequency above which a token's members don't meet in one block
-BROADCAST_BYTES = 32_000_000
 
 
 _TABLE = texts.translation({0x20, *range(0x09, 0x0E)})
@@ -280,8 +279,8 @@ def _members(docs: DataFrame, ranks: Ranks, leading: int, percent: int) -> DataF
 
 
 def _small(table: DataFrame) -> DataFrame:
-    """A staged table of long columns, to be broadcast up to BROADCAST_BYTES; beyond, the join shuffles."""
-    return F.broadcast(table) if 16 * len(table.columns) * table.count() <= BROADCAST_BYTES else table
+    """``texts.small`` for a table of long columns."""
+    return texts.small(table, 16 * len(table.columns))
 
 
 class Distances:
@@ -454,5 +453,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, of the smallest doc_id of each component (rows without doc_id all stay)."""
-    dropped = materialise(near_duplicates(docs, doc_id, text, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct())
+    dropped = _small(materialise(near_duplicates(docs, doc_id, text, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()))
     return docs.join(dropped, docs[doc_id] == dropped["__dropped"], "left_anti")

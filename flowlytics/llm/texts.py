@@ -6,9 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 2_000_000
 PIECE_BYTES = 1 << 18
+BROADCAST_BYTES = 32_000_000
 
 U64 = np.uint64
 
@@ -40,6 +43,11 @@ def fresh_name(taken: Sequence[str], name: str) -> str:
     return name
 
 
+def small(table: DataFrame, row_bytes: int) -> DataFrame:
+    """A staged table, to be broadcast up to BROADCAST_BYTES by its count (a job); beyond, a join with it shuffles."""
+    return F.broadcast(table) if row_bytes * table.count() <= BROADCAST_BYTES else table
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64 bits (xor-shift and multiply), so that every bit depends on every other."""
     h = h ^ (h >> U64(30))
