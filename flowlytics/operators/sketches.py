@@ -17,7 +17,7 @@ from flowlytics.sources.stage import materialise
 KLL_K = 400  # rank error about 0.7 % of the rows
 THETA_BITS = 14  # 16,384 hashed values: exact up to there, then a standard error of 0.8 %
 COUNTERS = 1024
-MOST_COUNTERS = 1 << 20
+MOST_COUNTERS = 1 << 16  # Spark takes a million at most; beyond this, counting all values is the cheaper way
 ERROR_SHARE = 3.5  # an item counter of m slots is off by at most this share of rows / m (fixed by the sketch)
 
 
@@ -94,8 +94,9 @@ def heavy_hitters(df: DataFrame, value: str, k: int, by: Sequence[str] = (), cou
 
     Item counters are filled per ``by`` (e.g. a day, to be stored) and combined; their candidates are then counted exactly, so
     only candidates pass a shuffle. A value that is no candidate occurs at most 3.5 n / slots times; if the k-th candidate occurs
-    more often, the list is proved complete. Otherwise counters are doubled. Where there is no such gap up to MOST_COUNTERS
-    (fewer than k frequent values, say), all values are counted. Runs a job for each step; null values are left out.
+    more often, the list is proved complete. Otherwise counters grow to the number that would prove it for the k-th candidate
+    found, which the true k-th value is not below. Where that takes more than MOST_COUNTERS (fewer than k frequent values, say,
+    or many values that are equally frequent), all values are counted. Runs a job for each step; null values are left out.
     """
     rows = df.where(F.col(value).isNotNull()).select(value, *[c for c in by if c != value])
     while counters <= MOST_COUNTERS:
@@ -105,9 +106,16 @@ def heavy_hitters(df: DataFrame, value: str, k: int, by: Sequence[str] = (), cou
         exact = materialise(rows.join(F.broadcast(found), value, "left_semi").groupBy(value).agg(F.count(F.lit(1)).alias("n")))
         total = whole.first()["n"] or 0
         kth = exact.orderBy(F.col("n").desc(), value).limit(k).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least")).first()
-        slots = 1 << (counters * 4 // 3 - 1).bit_length()  # the sketch keeps a power of two, three quarters full
         complete = total == (exact.agg(F.sum("n")).first()[0] or 0)  # every row is one of a candidate
-        if complete or (kth["rows"] == k and kth["least"] > ERROR_SHARE * total / slots):
+        if complete or (kth["rows"] == k and kth["least"] > ERROR_SHARE * total / _slots(counters)):
             return exact.orderBy(F.col("n").desc(), value).limit(k)
+        least = kth["least"] if kth["rows"] == k else 1
         counters *= 4
+        while counters <= MOST_COUNTERS and least <= ERROR_SHARE * total / _slots(counters):
+            counters *= 4
     return rows.groupBy(value).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), value).limit(k)
+
+
+def _slots(counters: int) -> int:
+    """The sketch keeps a power of two, three quarters full."""
+    return 1 << (counters * 4 // 3 - 1).bit_length()

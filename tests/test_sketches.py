@@ -57,3 +57,9 @@ def test_heavy_hitters_without_a_gap(spark, monkeypatch):
     assert [tuple(r) for r in sk.heavy_hitters(flat, "c", 4, counters=16).collect()] == [(0, 3), (1, 3), (2, 3), (3, 3)]
     assert sk.heavy_hitters(flat.limit(0), "c", 4).count() == 0
     assert sk.heavy_hitters(flat.where("c < 3"), "c", 4).count() == 3
+
+
+def test_counters_stop_where_counting_all_is_cheaper(spark):
+    flat = spark.range(0, 400_000).select(F.col("id").alias("c"))  # no value is frequent, however many counters there are
+    assert [tuple(r) for r in sk.heavy_hitters(flat, "c", 3, counters=1 << 16).collect()] == [(0, 1), (1, 1), (2, 1)]
+    assert sk.MOST_COUNTERS <= 1_000_000
