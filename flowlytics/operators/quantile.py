@@ -131,9 +131,10 @@ def fit_adaptive_bins(df: DataFrame, by: Sequence[str], value: str, bins: int, *
 def bin_of(value: str, edges: str, bins: int, missing: int = -1, offset: int = 0) -> Column:
     """Right-closed bucket number; the lowest edge belongs to the first bucket.
 
-    One comparison per edge keeps the expression inside generated code.
+    The edges below the value are counted by one filter. A comparison per edge would make generated methods so long that the
+    JVM doesn't compile them and interprets each row.
     """
-    below = " + ".join(f"coalesce(CAST(get({edges}, {i}) < {value} AS INT), 0)" for i in range(bins + 1))
+    below = f"size(filter(slice({edges}, 1, {bins + 1}), edge_ -> edge_ < {value}))"
     outside = (f"{edges} IS NULL OR {value} IS NULL OR size({edges}) < 2 OR {value} < get({edges}, 0) "
                f"OR {value} > get({edges}, size({edges}) - 1)")
     return F.expr(f"CASE WHEN {outside} THEN {missing} ELSE greatest({below} - 1, 0) END + {offset}")

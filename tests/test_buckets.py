@@ -1,5 +1,7 @@
 """Quantiles, buckets and segments against numpy and by hand."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -146,3 +148,20 @@ def test_salted_lookup_is_a_left_join(spark):
     got = {(r["k"], r["x"]): r["s"] for r in salted_lookup(big, small, ["k"], salts=4).collect()}
     assert len(got) == 60
     assert all(s == {0: "a", 1: None, 2: "c", None: "n"}[k] for (k, _), s in got.items())
+
+
+def test_bucket_lookup_is_compiled(spark):
+    """The JVM interprets methods of more than 8,000 bytes."""
+    edges = spark.createDataFrame([(0, [float(i) for i in range(25)]), (1, None)], "direction int, edges array<double>")
+    rows = spark.range(40).select((F.col("id") % 2).cast("int").alias("direction"), (F.col("id") / 2 - 1).alias("x"))
+    out = q.apply_bins(q.apply_bins(rows, edges, ["direction"], "x", 24, codes=q.DIRECTIONS), edges.where("direction = 0"), [], "x", 24, "other")
+    for _ in range(3):
+        out = q.apply_bins(out, edges.where("direction = 0"), [], "x", 24, "again")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)) < 8000
+    found = {(r["direction"], r["x"]): r["amount_bin"] for r in out.collect()}
+    assert found[0, -1.0] == -1 and found[0, 0.0] == 0 and found[0, 1.0] == 0 and found[0, 2.0] == 1 and found[1, 0.5] == -1
