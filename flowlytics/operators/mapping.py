@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlytics.functions import timefeat as tf
@@ -28,23 +28,31 @@ def _direction_bins(df: DataFrame, **cut) -> DataFrame:
     return apply_bins(logged, edges, ["direction"], "amount_log1p", WIDE_BINS, missing=0, codes=DIRECTIONS)
 
 
-def _per_product(df: DataFrame, tie: list[str], **cut) -> Segmented:
-    """Gap to the previous row and clipped running balance within each product, on one range partitioning."""
+def _per_product(df: DataFrame, tie: list[str], row_id: bool, **cut) -> Segmented:
+    """Number of the row, gap to the previous row and clipped running balance within each product, on one range partitioning.
+
+    The number comes first: its sort of whole segments then serves gap and balance.
+    """
     order = ["ts", *tie]
     seg = segmented(df, ["product_id"], order, **cut)
+    if row_id:
+        whole = seg.whole(seg.rows)
+        seg = seg.map(row_index(seg.rows, [], whole.order, "__row_id__", seg=whole))
     gapped = time_gap(seg.rows, ["product_id"], "ts", tie, seg=seg)
     return seg.map(running_balance(gapped, ["product_id"], order, signed_amount(), "clip", seg=seg))
 
 
-def _numbered(rows: DataFrame, tie: list[str], row_id: bool, **cut) -> DataFrame:
-    """The ledger's columns in its order; the number of a row comes from the segments of gap and balance."""
-    seg = _per_product(rows, tie, **cut)
+def _numbered(rows: DataFrame, tie: list[str], row_id: bool, *added: dict[str, Column], **cut) -> DataFrame:
+    """The ledger's columns in its order; the number of a row, gap and balance come from the same segments.
+
+    ``added`` are columns made of others at the end, so that they are neither dealt out nor staged.
+    """
+    seg = _per_product(rows, tie, row_id, **cut)
     wide = _direction_bins(seg.rows, **cut)
+    for columns in added:
+        wide = wide.withColumns(columns)
     wide = wide.withColumns({c: F.col(c).cast("double") for c in ("amount", "aum_after")})
-    if not row_id:
-        return wide.select(*WIDE_COLUMNS)
-    whole = seg.whole(wide)
-    return row_index(wide, [], whole.order, "__row_id__", seg=whole).select(*WIDE_COLUMNS, "__row_id__")
+    return wide.select(*WIDE_COLUMNS, *(["__row_id__"] if row_id else []))
 
 
 def from_orders(df: DataFrame, tie: list[str] = ("InvoiceNo", "CustomerID", "Quantity", "UnitPrice"),
@@ -77,15 +85,15 @@ def from_orders(df: DataFrame, tie: list[str] = ("InvoiceNo", "CustomerID", "Qua
         F.hour(when).alias("hour"),
         tf.hour_bin(when).alias("hour_bin"),
     )
-    rows = rows.withColumn("product_type", v.hash_bucket("product_id", 6, "ptype"))
-    rows = rows.withColumn("risk_level", F.least(F.col("product_type") + 1, F.lit(5)))
-    rows = rows.withColumns({
+    kind = {"product_type": v.hash_bucket("product_id", 6, "ptype")}
+    risk = {"risk_level": F.least(F.col("product_type") + 1, F.lit(5))}
+    others = {
         "term_type": v.hash_bucket("product_id", 4, "term"),
         "channel": v.hash_bucket("product_id", 4, "ch"),
         "cust_type": v.hash_bucket("cust_id", 3, "cust"),
         "yield_rate": v.placeholder_yield("product_id", "risk_level"),
-    })
-    return _numbered(rows, tie, row_id, **cut)
+    }
+    return _numbered(rows, tie, row_id, kind, risk, others, **cut)
 
 
 def from_quotes(prices: DataFrame, quotes: DataFrame, rules=v.FUND_NAME_RULES, row_id: bool = True,
