@@ -64,7 +64,7 @@ class Segmented:
         return Segmented(rows, (), (*self.keys, *self.order))
 
     def window(self, ordered: bool = True):
-        w = Window.partitionBy(*self.keys, SEG)
+        w = Window.partitionBy(SEG, *self.keys)  # in this order rows sorted by a window over whole segments need no other sort
         return w.orderBy(*self.order) if ordered else w
 
     def carry_window(self):
@@ -75,12 +75,15 @@ class Segmented:
         """Brings columns over from earlier or later segments of the same key.
 
         ``summary`` are aggregates per (keys, segment); ``carried`` are window expressions over ``carry_window()``, later
-        groups building on earlier ones. In a key of one segment the carried columns are null.
+        groups building on earlier ones. In a key of one segment the carried columns are null, so only rows of the keys that
+        span several are summarised; between two neighbouring segments there is at most one such key.
         """
         names = [n for group in carried for n in group]
-        table = self.rows.groupBy(*self.keys, SEG).agg(*[c.alias(n) for n, c in summary.items()])
-        parts = F.count(F.lit(1)).over(Window.partitionBy(*(self.keys or [F.lit(0)])))
-        table = table.withColumn("_parts", parts).where("_parts > 1")
+        rows = self.rows
+        if self.keys:
+            ends = rows.groupBy(*self.keys).agg(F.min(SEG).alias("_lo"), F.max(SEG).alias("_hi"))
+            rows = same_keys(rows, materialise(ends.where("_lo < _hi").select(*self.keys)), self.keys, "left_semi")
+        table = rows.groupBy(*self.keys, SEG).agg(*[c.alias(n) for n, c in summary.items()])
         for group in carried:
             table = table.withColumns(group)
         table = materialise(table.select(*self.keys, SEG, *names))

@@ -65,8 +65,8 @@ def running_balance(df: DataFrame, keys: Sequence[str], order: Sequence[str], ch
     'reflect': the balance itself never goes below 0, later rows build on that; by the closed form
     sum - min(0, lowest sum so far). ``prior`` adds the balance before the row.
     """
-    changed = df.withColumn("_chg", change)
-    seg = seg.map(changed) if seg else segmented(changed, keys, order, **cut)
+    seg = seg.map(df) if seg else segmented(df, keys, order, **cut)
+    seg = seg.map(seg.rows.withColumn("_chg", change))
     w = seg.window()
     upto = w.rowsBetween(W.unboundedPreceding, 0)
     rows = seg.rows.withColumn("_s", F.sum("_chg").over(upto))
@@ -76,11 +76,11 @@ def running_balance(df: DataFrame, keys: Sequence[str], order: Sequence[str], ch
             "_m0": F.min("_s").over(w.rowsBetween(W.unboundedPreceding, -1)),
         })
     before = seg.carry_window().rowsBetween(W.unboundedPreceding, -1)
-    rows = seg.map(rows).carry(
-        {"_t": F.sum("_chg"), "_low": F.min("_s")},
-        {"_off": F.sum("_t").over(before)},
-        {"_floor": F.min(F.col("_low") + F.coalesce(F.col("_off"), F.lit(0))).over(before)},
-    ).rows
+    summary, carried = {"_t": F.sum("_chg")}, [{"_off": F.sum("_t").over(before)}]
+    if floor == "reflect":
+        summary["_low"] = F.min("_s")
+        carried.append({"_floor": F.min(F.col("_low") + F.coalesce(F.col("_off"), F.lit(0))).over(before)})
+    rows = seg.map(rows).carry(summary, *carried).rows
     off = F.coalesce(F.col("_off"), F.lit(0))
     total = F.col("_s") + off
     previous = total - F.coalesce(F.col("_chg"), F.lit(0))

@@ -263,8 +263,8 @@ def demo_daily(spark, d):
 h AS (SELECT product_id, date, cust_id, arg_max(aum_after, {LAST}) AS last_balance FROM b GROUP BY ALL)
 SELECT product_id, date, CAST(sum(last_balance) AS DOUBLE) AS aum_eod FROM h GROUP BY product_id, date""")
 def end_of_day_balance(spark, d):
-    rows = series.running_balance(t.ledger(spark, d, customer=True, tie=True), ["cust_id", "product_id"],
-                                  ["txn_ts", *t.TIE], series.signed_amount())
+    ledger = t.ledger(spark, d, customer=True, tie=True).drop("status", "yield_rate")
+    rows = series.running_balance(ledger, ["cust_id", "product_id"], ["txn_ts", *t.TIE], series.signed_amount())
     return rollup.summed_balance(rows, ["txn_ts", *t.TIE], ["cust_id"])
 
 

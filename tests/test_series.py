@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from flowlytics.operators import cleaning, quality, rollup, series, split
+from flowlytics.operators import cleaning, quality, rollup, segments, series, split
+from flowlytics.sources.stage import materialise
 
 SMALL = {"segments": 7}
 
@@ -175,3 +176,15 @@ def test_flow_balance_property(ledger):
     total = day.agg(F.sum("purchase_amt")).first()[0]
     assert total == df.where("status = 1 AND direction = 0").agg(F.sum("amount")).first()[0]
     assert rollup.daily_flow(df, ok_only=False).agg(F.sum("purchase_amt")).first()[0] > total
+
+
+def test_only_keys_of_several_segments_are_summarised(spark, monkeypatch):
+    """A balance without reflection needs no running sum for its summary, and no window over all rows."""
+    staged = []
+    monkeypatch.setattr(segments, "materialise", lambda df: staged.append(df) or materialise(df))
+    rows = spark.range(600).select((F.col("id") % 50).alias("k"), "id", F.lit(1).alias("amount"), F.lit(0).alias("direction"))
+    out = series.running_balance(rows, ["k"], ["id"], series.signed_amount(), segments=7)
+    assert {(r["k"], r["id"]): r["aum_after"] for r in out.collect()} == {(i % 50, i): i // 50 + 1 for i in range(600)}
+    ledger, spanning, summary = staged
+    assert spanning.count() <= 6
+    assert summary._jdf.queryExecution().optimizedPlan().toString().count("Window") == 1
