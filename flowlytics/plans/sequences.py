@@ -29,7 +29,7 @@ def time_gap(spark, d):
 @register("customer_gap", f"""WITH {LG} SELECT cust_id, product_id, l_orderkey, l_linenumber, l_suppkey, l_extendedprice,
   CAST(least(greatest(coalesce(txn_ts - lag(txn_ts) OVER (PARTITION BY cust_id, product_id ORDER BY txn_ts, {TIE_COLUMNS}), 0), 0), 2592000) AS INTEGER) AS dt_prev_sec FROM lg""")
 def customer_gap(spark, d):
-    rows = t.ledger(spark, d, customer=True, tie=True)
+    rows = t.ledger(spark, d, customer=True, tie=True).select("cust_id", "product_id", *ORDER)
     return series.time_gap(rows, ["cust_id", "product_id"], "txn_ts", t.TIE).select(
         "cust_id", "product_id", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "dt_prev_sec")
 
