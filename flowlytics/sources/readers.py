@@ -35,7 +35,10 @@ def header_inventory(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """file, header: the first line of every CSV file below the paths, from the first block of each file."""
     lines = spark.read.text(list(paths), recursiveFileLookup=True).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("id"))
-    return lines.where("start = 0").groupBy("file").agg(F.min_by("value", "id").alias("header"))
+    lines = lines.where("start = 0")
+    # the number of the first line is a buffer of fixed size; taking the text along would sort all lines of a task
+    first = lines.groupBy("file").agg(F.min("id").alias("id"))
+    return lines.join(F.broadcast(first.select("id")), "id", "left_semi").select("file", F.col("value").alias("header"))
 
 
 def _by_header(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:

@@ -346,3 +346,12 @@ def test_a_code_with_two_quotes_is_an_error(spark):
     quotes = spark.createDataFrame([("1", "n", "3"), ("1", "m", "3")], "code string, name string, main_net string")
     with pytest.raises(ValueError):
         mapping.from_quotes(prices, quotes)
+
+
+def test_headers_without_sorting_lines(spark, tmp_path):
+    """Only the number of the first line is aggregated; a text in the buffer would sort all lines of a task."""
+    for name, lines in (("a.csv", "x,y\n1,2\n3,4\n"), ("b.csv", "y,x\n"), ("c.csv", "x,y\n5,6\n")):
+        (tmp_path / name).write_text(lines)
+    found = readers.header_inventory(spark, [str(tmp_path)])
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["file"].rsplit("/", 1)[1]: r["header"] for r in found.collect()} == {"a.csv": "x,y", "b.csv": "y,x", "c.csv": "x,y"}
