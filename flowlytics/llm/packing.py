@@ -13,6 +13,7 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,29 +31,27 @@ BLOCK_TOKENS = 1 << 21
 QUADRATIC = 1 / 12_288
 CACHED = 150_000
 
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the tokenizer file's own pattern
-_PLAIN = re.compile(r"[a-z]+")
+# fixed value: the tokenizer file's own pattern, letters first, for characters of which \w tells letters from the rest
+_SPLIT = re.compile(r"[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\w\s]|_)+").findall
+_SPLIT_ASCII = re.compile(r"[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-z0-9]+").findall
 _SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space for str.split(), but not for the pattern
 
 
 class WordTokens:
     """Token ids (packed 32-bit) of whole texts by a word-level BPE file that drops white space.
 
-    White space never joins a token, so the ids of a text are those of its words in turn; words and the parts that the
-    pattern makes of them are remembered, in two generations of bounded size. The library's model merges each new part.
-    Texts with characters for which lower case depends on the place, with control characters that only split() takes for
-    white space, or with special tokens, go through the library whole.
+    White space never joins a token, so the ids of a text are those of the parts that the pattern makes of it. Parts are
+    remembered, in two generations of bounded size, and the library's model merges each new one. A word with characters that
+    Python and the library class differently goes through the library. Texts with characters for which lower case depends on
+    the place, with control characters that only Python takes for white space, or with special tokens, go through it whole.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
-        self.parts_of = regex.compile(_SPLIT).findall
-        self.words: dict[str, bytes] = _Generations(self._word)
         self.parts: dict[str, bytes] = _Generations(self._part)
         self.known: dict[str, bool] = _Generations(self._known)
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -61,29 +60,32 @@ class WordTokens:
 
     def _part(self, part: str) -> bytes:
         pieces = self.merge(part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))
-        return np.array([p.id for p in pieces], "<u4").tobytes()
+        return array("I", [p.id for p in pieces]).tobytes()
 
     def _known(self, letter: str) -> bool:
         """Whether Python and the library, whose Unicode tables differ in age, take the character for the same class."""
+        if letter.isascii():
+            return True
+        if letter.isalnum() and not letter.isalpha():  # a number for the library, like a letter in _SPLIT
+            return False
         probe = f"a{letter}{letter}b"
-        return b"".join([self.parts[p] for p in self.parts_of(unicodedata.normalize("NFC", probe).lower())]) == self._whole(probe)
+        return self._joined(unicodedata.normalize("NFC", probe)) == self._whole(probe)
 
-    def _word(self, word: str) -> bytes:
-        if not word.isascii() and not all([self.known[c] for c in set(word)]):
-            return self._whole(word)
-        low = word.lower()
-        if _PLAIN.fullmatch(low):
-            return self.parts[low]
-        return b"".join([self.parts[p] for p in self.parts_of(low)])
+    def _joined(self, text: str) -> bytes:
+        low = text.lower()
+        return b"".join(map(self.parts.__getitem__, _SPLIT_ASCII(low) if low.isascii() else _SPLIT(low)))
 
     def __call__(self, text: str) -> bytes:
-        if not text.isascii():
+        plain = text.isascii()
+        if not plain:
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text or "İ" in text:
                 return self._whole(text)
-        if "<|" in text or any(c in text for c in _SEPARATORS):
+        if "<|" in text or any([c in text for c in _SEPARATORS]):
             return self._whole(text)
-        return b"".join(map(self.words.__getitem__, text.split()))
+        if plain or all(map(self.known.__getitem__, set(text))):
+            return self._joined(text)
+        return b"".join([self._joined(w) if all(map(self.known.__getitem__, set(w))) else self._whole(w) for w in text.split()])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -249,3 +249,19 @@ def test_packed_ids(spark):
     ids = token_ids(rows)
     for r in got:
         assert r.ids == b"".join(i.to_bytes(4, "little") for i in ids[r.doc_id][r.start:r.start + r.length])
+
+
+def test_packing_splits_whole_texts_like_the_library(monkeypatch):
+    rng = random.Random(7)
+    pool = [*"abZ'_.,#09 \n\t  é́ÄßЖ字½²Ⅷ٣Kſ€", "'s", "'LL", "'re", "\x00", "﻿", "word", "naïve"]
+    tokens = packing.WordTokens(VOCABULARY)
+    merged = []
+    monkeypatch.setattr(tokens, "merge", lambda part, merge=tokens.merge: merged.append(part) or merge(part))
+    for _ in range(2000):
+        text = "".join(rng.choices(pool, k=rng.randint(1, 12)))
+        assert tokens(text) == tokens._whole(text), ascii(text)
+    merged.clear()
+    marks = [".", ",", "###", "!", "?", "$$$"]
+    for text in ("word".join(m * 2 for m in marks), " ".join(f"zebra{m}" for m in marks), " ".join(f"Zebra{m}" for m in marks)):
+        assert tokens(text) == tokens._whole(text)
+    assert len(merged) == len(set(merged)) and not hasattr(tokens, "words")  # parts are remembered, not words with their marks
