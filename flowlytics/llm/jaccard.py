@@ -7,14 +7,14 @@ The Jaccard distance is a metric, and a link is a distance of at most EPSILON =
    n - ceil(threshold n) + 1 of each. So the sets that share such a shingle form a region, and each link lies in one. Sizes
    and the places of the shared shingle bound the similarity of a pair from above. The order's frequencies are counted over
    all documents by counting quotient filters.
-3. Pivots connect: in each region that holds several classes, members meet a few drawn pivots, as far as the bounds let them
-   link. Classes grow by these links, so a group of near copies is one class after as many comparisons as it has members.
+3. Pivots connect: in each region that holds several classes, members meet a few pivots that have been altered least, as far
+   as the bounds let them link. Classes grow by these links, so a group of near copies is one class after as many comparisons as it has members.
 4. Regions with more than REGION_ROWS members outside of their largest class become Voronoi regions: all members' distances
    to drawn pivots are computed, each member goes to its nearest pivot p and, as d(x, q) <= d(x, p) + 2 EPSILON is all that a
    link across allows, to the pivots q of that window as well. That is repeated while regions shrink.
 5. Within the regions, members outside of the largest class meet the members of other classes: those pairs are compared
-   exactly of which at least one is at home, for which the bounds hold, and whose distances to the pivot differ by no more
-   than EPSILON.
+   exactly of which at least one is at home, for which the bounds hold, whose distances to the pivot differ by no more
+   than EPSILON, and whose signatures (parities of shingles by cells of their hash) differ in no more bits than linked sets may.
 
 No link between different classes is lost and no group is gathered: pivots, minima and classes are aggregates with partial
 groups, distances are computed per pair.
@@ -47,6 +47,7 @@ REGION_PIVOTS = 4
 SHRINKS = 0.75
 LONG = (1 << 16) - 1
 NEAR = 64
+SIGNATURE_BITS = 1024
 HOT = 20_000  # frequency above which a token's members don't meet in one block
 
 
@@ -331,9 +332,13 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
 
 
-def _drawn(now: DataFrame, number: int, salt: int) -> DataFrame:
-    """(region, pivot, plabel, pn, prest) of regions with several classes: of the members by cells of a hash, the least by another hash."""
-    picked = F.min(F.struct(F.xxhash64("rep", F.lit(salt)).alias("o"), "rep", "label", "n", "rest")).alias("p")
+def _drawn(now: DataFrame, number: int, salt: int, central: bool = False) -> DataFrame:
+    """(region, pivot, plabel, pn, prest) of regions with several classes: of the members by cells of a hash, the least by another hash.
+
+    ``central`` takes the one with the fewest shingles before the shared one: those are rarer, so it has been altered least.
+    """
+    before = F.coalesce(F.col("n") - F.col("rest"), F.lit(LONG)) if central else F.lit(0)
+    picked = F.min(F.struct(before.alias("before"), F.xxhash64("rep", F.lit(salt)).alias("o"), "rep", "label", "n", "rest")).alias("p")
     cells = now.groupBy("region", F.pmod(F.xxhash64("rep", F.lit(-salt)), F.lit(number)).alias("cell")).agg(picked, F.min("label").alias("low"), F.max("label").alias("high"))
     region = Window.partitionBy("region")
     mixed = cells.withColumns({"low": F.min("low").over(region), "high": F.max("high").over(region)}).filter("low <> high")
@@ -355,6 +360,30 @@ def _may_link(n: str, rest: str, other_n: str, other_rest: str, percent: int) ->
     return F.col(n).isNull() | F.col(other_n).isNull() | (sizes & places)
 
 
+def _signatures(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, signature) of the documents asked for: the parity of the number of shingles in each of SIGNATURE_BITS cells.
+
+    A shingle that only one of two sets holds changes one bit at most, so the bits in which signatures differ are a lower
+    bound of the sets' symmetric difference. Null where a doc_id has several sets.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raws in texts.slices(batches, "text"):
+            cells = ((s >> texts.U64(32)) % texts.U64(SIGNATURE_BITS) for s in shingle_sets(raws))
+            bits = (np.packbits(np.bincount(c.astype(np.int64), minlength=SIGNATURE_BITS) & 1) for c in cells)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([b.view(np.int64) for b in bits], pa.list_(pa.int64()))], names=["rep", "signature"])
+
+    found = docs.join(_small(reps), docs["doc_id"] == reps["rep"], "left_semi").select("doc_id", "text").mapInArrow(sign, "rep long, signature array<long>")
+    low, high = F.min("signature"), F.max("signature")
+    return materialise(found.groupBy("rep").agg(F.when(low == high, low).alias("signature")))
+
+
+def _bits_may_link(n: str, signature: str, other_n: str, other_signature: str, percent: int) -> Column:
+    """Whether the signatures let a pair link: sets that do differ in at most (100 - percent) / (100 + percent) of both sizes."""
+    differ = F.expr(f"aggregate(zip_with({signature}, {other_signature}, (p, q) -> bit_count(p ^ q)), 0, (s, b) -> s + b)")
+    return F.coalesce((100 + percent) * differ <= (100 - percent) * (F.col(n) + F.col(other_n)), F.lit(True))
+
+
 def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Distinct pairs (a > b) of two columns."""
     return rows.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
@@ -386,7 +415,7 @@ def _linked_classes(members: DataFrame, docs: DataFrame, percent: int) -> DataFr
             labels = _small(materialise(components(links).withColumnRenamed("node", "rep")))
 
     for number in PIVOTS:
-        pivots = _drawn(_labelled(members, labels), number, number)
+        pivots = _drawn(_labelled(members, labels), number, number, central=True)
         close = (F.col("label") != F.col("plabel")) & _may_link("n", "rest", "pn", "prest", percent)
         connect(_pairs(_labelled(members, labels).join(_small(pivots), "region").filter(close), "rep", "pivot"))
 
@@ -408,10 +437,14 @@ def _linked_classes(members: DataFrame, docs: DataFrame, percent: int) -> DataFr
         parts.append((whole, _mixed(_labelled(whole, labels))))
         part, salt = materialise(cells.join(stuck, "region", "left_anti").drop("parent")), salt + 1
     for part, regions in parts:
-        now = _labelled(part, labels).join(_small(regions.select("region", "major")), "region")
-        few = materialise(now.filter("label <> major").select("region", *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "rest", "d", "home", "label"))))
+        now = materialise(_labelled(part, labels).join(_small(regions.select("region", "major")), "region"))
+        if now.isEmpty():
+            continue
+        now = now.join(_signatures(docs, materialise(now.select("rep").distinct())), "rep", "left")
+        few = materialise(now.filter("label <> major").select("region", *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "rest", "d", "home", "label", "signature"))))
         meet = ((F.col("x_label") != F.col("label")) & ((F.col("label") == F.col("major")) | (F.col("x_rep") < F.col("rep"))) & (F.col("home") | F.col("x_home"))
-                & (F.abs(F.col("d") - F.col("x_d")) <= 1 - percent / 100 + 1e-9) & _may_link("n", "rest", "x_n", "x_rest", percent))
+                & (F.abs(F.col("d") - F.col("x_d")) <= 1 - percent / 100 + 1e-9) & _may_link("n", "rest", "x_n", "x_rest", percent)
+                & _bits_may_link("n", "signature", "x_n", "x_signature", percent))
         connect(_pairs(now.join(few, "region").filter(meet), "rep", "x_rep"))
     if labels is None:
         labels = members.sparkSession.createDataFrame([], "rep long, root long")

@@ -265,3 +265,49 @@ def test_packing_splits_whole_texts_like_the_library(monkeypatch):
     for text in ("word".join(m * 2 for m in marks), " ".join(f"zebra{m}" for m in marks), " ".join(f"Zebra{m}" for m in marks)):
         assert tokens(text) == tokens._whole(text)
     assert len(merged) == len(set(merged)) and not hasattr(tokens, "words")  # parts are remembered, not words with their marks
+
+
+def test_jaccard_does_not_compare_all_unlinked_variants(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for doc in range(1, 161):  # each changes some words of the same text; the more it does, the fewer of the others it links to
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([2, 3, 4, 9, 10, 11])):
+            words[at] = f"d{doc}x{at}"
+        rows.append((doc, " ".join(words)))
+    compared = []
+    pairs = jaccard._pairs
+
+    def counted(rows, x, y):
+        if y == "x_rep":
+            compared.append(rows.count())
+        return pairs(rows, x, y)
+
+    monkeypatch.setattr(jaccard, "_pairs", counted)
+    got = jaccard.near_duplicates(texts(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.jaccard(rows)
+    assert sum(compared) < 10 * len(rows), compared
+
+
+@pytest.mark.parametrize("percent", [50, 75, 90])
+def test_signatures_bound_the_similarity(spark, percent):
+    rng = random.Random(percent)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for doc in range(40):
+        words = base[:rng.randint(30, 300)]
+        for at in rng.sample(range(len(words)), rng.randint(0, 8)):
+            words[at] = f"x{rng.randint(0, 50)}"
+        rows.append((doc, " ".join(words)))
+    rows += [(40, "one two three four five six"), (40, "other words of the same doc_id here")]
+    docs = texts(spark, rows)
+    signed = jaccard._signatures(docs, spark.createDataFrame([(d,) for d in range(41)], "rep long")).collect()
+    signature = {r.rep: r.signature for r in signed}
+    assert signature.pop(40) is None and None not in signature.values()
+    sets = dict(zip((d for d, _ in rows), (set(s.tolist()) for s in jaccard.shingle_sets([t.encode() for _, t in rows]))))
+    table = spark.createDataFrame([(a, b, len(sets[a]), signature[a], len(sets[b]), signature[b]) for a in range(40) for b in range(a)],
+                                  "a long, b long, n long, s array<long>, m long, r array<long>")
+    fits = {(x.a, x.b) for x in table.filter(jaccard._bits_may_link("n", "s", "m", "r", percent)).collect()}
+    linked = {(a, b) for a in range(40) for b in range(a) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert linked and linked <= fits and len(fits) < 40 * 39 // 2
