@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from flowlytics.functions import timefeat as tf
 from flowlytics.functions import values as v
 from flowlytics.operators.quantile import (
     PROFILE_NAMES, PROFILE_PROBS, bounded_quantiles, exact_quantiles, quantile_map,
 )
-from flowlytics.operators.segments import salted_lookup, same_keys
+from flowlytics.operators.segments import SEG, Segmented, salted_lookup, same_keys, tasks_for
 from flowlytics.sources.stage import materialise
 
 
@@ -112,33 +113,93 @@ def describe(df: DataFrame, keys: Sequence[str], value: str, **cut) -> DataFrame
                        *[F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(names)], "max")
 
 
-def scopes() -> Column:
-    """The scopes a row counts in: all, and its direction."""
-    return F.array_compact(F.array(
-        F.lit("all"), F.when(F.col("direction") == 0, "purchase").when(F.col("direction") == 1, "redemption")))
-
-
-def by_scope(df: DataFrame, product: str, value: str) -> DataFrame:
-    """Counts per (product, scope, value), expanded to scopes only after counting."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(product, "direction", value).agg(
-        F.count(F.lit(1)).alias("_c"))
-    return counted.select(product, F.explode(scopes()).alias("scope"), value, "_c")
+BARS = 20
+SALTS = 16
 
 
 def amount_profile(df: DataFrame, product: str = "product_id", value: str = "amount", **cut) -> DataFrame:
     """Count, mean, std, quantiles and log quantiles per product, overall and per direction."""
-    q = exact_quantiles(
-        by_scope(df, product, value), [product, "scope"], value, PROFILE_PROBS, weight="_c", counts=("_n", "_nd"),
-        transforms={"quantiles": "CAST({} AS DOUBLE)", "log1p_quantiles": "log1p(greatest(CAST({} AS DOUBLE), 0D))"},
-        **cut)
-    rows = df.where(F.col(value).isNotNull()).select(product, "direction", value)
-    scope = (F.when(F.grouping("direction") == 1, "all")
-             .when(F.col("direction") == 0, "purchase").when(F.col("direction") == 1, "redemption"))
-    moments = rows.groupingSets([[product], [product, "direction"]], product, "direction").agg(
-        scope.alias("scope"), F.count(F.lit(1)).alias("n"), v.mean(value).alias("mean"),
-        F.stddev_samp(F.col(value).cast("double")).alias("std")).where("scope IS NOT NULL").drop("direction")
-    return same_keys(moments, q.drop("_n", "_nd"), [product, "scope"], "left").select(
-        product, "scope", "n", "mean", "std", "quantiles", "log1p_quantiles")
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).alias("_salt")
+    rows = materialise(df.where(F.col(value).isNotNull()).select(product, "direction", value, salt))
+    return amount_facts(rows, product, value, **cut).drop("bars")
+
+
+def amount_facts(rows: DataFrame, product: str, value: str, segments: int | None = None) -> DataFrame:
+    """product, scope (all, purchase, redemption), n, mean, std, quantiles, log1p_quantiles, bars (the histogram, in the scope of all).
+
+    ``rows`` is a staged table with product, direction, the value and ``_salt``. It is dealt out once, by ranges of product and
+    value, in shares of a fixed number of rows; equal values are counted and all scopes ranked side by side in these ranges. The
+    salt spreads equal values over several ranges. A row is expanded to its scopes last, on its way into the aggregates.
+    """
+    tasks = segments or tasks_for(rows)
+    dealt = rows.where(F.col(value).isNotNull()).select(product, "direction", F.col(value).alias("_v"), "_salt").repartitionByRange(
+        tasks, F.col(product).asc_nulls_first(), F.col("_v").asc_nulls_first(), F.col("_salt").asc_nulls_first())
+    counted = dealt.groupBy(product, "_v", "_salt").agg(
+        F.count(F.lit(1)).alias("_c"), F.count_if(F.col("direction") == 0).alias("_c_0"), F.count_if(F.col("direction") == 1).alias("_c_1"))
+    staged = materialise(counted.drop("_salt").withColumn(SEG, F.spark_partition_id()))
+    seg, scopes = Segmented(staged, (product,), ("_v",)), {"all": "", "purchase": "_0", "redemption": "_1"}
+    x, over = F.col("_v").cast("double"), seg.carry_window()
+    every, before = over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), over.rowsBetween(W.unboundedPreceding, -1)
+    ends = {"_hi": F.max(x)}
+    for s in scopes.values():
+        ends |= {f"_n{s}": F.sum(f"_c{s}"), f"_lo{s}": F.min(F.when(F.col(f"_c{s}") > 0, x))}
+    totals = {f"_all{c}": (F.max if c == "_hi" else F.min if c.startswith("_lo") else F.sum)(c).over(every) for c in ends}
+    seg = seg.carry(ends, totals | {f"_off{s}": F.sum(f"_n{s}").over(before) for s in scopes.values()})
+    seg = seg.map(seg.rows.repartitionByRange(tasks, SEG))
+    # both frames in one order, so that one pass makes all columns
+    upto, whole = (seg.window().rowsBetween(W.unboundedPreceding, end) for end in (0, W.unboundedFollowing))
+    ranked = seg.rows.select(
+        product, SEG, "_v", x.alias("_x"), *[f"_c{s}" for s in scopes.values()],
+        *[(F.sum(f"_c{s}").over(upto) + F.coalesce(f"_off{s}", F.lit(0))).alias(f"_cum{s}") for s in scopes.values()],
+        *[F.coalesce(f"_all{c}", e.over(whole)).alias(c) for c, e in ends.items()])
+
+    mine = F.array_compact(F.array(*[F.when(F.col(f"_c{s}") > 0, F.struct(
+        F.lit(name).alias("scope"), F.col(f"_c{s}").alias("_count"), F.col(f"_cum{s}").alias("_upto"), F.col(f"_n{s}").alias("n"), F.col(f"_lo{s}").alias("_low")))
+        for name, s in scopes.items()]))
+    edges = "CASE WHEN _lo = _hi THEN _lo - 0.5D ELSE _lo END, CASE WHEN _lo = _hi THEN _hi + 0.5D ELSE _hi END"
+    spot = F.expr(f"least(width_bucket(_x, {edges}, {BARS}), {BARS}) - 1")
+    wide = ranked.select(product, SEG, "_v", "_x", "_lo", "_hi", spot.alias("_spot"), F.explode(mine).alias("_s")).select(
+        product, SEG, "_v", "_x", "_lo", "_hi", "_s.*", F.when(F.col("_s.scope") == "all", F.col("_spot")).alias("_bar"))
+    count, off = F.col("_count"), F.col("_x") - F.col("_low")
+    facts = {c: F.max(c) for c in ("n", "_lo", "_hi")}
+    for i, p in enumerate(PROFILE_PROBS):
+        rank = rank_of(p)
+        for name, at in ((f"_at{i}", rank), *([(f"_next{i}", f"{rank} + 1")] if 0 < p < 1 else [])):
+            facts[name] = F.expr(f"max(CASE WHEN {at} >= _upto - _count AND {at} < _upto THEN _x END)")
+    sums = {"_sum": F.sum(F.col("_v") * count), "_dev": F.sum(off * count), "_sq": F.sum(off * off * count)}
+    sums |= {f"_bar{i}": F.sum(F.when(F.col("_bar") == i, count)) for i in range(BARS)}
+    # the ranges first, which needs no exchange, then the few products that span several
+    parts = wide.groupBy(SEG, product, "scope").agg(*[c.alias(n) for n, c in (facts | sums).items()])
+    one = parts.repartition(tasks, product, "scope").groupBy(product, "scope").agg(
+        *[F.max(n).alias(n) for n in facts], *[F.sum(n).alias(n) for n in sums])
+
+    # as arrays, since an expression for each point would make methods so long that the JVM doesn't compile them
+    ranks = F.arrays_zip(F.array(*[f"_at{i}" for i in range(len(PROFILE_PROBS))]).alias("at"),
+                         F.array(*[f"_next{i}" if f"_next{i}" in facts else f"_at{i}" for i in range(len(PROFILE_PROBS))]).alias("next"),
+                         F.array(*[F.expr(f"{float(p)!r}D * (n - 1) - {rank_of(p)}") for p in PROFILE_PROBS]).alias("part"))
+
+    def points(form: Callable[[Column], Column]) -> Column:
+        def point(r: Column) -> Column:
+            low, high = form(r["at"]), form(r["next"])
+            return F.when((r["part"] == 0) | (r["at"] == r["next"]), low).otherwise(low + (high - low) * r["part"])
+
+        return F.transform("_ranks", point)
+
+    # squares around the minimum, which is one of the values, lose about n parts in 2^53 at most
+    var = F.greatest(F.col("_sq") - F.col("_dev") * F.col("_dev") / F.col("n"), F.lit(0.0)) / (F.col("n") - 1)
+    flat = F.col("_lo") == F.col("_hi")
+    lo, hi = F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")), F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi"))
+    width = (hi - lo) / BARS
+    bars = F.array(*[F.struct((lo + width * i).alias("lo"), (lo + width * (i + 1)).alias("hi"), F.coalesce(f"_bar{i}", F.lit(0)).alias("n"))
+                     for i in range(BARS)])
+    return one.withColumn("_ranks", ranks).select(
+        product, "scope", "n", (F.col("_sum").cast("double") / F.col("n")).alias("mean"), F.when(F.col("n") > 1, F.sqrt(var)).alias("std"),
+        points(lambda x: x).alias("quantiles"), points(lambda x: F.log1p(F.greatest(x, F.lit(0.0)))).alias("log1p_quantiles"),
+        F.when(F.col("scope") == "all", bars).alias("bars"))
+
+
+def rank_of(p: float) -> str:
+    return f"floor({float(p)!r}D * (n - 1))"
 
 
 def day_counts(df: DataFrame, keys: Sequence[str] = ("product_id",), date: str = "date") -> DataFrame:
@@ -165,49 +226,56 @@ def product_profile(df: DataFrame, product: str = "product_id", min_count: int =
 
     ``df`` has product, ts, date, direction, status, amount. First and last day and the extreme
     quantiles are raw values; ``min_count`` drops products with fewer rows. The rows are read once and staged with these
-    columns; all counts are folded from one table by product and day.
+    columns; all counts are folded from one table by product and day. Rows are dealt out in shares of a fixed size.
     """
-    rows = materialise(df.select(product, F.date_trunc("second", "ts").alias("ts"), "date", "direction", "status", "amount"))
-    days = materialise(rows.groupBy(product, "date").agg(
+    rows = df.select(product, F.date_trunc("second", "ts").alias("ts"), "date", "direction", "status", "amount")
+    rows = materialise(rows.withColumn("_salt", F.pmod(F.xxhash64("ts", "direction", "status"), F.lit(SALTS))))
+    tasks = tasks_for(rows)
+    days = rows.repartition(tasks, product, "date").groupBy(product, "date").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.count_if(F.col("direction") == 0).alias("purchases"),
-        F.count_if(F.col("direction") == 1).alias("redemptions"), F.count_if(F.col("status") == 1).alias("done")))
-    n, month_end, quarter_end = F.col("n"), tf.is_month_end("date") == 1, tf.is_quarter_end("date") == 1
+        F.count_if(F.col("direction") == 1).alias("redemptions"), F.count_if(F.col("status") == 1).alias("done"))
+    days = days.select(
+        product, "n", "first", "last", "purchases", "redemptions", "done", F.year("date").alias("year"), F.month("date").alias("_month"),
+        tf.dow("date").alias("_dow"), (tf.is_month_end("date") == 1).alias("_me"), (tf.is_quarter_end("date") == 1).alias("_qe"))
 
     def where(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
-
-    counts = days.groupBy(product).agg(
-        F.sum("n").alias("n_records"), F.min("first").alias("first_time"), F.max("last").alias("last_time"),
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    # a product has at most one row per calendar day, so its days may meet in one task; days alike are folded first
+    alike = days.repartition(tasks, product).groupBy(product, "year", "n").agg(
+        F.count(F.lit(1)).alias("_days"), F.min("first").alias("first"), F.max("last").alias("last"),
+        *[where(F.col("_dow") == d).alias(f"_dow{d}") for d in range(7)], *[where(F.col("_month") == m).alias(f"_m{m}") for m in range(1, 13)],
+        *[x for c in ("_me", "_qe") for x in (where(F.col(c)).alias(c), F.count_if(F.col(c)).alias(f"{c}_days"))],
+        *[F.sum(c).alias(c) for c in ("purchases", "redemptions", "done")]).withColumn("_rows", F.col("n") * F.col("_days"))
+    records, by_year = F.sum("_rows"), F.collect_list(F.when(F.col("year").isNotNull(), F.struct("year", F.col("_rows").alias("n"))))
+    counts = alike.groupBy(product).agg(
+        records.alias("n_records"), F.min("first").alias("first_time"), F.max("last").alias("last_time"),
         tf.whole_days(F.unix_timestamp(F.min("first")), F.unix_timestamp(F.max("last"))).alias("days_total"),
-        *[where(tf.dow("date") == d).alias(f"_dow{d}") for d in range(7)],
-        *[where(F.month("date") == m).alias(f"_m{m}") for m in range(1, 13)],
-        (where(month_end) / F.sum("n")).alias("month_end_share"), (where(quarter_end) / F.sum("n")).alias("quarter_end_share"),
-        *[(F.sum(c) / F.sum("n")).alias(s) for c, s in (("purchases", "purchase_share"), ("redemptions", "redemption_share"), ("done", "status_share_success"))],
-        F.avg("n").alias("avg_txns_per_day"),
-        F.avg(F.when(month_end, n)).alias("avg_txns_per_month_end_day"), F.avg(F.when(quarter_end, n)).alias("avg_txns_per_quarter_end_day"),
-        quantile_map(bounded_quantiles("n", PROFILE_PROBS)).alias("daily_count_quantiles"),
+        F.create_map(*[x for d in range(7) for x in (F.lit(str(d)), F.sum(f"_dow{d}"))]).alias("txns_per_dow"),
+        F.map_filter(F.create_map(*[x for m in range(1, 13) for x in (F.lit(m), F.sum(f"_m{m}"))]), lambda k, n: n > 0).alias("txns_per_month"),
+        *[(F.sum(c) / records).alias(s) for c, s in (("_me", "month_end_share"), ("_qe", "quarter_end_share"), ("purchases", "purchase_share"),
+                                                     ("redemptions", "redemption_share"), ("done", "status_share_success"))],
+        (records / F.sum("_days")).alias("avg_txns_per_day"),
+        F.try_divide(F.sum("_me"), F.sum("_me_days")).alias("avg_txns_per_month_end_day"),
+        F.try_divide(F.sum("_qe"), F.sum("_qe_days")).alias("avg_txns_per_quarter_end_day"),
+        quantile_map(bounded_quantiles("n", PROFILE_PROBS, "_days")).alias("daily_count_quantiles"), by_year.alias("_years"),
     ).where(F.col("n_records") >= min_count)
-    counts = counts.select(
-        product, "n_records", "first_time", "last_time", "days_total",
-        F.create_map(*[x for d in range(7) for x in (F.lit(str(d)), F.col(f"_dow{d}"))]).alias("txns_per_dow"),
-        F.map_filter(F.create_map(*[x for m in range(1, 13) for x in (F.lit(m), F.col(f"_m{m}"))]),
-                     lambda k, n: n > 0).alias("txns_per_month"),
-        "month_end_share", "quarter_end_share", "purchase_share", "redemption_share", "status_share_success",
-        "avg_txns_per_day", "avg_txns_per_month_end_day", "avg_txns_per_quarter_end_day", "daily_count_quantiles")
-    by_year = days.where("date IS NOT NULL").groupBy(product, F.year("date").alias("year")).agg(F.sum("n").alias("n"))
-    years = by_year.groupBy(product).agg(F.map_from_entries(F.collect_list(F.struct("year", "n"))).alias("txns_per_year"))
-    amounts = amount_profile(rows, product, **cut).groupBy(product).agg(
-        F.map_from_entries(F.collect_list(F.struct("scope", F.struct(
-            "n", "mean", "std", quantile_map(F.col("quantiles")).alias("quantiles"),
-            quantile_map(F.col("log1p_quantiles")).alias("log1p_quantiles"))))).alias("amount"))
-    bars = histogram(rows, [product], "amount").groupBy(product).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("bin", "lo", "hi", "n"))),
-                    lambda b: F.struct(b["lo"].alias("lo"), b["hi"].alias("hi"), b["n"].alias("n"))
-                    ).alias("amount_histogram"))
-    out = counts
-    for part in (years, amounts, bars):
-        out = same_keys(out, part, [product], "left")
-    return out
+
+    def in_year(y: Column) -> Column:
+        mine = F.filter("_years", lambda e: e["year"] == y)
+        return F.struct(y.alias("year"), F.aggregate(mine, F.lit(0).cast("bigint"), lambda total, e: total + e["n"]).alias("n"))
+
+    years = F.map_from_entries(F.transform(F.array_distinct(F.col("_years.year")), in_year))
+    counts = counts.withColumn("txns_per_year", F.when(F.size("_years") > 0, years)).drop("_years")
+    amounts = amount_facts(rows, product, "amount", **cut).select(product, F.struct("scope", F.struct(
+        "n", "mean", "std", quantile_map(F.col("quantiles")).alias("quantiles"),
+        quantile_map(F.col("log1p_quantiles")).alias("log1p_quantiles")).alias("facts")).alias("_scope"), F.col("bars").alias("amount_histogram"))
+    # one exchange brings the parts of a product together
+    parts = counts.unionByName(amounts, allowMissingColumns=True).repartition(tasks, product).groupBy(product).agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in counts.columns if c != product],
+        F.collect_list("_scope").alias("_scopes"), F.first("amount_histogram", ignorenulls=True).alias("amount_histogram"))
+    scopes = F.when(F.size("_scopes") > 0, F.map_from_entries("_scopes")).alias("amount")
+    return parts.where(F.col("n_records").isNotNull()).select(*counts.columns, scopes, "amount_histogram")
 
 
 def report_lines(profile: DataFrame, product: str = "product_id") -> DataFrame:

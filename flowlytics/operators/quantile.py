@@ -97,10 +97,10 @@ def quantile_map(quantiles: Column, names: Sequence[str] = PROFILE_NAMES) -> Col
     return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), quantiles)
 
 
-def bounded_quantiles(value: str, probs: Sequence[float]) -> Column:
+def bounded_quantiles(value: str, probs: Sequence[float], weight: str | None = None) -> Column:
     """Aggregate for groups whose number of distinct values is bounded by their domain
     (days of a calendar, counts per day); wider domains take ``exact_quantiles``."""
-    return F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]))
+    return F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]), F.lit(1) if weight is None else F.col(weight))
 
 
 def fit_bins(df: DataFrame, by: Sequence[str], value: str, bins: int, *,

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from flowlytics.sources.stage import materialise
 
 SEG = "_seg"
+ROWS_OF_A_TASK = 400_000
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str],
@@ -47,6 +48,13 @@ def salted_lookup(big: DataFrame, small: DataFrame, keys: Sequence[str],
     return same_keys(salted, copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def tasks_for(staged: DataFrame) -> int:
+    """Tasks that take the rows of a staged table in shares of a fixed size, whatever the session's shuffle partitions are
+    and however well the rows compress (runs a count). Small tables get a task for each core at most."""
+    n, cores = staged.count(), staged.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-n // ROWS_OF_A_TASK), min(cores, -(-n // 10_000)))
+
+
 @dataclass(frozen=True)
 class Segmented:
     """Staged rows with ``_seg`` (0, 1, ... rising with keys and order)."""

@@ -8,8 +8,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from flowlytics.operators import cleaning, corpus, forecast as fc, joins, mapping, profile as p, quality, rollup, vocab
+from flowlytics.operators import cleaning, corpus, forecast as fc, joins, mapping, profile as p, quality, rollup, segments, vocab
 from flowlytics.operators import quantile as q
+from flowlytics.operators.quantile import PROFILE_NAMES, PROFILE_PROBS
 from flowlytics.functions import tokens
 from flowlytics.sources import readers, tables
 
@@ -104,6 +105,62 @@ def test_product_profile(spark):
     assert lines[0] == "## a" and lines[1].startswith("- records: ") and len(lines) == 9
 
 
+def shape_input(spark):
+    """Products of all shapes: many rows, one row, one value, no amounts, no key, other directions, days without a date."""
+    rng = np.random.default_rng(7)
+    rows = [("big", int(i), float(x)) for i, x in enumerate(np.round(rng.gamma(2, 100, 3000), 1))]
+    rows += [("one", 5, 7.5), *[("flat", i, 3.25) for i in range(40)], *[("none", i, None) for i in range(4)], *[(None, i, float(i % 7)) for i in range(30)]]
+    df = spark.createDataFrame(rows, "product_id string, i int, amount double")
+    return rows, df.withColumn("direction", F.when(F.col("i") % 11 != 10, F.col("i") % 4 - 1)).withColumn("status", F.col("i") % 2).withColumn(
+        "ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("i") * 40_000)).withColumn("date", F.when(F.col("i") % 13 != 0, F.to_date("ts")))
+
+
+def test_profile_in_many_ranges_equals_numpy(spark):
+    rows, df = shape_input(spark)
+    direction = {i: None if i % 11 == 10 else i % 4 - 1 for _, i, _ in rows}
+    frames = [p.product_profile(df, segments=s).select("product_id", "n_records", "txns_per_year", "amount", "amount_histogram").collect() for s in (1, 9)]
+    for found in frames:
+        assert len(found) == 5
+        for r in found:
+            mine = [(i, x) for k, i, x in rows if k == r["product_id"]]
+            assert r["n_records"] == len(mine) and sum(r["txns_per_year"].values()) == sum(i % 13 != 0 for i, _ in mine)
+            if r["product_id"] == "none":
+                assert r["amount"] is None and r["amount_histogram"] is None
+                continue
+            values = {"all": [x for _, x in mine], **{n: [x for i, x in mine if direction[i] == d] for n, d in (("purchase", 0), ("redemption", 1))}}
+            assert set(r["amount"]) == {n for n, x in values.items() if x}
+            assert [b["n"] for b in r["amount_histogram"]] == np.histogram(values["all"], bins=20)[0].tolist()
+            for name, facts in r["amount"].asDict().items() if hasattr(r["amount"], "asDict") else r["amount"].items():
+                x = np.array(values[name])
+                assert facts["n"] == len(x) and facts["mean"] == pytest.approx(x.mean())
+                assert facts["std"] is None if len(x) == 1 else facts["std"] == pytest.approx(x.std(ddof=1), abs=1e-9)
+                for i, (q, prob) in enumerate(zip(PROFILE_NAMES, PROFILE_PROBS)):
+                    assert facts["quantiles"][q] == pytest.approx(np.quantile(x, prob))
+                    assert facts["log1p_quantiles"][q] == pytest.approx(np.quantile(np.log1p(x), prob))
+
+
+def test_profile_tasks_hold_a_fixed_share_of_the_rows(spark, monkeypatch):
+    """A task's share must not grow with the table, nor shrink the count of tasks because the rows compress well."""
+    _, df = shape_input(spark)
+    monkeypatch.setattr(segments, "ROWS_OF_A_TASK", 100)
+    seen = []
+    real = p.materialise
+    monkeypatch.setattr(p, "materialise", lambda x: (seen.append(real(x)), seen[-1])[1])
+    p.product_profile(df).collect()
+    (dealt,) = [x for x in seen if segments.SEG in x.columns]
+    shares = [r["count"] for r in dealt.groupBy(segments.SEG).count().collect()]
+    assert len(shares) >= 20 and max(shares) <= 400
+
+
+def test_fourteen_digits_are_read_as_the_format_reads_them(spark):
+    texts = ["20240229235959", "20230229000000", "20241301000000", "20240131240000", "20240131236000", "20240131235960", "10000101000000", "99991231235959",
+             "20240400000000", "20240101000000.0", "19700101000000"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    plain = F.try_to_timestamp(F.trim("t").try_cast("double").try_cast("bigint").cast("string"), F.lit("yyyyMMddHHmmss"))
+    rows = cleaning.parse_time(df, "t").select("ts", plain.alias("want"), F.col("ts").eqNullSafe(plain).alias("same")).collect()
+    assert all(r["same"] for r in rows) and sum(r["ts"] is None for r in rows) == 6
+
+
 def test_profile_has_no_row_level_column(spark):
     _, df = profile_input(spark)
     assert not {"cust_id", "ts", "amount_raw"} & set(p.product_profile(df).columns)
