@@ -143,6 +143,9 @@ def privacy_profile(spark: SparkSession, paths: Sequence[str], fmt: str = "csv",
                     overrides: Mapping[str, str] | None = None, min_count: int = 0, **cut) -> tuple[DataFrame, DataFrame]:
     """Raw files to the per-product profile and its report lines; only aggregates are returned."""
     raw = readers.read_raw_files(spark, paths, fmt)
-    ledger = materialise(cleaning.canonical_ledger(raw, overrides))
-    profile = materialise(p.product_profile(ledger, min_count=min_count, **cut))
+    roles = {role: c for role, c in cleaning.detect_columns(raw.columns, overrides).items() if c}
+    cleaning.canonical_ledger(raw, roles)  # names what is missing before anything runs
+    # the files are parsed once; formats are decided and values read from the staged text
+    text = materialise(raw.select(*[F.col("`" + c.replace("`", "``") + "`") for c in dict.fromkeys(roles.values())]))
+    profile = materialise(p.product_profile(cleaning.canonical_ledger(text, roles), min_count=min_count, **cut))
     return profile, p.report_lines(profile)
