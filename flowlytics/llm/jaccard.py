@@ -447,7 +447,7 @@ def _linked_classes(members: DataFrame, docs: DataFrame, percent: int) -> DataFr
                 & _bits_may_link("n", "signature", "x_n", "x_signature", percent))
         connect(_pairs(now.join(few, "region").filter(meet), "rep", "x_rep"))
     if labels is None:
-        labels = members.sparkSession.createDataFrame([], "rep long, root long")
+        labels = members.select("rep", F.col("rep").alias("root")).limit(0)
     return labels
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlytics.llm import texts
+from flowlytics.sources.stage import materialise
 
 BLOCK = 128  # bytes; a chunk is two blocks in a row, so chunks overlap by half
 STRIDE = 2  # the filters stand at every second byte
@@ -183,11 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     known = known.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
     shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     zeros, ones = shares.get(0, 0), shares.get(1, 0)
-    picked = [known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect() for c in (0, 1)]
-    rows = [(r["doc_id"], r["label"]) for rs in picked for r in rs]
-    if not rows:
+    if not zeros + ones:
         return (ones + 1) / (ones + zeros + 2)
-    drawn = docs.sparkSession.createDataFrame(rows, known.schema)  # at most 2 x per_class rows
+    picked = [known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    drawn = materialise(picked[0].unionAll(picked[1]))  # at most 2 x per_class rows
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raws in texts.slices(batches, "text"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,7 +23,10 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Cuts Arrow batches into runs of whole rows of about ``limit`` bytes of text; a longer text comes alone."""
+    """Cuts Arrow batches into runs of whole rows of about ``limit`` bytes of text; a longer text comes alone.
+
+    After the last one the worker's free memory goes back to the system.
+    """
     for batch in batches:
         sizes = batch.column(text).cast(pa.large_binary())
         lengths = np.frombuffer(sizes.buffers()[1], np.int64, len(sizes) + 1, sizes.offset * 8)
@@ -33,6 +37,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             part = batch.slice(start, end - start)
             yield part, raw_texts(part.column(text))
             start = end
+    release()
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Spark keeps a worker for later tasks, and it counts beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def fresh_name(taken: Sequence[str], name: str) -> str:

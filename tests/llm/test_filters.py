@@ -152,6 +152,13 @@ def test_scores_cover_whole_texts_and_each_alone():
     assert np.allclose(together, alone, atol=1e-3) and together[2] != together[3]
 
 
+def test_classifier_draws_its_labels_in_spark(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "good text " * 9 if i % 2 else "BAD!! " * 9) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    monkeypatch.setattr(type(spark), "createDataFrame", None)  # rows from the driver start further Python workers
+    assert isinstance(quality.fit(docs, labels), quality.Network)
+
+
 def test_classifier_without_labels(spark):
     docs = frame(spark, [(1, "a"), (2, None), (None, "")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")

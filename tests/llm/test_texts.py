@@ -3,11 +3,15 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
+from flowlytics import session
 from flowlytics.llm import components, contamination, exact, jaccard, packing
+from flowlytics.llm import texts as operator_texts
 
 SF_DIR = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -311,3 +315,25 @@ def test_signatures_bound_the_similarity(spark, percent):
     fits = {(x.a, x.b) for x in table.filter(jaccard._bits_may_link("n", "s", "m", "r", percent)).collect()}
     linked = {(a, b) for a in range(40) for b in range(a) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
     assert linked and linked <= fits and len(fits) < 40 * 39 // 2
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    kept = spark.conf.get(session.BATCH_BYTES)
+    try:
+        spark.conf.unset(session.BATCH_BYTES)
+        session.ship_library(spark)
+        rows = spark.range(0, 120, 1, 1).select("id", F.expr("repeat('word ', 20000)").alias("text")).unionAll(spark.range(1).selectExpr("id", "repeat('x', 6000000)"))
+        sizes = rows.coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "size": [b.nbytes]}) for b in batches), "rows long, size long").collect()
+        assert sum(r.rows for r in sizes) == 121
+        assert all(r["size"] <= session.MOST_BATCH_BYTES + 200_000 for r in sizes if r["size"] < 6_000_000) and max(r["size"] for r in sizes) < 11_000_000
+        spark.conf.set(session.BATCH_BYTES, "1m")
+        assert session.ship_library(spark).conf.get(session.BATCH_BYTES) == "1m"  # a smaller bound stays
+    finally:
+        spark.conf.set(session.BATCH_BYTES, kept)
+
+
+def test_free_memory_is_given_back_after_the_last_text(monkeypatch):
+    called = []
+    monkeypatch.setattr(operator_texts, "release", lambda: called.append(True))
+    batches = [pa.RecordBatch.from_pydict({"text": ["a b", None]})]
+    assert [raws for _, raws in operator_texts.slices(iter(batches), "text")] == [[b"a b", b""]] and called == [True]
