@@ -8,22 +8,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlytics.operators.segments import salted_lookup
+from flowlytics.sources.stage import discard, materialise
 
 
 def join_dims(fact: DataFrame, product: DataFrame, customer: DataFrame, *,
               product_key: str = "product_id", customer_key: str = "cust_id_hash",
-              salts: int = 0) -> DataFrame:
+              salts: int = 0, staged: bool = False, codec: str | None = None) -> DataFrame:
     """fact with product and customer attributes (left joins).
 
     Without hints, a dimension under the broadcast threshold is broadcast and a larger one is
-    shuffled, with AQE splitting skewed keys. ``salts`` spreads hot keys in advance.
+    shuffled, with AQE splitting skewed keys. ``salts`` spreads hot keys in advance. ``staged`` writes rows that have come
+    through one shuffle before they go into another, so that the disk never holds two shuffles of the fact (runs a job for each).
     """
-    out = fact
+    out, before = fact, None
     for dim, key in ((product, product_key), (customer, customer_key)):
-        out = salted_lookup(out, dim, [key], "left", salts) if salts else out.join(dim, key, "left")
+        def joined(rows: DataFrame) -> DataFrame:
+            return salted_lookup(rows, dim, [key], "left", salts) if salts else rows.join(dim, key, "left")
+
+        if staged and _shuffles(out) and _shuffles(joined(out)) > _shuffles(out) + _shuffles(dim):
+            out = materialise(out, codec)
+            if before is not None:
+                discard(before)
+            before = out
+        out = joined(out)
     return out
 
 
+def _shuffles(df: DataFrame) -> int:
+    """Shuffles that the plan of the frame has before anything of it runs."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
 def repeated_keys(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Dimension keys that occur more than once and would fan the fact rows out."""
     return dim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,12 +51,14 @@ def failure_mean(df: DataFrame, keys: Sequence[str] = ("product_id", "date")) ->
 
 
 def daily_context(df: DataFrame, order: Sequence[str] = ("txn_ts",), balance: str = "aum_after",
-                  horizons: Sequence[int] = HORIZONS, calendar: bool = False) -> DataFrame:
+                  horizons: Sequence[int] = HORIZONS, calendar: bool = False,
+                  between: Callable[[DataFrame], DataFrame] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Product x day: flows of successful rows, closing balance, period ends, lagged failure rate
     and labels.
 
     Flows, balance and failure rate come from one aggregation over all statuses; a day on which
-    nothing succeeded feeds the failure rate of the following days and is then left out.
+    nothing succeeded feeds the failure rate of the following days and is then left out. ``between`` may stage the days of that
+    aggregation or deal them out before the windows over a product; ``keep`` names columns that it adds.
     """
     ok = F.col("status") == 1
     day = df.groupBy("product_id", "date").agg(
@@ -66,13 +68,15 @@ def daily_context(df: DataFrame, order: Sequence[str] = ("txn_ts",), balance: st
         v.share(F.col("status") == 0).alias("_fail"),
         F.count_if(ok).alias("_ok"),
     )
+    if between:
+        day = between(day)
     day = lagged_mean(day, ["product_id"], "date", "_fail", 7, "fail_rate_7d").where("_ok > 0")
     day = day.select(
         "product_id", "date", "purchase_amt", "redemption_amt",
         (F.col("purchase_amt") - F.col("redemption_amt")).alias("net_amt"), "aum_eod",
         tf.is_month_end("date").alias("is_month_end"),
         tf.is_quarter_end("date").alias("is_quarter_end"),
-        "fail_rate_7d", F.lit(0.0).alias("yield_rate"),
+        "fail_rate_7d", F.lit(0.0).alias("yield_rate"), *keep,
     )
     return lead_labels(day, ["product_id"], "date",
                        {"purchase_amt": "label_purchase", "redemption_amt": "label_redemption"},

@@ -98,12 +98,18 @@ class Segmented:
         return self.map(same_keys(self.rows, table, [*self.keys, SEG], "left"))
 
 
-def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, segments: int | None = None) -> Segmented:
+def dealt_out(df: DataFrame, columns: Sequence[str], segments: int | None = None) -> DataFrame:
+    """Rows dealt out by ranges of the columns, not staged yet, with the number of their range. Where the columns are keys, a
+    window over them needs no other exchange, and each key lies in one range whole."""
+    ranged = df.repartitionByRange(*([segments] if segments else []), *[F.col(c).asc_nulls_first() for c in columns])
+    return ranged.withColumn(SEG, F.spark_partition_id())
+
+
+def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, segments: int | None = None,
+              codec: str | None = None) -> Segmented:
     """Rows dealt out by ranges of (keys, order) and staged with their segment (runs jobs for the ranges and the table).
 
     ``order`` should identify a row within its key; rows that are equal in keys and order stay together. ``segments`` sets the
-    number of ranges; by default the session does.
+    number of ranges; by default the session does. ``codec`` is that of ``materialise``.
     """
-    columns = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
-    ranged = df.repartitionByRange(*([segments] if segments else []), *columns)
-    return Segmented(materialise(ranged.withColumn(SEG, F.spark_partition_id())), tuple(keys), tuple(order))
+    return Segmented(materialise(dealt_out(df, [*keys, *order], segments), codec), tuple(keys), tuple(order))

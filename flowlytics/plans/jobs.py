@@ -13,11 +13,14 @@ from flowlytics.functions import values as v
 from flowlytics.operators import (
     cleaning, corpus, forecast as fc, joins, profile as p, quality, quantile as q, rollup, series, split,
 )
+from flowlytics.operators.segments import SEG, Segmented, dealt_out, segmented
 from flowlytics.sources import readers
-from flowlytics.sources.stage import materialise
+from flowlytics.sources.stage import discard, materialise, settled
 
 HORIZONS = (1, 7, 30)
 AMOUNT_BINS, GAP_BINS, MIN_PURCHASE_BINS = 16, 8, 4
+# whole ledgers are staged in a form that takes less disk than the session's
+CODEC = "zstd"
 
 
 @dataclass
@@ -44,50 +47,80 @@ def training_tables(fact: DataFrame, product: DataFrame, customer: DataFrame, *,
     """Ledger with its dimensions to split, bucketed rows and labelled days.
 
     ``fact`` has txn_id, cust_id_hash, product_id, txn_ts, txn_type, txn_status, amount, aum_after.
-    Buckets are fitted on the train rows only. The cleaned and joined ledger is staged once; every
-    later step reads that. Misses and dropped rows are counted by that write as it passes them. ``mask_labels`` drops labels that reach into another split.
+    Buckets are fitted on the train rows only. The cleaned and joined ledger is staged once, and misses and dropped rows are
+    counted by that write as it passes them. Row number and gap come from one range partitioning of it; every later step reads
+    its rows. The disk holds one shuffle of the ledger at a time, the table that it comes from and the one that it goes to:
+    earlier tables are deleted. Calendar features and logs are made after the shuffles. ``mask_labels`` drops labels that reach
+    into another split.
     """
-    tie = list(tie)
-    joined = joins.join_dims(fact, joins.require_unique(product, ["product_id"]),
-                             joins.require_unique(customer, ["cust_id_hash"]))
-    named = cleaning.canonicalise(cleaning.drop_columns(joined), {"txn_type": "direction", "txn_status": "status"})
+    tie, pair = list(tie), ["cust_id_hash", "product_id"]
     seen = Observation()
-    named = named.observe(seen, *joins.miss_facts(["product_type", "cust_type"]), *cleaning.dropped_facts())
-    clean = materialise(cleaning.clean_basic(named).drop("date"))
+
+    def cleaned() -> DataFrame:
+        joined = joins.join_dims(fact, joins.require_unique(product, ["product_id"]),
+                                 joins.require_unique(customer, ["cust_id_hash"]), staged=True, codec=CODEC)
+        named = cleaning.canonicalise(cleaning.drop_columns(joined), {"txn_type": "direction", "txn_status": "status"})
+        named = named.observe(seen, *joins.miss_facts(["product_type", "cust_type"]), *cleaning.dropped_facts())
+        return cleaning.clean_basic(named).drop("date")
+
+    clean = settled(cleaned, CODEC)
     spark, facts = clean.sparkSession, seen.get
     misses = joins.with_ratio(spark.createDataFrame([(facts["n_rows"], facts["n_missed"])], "n_rows long, n_missed long"))
     dropped = spark.createDataFrame([(facts["kept"], facts["dropped"])], "kept long, dropped long")
-    timed = series.time_gap(tf.time_features(clean), ["cust_id_hash", "product_id"], "txn_ts", tie, **cut)
-    timed = timed.withColumns({"amount_log1p": v.log_amount("amount"), "_gap": v.log_amount("dt_prev_sec")})
-    rows = materialise(timed)
+    seg = segmented(clean, pair, ["txn_ts", *tie], codec=CODEC, **cut)
+    discard(clean)
+
+    def numbered() -> DataFrame:
+        whole = seg.whole(seg.rows)
+        rows = cleaning.dense_row_id(seg.rows, whole.order, seg=whole)
+        rows = series.time_gap(rows, pair, "txn_ts", tie, seg=seg)
+        return tf.time_features(rows.drop(SEG))
+
+    timed = settled(numbered, CODEC)
+    discard(seg.rows)
+    own = [c for c in timed.columns if c not in ("__row_id__", "dt_prev_sec")]
+    rows = timed.select(*own, "dt_prev_sec", "__row_id__").withColumns(
+        {"amount_log1p": v.log_amount("amount"), "_gap": v.log_amount("dt_prev_sec")})
 
     bounds = split.split_bounds(rows, train, val, gap_days)
     rows = split.require_nonempty(split.assign_split(rows, bounds))
     if "min_purchase" in rows.columns:
         rows = rows.withColumn("_floor", v.log_amount("min_purchase"))
-        floor_edges = q.fit_bins(rows, [], "_floor", MIN_PURCHASE_BINS, **cut)
-        rows = q.apply_bins(rows, floor_edges, [], "_floor", MIN_PURCHASE_BINS, "min_purchase_bin", missing=0).drop("_floor")
+        floor_edges = settled(lambda: q.fit_bins(rows, [], "_floor", MIN_PURCHASE_BINS, **cut))
+        binned = q.apply_bins(rows, floor_edges, [], "_floor", MIN_PURCHASE_BINS, "min_purchase_bin", missing=0).drop("_floor")
     else:
-        rows = rows.withColumn("min_purchase_bin", F.lit(0))
+        binned = rows.withColumn("min_purchase_bin", F.lit(0))
     fit_on = rows.where("split = 'train'")
-    amount_edges = materialise(q.fit_bins(fit_on, ["direction"], "amount_log1p", AMOUNT_BINS, **cut))
-    gap_edges = q.fit_bins(fit_on, [], "_gap", GAP_BINS, **cut)
-    state = materialise(readers.edge_state(amount_edges, "amount", AMOUNT_BINS, "direction").unionByName(
-        readers.edge_state(gap_edges, "gap", GAP_BINS)))
-    rows = q.apply_bins(rows, readers.edges_for(state, "amount", "direction"), ["direction"], "amount_log1p",
-                        AMOUNT_BINS, codes=q.DIRECTIONS)
-    rows = q.apply_bins(rows, readers.edges_for(state, "gap"), [], "_gap", GAP_BINS, "dt_bin").drop("_gap")
-    txns = cleaning.dense_row_id(rows, ["cust_id_hash", "product_id", "txn_ts", *tie], **cut)
-
-    daily = rollup.daily_context(rows, ["txn_ts", *tie], horizons=HORIZONS)
-    daily = split.assign_split(daily, bounds)
+    amount_edges = settled(lambda: q.fit_bins(fit_on, ["direction"], "amount_log1p", AMOUNT_BINS, **cut))
+
+    def edges() -> DataFrame:
+        gap_edges = q.fit_bins(fit_on, [], "_gap", GAP_BINS, **cut)
+        return readers.edge_state(amount_edges, "amount", AMOUNT_BINS, "direction").unionByName(
+            readers.edge_state(gap_edges, "gap", GAP_BINS))
+
+    state = settled(edges)
+    binned = q.apply_bins(binned, readers.edges_for(state, "amount", "direction"), ["direction"], "amount_log1p",
+                          AMOUNT_BINS, codes=q.DIRECTIONS)
+    rows = q.apply_bins(binned, readers.edges_for(state, "gap"), [], "_gap", GAP_BINS, "dt_bin").drop("_gap")
+    txns = rows.select(*[c for c in rows.columns if c != "__row_id__"], "__row_id__")
+
     labels = [f"label_{k}_{h}d" for k in ("purchase", "redemption") for h in HORIZONS]
-    if mask_labels:
-        plain = daily.drop(*labels)
-        daily = series.lead_labels(plain, ["product_id"], "date",
-                                   {"purchase_amt": "label_purchase", "redemption_amt": "label_redemption"},
-                                   HORIZONS, within="split")
-    daily = cleaning.dense_row_id(daily, ["product_id", "date"], **cut)
+
+    def labelled() -> DataFrame:
+        # whole products are dealt out, so that the windows over a product and the segments need one shuffle of the days
+        days = rollup.daily_context(
+            rows, ["txn_ts", *tie], horizons=HORIZONS, keep=[SEG],
+            between=lambda day: dealt_out(materialise(day, CODEC), ["product_id"], **cut))
+        days = split.assign_split(days, bounds)
+        if mask_labels:
+            days = series.lead_labels(days.drop(*labels), ["product_id"], "date",
+                                      {"purchase_amt": "label_purchase", "redemption_amt": "label_redemption"},
+                                      HORIZONS, within="split")
+        return days
+
+    daily = settled(labelled, CODEC)
+    order = ["product_id", "date"]
+    daily = cleaning.dense_row_id(daily, order, seg=Segmented(daily, (), tuple(order))).drop(SEG)
     gates = quality.gates(rows, daily, labels[:3], **cut).unionByName(quality.bin_rows(amount_edges, AMOUNT_BINS, (0, 1)))
     return TrainingTables(txns, daily, bounds, state, gates, misses, dropped)
 

@@ -1,12 +1,17 @@
 """The end-to-end jobs on small ledgers."""
 
+import time
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from flowlytics.operators import joins, segments
 from flowlytics.plans import jobs
-from flowlytics.sources import readers
+from flowlytics.sources import readers, stage
 
 
 @pytest.fixture(scope="module")
@@ -126,3 +131,92 @@ def test_bucketed_tables_are_read_without_an_exchange(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
         spark.sql("DROP TABLE IF EXISTS days_by_product")
+
+
+def staged_folders(spark):
+    return {p.name: p for p in Path(stage.shared_folder(spark).removeprefix("file:")).glob("stage-*")}
+
+
+def shuffle_files(spark):
+    names = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",")
+    return {f for f in names.split(",") if "/shuffle_" in f}
+
+
+def test_the_training_job_leaves_one_copy_of_the_ledger(spark, tables):
+    fact, frames = tables
+    before, kept = staged_folders(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large dimensions
+    try:
+        out = jobs.training_tables(*frames)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    left = [p for name, p in staged_folders(spark).items() if name not in before]
+    ledgers = [p for p in left if "txn_id" in spark.read.parquet(str(p)).columns]
+    days = [p for p in left if {"purchase_amt", "date"} <= set(spark.read.parquet(str(p)).columns)]
+    assert len(ledgers) == 1 and len(days) == 1
+    assert out.txns.count() == len(fact) - 5 and out.gates.count() == 12
+
+
+def test_training_tables_with_null_and_repeated_rows(spark, tables):
+    fact, (_, product, customer) = tables
+    odd = pd.concat([fact.iloc[5:400], fact.iloc[5:105]])  # rows that come twice
+    odd["cust_id_hash"] = [None if i % 7 == 0 else c for i, c in enumerate(odd.cust_id_hash)]
+    schema = "txn_id string, cust_id_hash string, product_id string, txn_ts long, txn_type long, txn_status long, amount double, aum_after double"
+    out = jobs.training_tables(spark.createDataFrame(list(odd.itertuples(index=False, name=None)), schema), product, customer, segments=3)
+    txns = out.txns.toPandas().sort_values("__row_id__")
+    order = ["cust_id_hash", "product_id", "txn_ts", "txn_id"]
+    assert list(txns["__row_id__"]) == list(range(len(odd)))
+    want = odd.sort_values(order, na_position="first")
+    assert txns[order].fillna("").values.tolist() == want[order].fillna("").values.tolist()
+    gap = want.groupby(["cust_id_hash", "product_id"], dropna=False).txn_ts.diff().fillna(0).clip(0, 2592000).astype(int)
+    assert list(txns.dt_prev_sec) == list(gap)
+    assert list(txns.columns)[-7:] == ["dt_prev_sec", "amount_log1p", "split", "min_purchase_bin", "amount_bin", "dt_bin", "__row_id__"]
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    before = shuffle_files(spark)
+    rows = stage.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < until:  # they are removed beside the next steps
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert rows.count() == 7 and spark.conf.get(stage.CLEANUP) == "false"
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    before, kept = staged_folders(spark), []
+
+    def inner():
+        first = stage.materialise(spark.range(10))
+        kept.append(stage.settled(lambda: stage.materialise(first.where("id > 2")).where("id > 5")))
+        return kept[0].unionByName(first)
+
+    rows = stage.settled(inner, "zstd")
+    assert len(set(staged_folders(spark)) - set(before)) == 1 and rows.count() == 14
+    stage.discard(rows)
+    assert set(staged_folders(spark)) == set(before)
+
+
+def test_shuffles_of_the_fact_are_staged_between(spark, tables):
+    _, (fact, product, customer) = tables
+    small = [F.broadcast(product), F.broadcast(customer)]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = joins.join_dims(fact, product, customer)
+        for dims, shuffles in (([product, customer], 2), (small, 0)):
+            staged = joins.join_dims(fact, *dims, staged=True)
+            assert joins._shuffles(staged) == shuffles  # fact and dimension, of one join
+            assert staged.columns == plain.columns and staged.exceptAll(plain).isEmpty() and plain.exceptAll(staged).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_windows_over_dealt_out_keys_need_no_other_exchange(spark):
+    rows = segments.dealt_out(spark.range(100).select((F.col("id") % 9).alias("k"), "id"), ["k"], 4)
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("id")))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "hashpartitioning" not in plan
+    per = rows.groupBy("k").agg(F.count_distinct(segments.SEG).alias("s"), F.max("n").alias("n")).collect()
+    assert all(r["s"] == 1 and r["n"] in (11, 12) for r in per)
+    assert [r[segments.SEG] for r in rows.orderBy("k").collect()] == sorted(r[segments.SEG] for r in rows.collect())
