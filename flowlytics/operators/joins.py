@@ -7,31 +7,46 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlytics.operators.segments import salted_lookup
+from flowlytics.operators.segments import salted_lookup, sliced, slices_for
 from flowlytics.sources.stage import discard, materialise
 
 
 def join_dims(fact: DataFrame, product: DataFrame, customer: DataFrame, *,
               product_key: str = "product_id", customer_key: str = "cust_id_hash",
-              salts: int = 0, staged: bool = False, codec: str | None = None) -> DataFrame:
+              salts: int = 0) -> DataFrame:
     """fact with product and customer attributes (left joins).
 
     Without hints, a dimension under the broadcast threshold is broadcast and a larger one is
-    shuffled, with AQE splitting skewed keys. ``salts`` spreads hot keys in advance. ``staged`` writes rows that have come
-    through one shuffle before they go into another, so that the disk never holds two shuffles of the fact (runs a job for each).
+    shuffled, with AQE splitting skewed keys. ``salts`` spreads hot keys in advance.
     """
-    out, before = fact, None
+    out = fact
     for dim, key in ((product, product_key), (customer, customer_key)):
-        def joined(rows: DataFrame) -> DataFrame:
-            return salted_lookup(rows, dim, [key], "left", salts) if salts else rows.join(dim, key, "left")
+        out = _with_dim(out, dim, key, salts)
+    return out
+
+
+def _with_dim(fact: DataFrame, dim: DataFrame, key: str, salts: int) -> DataFrame:
+    return salted_lookup(fact, dim, [key], "left", salts) if salts else fact.join(dim, key, "left")
+
 
-        if staged and _shuffles(out) and _shuffles(joined(out)) > _shuffles(out) + _shuffles(dim):
-            out = materialise(out, codec)
+def join_dims_staged(fact: DataFrame, product: DataFrame, customer: DataFrame, *,
+                     product_key: str = "product_id", customer_key: str = "cust_id_hash",
+                     salts: int = 0, codec: str | None = None) -> list[DataFrame]:
+    """The rows of ``join_dims`` in parts that are to be written one after another (runs a job for each table it stages).
+
+    Rows that have come through one shuffle are staged before they go into another, and go there in slices of a fixed number
+    of rows, so that the disk never holds more than that of the shuffled fact.
+    """
+    parts, before = [fact], None
+    for dim, key in ((product, product_key), (customer, customer_key)):
+        passed = _shuffles(parts[0])
+        if passed and _shuffles(_with_dim(parts[0], dim, key, salts)) > passed + _shuffles(dim):
+            table = materialise(parts, codec)
             if before is not None:
                 discard(before)
-            before = out
-        out = joined(out)
-    return out
+            parts, before = sliced(table, [key], slices_for(table)), table
+        parts = [_with_dim(part, dim, key, salts) for part in parts]
+    return parts
 
 
 def _shuffles(df: DataFrame) -> int:

@@ -23,6 +23,8 @@ from flowlytics.sources.stage import materialise
 
 SEG = "_seg"
 ROWS_OF_A_TASK = 400_000
+ROWS_OF_A_SHUFFLE = 150_000_000
+SEGMENTS_OF_A_SLICE = 1 << 20
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str],
@@ -55,21 +57,50 @@ def tasks_for(staged: DataFrame) -> int:
     return max(1, -(-n // ROWS_OF_A_TASK), min(cores, -(-n // 10_000)))
 
 
+def slices_for(staged: DataFrame) -> int:
+    """Slices of a staged table of which each goes through a shuffle by itself, so that the disk holds a shuffle of a fixed
+    number of rows, however many there are (runs a count)."""
+    return max(1, -(-staged.count() // ROWS_OF_A_SHUFFLE))
+
+
+def sliced(df: DataFrame, keys: Sequence[str], slices: int) -> list[DataFrame]:
+    """The rows in slices by a hash of the keys; rows of equal keys share one."""
+    number = F.pmod(F.xxhash64(*keys), F.lit(slices))
+    return [df.where(number == i) for i in range(slices)] if slices > 1 else [df]
+
+
+def _ranges(df: DataFrame, key: str, slices: int) -> list[DataFrame]:
+    """The rows in slices of rising values of the key, nulls in the first. The values at which a slice ends come from some
+    thousand rows; they move rows between slices and nothing else."""
+    if slices == 1:
+        return [df]
+    some = df.select(key).where(F.col(key).isNotNull()).sample(min(1.0, 20_000 / max(df.count(), 1)), seed=1).sort(key).collect()
+    ends = [some[len(some) * i // slices][0] for i in range(1, slices)] if some else []
+    number = sum((F.when(F.col(key) > F.lit(end), 1).otherwise(0) for end in ends), F.lit(0))
+    return [df.where(number == i) for i in range(slices)]
+
+
 @dataclass(frozen=True)
 class Segmented:
-    """Staged rows with ``_seg`` (0, 1, ... rising with keys and order)."""
+    """Staged rows with ``_seg`` (rising with keys and order)."""
 
     rows: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
+    slices: int = 1
 
     def map(self, rows: DataFrame) -> Segmented:
         """The same segments with other columns beside."""
-        return Segmented(rows, self.keys, self.order)
+        return Segmented(rows, self.keys, self.order, self.slices)
 
     def whole(self, rows: DataFrame) -> Segmented:
         """The same segments as parts of one series of all keys, in the order of keys and order."""
-        return Segmented(rows, (), (*self.keys, *self.order))
+        return Segmented(rows, (), (*self.keys, *self.order), self.slices)
+
+    def parts(self) -> list[DataFrame]:
+        """The rows by the slices in which they were dealt out; the files of other slices are skipped by their statistics."""
+        first = [i * SEGMENTS_OF_A_SLICE for i in range(self.slices + 1)]
+        return [self.rows.where((F.col(SEG) >= lo) & (F.col(SEG) < hi)) for lo, hi in zip(first, first[1:])]
 
     def window(self, ordered: bool = True):
         w = Window.partitionBy(SEG, *self.keys)  # in this order rows sorted by a window over whole segments need no other sort
@@ -106,10 +137,14 @@ def dealt_out(df: DataFrame, columns: Sequence[str], segments: int | None = None
 
 
 def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, segments: int | None = None,
-              codec: str | None = None) -> Segmented:
+              codec: str | None = None, slices: int = 1) -> Segmented:
     """Rows dealt out by ranges of (keys, order) and staged with their segment (runs jobs for the ranges and the table).
 
     ``order`` should identify a row within its key; rows that are equal in keys and order stay together. ``segments`` sets the
-    number of ranges; by default the session does. ``codec`` is that of ``materialise``.
+    number of ranges; by default the session does. ``codec`` is that of ``materialise``. ``slices`` of the first column are dealt
+    out one after another, each into segments of its own.
     """
-    return Segmented(materialise(dealt_out(df, [*keys, *order], segments), codec), tuple(keys), tuple(order))
+    columns = [*keys, *order]
+    parts = [dealt_out(part, columns, segments).withColumn(SEG, F.col(SEG) + i * SEGMENTS_OF_A_SLICE) if i else dealt_out(part, columns, segments)
+             for i, part in enumerate(_ranges(df, columns[0], slices))]
+    return Segmented(materialise(parts, codec), tuple(keys), tuple(order), slices)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -13,7 +13,7 @@ from flowlytics.functions import values as v
 from flowlytics.operators import (
     cleaning, corpus, forecast as fc, joins, profile as p, quality, quantile as q, rollup, series, split,
 )
-from flowlytics.operators.segments import SEG, Segmented, dealt_out, segmented
+from flowlytics.operators.segments import SEG, Segmented, dealt_out, segmented, sliced, slices_for
 from flowlytics.sources import readers
 from flowlytics.sources.stage import discard, materialise, settled
 
@@ -49,36 +49,38 @@ def training_tables(fact: DataFrame, product: DataFrame, customer: DataFrame, *,
     ``fact`` has txn_id, cust_id_hash, product_id, txn_ts, txn_type, txn_status, amount, aum_after.
     Buckets are fitted on the train rows only. The cleaned and joined ledger is staged once, and misses and dropped rows are
     counted by that write as it passes them. Row number and gap come from one range partitioning of it; every later step reads
-    its rows. The disk holds one shuffle of the ledger at a time, the table that it comes from and the one that it goes to:
-    earlier tables are deleted. Calendar features and logs are made after the shuffles. ``mask_labels`` drops labels that reach
+    its rows. The disk holds one shuffle of the ledger at a time, or of a slice of it where it is long, the table that it
+    comes from and the one that it goes to: earlier tables are deleted. Calendar features and logs are made after the shuffles. ``mask_labels`` drops labels that reach
     into another split.
     """
     tie, pair = list(tie), ["cust_id_hash", "product_id"]
-    seen = Observation()
-
-    def cleaned() -> DataFrame:
-        joined = joins.join_dims(fact, joins.require_unique(product, ["product_id"]),
-                                 joins.require_unique(customer, ["cust_id_hash"]), staged=True, codec=CODEC)
-        named = cleaning.canonicalise(cleaning.drop_columns(joined), {"txn_type": "direction", "txn_status": "status"})
-        named = named.observe(seen, *joins.miss_facts(["product_type", "cust_type"]), *cleaning.dropped_facts())
-        return cleaning.clean_basic(named).drop("date")
-
-    clean = settled(cleaned, CODEC)
-    spark, facts = clean.sparkSession, seen.get
+    seen: list[Observation] = []
+
+    def cleaned() -> Iterator[DataFrame]:
+        for joined in joins.join_dims_staged(fact, joins.require_unique(product, ["product_id"]),
+                                             joins.require_unique(customer, ["cust_id_hash"]), codec=CODEC):
+            named = cleaning.canonicalise(cleaning.drop_columns(joined), {"txn_type": "direction", "txn_status": "status"})
+            seen.append(Observation())
+            named = named.observe(seen[-1], *joins.miss_facts(["product_type", "cust_type"]), *cleaning.dropped_facts())
+            yield cleaning.clean_basic(named).drop("date")
+
+    clean = settled(lambda: list(cleaned()), CODEC)
+    spark, slices = clean.sparkSession, slices_for(clean)
+    facts = {name: sum(part.get[name] for part in seen) for name in seen[0].get}
     misses = joins.with_ratio(spark.createDataFrame([(facts["n_rows"], facts["n_missed"])], "n_rows long, n_missed long"))
     dropped = spark.createDataFrame([(facts["kept"], facts["dropped"])], "kept long, dropped long")
-    seg = segmented(clean, pair, ["txn_ts", *tie], codec=CODEC, **cut)
+    seg = segmented(clean, pair, ["txn_ts", *tie], codec=CODEC, slices=slices, **cut)
     discard(clean)
 
-    def numbered() -> DataFrame:
+    def numbered() -> list[DataFrame]:
         whole = seg.whole(seg.rows)
         rows = cleaning.dense_row_id(seg.rows, whole.order, seg=whole)
         rows = series.time_gap(rows, pair, "txn_ts", tie, seg=seg)
-        return tf.time_features(rows.drop(SEG))
+        return seg.map(tf.time_features(rows)).parts()
 
     timed = settled(numbered, CODEC)
     discard(seg.rows)
-    own = [c for c in timed.columns if c not in ("__row_id__", "dt_prev_sec")]
+    own = [c for c in timed.columns if c not in (SEG, "__row_id__", "dt_prev_sec")]
     rows = timed.select(*own, "dt_prev_sec", "__row_id__").withColumns(
         {"amount_log1p": v.log_amount("amount"), "_gap": v.log_amount("dt_prev_sec")})
 
@@ -110,7 +112,7 @@ def training_tables(fact: DataFrame, product: DataFrame, customer: DataFrame, *,
         # whole products are dealt out, so that the windows over a product and the segments need one shuffle of the days
         days = rollup.daily_context(
             rows, ["txn_ts", *tie], horizons=HORIZONS, keep=[SEG],
-            between=lambda day: dealt_out(materialise(day, CODEC), ["product_id"], **cut))
+            between=lambda day: dealt_out(materialise(sliced(day, ["product_id"], slices), CODEC), ["product_id"], **cut))
         days = split.assign_split(days, bounds)
         if mask_labels:
             days = series.lead_labels(days.drop(*labels), ["product_id"], "date",

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 from weakref import WeakKeyDictionary
@@ -65,13 +65,18 @@ def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, kept)
 
 
-def materialise(df: DataFrame, codec: str | None = None) -> DataFrame:
-    """Writes the frame once and returns the reader of it (runs a job). ``codec`` is one of Parquet's, by default the session's."""
-    spark = df.sparkSession
+def materialise(df: DataFrame | Sequence[DataFrame], codec: str | None = None) -> DataFrame:
+    """Writes the frame once and returns the reader of it (runs a job). ``codec`` is one of Parquet's, by default the session's.
+
+    Several frames of one schema are written one after another to one table, so the disk holds the shuffle files of one.
+    """
+    parts = [df] if isinstance(df, DataFrame) else list(df)
+    spark = parts[0].sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    with _shuffles_removed(spark):
-        df.write.options(**({"compression": codec} if codec else {})).parquet(path)
-    staged = spark.read.schema(df.schema).parquet(path)
+    for part in parts:
+        with _shuffles_removed(spark):
+            part.write.mode("append").options(**({"compression": codec} if codec else {})).parquet(path)
+    staged = spark.read.schema(parts[0].schema).parquet(path)
     _paths[staged] = path
     if (tables := _on_the_way.get()) is not None:
         tables.append(path)
@@ -89,8 +94,8 @@ def discard(staged: DataFrame) -> None:
     _delete(staged.sparkSession, [_paths.pop(staged)])
 
 
-def settled(make: Callable[[], DataFrame], codec: str | None = None) -> DataFrame:
-    """The staged result of ``make``; the tables that it staged on the way are deleted (runs its jobs)."""
+def settled(make: Callable[[], DataFrame | Sequence[DataFrame]], codec: str | None = None) -> DataFrame:
+    """The staged result of ``make``, as ``materialise`` writes it; the tables that it staged on the way are deleted (runs its jobs)."""
     outer = _on_the_way.get()
     token = _on_the_way.set([])
     try:

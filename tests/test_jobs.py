@@ -157,7 +157,9 @@ def test_the_training_job_leaves_one_copy_of_the_ledger(spark, tables):
     assert out.txns.count() == len(fact) - 5 and out.gates.count() == 12
 
 
-def test_training_tables_with_null_and_repeated_rows(spark, tables):
+@pytest.mark.parametrize("rows", [10 ** 8, 150])
+def test_training_tables_with_null_and_repeated_rows(spark, tables, monkeypatch, rows):
+    monkeypatch.setattr(segments, "ROWS_OF_A_SHUFFLE", rows)  # one shuffle of all rows, or one for each of several slices
     fact, (_, product, customer) = tables
     odd = pd.concat([fact.iloc[5:400], fact.iloc[5:105]])  # rows that come twice
     odd["cust_id_hash"] = [None if i % 7 == 0 else c for i, c in enumerate(odd.cust_id_hash)]
@@ -166,6 +168,10 @@ def test_training_tables_with_null_and_repeated_rows(spark, tables):
     txns = out.txns.toPandas().sort_values("__row_id__")
     order = ["cust_id_hash", "product_id", "txn_ts", "txn_id"]
     assert list(txns["__row_id__"]) == list(range(len(odd)))
+    assert tuple(out.join_misses.first())[:2] == (len(odd), int(odd.cust_id_hash.isna().sum())) and tuple(out.dropped.first()) == (len(odd), 0)
+    ok = odd[odd.txn_status == 1]
+    assert out.daily.agg(F.sum("purchase_amt") + F.sum("redemption_amt")).first()[0] == pytest.approx(ok.amount.sum())
+    assert out.daily.count() == len(ok.assign(day=ok.txn_ts // 86400)[["product_id", "day"]].drop_duplicates())
     want = odd.sort_values(order, na_position="first")
     assert txns[order].fillna("").values.tolist() == want[order].fillna("").values.tolist()
     gap = want.groupby(["cust_id_hash", "product_id"], dropna=False).txn_ts.diff().fillna(0).clip(0, 2592000).astype(int)
@@ -197,16 +203,19 @@ def test_tables_on_the_way_are_deleted(spark):
     assert set(staged_folders(spark)) == set(before)
 
 
-def test_shuffles_of_the_fact_are_staged_between(spark, tables):
+def test_shuffles_of_the_fact_are_staged_between(spark, tables, monkeypatch):
     _, (fact, product, customer) = tables
     small = [F.broadcast(product), F.broadcast(customer)]
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plain = joins.join_dims(fact, product, customer)
-        for dims, shuffles in (([product, customer], 2), (small, 0)):
-            staged = joins.join_dims(fact, *dims, staged=True)
-            assert joins._shuffles(staged) == shuffles  # fact and dimension, of one join
+        for dims, shuffles, rows in (([product, customer], 2, 10 ** 6), ([product, customer], 2, 400), (small, 0, 400)):
+            monkeypatch.setattr(segments, "ROWS_OF_A_SHUFFLE", rows)
+            parts = joins.join_dims_staged(fact, *dims)
+            assert len(parts) == (4 if shuffles and rows == 400 else 1)
+            assert all(joins._shuffles(part) == shuffles for part in parts)  # fact and dimension, of one join
+            staged = stage.materialise(parts)
             assert staged.columns == plain.columns and staged.exceptAll(plain).isEmpty() and plain.exceptAll(staged).isEmpty()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
