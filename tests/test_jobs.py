@@ -179,6 +179,16 @@ def test_training_tables_with_null_and_repeated_rows(spark, tables, monkeypatch,
     assert list(txns.columns)[-7:] == ["dt_prev_sec", "amount_log1p", "split", "min_purchase_bin", "amount_bin", "dt_bin", "__row_id__"]
 
 
+def test_slices_may_be_empty(spark, tables, monkeypatch):
+    fact, (_, product, customer) = tables
+    monkeypatch.setattr(segments, "ROWS_OF_A_SHUFFLE", 400)
+    rows = fact.iloc[5:].drop(columns="cust_id_hash").assign(product_id="p1")
+    frame = spark.createDataFrame(rows).withColumn("cust_id_hash", F.lit(None).cast("string")).repartition(2, "txn_ts")
+    out = jobs.training_tables(frame, product, customer)
+    assert tuple(out.join_misses.first())[:2] == (len(rows), len(rows)) and tuple(out.dropped.first()) == (len(rows), 0)
+    assert sorted(r["__row_id__"] for r in out.txns.select("__row_id__").collect()) == list(range(len(rows)))
+
+
 def test_shuffle_files_go_with_the_write(spark):
     before = shuffle_files(spark)
     rows = stage.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
