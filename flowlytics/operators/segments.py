@@ -72,8 +72,6 @@ def sliced(df: DataFrame, keys: Sequence[str], slices: int) -> list[DataFrame]:
 def _ranges(df: DataFrame, key: str, slices: int) -> list[DataFrame]:
     """The rows in slices of rising values of the key, nulls in the first. The values at which a slice ends come from some
     thousand rows; they move rows between slices and nothing else."""
-    if slices == 1:
-        return [df]
     some = df.select(key).where(F.col(key).isNotNull()).sample(min(1.0, 20_000 / max(df.count(), 1)), seed=1).sort(key).collect()
     ends = [some[len(some) * i // slices][0] for i in range(1, slices)] if some else []
     number = sum((F.when(F.col(key) > F.lit(end), 1).otherwise(0) for end in ends), F.lit(0))
@@ -145,6 +143,10 @@ def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, segme
     out one after another, each into segments of its own.
     """
     columns = [*keys, *order]
-    parts = [dealt_out(part, columns, segments).withColumn(SEG, F.col(SEG) + i * SEGMENTS_OF_A_SLICE) if i else dealt_out(part, columns, segments)
-             for i, part in enumerate(_ranges(df, columns[0], slices))]
-    return Segmented(materialise(parts, codec), tuple(keys), tuple(order), slices)
+    if slices > 1:
+        parts = [dealt_out(part, columns, segments).withColumn(SEG, F.col(SEG) + i * SEGMENTS_OF_A_SLICE)
+                 for i, part in enumerate(_ranges(df, columns[0], slices))]
+    else:
+        parts = dealt_out(df, columns, segments)
+    staged = materialise(parts, codec) if codec else materialise(parts)
+    return Segmented(staged, tuple(keys), tuple(order), slices)
